@@ -28,6 +28,7 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(BROADCAST_BYTES),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -99,3 +100,17 @@ def local_path(path: str) -> str:
 
 __all__ = ["BROADCAST_BYTES", "SESSION_DEFAULTS", "get_session", "apply_sql_defaults",
            "shared_dir", "scratch_path", "ensure_checkpoint_dir", "local_path"]
+
+
+def materialize(df, name: str = "table"):
+    """Compute ``df`` once and cut its lineage by writing it as a Parquet
+    table in the shared checkpoint folder, then reading it back.
+
+    One pass (a reliable ``checkpoint()`` without caching computes its input
+    twice), it survives executor loss, and the read-back carries file
+    statistics for the adaptive planner.  Used for small intermediate tables
+    that a plan references several times."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
