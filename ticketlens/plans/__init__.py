@@ -1,6 +1,6 @@
 """Registered queries: importing this package fills ``QUERIES``/``ORACLE``."""
 
-from . import filters, questions, reports  # noqa: F401  (registers on import)
+from . import filters, questions, reports, sources  # noqa: F401  (registers on import)
 from .registry import ORACLE, QUERIES, register
 
 __all__ = ["ORACLE", "QUERIES", "register"]
