@@ -109,8 +109,11 @@ def question_customer(c, normalised=None) -> Column:
     q = normalise_question(_col(c)) if normalised is None else _col(normalised)
     first = java(CUSTOMER_AFTER_LABEL_RE)
     second = java(CUSTOMER_BEFORE_VERB_RE)
-    picked = (F.when(q.rlike(first), F.regexp_extract(q, first, 1))
-              .when(q.rlike(second), F.regexp_extract(q, second, 1)))
+    # both patterns need the literal " gửi": test it first (cheap, exact) so
+    # long texts without it never run the lazy-quantifier search
+    verb = q.contains(" gửi")
+    picked = (F.when(verb & q.contains("khách hàng ") & q.rlike(first), F.regexp_extract(q, first, 1))
+              .when(verb & q.rlike(second), F.regexp_extract(q, second, 1)))
     return F.when(_has(q, "ktv", "kỹ thuật viên"), F.lit(None).cast("string")) \
         .otherwise(strip_space(picked))
 
@@ -119,7 +122,8 @@ def question_product(c) -> Column:
     """Product named after "gửi (sản phẩm)", on the raw question, ignoring case."""
     q = _col(c)
     pat = java(PRODUCT_RE, ignore_case=True)
-    return F.when(q.rlike(pat), strip_space(F.regexp_extract(q, pat, 1)))
+    # the pattern needs "gửi " in some letter case: a cheap, exact pre-test
+    return F.when(F.lower(q).contains("gửi ") & q.rlike(pat), strip_space(F.regexp_extract(q, pat, 1)))
 
 
 def classify_intent(c, normalised=None, product=None) -> Column:
@@ -131,15 +135,23 @@ def classify_intent(c, normalised=None, product=None) -> Column:
     product = question_product(raw) if product is None else _col(product)
     time_word = _has(q, "tháng", "quý", "năm")
     counting = _has(q, "gửi", "đã gửi") & q.contains("sản phẩm") & time_word
-    return (F.when(q.rlike(java(RULE_TOP_PRODUCT)), "top_product")
-            .when(q.rlike(java(RULE_TOP_PRODUCTS)), "top_products")
+    # every regex rule is preceded by literals it cannot match without
+    # (cheap and exact), so long texts rarely reach the regex engine
+    product_word = q.contains("sản phẩm ")
+    return (F.when(product_word & q.contains("nhiều nhất") & q.rlike(java(RULE_TOP_PRODUCT)),
+                   "top_product")
+            .when(product_word & q.contains("nhiều") & q.rlike(java(RULE_TOP_PRODUCTS)),
+                  "top_products")
             .when(q.contains("khách") & q.contains("gửi nhiều"), "top_customers")
-            .when(q.rlike(java(RULE_WHAT_PRODUCT)), "top_products")
-            .when(q.rlike(java(RULE_WHICH_THING)), "top_products")
+            # rules without metacharacters: the regex search is plain containment
+            .when(q.contains(RULE_WHAT_PRODUCT), "top_products")
+            .when(_has(q, "cái gì", "loại gì", "mặt hàng gì", "loại nào", "cái nào")
+                  & _has(q, "hư", "lỗi", "gửi") & q.rlike(java(RULE_WHICH_THING)), "top_products")
             .when(q.contains("sản phẩm") & _has(q, "lỗi nhiều", "gửi nhiều", "nhiều nhất"),
                   "top_products")
-            .when(q.rlike(java(RULE_SENDS_WHAT)), "top_products_by_customer")
-            .when(q.rlike(java(RULE_WHO_SENDS_PRODUCT)) & _has(q, "nhiều", "top")
+            .when(q.contains(RULE_SENDS_WHAT), "top_products_by_customer")
+            .when(q.contains("gửi") & q.contains("sản phẩm") & _has(q, "nhiều", "top")
+                  & q.rlike(java(RULE_WHO_SENDS_PRODUCT))
                   & product.isNotNull() & (product != ""), "top_customers_by_product")
             .when(_has(q, "ktv", "kỹ thuật viên"), "top_ktv")
             .when(counting & (q.contains("khách hàng") | q.rlike(java(RULE_LEADING_WORD))),

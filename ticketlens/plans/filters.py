@@ -9,6 +9,7 @@ from ..functions import dates as D
 from ..functions import text as TX
 from ..functions.patterns import SPACE
 from ..operators import filters as FL
+from ..session import spread
 from ..sources.testdata import table, tickets
 from .registry import register, with_tickets
 
@@ -133,7 +134,7 @@ def _fold_sql(x: str) -> str:
 
 
 def _strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+    return f"trim({x}, {_sql_lit(TX.space_chars())})"
 
 
 def clean_text_sql(x: str) -> str:
@@ -150,13 +151,14 @@ def normalise_for_match_sql(x: str) -> str:
 
 @register("clean_text", f"SELECT doc_id, {clean_text_sql('text')} AS cleaned FROM documents")
 def _t1(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", TX.clean_text("text").alias("cleaned"))
+    docs = spread(table(spark, sf, "documents"), "doc_id")
+    return docs.select("doc_id", TX.clean_text("text").alias("cleaned"))
 
 
 @register("normalise_for_match", f"SELECT conv_id, turn, {normalise_for_match_sql('text')} AS normalised "
                                  "FROM conversations")
 def _t2(spark, sf):
-    return table(spark, sf, "conversations").select(
+    return spread(table(spark, sf, "conversations"), "conv_id").select(
         "conv_id", "turn", TX.normalise_for_match("text").alias("normalised"))
 
 
@@ -171,7 +173,7 @@ def _t3(spark, sf):
     FROM (SELECT doc_id, {normalise_for_match_sql('text')} AS n, {normalise_for_match_sql(_sql_lit(PHRASE))} AS k
           FROM documents)""")
 def _f17(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id", TX.phrase_match(F.col("text"), F.lit(PHRASE)).alias("matched"))
 
 

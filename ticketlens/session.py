@@ -114,3 +114,18 @@ def materialize(df, name: str = "table"):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df, key=None, factor: int = 2):
+    """Spread CPU-heavy per-row work (regexes over long texts) over all cores.
+
+    Only when the input has fewer partitions than the cluster has cores
+    (e.g. one large file with one row group): then the rows are hash
+    partitioned into ``factor`` × cores parts.  A big input that already
+    has many splits is returned unchanged, so at scale this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    n = factor * cores
+    return df.repartition(n, key) if key is not None else df.repartition(n)
