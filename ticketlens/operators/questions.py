@@ -44,15 +44,29 @@ def parse_questions(questions: DataFrame, text_col: str = "question") -> DataFra
     return with_parsed_question(questions, text_col).withColumn("gid", _gid())
 
 
-def time_cube(tickets: DataFrame, keys=()) -> DataFrame:
-    """Ticket counts per keys × every subset of (year, month, quarter).
+def _set_of_gid(gid: int) -> list[str]:
+    return [c for bit, c in zip((4, 2, 1), TIME) if not gid & bit]
 
+
+def used_gids(questions: DataFrame) -> list[int]:
+    """The grouping sets a batch needs: at most 8 small ints reach the driver."""
+    return sorted(r[0] for r in questions.select("gid").distinct().collect())
+
+
+def time_cube(tickets: DataFrame, keys=(), gids=None) -> DataFrame:
+    """Ticket counts per keys × subsets of (year, month, quarter).
+
+    ``gids`` limits the grouping sets to those a batch uses (default: all 8):
+    every ticket is expanded once per set, so unused sets are pure cost.
     Rows whose key is NULL are dropped (a NULL key is never an answer)."""
     keys = list(keys)
     d = tickets
     for k in keys:
         d = d.where(F.col(k).isNotNull())
-    sets = [keys + list(s) for r in range(len(TIME), -1, -1) for s in combinations(TIME, r)]
+    if gids is None:
+        sets = [keys + list(s) for r in range(len(TIME), -1, -1) for s in combinations(TIME, r)]
+    else:
+        sets = [keys + _set_of_gid(g) for g in gids] or [keys + list(TIME)]
     return (d.groupingSets(sets, *keys, *TIME)
             .agg(F.count("*").alias("n"), F.grouping_id().alias("gid")))
 
@@ -91,13 +105,23 @@ def _rank(df: DataFrame, part, key: str, k: int) -> DataFrame:
 def top_by_time(tickets: DataFrame, questions: DataFrame, key: str, k: int,
                 id_col: str = "question") -> DataFrame:
     """Top-k ``key`` values per question within the question's time filter."""
+    gids = used_gids(questions)
+    if not gids:   # no such question: do not aggregate the tickets at all
+        return _empty_top(questions, tickets, id_col, key)
     filters = _filters(questions)
-    cube = time_cube(tickets.select(key, *TIME), [key])
+    cube = time_cube(tickets.select(key, *TIME), [key], gids)
     ranked = _rank(_null_safe_join(cube, filters, FILTER_KEYS), FILTER_KEYS, key, k)
     return (_null_safe_join(questions.select(id_col, *FILTER_KEYS), ranked, FILTER_KEYS)
             .select(id_col, "rank", key, F.col("n").alias("tickets")))
 
 
+def _empty_top(questions: DataFrame, tickets: DataFrame, id_col: str, key: str) -> DataFrame:
+    key_type = dict(tickets.dtypes)[key]
+    return questions.select(id_col, F.lit(None).cast("int").alias("rank"),
+                            F.lit(None).cast(key_type).alias(key),
+                            F.lit(None).cast("long").alias("tickets")).limit(0)
+
+
 def _pattern_pairs(tickets: DataFrame, questions: DataFrame, pattern_col: str,
                    pattern_role: str, regex: bool) -> DataFrame:
     pats = questions.select(F.col(pattern_col).alias("pattern"))
@@ -114,22 +138,29 @@ def top_by_time_and_pattern(tickets: DataFrame, questions: DataFrame, pattern_co
     with_pat = (questions.where(F.col(pattern_col).isNotNull())
                 .select(id_col, F.col(pattern_col).alias("pattern"), *FILTER_KEYS))
     no_pat = questions.where(F.col(pattern_col).isNull())
+    rest = top_by_time(tickets, no_pat, key, k, id_col)
+    gids = used_gids(with_pat)
+    if not gids:
+        return rest
 
     pairs = _pattern_pairs(tickets, with_pat, "pattern", pattern_role, regex)
     matched = (tickets.select(F.col(pattern_role).alias("name"), key, *TIME)
                .join(pairs, "name").select("pattern", key, *TIME))
-    cube = time_cube(matched, ["pattern", key])
+    cube = time_cube(matched, ["pattern", key], gids)
     keys = ["pattern", *FILTER_KEYS]
     ranked = _rank(_null_safe_join(cube, _filters(with_pat, "pattern"), keys), keys, key, k)
     answered = (_null_safe_join(with_pat, ranked, keys)
                 .select(id_col, "rank", key, F.col("n").alias("tickets")))
-    return answered.unionByName(top_by_time(tickets, no_pat, key, k, id_col))
+    return answered.unionByName(rest)
 
 
 def count_by_time(tickets: DataFrame, questions: DataFrame, id_col: str = "question") -> DataFrame:
     """(id, n) per question: tickets inside its time filter (questions whose
     filter matches nothing are absent here; callers add the zeros)."""
-    cube0 = time_cube(tickets.select(*TIME))
+    gids = used_gids(questions)
+    if not gids:
+        return questions.select(id_col, F.lit(None).cast("long").alias("n")).limit(0)
+    cube0 = time_cube(tickets.select(*TIME), (), gids)
     totals = _null_safe_join(cube0, _filters(questions), FILTER_KEYS)
     return _null_safe_join(questions.select(id_col, *FILTER_KEYS), totals, FILTER_KEYS) \
         .select(id_col, "n")
@@ -144,15 +175,16 @@ def count_by_time_and_pattern(tickets: DataFrame, questions: DataFrame, id_col:
     with_pat = (questions.where(F.col(pattern_col).isNotNull())
                 .select(id_col, F.col(pattern_col).alias("pattern"), *FILTER_KEYS))
 
-    pairs = _pattern_pairs(tickets, with_pat, "pattern", R.CUSTOMER, regex=True)
-    cube_c = time_cube(tickets.select(F.col(R.CUSTOMER).alias("name"), *TIME), ["name"])
-    wanted = _filters(with_pat, "pattern").join(pairs, "pattern")
-    keys = ["pattern", *FILTER_KEYS]
-    per_filter = (_null_safe_join(wanted, cube_c, ["name", *FILTER_KEYS])
-                  .groupBy(*keys).agg(F.sum("n").alias("n")))
-    ans1 = _null_safe_join(with_pat, per_filter, keys).select(id_col, "n")
-
-    totals = count_by_time(tickets, plain, id_col).unionByName(ans1)
+    totals = count_by_time(tickets, plain, id_col)
+    gids = used_gids(with_pat)
+    if gids:
+        pairs = _pattern_pairs(tickets, with_pat, "pattern", R.CUSTOMER, regex=True)
+        cube_c = time_cube(tickets.select(F.col(R.CUSTOMER).alias("name"), *TIME), ["name"], gids)
+        wanted = _filters(with_pat, "pattern").join(pairs, "pattern")
+        keys = ["pattern", *FILTER_KEYS]
+        per_filter = (_null_safe_join(wanted, cube_c, ["name", *FILTER_KEYS])
+                      .groupBy(*keys).agg(F.sum("n").alias("n")))
+        totals = totals.unionByName(_null_safe_join(with_pat, per_filter, keys).select(id_col, "n"))
     return _with_zeros(questions, totals, id_col)
 
 
