@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from .. import roles as R
 from ..operators import questions as ask
+from ..session import spread
 from ..operators.reports import FAIL, OK, REJECTED, SUCCESS_PCT, status_aggs, success_pct
 
 
@@ -54,9 +55,14 @@ def answer_questions_stream(questions: DataFrame, tickets: DataFrame, out_path:
     """Start a query answering arriving counting questions (Q8) in micro-batches."""
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        parsed = ask.parse_questions(batch, text_col)
-        out = ask.answer_count_questions(tickets, parsed, text_col)
-        out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        # the parsed batch feeds several branches of the answer plan: keep it
+        # for the duration of this micro-batch only (bounded by the trigger)
+        parsed = ask.parse_questions(spread(batch), text_col).persist()
+        try:
+            out = ask.answer_count_questions(tickets, parsed, text_col)
+            out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        finally:
+            parsed.unpersist()
 
     return (questions.writeStream.foreachBatch(answer)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
