@@ -110,10 +110,15 @@ def materialize(df, name: str = "table"):
     twice), it survives executor loss, and the read-back carries file
     statistics for the adaptive planner.  Used for small intermediate tables
     that a plan references several times."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return df.sparkSession.read.parquet(write_table(df, name))
+
+
+def write_table(df, name: str = "table") -> str:
+    """Write ``df`` as Parquet to a fresh folder of the shared checkpoint
+    folder and return the path."""
+    path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return path
 
 
 def spread(df, key=None, factor: int = 2):

@@ -16,6 +16,8 @@ measured size is under the threshold, else sort-merge joined.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +104,7 @@ def write_tickets(spark: SparkSession, sf_dir: str, path: str) -> str:
 # ---------------------------------------------------------------------------
 
 _STORES: dict[tuple, str] = {}
+_STORE_LOCK = threading.Lock()
 
 
 def _stamp(sf_dir: str) -> tuple:
@@ -120,10 +123,11 @@ def ticket_store(spark: SparkSession, sf_dir: str) -> str:
     use in this session, in the shared checkpoint folder)."""
     from ..session import scratch_path
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _stamp(sf_dir))
-    path = _STORES.get(key)
-    if path is None:
-        path = write_tickets(spark, sf_dir, scratch_path(spark, "tickets"))
-        _STORES[key] = path
+    with _STORE_LOCK:   # queries submitted from several threads build it once
+        path = _STORES.get(key)
+        if path is None:
+            path = write_tickets(spark, sf_dir, scratch_path(spark, "tickets"))
+            _STORES[key] = path
     return path
 
 
