@@ -154,32 +154,44 @@ def top_by_time_and_pattern(tickets: DataFrame, questions: DataFrame, pattern_co
     return answered.unionByName(rest)
 
 
-def count_by_time(tickets: DataFrame, questions: DataFrame, id_col: str = "question") -> DataFrame:
+def count_by_time(tickets: DataFrame, questions: DataFrame, id_col: str = "question",
+                  period_cube: DataFrame | None = None) -> DataFrame:
     """(id, n) per question: tickets inside its time filter (questions whose
-    filter matches nothing are absent here; callers add the zeros)."""
+    filter matches nothing are absent here; callers add the zeros).
+    ``period_cube``: a precomputed ``time_cube(tickets)`` (all 8 sets)."""
     gids = used_gids(questions)
     if not gids:
         return questions.select(id_col, F.lit(None).cast("long").alias("n")).limit(0)
-    cube0 = time_cube(tickets.select(*TIME), (), gids)
+    cube0 = period_cube if period_cube is not None else time_cube(tickets.select(*TIME), (), gids)
     totals = _null_safe_join(cube0, _filters(questions), FILTER_KEYS)
     return _null_safe_join(questions.select(id_col, *FILTER_KEYS), totals, FILTER_KEYS) \
         .select(id_col, "n")
 
 
 def count_by_time_and_pattern(tickets: DataFrame, questions: DataFrame, id_col: str = "question",
-                              pattern_col: str = R.CUSTOMER) -> DataFrame:
+                              pattern_col: str = R.CUSTOMER, cubes: dict | None = None) -> DataFrame:
     """(id, total) for every question: tickets in its time filter whose
     customer matches its pattern (no pattern = every customer).  Questions
-    with no matching ticket get 0, not a missing row."""
+    with no matching ticket get 0, not a missing row.
+
+    ``cubes`` may hold precomputed pre-aggregates ({"period": time_cube of
+    the periods, "customer": time_cube keyed by ``name``}, all 8 sets), e.g.
+    computed once for a stream of question batches."""
+    cubes = cubes or {}
     plain = questions.where(F.col(pattern_col).isNull())
     with_pat = (questions.where(F.col(pattern_col).isNotNull())
                 .select(id_col, F.col(pattern_col).alias("pattern"), *FILTER_KEYS))
 
-    totals = count_by_time(tickets, plain, id_col)
+    totals = count_by_time(tickets, plain, id_col, cubes.get("period"))
     gids = used_gids(with_pat)
     if gids:
-        pairs = _pattern_pairs(tickets, with_pat, "pattern", R.CUSTOMER, regex=True)
-        cube_c = time_cube(tickets.select(F.col(R.CUSTOMER).alias("name"), *TIME), ["name"], gids)
+        cube_c = cubes.get("customer")
+        if cube_c is None:
+            cube_c = time_cube(tickets.select(F.col(R.CUSTOMER).alias("name"), *TIME), ["name"], gids)
+            names = tickets.select(F.col(R.CUSTOMER).alias("name"))
+        else:
+            names = cube_c.where(F.col("gid") == 7).select("name")
+        pairs = match_patterns(with_pat.select("pattern"), names, regex=True)
         wanted = _filters(with_pat, "pattern").join(pairs, "pattern")
         keys = ["pattern", *FILTER_KEYS]
         per_filter = (_null_safe_join(wanted, cube_c, ["name", *FILTER_KEYS])
@@ -228,11 +240,17 @@ def ask_top_products_by_customer(tickets, parsed, id_col="question", k=10):
                                    R.CUSTOMER, R.CUSTOMER, R.PRODUCT, k, True, id_col)
 
 
-def answer_count_questions(tickets, parsed, id_col="question"):                 # Q8
+def count_cubes(tickets: DataFrame) -> dict:
+    """The two pre-aggregates counting answers need (all 8 grouping sets)."""
+    return {"period": time_cube(tickets.select(*TIME)),
+            "customer": time_cube(tickets.select(F.col(R.CUSTOMER).alias("name"), *TIME), ["name"])}
+
+
+def answer_count_questions(tickets, parsed, id_col="question", cubes=None):     # Q8
     """One row per counting question: (id, intent, total); zero totals kept."""
     q = _of(parsed, *COUNT_INTENTS).withColumn(
         R.CUSTOMER, F.when(F.col("intent") == "count_product_by_customer", F.col(R.CUSTOMER)))
-    totals = count_by_time_and_pattern(tickets, q, id_col).withColumnRenamed(id_col, "_qid")
+    totals = count_by_time_and_pattern(tickets, q, id_col, cubes=cubes).withColumnRenamed(id_col, "_qid")
     return (q.select(id_col, "intent").join(totals, F.col(id_col) == F.col("_qid"))
             .drop("_qid"))
 

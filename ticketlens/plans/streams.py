@@ -11,19 +11,12 @@ from .. import roles as R
 from ..session import scratch_path
 from ..sources.testdata import tickets
 from ..streaming import live_reports as LR
-from .questions import question_bank
+from .questions import _bank_texts
 from .registry import ORACLE, register
 
 SPLIT_YEAR = 1997
 
 
-def _two_drops(df, path, cond):
-    """Write ``df`` as two file drops (a partition of the rows, not a sample)."""
-    df.where(cond).write.mode("append").parquet(path)
-    df.where(~cond | cond.isNull()).write.mode("append").parquet(path)
-    return path
-
-
 def _stream_rate(spark, sf):
     """Two refreshes of the same streaming query: the second run restarts
     from the checkpoint, reads only the files that arrived since, and
@@ -41,12 +34,16 @@ def _stream_rate(spark, sf):
 
 
 def _stream_answers(spark, sf):
-    bank = question_bank(spark, sf)
-    qpath = _two_drops(bank, scratch_path(spark, "question_drops"), F.length("question") < 40)
+    """Questions arrive in two drops; each refresh answers only the new ones."""
+    bank = _bank_texts(spark, sf)
+    qpath, ckpt = scratch_path(spark, "question_drops"), scratch_path(spark, "ckpt")
     out = scratch_path(spark, "answers")
-    qs = spark.readStream.schema(bank.schema).parquet(qpath)
     t = tickets(spark, sf, [R.CUSTOMER, *R.PERIODS])
-    LR.answer_questions_stream(qs, t, out, scratch_path(spark, "ckpt")).awaitTermination()
+    short = F.length("question") < 40
+    for drop in (short, ~short):
+        bank.where(drop).write.mode("append").parquet(qpath)
+        qs = spark.readStream.schema(bank.schema).parquet(qpath)
+        LR.answer_questions_stream(qs, t, out, ckpt).awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
 
 

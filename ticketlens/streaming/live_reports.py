@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from .. import roles as R
 from ..operators import questions as ask
-from ..session import spread
+from ..session import spread, write_table
 from ..operators.reports import FAIL, OK, REJECTED, SUCCESS_PCT, status_aggs, success_pct
 
 
@@ -52,14 +52,20 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "com
 
 def answer_questions_stream(questions: DataFrame, tickets: DataFrame, out_path: str,
                             checkpoint: str, text_col: str = "question"):
-    """Start a query answering arriving counting questions (Q8) in micro-batches."""
+    """Start a query answering arriving counting questions (Q8) in micro-batches.
+
+    The static side is pre-aggregated once (counts per customer × periods,
+    written to the shared folder); every micro-batch only joins against it."""
+    spark = tickets.sparkSession
+    cubes = {k: spark.read.parquet(write_table(v, f"cube_{k}"))
+             for k, v in ask.count_cubes(tickets).items()}
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         # the parsed batch feeds several branches of the answer plan: keep it
         # for the duration of this micro-batch only (bounded by the trigger)
         parsed = ask.parse_questions(spread(batch), text_col).persist()
         try:
-            out = ask.answer_count_questions(tickets, parsed, text_col)
+            out = ask.answer_count_questions(tickets, parsed, text_col, cubes=cubes)
             out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         finally:
             parsed.unpersist()
