@@ -39,11 +39,12 @@ def _stream_answers(spark, sf):
     qpath, ckpt = scratch_path(spark, "question_drops"), scratch_path(spark, "ckpt")
     out = scratch_path(spark, "answers")
     t = tickets(spark, sf, [R.CUSTOMER, *R.PERIODS])
+    cubes = LR.static_count_cubes(t)
     short = F.length("question") < 40
     for drop in (short, ~short):
         bank.where(drop).write.mode("append").parquet(qpath)
         qs = spark.readStream.schema(bank.schema).parquet(qpath)
-        LR.answer_questions_stream(qs, t, out, ckpt).awaitTermination()
+        LR.answer_questions_stream(qs, t, out, ckpt, cubes=cubes).awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
 
 

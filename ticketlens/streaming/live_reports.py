@@ -50,15 +50,22 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "com
     return stream.sparkSession.table(name)
 
 
+def static_count_cubes(tickets: DataFrame) -> dict:
+    """Pre-aggregate the static tickets once (counts per customer × periods,
+    written to the shared folder) for all micro-batches and restarts."""
+    spark = tickets.sparkSession
+    return {k: spark.read.parquet(write_table(v, f"cube_{k}"))
+            for k, v in ask.count_cubes(tickets).items()}
+
+
 def answer_questions_stream(questions: DataFrame, tickets: DataFrame, out_path: str,
-                            checkpoint: str, text_col: str = "question"):
+                            checkpoint: str, text_col: str = "question", cubes: dict | None = None):
     """Start a query answering arriving counting questions (Q8) in micro-batches.
 
-    The static side is pre-aggregated once (counts per customer × periods,
-    written to the shared folder); every micro-batch only joins against it."""
-    spark = tickets.sparkSession
-    cubes = {k: spark.read.parquet(write_table(v, f"cube_{k}"))
-             for k, v in ask.count_cubes(tickets).items()}
+    Every micro-batch joins against the static pre-aggregate ``cubes``
+    (computed here when not given) instead of re-reading the tickets."""
+    if cubes is None:
+        cubes = static_count_cubes(tickets)
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         # the parsed batch feeds several branches of the answer plan: keep it
