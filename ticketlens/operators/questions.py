@@ -144,9 +144,13 @@ def top_by_time_and_pattern(tickets: DataFrame, questions: DataFrame, pattern_co
         return rest
 
     pairs = _pattern_pairs(tickets, with_pat, "pattern", pattern_role, regex)
-    matched = (tickets.select(F.col(pattern_role).alias("name"), key, *TIME)
-               .join(pairs, "name").select("pattern", key, *TIME))
-    cube = time_cube(matched, ["pattern", key], gids)
+    # aggregate the tickets per (name, key, periods) *before* fanning out to
+    # the patterns: a name matched by many patterns copies its aggregate
+    # rows, never its tickets
+    per_name = time_cube(tickets.select(F.col(pattern_role).alias("name"), key, *TIME),
+                         ["name", key], gids)
+    cube = (per_name.join(pairs, "name")
+            .groupBy("pattern", key, *TIME, "gid").agg(F.sum("n").alias("n")))
     keys = ["pattern", *FILTER_KEYS]
     ranked = _rank(_null_safe_join(cube, _filters(with_pat, "pattern"), keys), keys, key, k)
     answered = (_null_safe_join(with_pat, ranked, keys)
