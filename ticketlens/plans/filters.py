@@ -181,21 +181,30 @@ def _f17(spark, sf):
 # dates
 # ---------------------------------------------------------------------------
 
-@register("parse_dates", """SELECT o_orderkey, raw,
+# Each order's date is rendered as text in a format chosen by its priority
+# (one class of rows becomes unparseable junk); every row is parsed back.
+_DATE_TEXT = (("1-URGENT", None, None), ("2-HIGH", "yyyy-MM-dd", "%Y-%m-%d"),
+              ("3-MEDIUM", "dd/MM/yyyy", "%d/%m/%Y"))
+_DATE_TEXT_OTHER = ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S")
+
+
+def _date_text_sql() -> str:
+    arms = " ".join(f"WHEN o_orderpriority = '{p}' THEN " + ("'n/a'" if fmt is None else
+                    f"strftime(o_orderdate, '{fmt}')") for p, _, fmt in _DATE_TEXT)
+    return f"CASE {arms} ELSE strftime(o_orderdate, '{_DATE_TEXT_OTHER[1]}') END"
+
+
+@register("parse_dates", f"""SELECT o_orderkey, raw,
       CASE WHEN raw = 'n/a' THEN NULL ELSE o_orderdate END AS parsed
-    FROM (SELECT o_orderkey, o_orderdate,
-            CASE WHEN o_orderkey % 97 = 0 THEN 'n/a'
-                 WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
-                 WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%d/%m/%Y')
-                 ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS raw
-          FROM orders)""")
+    FROM (SELECT o_orderkey, o_orderdate, {_date_text_sql()} AS raw FROM orders)""")
 def _d1(spark, sf):
     o = table(spark, sf, "orders")
-    k = F.col("o_orderkey")
-    raw = (F.when(k % 97 == 0, F.lit("n/a"))
-           .when(k % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
-           .when(k % 3 == 1, F.date_format("o_orderdate", "dd/MM/yyyy"))
-           .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")))
+    raw = None
+    for prio, fmt, _ in _DATE_TEXT:
+        val = F.lit("n/a") if fmt is None else F.date_format("o_orderdate", fmt)
+        cond = F.col("o_orderpriority") == prio
+        raw = F.when(cond, val) if raw is None else raw.when(cond, val)
+    raw = raw.otherwise(F.date_format("o_orderdate", _DATE_TEXT_OTHER[0]))
     return (o.select("o_orderkey", raw.alias("raw"))
             .select("o_orderkey", "raw", D.parse_dates("raw").alias("parsed")))
 
