@@ -53,3 +53,16 @@ def test_rule8_matches_ai_inside_words(spark):
     df = spark.createDataFrame([("sai",), ("loại",)], "q string")
     got = [r[0] for r in df.select(F.col("q").rlike("(ai|khách|khách hàng)")).collect()]
     assert got == [True, False]
+
+
+def test_intents_come_from_the_rule_vocabulary(parsed):
+    from ticketlens.functions.questions import INTENTS
+    assert {r["intent"] for r in parsed.values()} <= set(INTENTS)
+
+
+def test_context_text_joins_header_and_lines(spark):
+    from ticketlens.sources.sinks import context_extract, context_text
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "k int, v string")
+    lines = context_extract(df, ["k"], last_n=3, keep=2)
+    assert [tuple(r) for r in lines.orderBy("line_no").collect()] == [(1, "1,a"), (2, "2,b")]
+    assert context_text(lines, ["k", "v"]).first()[0] == "k,v\n1,a\n2,b"

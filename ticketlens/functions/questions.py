@@ -160,9 +160,6 @@ def classify_intent(c, normalised=None, product=None) -> Column:
             .otherwise("unknown"))
 
 
-PARSED_FIELDS = ("intent", "customer", "product", "year", "month", "quarter")
-
-
 def with_parsed_question(df, text_col: str = "question"):
     """Add intent, customer, product, year, month, quarter columns.
 

@@ -10,8 +10,6 @@ are broken by the key so results are deterministic.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +22,6 @@ TICKETS = "tickets"
 OCCURRENCES = "occurrences"
 
 
-@dataclass(frozen=True)
-class Report:
-    """A titled report result (the title is display text only)."""
-    title: str
-    df: DataFrame
-
-
 def _where(df: DataFrame, cond: Column | None) -> DataFrame:
     return df if cond is None else df.where(cond)
 

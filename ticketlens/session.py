@@ -87,32 +87,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/ticketlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """``DataFrame.checkpoint()`` needs the SparkContext to know the folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python can list a local-mode folder."""
-    return path[5:] if path.startswith("file:") else path
-
-
-__all__ = ["BROADCAST_BYTES", "SESSION_DEFAULTS", "get_session", "apply_sql_defaults",
-           "shared_dir", "scratch_path", "ensure_checkpoint_dir", "local_path"]
-
-
-def materialize(df, name: str = "table"):
-    """Compute ``df`` once and cut its lineage by writing it as a Parquet
-    table in the shared checkpoint folder, then reading it back.
-
-    One pass (a reliable ``checkpoint()`` without caching computes its input
-    twice), it survives executor loss, and the read-back carries file
-    statistics for the adaptive planner.  Used for small intermediate tables
-    that a plan references several times."""
-    return df.sparkSession.read.parquet(write_table(df, name))
-
-
 def write_table(df, name: str = "table") -> str:
     """Write ``df`` as Parquet to a fresh folder of the shared checkpoint
     folder and return the path."""
