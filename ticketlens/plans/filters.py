@@ -129,8 +129,13 @@ def _f15(spark, sf):
 
 def _fold_sql(x: str) -> str:
     src, dst = TX.fold_table()
-    return (f"regexp_replace(translate({x}, {_sql_lit(src)}, {_sql_lit(dst)}), "
-            r"'\p{Mn}+', '', 'g')")
+    multi = TX.fold_expansions()
+    t = f"translate({x}, {_sql_lit(src)}, {_sql_lit(dst)})"
+    lookup = "MAP {" + ", ".join(f"{_sql_lit(k)}: {_sql_lit(v)}" for k, v in multi.items()) + "}"
+    expanded = (f"array_to_string(list_transform(string_split({t}, ''), "
+                f"lambda ch: coalesce(map_extract_value({lookup}, ch), ch)), '')")
+    t = f"CASE WHEN regexp_matches({t}, {_sql_lit('[' + ''.join(multi) + ']')}) THEN {expanded} ELSE {t} END"
+    return rf"regexp_replace({t}, '\p{{Mn}}+', '', 'g')"
 
 
 def _strip_sql(x: str) -> str:
