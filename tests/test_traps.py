@@ -111,3 +111,12 @@ def test_rows_of_top_key_semi_join(spark):
     assert sorted(r["serial"] for r in rows_of_top_key(df, "technician").collect()) == ["s1", "s2"]
     rs = repeat_serials(df).collect()
     assert sorted((r["serial"], r["occurrences"]) for r in rs) == [("s1", 2), ("s1", 2)]
+
+
+def test_a21_rounds_like_python_round(spark):
+    from ticketlens.functions.dates import round_like_python
+    vals = [0.35, 0.25, 12.25, 14.45, 1.45, 99.95, 0.05] + [ok / t * 100 for t in range(1, 60)
+                                                          for ok in range(t + 1)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(round_like_python(F.col("x"), 1)).collect()]
+    assert got == [round(v, 1) for v in vals]

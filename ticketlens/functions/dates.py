@@ -45,3 +45,29 @@ def round_half_even(x: Column, digits: int) -> Column:
     66.665 → 66.67, which neither ``round`` nor ``bround`` reproduces."""
     scale = float(10 ** digits)
     return F.rint(x * F.lit(scale)) / F.lit(scale)
+
+
+_SPLIT = 134217729.0  # 2^27 + 1: Veltkamp split of a double into two halves
+
+
+def round_like_python(x: Column, digits: int) -> Column:
+    """Python's ``round(x, digits)`` on a double: half-even on the *exact*
+    binary value (``round(0.35, 1)`` is 0.3, where ``rint(3.5)`` gives 0.4).
+
+    ``y = x·10^d`` is rounded by the multiplication; only when ``y`` lands
+    exactly on ``k + 0.5`` can that hide which side the exact product is on.
+    Then the exact rounding error of the product (Dekker's error-free
+    product, all in double arithmetic) decides, and a true tie goes to even.
+    """
+    scale = F.lit(float(10 ** digits))
+    y = x * scale
+    k = F.floor(y).cast("double")
+    frac = y - k
+    c = x * F.lit(_SPLIT)
+    hi = c - (c - x)
+    lo = x - hi
+    err = (hi * scale - y) + lo * scale          # exact: x·10^d = y + err
+    up = (F.when(frac > 0.5, True).when(frac < 0.5, False)
+          .when(err > 0, True).when(err < 0, False)
+          .otherwise(F.pmod(k, F.lit(2.0)) == 1.0))
+    return (k + F.when(up, 1.0).otherwise(0.0)) / scale

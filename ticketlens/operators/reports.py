@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import roles as R
-from ..functions.dates import round_half_even, turnaround_days
+from ..functions.dates import round_half_even, round_like_python, turnaround_days
 
 OK, FAIL, REJECTED = "ok", "fail", "rejected"
 SUCCESS_PCT = "success_pct"
@@ -42,10 +42,13 @@ def status_aggs() -> list[Column]:
             F.count_if(flag_is_set(R.IS_REJECTED)).alias(REJECTED)]
 
 
-def success_pct(ok: Column, handled: Column, digits: int, zero_when_empty: bool) -> Column:
-    """ok / handled · 100, numpy-rounded.  Empty denominator: NULL, or 0.0
-    for the reports that define it as zero."""
-    pct = round_half_even(F.try_divide(ok, handled) * F.lit(100.0), digits)
+def success_pct(ok: Column, handled: Column, digits: int, zero_when_empty: bool,
+                python_round: bool = False) -> Column:
+    """ok / handled · 100, numpy-rounded (or Python-``round``-ed, for the
+    report that rounds a plain float).  Empty denominator: NULL, or 0.0 for
+    the reports that define it as zero."""
+    rounder = round_like_python if python_round else round_half_even
+    pct = rounder(F.try_divide(ok, handled) * F.lit(100.0), digits)
     if zero_when_empty:
         return F.when(handled > 0, pct).otherwise(F.lit(0.0))
     return pct
@@ -224,7 +227,8 @@ def technician_summary(df):                                               # A21
               F.count_if(flag_is_set(R.IS_REJECTED)).alias("rejected")))
     total = F.col("done") + F.col("failed") + F.col("rejected")
     return (g.withColumn("total", total)
-            .withColumn(SUCCESS_PCT, success_pct(F.col("done"), F.col("total"), 1, True))
+            .withColumn(SUCCESS_PCT, success_pct(F.col("done"), F.col("total"), 1, True,
+                                                 python_round=True))
             .orderBy(R.TECHNICIAN))
 
 

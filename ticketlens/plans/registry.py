@@ -67,3 +67,17 @@ def pct_sql(ok: str, handled: str, digits: int = 2, zero_when_empty: bool = Fals
 STATUS_SQL = ("count(*) FILTER (WHERE is_done = 1) AS ok, "
               "count(*) FILTER (WHERE is_failed = 1) AS fail, "
               "count(*) FILTER (WHERE is_rejected = 1) AS rejected")
+
+
+def python_round_sql(x: str, digits: int) -> str:
+    """DuckDB twin of ``round_like_python`` (same double operations).
+    ``x`` must be a plain column name (it is repeated)."""
+    sc = f"{float(10 ** digits)}::DOUBLE"
+    y, k = f"({x} * {sc})", f"floor({x} * {sc})"
+    c = f"({x} * 134217729.0::DOUBLE)"
+    hi = f"({c} - ({c} - {x}))"
+    err = f"(({hi} * {sc} - {y}) + ({x} - {hi}) * {sc})"
+    frac = f"({y} - {k})"
+    up = (f"CASE WHEN {frac} > 0.5 THEN 1 WHEN {frac} < 0.5 THEN 0 WHEN {err} > 0 THEN 1 "
+          f"WHEN {err} < 0 THEN 0 WHEN {k} % 2 = 1 THEN 1 ELSE 0 END")
+    return f"(({k} + {up}) / {sc})"

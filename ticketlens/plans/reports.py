@@ -5,7 +5,7 @@ from __future__ import annotations
 from .. import roles as R
 from ..operators import ranking, repeats, reports as rep
 from ..sources.testdata import tickets
-from .registry import STATUS_SQL, pct_sql, register, with_tickets
+from .registry import STATUS_SQL, pct_sql, python_round_sql, register, with_tickets
 
 # Fixed report parameters: values present in every generated scale factor.
 CUSTOMER = "Customer#000000013"
@@ -160,12 +160,14 @@ def _a20(spark, sf):
 
 
 @register("technician_summary", with_tickets(
-    "SELECT technician, done, failed, rejected, done + failed + rejected AS total, "
-    f"{pct_sql('done', 'done + failed + rejected', 1, True)} AS success_pct FROM ("
+    "SELECT technician, done, failed, rejected, total, "
+    f"CASE WHEN total > 0 THEN {python_round_sql('x', 1)} ELSE 0.0::DOUBLE END AS success_pct FROM ("
+    "SELECT *, (done::DOUBLE / total) * 100.0::DOUBLE AS x FROM ("
+    "SELECT technician, done, failed, rejected, done + failed + rejected AS total FROM ("
     "SELECT technician, count(*) FILTER (WHERE is_done = 1) AS done, "
     "count(*) FILTER (WHERE is_failed = 1) AS failed, "
     "count(*) FILTER (WHERE is_rejected = 1) AS rejected "
-    "FROM tickets WHERE technician IS NOT NULL GROUP BY technician)"))
+    "FROM tickets WHERE technician IS NOT NULL GROUP BY technician)))"))
 def _a21(spark, sf):
     return rep.technician_summary(tickets(spark, sf, [R.TECHNICIAN, *R.STATUS_FLAGS]))
 
