@@ -66,3 +66,13 @@ def test_context_text_joins_header_and_lines(spark):
     lines = context_extract(df, ["k"], last_n=3, keep=2)
     assert [tuple(r) for r in lines.orderBy("line_no").collect()] == [(1, "1,a"), (2, "2,b")]
     assert context_text(lines, ["k", "v"]).first()[0] == "k,v\n1,a\n2,b"
+
+
+def test_t18_optional_customer_cleanup(spark):
+    from ticketlens.operators.questions import parse_questions
+    df = spark.createDataFrame([(g[0], g[1]) for g in GOLDEN], "question_id int, question string")
+    raw = {r["question_id"]: r["customer"] for r in parse_questions(df).collect()}
+    cleaned = {r["question_id"]: r["customer"] for r in parse_questions(df, clean_customer=True).collect()}
+    assert raw[9] == "abc đã" and cleaned[9] == "abc"
+    assert raw[12] == "năm 2024" and cleaned[12] is None
+    assert cleaned[6] == raw[6] == "công ty abc"

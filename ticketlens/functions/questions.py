@@ -118,6 +118,21 @@ def question_customer(c, normalised=None) -> Column:
         .otherwise(strip_space(picked))
 
 
+# Fixed values for the optional customer clean-up: a trailing auxiliary verb
+# and the time words that the raw extractor can capture as a "customer".
+TRAILING_AUX = "đã"
+TIME_WORDS = ("năm", "tháng", "quý")
+
+
+def clean_question_customer(c) -> Column:
+    """Optional clean-up of the raw customer extract (off by default, the raw
+    extractor is the reference behaviour): drop a trailing "đã" ("abc đã" →
+    "abc") and reject a bare time phrase ("năm 2024" → NULL)."""
+    x = strip_space(F.regexp_replace(_col(c), java(f"{SPACE}+{TRAILING_AUX}$"), ""))
+    time_phrase = x.rlike(java(f"^({'|'.join(TIME_WORDS)}){SPACE}*{DIGIT}+$"))
+    return F.when(time_phrase | (x == ""), F.lit(None).cast("string")).otherwise(x)
+
+
 def question_product(c) -> Column:
     """Product named after "gửi (sản phẩm)", on the raw question, ignoring case."""
     q = _col(c)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import roles as R
-from ..functions.questions import with_parsed_question
+from ..functions.questions import clean_question_customer, with_parsed_question
 from .matching import match_patterns
 
 TIME = [R.YEAR, R.MONTH, R.QUARTER]
@@ -39,9 +39,14 @@ def _gid() -> Column:
             + F.when(q.isNull(), 1).otherwise(0)).cast("long")
 
 
-def parse_questions(questions: DataFrame, text_col: str = "question") -> DataFrame:
-    """Add intent, customer, product, year, month, quarter and ``gid``."""
-    return with_parsed_question(questions, text_col).withColumn("gid", _gid())
+def parse_questions(questions: DataFrame, text_col: str = "question",
+                    clean_customer: bool = False) -> DataFrame:
+    """Add intent, customer, product, year, month, quarter and ``gid``.
+    ``clean_customer`` applies ``clean_question_customer`` to the extract."""
+    parsed = with_parsed_question(questions, text_col)
+    if clean_customer:
+        parsed = parsed.withColumn(R.CUSTOMER, clean_question_customer(F.col(R.CUSTOMER)))
+    return parsed.withColumn("gid", _gid())
 
 
 def _set_of_gid(gid: int) -> list[str]:
