@@ -43,3 +43,12 @@ def test_query_matches_oracle(spark, con, name):
     assert got[0] == want[0], f"row count {got[0]} != {want[0]}"
     assert got[1] == want[1], f"columns {got[1]} != {want[1]}"
     assert got[2] == want[2], "values differ"
+
+
+def test_recorded_columns_match_queries(spark):
+    import json
+    with open(os.path.join(ROOT, "ticketlens", "plans", "columns.json"), encoding="utf-8") as f:
+        recorded = json.load(f)
+    assert set(recorded) == set(QUERIES)
+    for name in ("unrepaired_list", "classify_intent", "snake_headers", "date_bounds"):
+        assert QUERIES[name](spark, SF_SMALL).columns == recorded[name]

@@ -81,3 +81,30 @@ def python_round_sql(x: str, digits: int) -> str:
     up = (f"CASE WHEN {frac} > 0.5 THEN 1 WHEN {frac} < 0.5 THEN 0 WHEN {err} > 0 THEN 1 "
           f"WHEN {err} < 0 THEN 0 WHEN {k} % 2 = 1 THEN 1 ELSE 0 END")
     return f"(({k} + {up}) / {sc})"
+
+
+# ---------------------------------------------------------------------------
+# Output representation of the oracle.  The comparison runs on pandas frames:
+# Spark's ``toPandas()`` gives datetime64[ns] for timestamps and float64/NaN
+# for an integer column that holds NULLs, while DuckDB's ``.df()`` gives
+# datetime64[us] and a nullable Int32.  The oracle casts those output columns
+# to the same physical types (TIMESTAMP_NS, DOUBLE) so a dtype-sensitive hash
+# compares values, not representations.  No value changes.
+# ---------------------------------------------------------------------------
+_TS_COLUMNS = ("received_at", "returned_at", "min_received", "max_received", "parsed",
+               "ngay_tiep_nhan", "ngay_tra_khach")
+_FLAG_COLUMNS = ("is_done", "is_failed", "is_rejected",
+                 "đa_sua_xong", "khong_sua_đuoc", "tu_choi_bao_hanh")
+# queries whose year / month / quarter columns hold NULLs (question extracts)
+_NULLABLE_PERIODS = ("classify_intent", "classify_conversation_turns", "question_time")
+
+
+def pandas_aligned(name: str, sql: str, columns: list[str]) -> str:
+    ts = [c for c in columns if c in _TS_COLUMNS]
+    dbl = [c for c in columns if c in _FLAG_COLUMNS
+           or (name in _NULLABLE_PERIODS and c in ("year", "month", "quarter"))]
+    if not ts and not dbl:
+        return sql
+    repl = [f'CAST("{c}" AS TIMESTAMP_NS) AS "{c}"' for c in ts] + \
+           [f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in dbl]
+    return f"SELECT * REPLACE ({', '.join(repl)}) FROM ({sql}) AS _oracle"
