@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from ..session import write_table
 
 #: Rows in one Arrow batch.  Texts may be long, so a batch stays a few MB.
 ARROW_ROWS = 512
+_ARCHIVE = "ticketlens-code"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +33,19 @@ def fresh(prefix: str = "tmp") -> str:
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of one Arrow batch, so memory per Python worker does
-    not depend on the defaults of the session."""
+def prepare(spark: SparkSession) -> None:
+    """Session set-up of the operators that run Python on the executors:
+    bounds the rows of one Arrow batch, and ships the package where the
+    launcher did not (as ``--py-files`` would)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    sc = spark.sparkContext
+    if not any(name.startswith(_ARCHIVE) for name in sc._python_includes):
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix=_ARCHIVE)) / f"{_ARCHIVE}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted((root / "ticketlens").rglob("*.py")):
+                out.write(source, source.relative_to(root))
+        sc.addPyFile(str(archive))
 
 
 def is_training_row(doc_id: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import prepare, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -15,7 +15,7 @@ ORACLE: dict[str, str] = {}
 def register(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            small_batches(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
@@ -111,3 +111,34 @@ def op9(spark, sf_dir):
         F.array_max(F.transform("exact", lambda s: s["first_word"])).alias("last_word"),
         label(F.col("exact")).alias("base_labels"), label(F.col("m.spans")).alias("labels"),
         F.coalesce(F.array_max(likeness), F.lit(0.0)).alias("score"))
+
+
+# --- 2 ------------------------------------------------------------------------
+
+@register("op2_language_id")
+def op2(spark, sf_dir):
+    """Language of every whole text; learned from the rows not held out."""
+    from .common import is_training_row
+    from .language_id import fit, predict
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(is_training_row(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    shared = spark.sparkContext.broadcast(model)
+    found = docs.select("doc_id", predict(F.col("text"), shared).alias("p"))
+    return found.select("doc_id", (~is_training_row(F.col("doc_id"))).alias("held_out"),
+                        F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+# --- 4 ------------------------------------------------------------------------
+
+@register("op4_toxicity")
+def op4(spark, sf_dir):
+    """Toxicity score of every whole text; learned from the rows not held out."""
+    from .common import is_training_row
+    from .toxicity import fit, score
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    weights = fit(docs, labels.where(is_training_row(F.col("doc_id"))))
+    shared = spark.sparkContext.broadcast(weights)
+    found = docs.select("doc_id", score(F.col("text"), shared).alias("score"))
+    return found.select("doc_id", (~is_training_row(F.col("doc_id"))).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
