@@ -38,11 +38,11 @@ _A, _B = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 @dataclass(frozen=True)
 class Ftrl:
     """Learning rates and penalties, per coordinate."""
-    alpha: float = 0.3
+    alpha: float = 2.0
     beta: float = 1.0
     l1: float = 3.0
-    l2: float = 1.0
-    epochs: int = 2
+    l2: float = 0.0
+    epochs: int = 4
 
 
 def normalised(text: str | None) -> bytes:
