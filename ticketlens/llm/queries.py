@@ -142,3 +142,30 @@ def op4(spark, sf_dir):
     found = docs.select("doc_id", score(F.col("text"), shared).alias("score"))
     return found.select("doc_id", (~is_training_row(F.col("doc_id"))).alias("held_out"), "score",
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# --- 6 ------------------------------------------------------------------------
+
+@register("op6_html_extraction")
+def op6(spark, sf_dir):
+    """Visible text of every page, laid out."""
+    from .html_render import rendered
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return pages.select("page_id", rendered("html").alias("text")).select(
+        "page_id", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+# --- 5 ------------------------------------------------------------------------
+
+#: The key of the registered query and of the pipeline; a user passes their own.
+PSEUDONYM_KEY = "example-key"
+
+
+@register("op5_pii")
+def op5(spark, sf_dir):
+    """Every document with its private values replaced by pseudonyms."""
+    from .pii import pseudonymise
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pseudonymise(docs, PSEUDONYM_KEY, found="kinds")
+    return out.select("doc_id", "text", F.size("kinds").cast("long").alias("n_found"),
+                      F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
