@@ -169,3 +169,19 @@ def op5(spark, sf_dir):
     out = pseudonymise(docs, PSEUDONYM_KEY, found="kinds")
     return out.select("doc_id", "text", F.size("kinds").cast("long").alias("n_found"),
                       F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
+
+
+# --- 3 ------------------------------------------------------------------------
+
+@register("op3_source_mixing")
+def op3(spark, sf_dir):
+    """Words that the mix takes from every document."""
+    from .common import stored
+    from .mixing import blocks_and_slots, size_documents, source_targets, with_source_number, words_taken
+    sized = size_documents(table(spark, sf_dir, "documents"))
+    sources = stored(source_targets(sized), "mix-sources")
+    taken = words_taken(*blocks_and_slots(sized, sources)).select("src", "doc_id", "size", "taken")
+    wordless = with_source_number(sized.where(F.col("size") == 0), sources).select(
+        "src", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
+    return taken.unionByName(wordless).join(sources, "src").select(
+        "doc_id", "size", "source_size", "target", "taken")
