@@ -185,3 +185,12 @@ def op3(spark, sf_dir):
         "src", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(wordless).join(sources, "src").select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+# --- 10 -----------------------------------------------------------------------
+
+@register("op10_embedding_near_dedup")
+def op10(spark, sf_dir):
+    """Links and components of all vectors at cosine 0.95."""
+    from .embedding_dups import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
