@@ -194,3 +194,13 @@ def op10(spark, sf_dir):
     """Links and components of all vectors at cosine 0.95."""
     from .embedding_dups import near_duplicates
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# --- 8 ------------------------------------------------------------------------
+
+@register("op8_ngram_jaccard_join")
+def op8(spark, sf_dir):
+    """Components of all documents at a 4-word Jaccard similarity of 0.85."""
+    from .ngram_join import Jaccard, near_duplicates
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, Jaccard(words=4, share=85)).select("doc_id", "n_shingles", "component_id")
