@@ -7,9 +7,9 @@ coordinate, and the L1 term sets the weight of every coordinate with little
 evidence to exactly zero, so only a few weights are collected and broadcast.
 
 Bound (parameter): the model is fitted on at most about ``sample_rows``
-labelled documents, chosen by a hash of the id (fewer are all used), as a
-stream ordered by epoch and hash through one task that holds the two
-coordinate arrays and one document at a time.
+labelled documents, chosen by a hash of the id (fewer are all used), in one
+task that holds the two coordinate arrays and the feature numbers of the
+sample, and goes through it in the order of another hash.
 
 Defined results: null and empty texts score the bias alone; without any
 labelled row every score is 0.  A document labelled both ways counts as toxic;
@@ -75,13 +75,11 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return index, np.concatenate(at)
 
 
-def _train(rows, ftrl: Ftrl) -> pd.DataFrame:
-    """One pass over (text, label) pairs; returns the non-zero weights, the
-    bias under index -1."""
+def _train(texts, labels, ftrl: Ftrl) -> pd.DataFrame:
+    """The non-zero weights, the bias under index -1."""
     z = np.zeros(1 << BITS, np.float32)
     n = np.zeros(1 << BITS, np.float32)
     bias_z = bias_n = 0.0
-    seen = 0
 
     def weight(z, n):
         return np.where(np.abs(z) <= ftrl.l1, 0.0, -(z - np.sign(z) * ftrl.l1)
@@ -90,9 +88,8 @@ def _train(rows, ftrl: Ftrl) -> pd.DataFrame:
     def bias() -> float:
         return -bias_z / ((ftrl.beta + bias_n ** 0.5) / ftrl.alpha)
 
-    for text, label in rows:
-        seen += 1
-        index = np.unique(features([normalised(text)])[0])
+    rows = [(np.unique(features([normalised(t)])[0]).astype(np.int32), y) for t, y in zip(texts, labels)]
+    for index, label in (row for _ in range(ftrl.epochs) for row in rows):
         zi, ni = z[index], n[index]
         w, b = weight(zi, ni), bias()
         g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + b, -35, 35))) - label
@@ -100,14 +97,14 @@ def _train(rows, ftrl: Ftrl) -> pd.DataFrame:
         n[index] = ni + g * g
         bias_z += g - ((bias_n + g * g) ** 0.5 - bias_n ** 0.5) / ftrl.alpha * b
         bias_n += g * g
-    if not seen:
-        return pd.DataFrame({"index": [], "weight": []}).astype({"index": "int64", "weight": "float64"})
+    if not rows:
+        return pd.DataFrame({"index": np.zeros(0, np.int64), "weight": np.zeros(0)})
     kept = np.flatnonzero(np.abs(z) > ftrl.l1)
     return pd.DataFrame({"index": np.append(kept, -1), "weight": np.append(weight(z[kept], n[kept]), bias())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic",
-        sample_rows: int = 20_000, ftrl: Ftrl = Ftrl()) -> dict[int, float]:
+        sample_rows: int = 10_000, ftrl: Ftrl = Ftrl()) -> dict[int, float]:
     """Non-zero weights by feature index (bias: -1), learned from the
     labelled documents given (the caller leaves held-out rows away)."""
     known = (labels.select(F.col(doc).alias("doc"), F.col(label).alias("label"))
@@ -118,12 +115,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     rows = (texts.join(F.broadcast(chosen), "doc")   # about sample_rows ids and flags
             .groupBy("doc", "label").agg(F.min("text").alias("text")))
-    order = F.explode(F.sequence(F.lit(1), F.lit(ftrl.epochs))).alias("epoch")
-    stream = (rows.select("label", "text", order, F.xxhash64("doc", F.lit("order")).alias("at"))
-              .repartition(1).sortWithinPartitions("epoch", "at"))
+    stream = (rows.select("label", "text", F.xxhash64("doc", F.lit("order")).alias("at"))
+              .repartition(1).sortWithinPartitions("at"))
 
     def train(batches):
-        yield _train(((t, y) for b in batches for t, y in zip(b["text"], b["label"])), ftrl)
+        texts, labels = [], []
+        for b in batches:
+            texts += b["text"].tolist()
+            labels += b["label"].tolist()
+        yield _train(texts, labels, ftrl)
 
     weights = stream.select("text", "label").mapInPandas(train, "index bigint, weight double").collect()
     return {r["index"]: r["weight"] for r in weights}
