@@ -28,6 +28,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(write_table(df, name))
 
 
+class Scratch:
+    """Tables written on the way to a result, deleted once they are used up."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(write_table(df, name))
+        return self.spark.read.parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        """Delete the tables; nothing that is still to run may read them."""
+        for path in self.paths:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.paths = []
+
+
 def fresh(prefix: str = "tmp") -> str:
     """A column name that no input column has."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"

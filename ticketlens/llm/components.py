@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, stored
 
 
 def _fingerprint(links: DataFrame) -> tuple:
@@ -27,26 +27,30 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     links give an empty table."""
     down = links.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = stored(down, name)
-    last = None
+    scratch = Scratch(links.sparkSession)
+    now, last = scratch.stored(down, name), None
     while (mark := _fingerprint(now)) != last and mark[0]:
-        last = mark
-        now = stored(_small_star(_large_star(now, name), name), name)
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        last, before = mark, scratch
+        scratch = Scratch(links.sparkSession)
+        now = scratch.stored(_small_star(_large_star(now, scratch, name), scratch, name), name)
+        before.clear()
+    found = stored(now.select(F.col("a").alias("id"), F.col("b").alias("component")), name)
+    scratch.clear()
+    return found
 
 
-def _large_star(links: DataFrame, name: str) -> DataFrame:
+def _large_star(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Link the larger neighbours of each node to its smallest neighbour."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = stored(both.groupBy("a").agg(F.min("b").alias("m"))
+    least = scratch.stored(both.groupBy("a").agg(F.min("b").alias("m"))
                    .select("a", F.least("a", "m").alias("m")), name)
     out = both.join(least, "a").where(F.col("b") > F.col("a"))
-    return stored(out.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+    return scratch.stored(out.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
 
 
-def _small_star(links: DataFrame, name: str) -> DataFrame:
+def _small_star(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them
     (``a > b`` holds in every link)."""
-    least = stored(links.groupBy("a").agg(F.min("b").alias("m")), name)
+    least = scratch.stored(links.groupBy("a").agg(F.min("b").alias("m")), name)
     moved = links.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).unionByName(moved).distinct()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import Scratch, stored
 from .components import connected_components
 
 WINDOW = 32
@@ -190,19 +190,22 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     keyed = nodes.select("node", "dim", "vec").mapInPandas(
         _keyed(passes, seed), "pass int, dim int, key bigint, node bigint, vec binary")
     order = ["pass", "dim", "key", "node"]
-    compared = stored(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    scratch = Scratch(spark)
+    compared = scratch.stored(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
                       .select("pass", "dim", "node", "vec").mapInPandas(_windows(window, threshold), _EDGE), "windows")
     inner = compared.where(F.col("kind") == LINK).select("a", "b")
     border = (compared.where((F.col("kind") == BORDER) & (F.col("border") >= 0)).groupBy("border")
               .applyInPandas(_border(threshold), "a bigint, b bigint"))
     found = connected_components(inner.unionByName(border), "vector-components")
 
+    scratch.clear()
+
     # exact link counts inside each component
     member = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    sizes = stored(member.groupBy("component").agg(
+    sizes = scratch.stored(member.groupBy("component").agg(
         F.count("*").alias("members"), F.min("first_id").alias("component_id")), "vector-sizes")
-    member = stored(member.join(sizes, "component"), "vector-members")
+    member = scratch.stored(member.join(sizes, "component"), "vector-members")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     small = F.pmod(F.xxhash64("component"), F.lit(max(1, n // BLOCK)))
@@ -218,6 +221,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
              .groupBy("node").agg(F.sum("links").alias("links")))
     done = stored(member.select("k1", "k2", "node", "copies", "component_id").join(links, "node", "left").select(
         "k1", "k2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-links")
+    scratch.clear()
     out = rows.select("vec_id", "k1", "k2").join(done, ["k1", "k2"], "left")
     component = F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"),

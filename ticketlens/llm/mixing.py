@@ -108,17 +108,22 @@ def _blocks(placed: DataFrame, block_words: int, text: str | None) -> DataFrame:
     """``src, block, pieces``: the parts of documents in each block, in order."""
     first = F.floor(F.col("start") / block_words)
     last = F.floor((F.col("start") + F.col("size") - 1) / block_words)
-    cut = placed.withColumn("block", F.explode(F.sequence(first, last)))
-    begin = F.greatest(F.col("block") * block_words, F.col("start"))
-    end = F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size"))
-    fields = [F.col("start"), F.col("doc_id"), F.col("size"),
-              (begin - F.col("start")).alias("from_word"), (end - begin).alias("n_words")]
-    if text:
-        words = F.filter(F.split(F.col(text), _SPACE), lambda w: w != "")
-        fields.append(F.array_join(F.slice(words, (begin - F.col("start") + 1).cast("int"),
-                                           (end - begin).cast("int")), " ").alias("text"))
+
+    def cut(words):
+        """The parts of one document by block; ``words`` are split once."""
+        def part(block):
+            begin = F.greatest(block * block_words, F.col("start")) - F.col("start")
+            end = F.least((block + 1) * block_words - F.col("start"), F.col("size"))
+            fields = [F.col("start"), F.col("doc_id"), F.col("size"), begin.alias("from_word"), (end - begin).alias("n_words")]
+            if text:
+                fields.append(F.array_join(F.slice(words, (begin + 1).cast("int"), (end - begin).cast("int")), " ").alias("text"))
+            return F.struct(block.alias("block"), F.struct(*fields).alias("piece"))
+        return F.transform(F.sequence(first, last), part)
+
+    words = F.filter(F.split(F.col(text), _SPACE), lambda w: w != "") if text else F.lit(0)
+    parts = placed.select("src", F.explode(F.flatten(F.transform(F.array(words), cut))).alias("p"))
     # a block holds at most block_words pieces
-    return cut.groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("pieces"))
+    return parts.groupBy("src", "p.block").agg(F.sort_array(F.collect_list("p.piece")).alias("pieces"))
 
 
 def _permuted(x: Column, n: Column, key: Column) -> Column:
@@ -200,10 +205,11 @@ def _slots(sources: DataFrame, block_words: int, shard_slots: int, seed: int) ->
 
 def size_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source",
                    keep_text: bool = False) -> DataFrame:
-    """``doc_id, source, size`` (and ``text``), written once."""
+    """``doc_id, source, size``, written once, so that the texts are counted
+    once; with ``text`` they stay where they are."""
     columns = [F.col(doc).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")]
     if keep_text:
-        columns.append(F.col(text).alias("text"))
+        return docs.select(*columns, F.col(text).alias("text"))
     return stored(docs.select(*columns), "mix-sizes")
 
 

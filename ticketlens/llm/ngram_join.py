@@ -13,10 +13,12 @@ orders tokens and weighs costs; the result does not depend on its errors.
 Groups of copies.  Equal sets are one node, so exact copies cost one row per
 task.  Candidates are made in two rounds.  In the first every document meets
 only the *leader* (smallest node) of each of its prefix tokens, which is
-linear in the postings and joins most of any large group.  In the second all
-pairs of a token meet, but only across the components found so far: a pair
-inside one component can change nothing.  So no round pairs up a group, no
-link between components is lost, and no cap exists.
+linear in the postings and joins the members of a large group that is dense.
+In the second the documents of a token meet, but only across the components
+found so far (a pair inside one component can change nothing), only at the
+first token they share, and only if enough tokens follow it in both to reach
+the overlap that their sizes ask for.  No link between components is lost, and
+no cap exists.
 
 Defined results: a text with fewer words than an n-gram has is one token of
 all its words; without words or with null text the set is empty and links with
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, stored
 from .components import connected_components
 from .hashing import mix, words_of
 
@@ -48,6 +50,8 @@ BLOOM_BITS = 23
 #: Bytes of text turned into tokens at once; nodes a task remembers.
 SLICE = 1 << 20
 SEEN = 1 << 18
+#: Shared prefix tokens that a posting carries; longer lists are marked open.
+CARRIED = 32
 
 #: A-Z fold to a-z; the characters 9-13 and 32 separate words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -64,6 +68,10 @@ class Jaccard:
     def least_overlap(self, size: int) -> int:
         return -(-self.share * size // self.per)
 
+    def overlap(self, a: Column, b: Column) -> Column:
+        """The common tokens that two sets of these sizes need."""
+        return F.ceil(((a + b) * self.share) / (self.share + self.per))
+
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.per >= F.greatest(a, b) * self.share
 
@@ -221,12 +229,12 @@ def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(docs.select("key", "text").where(maybe("key")), "key").select("node", "text")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, jaccard: Jaccard, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, jaccard: Jaccard, scratch: Scratch, name: str) -> DataFrame:
     """The pairs ``(a, b)`` of nodes that reach the threshold."""
-    pairs = stored(pairs.select("a", "b"), f"{name}-pairs")
+    pairs = scratch.stored(pairs.select("a", "b"), f"{name}-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(nodes.join(ends, "node").select("node", "key"), f"{name}-wanted")
-    texts = stored(_wanted_texts(docs, wanted), f"{name}-texts")
+    wanted = scratch.stored(nodes.join(ends, "node").select("node", "key"), f"{name}-wanted")
+    texts = scratch.stored(_wanted_texts(docs, wanted), f"{name}-texts")
 
     @F.pandas_udf("boolean")
     def links(a: pd.Series, ta: pd.Series, b: pd.Series, tb: pd.Series) -> pd.Series:
@@ -239,14 +247,44 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, jaccard: Jacc
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(two, "b").join(one, "a")
-    return stored(both.where(links("a", "ta", "b", "tb")).select("a", "b"), f"{name}-links")
-
-
-def _enough(shared_tokens: DataFrame, jaccard: Jaccard) -> DataFrame:
-    """Pairs with as many common prefix tokens as the smaller ``need`` asks."""
-    return (shared_tokens.groupBy("a", "b", "size_a", "size_b", "need_a", "need_b").agg(F.count("*").alias("common"))
-            .where((F.col("common") >= F.least("need_a", "need_b"))
-                   & jaccard.sizes_fit(F.col("size_a"), F.col("size_b"))))
+    return scratch.stored(both.where(links("a", "ta", "b", "tb")).select("a", "b"), f"{name}-links")
+
+
+def _placed(common: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
+    """The shared postings, once per node, with the node's component and the
+    first tokens that its prefix shares with any other, in prefix order."""
+    carried = F.slice(F.sort_array(F.collect_set(F.struct("pos", "token"))), 1, CARRIED + 1)
+    lists = (common.groupBy("node", "size", "need").agg(carried.alias("tokens"))
+             .join(joined.select(F.col("id").alias("node"), "component"), "node", "left"))
+    lists = lists.select("node", "size", "need", F.coalesce("component", "node").alias("component"),
+                         F.slice("tokens.token", 1, CARRIED).alias("carried"),
+                         (F.size("tokens") <= CARRIED).alias("complete"))
+    rows = common.select("node", "pos", "token").distinct().join(lists, "node")
+    return scratch.stored(rows, "jaccard-placed")
+
+
+def _across(placed: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
+    """Candidate pairs of different components, each once."""
+    spans = (placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi").select("token"))
+    live = scratch.stored(placed.join(scratch.stored(spans, "jaccard-open"), "token"), "jaccard-live")
+    side = lambda s: live.select("token", *[F.col(c).alias(f"{c}_{s}") for c in live.columns if c != "token"])
+    a, b = side("a"), side("b")
+    # the smaller set comes first; a common first token stands early in it
+    a = a.where(F.col("pos_a") <= F.col("size_a") - jaccard.overlap(F.col("size_a"), F.col("size_a")))
+    b = b.where(F.col("pos_b") * jaccard.per <= F.col("size_b") * (jaccard.per - jaccard.share))
+    need = jaccard.overlap(F.col("size_a"), F.col("size_b"))
+    both = F.array_intersect("carried_a", "carried_b")
+    met = ((F.col("component_a") != F.col("component_b"))
+           & ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("node_a") < F.col("node_b"))))
+           & jaccard.sizes_fit(F.col("size_a"), F.col("size_b"))
+           & (F.col("pos_a") + need <= F.col("size_a")) & (F.col("pos_b") + need <= F.col("size_b"))
+           & F.coalesce(F.get(both, F.lit(0)) == F.col("token_a"), F.lit(True))
+           & ((F.size(both) >= F.least("need_a", "need_b")) | ~F.col("complete_a") | ~F.col("complete_b")))
+    pairs = a.withColumnRenamed("token", "token_a").join(
+        b.withColumnRenamed("token", "token_b"), (F.col("token_a") == F.col("token_b")) & met)
+    # only sets with longer lists than are carried can meet at two tokens
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, jaccard: Jaccard = Jaccard(), doc_id: str = "doc_id",
@@ -257,6 +295,7 @@ def near_duplicates(documents: DataFrame, jaccard: Jaccard = Jaccard(), doc_id:
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    scratch = Scratch(spark)
     scan = stored(docs.mapInPandas(_scan(jaccard.words), "doc_id bigint, key bigint, node bigint, size bigint, "
                                    "chunk int, counts binary"), "jaccard-scan")
     shared = spark.sparkContext.broadcast(_sketch(scan))
@@ -264,39 +303,30 @@ def near_duplicates(documents: DataFrame, jaccard: Jaccard = Jaccard(), doc_id:
     nodes = stored(sets.where("node is not null").groupBy("node").agg(
         F.min("key").alias("key"), F.min("doc_id").alias("first_id")), "jaccard-nodes")
 
-    prefixes = stored(docs.select("text").mapInPandas(
+    prefixes = scratch.stored(docs.select("text").mapInPandas(
         _prefixes(jaccard, shared), "node bigint, size int, need int, tokens array<bigint>"), "jaccard-prefixes")
-    postings = prefixes.select("node", "size", "need", F.explode("tokens").alias("token"))
-    heads = stored(postings.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
+    postings = prefixes.select("node", "size", "need", F.posexplode("tokens").alias("pos", "token"))
+    heads = scratch.stored(postings.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
                    .where("lead < last").select("token", "lead"), "jaccard-heads")
-    common = stored(postings.join(heads, "token"), "jaccard-postings")
+    # tokens that stand in the prefixes of two nodes at least
+    common = scratch.stored(postings.join(heads, "token"), "jaccard-postings")
 
     # first round: every node with the leaders of its tokens
-    info = prefixes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("need").alias("need_b")).distinct()
+    info = common.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("need").alias("need_b")).distinct()
     led = (common.where("node != lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b"),
                                                 F.col("size").alias("size_a"), F.col("need").alias("need_a"))
-           .agg(F.countDistinct("token").alias("common")))
+           .agg(F.count("*").alias("common")))
     first = led.join(info, "b").where((F.col("common") >= F.least("need_a", "need_b"))
                                       & jaccard.sizes_fit(F.col("size_a"), F.col("size_b")))
-    links = _verified(first, docs, nodes, jaccard, "jaccard-first")
+    links = _verified(first, docs, nodes, jaccard, scratch, "jaccard-first")
     joined = connected_components(links, "jaccard-components")
 
-    # second round: all pairs of a token across those components
-    placed = common.select("token", "node", "size", "need").distinct().join(
-        joined.select(F.col("id").alias("node"), "component"), "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    placed = stored(placed, "jaccard-placed")
-    open_tokens = stored(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                         .where("lo < hi").select("token"), "jaccard-open")
-    left = placed.join(open_tokens, "token")
-    side = lambda s: left.select("token", *[F.col(c).alias(f"{n}_{s}" if n else s) for c, n in (
-        ("node", ""), ("size", "size"), ("need", "need"), ("component", "component"))])
-    across = side("a").join(side("b"), "token").where(
-        (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
-        & jaccard.sizes_fit(F.col("size_a"), F.col("size_b")))
-    more = _verified(_enough(across, jaccard), docs, nodes, jaccard, "jaccard-second")
+    # second round: across those components
+    across = _across(_placed(common, joined, scratch), jaccard, scratch)
+    more = _verified(across, docs, nodes, jaccard, scratch, "jaccard-second")
     done = connected_components(links.unionByName(more), "jaccard-components")
 
+    scratch.clear()
     named = nodes.join(done.withColumnRenamed("id", "node"), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
