@@ -53,13 +53,13 @@ def running_start(rows: DataFrame, keys: list[str], order: str, value: str, top:
     if top <= FAN_IN:
         below = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return rows.select(*keys, order, F.coalesce(F.sum(value).over(below), F.lit(0)).cast("long").alias("start"))
-    grouped = rows.withColumn("_group", F.floor(F.col(order) / FAN_IN))
-    sums = grouped.groupBy(*keys, "_group").agg(F.sum(value).alias("_sum"))
-    starts = running_start(sums, keys, "_group", "_sum", top // FAN_IN).withColumnRenamed("start", "_before")
-    below = (Window.partitionBy(*keys, "_group").orderBy(order)
-             .rowsBetween(Window.unboundedPreceding, -1))
+    group = f"_{order}_group"
+    grouped = rows.withColumn(group, F.floor(F.col(order) / FAN_IN))
+    sums = grouped.groupBy(*keys, group).agg(F.sum(value).alias("_sum"))
+    starts = running_start(sums, keys, group, "_sum", top // FAN_IN).withColumnRenamed("start", "_before")
+    below = Window.partitionBy(*keys, group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inside = grouped.withColumn("_inside", F.coalesce(F.sum(value).over(below), F.lit(0)).cast("long"))
-    return inside.join(starts, [*keys, "_group"]).select(
+    return inside.join(starts, [*keys, group]).select(
         *keys, order, (F.col("_before") + F.col("_inside")).alias("start"))
 
 
