@@ -4,6 +4,8 @@ order, outer spaces, a missing column, day-first dates."""
 import datetime as dt
 import uuid
 
+from pyspark.sql import functions as F
+
 from ticketlens import roles as R
 from ticketlens.session import scratch_path
 from ticketlens.sources.exports import resolve_headers, scan_tickets, snake_headers
@@ -38,8 +40,8 @@ def test_ragged_layouts_union_by_role(spark):
     rows_b = [("05/03/2024", "Cty C", "May in Z", "1", "0", "0")]
     b = _write(spark, [" Tu choi bh ", "Ngay nhan", " Cty", "Ma hang", "Hoan tat", "That bai"],
                [(r[5], r[0], r[1], r[2], r[3], r[4]) for r in rows_b], "b")
-    t = scan_tickets(spark, [a, b], sources=["a", "b"])
-    all_rows = t.collect()
+    name = F.regexp_extract(R.SOURCE_FILE, r"/([ab])[0-9a-f]{4}-[0-9a-f]+/", 1)
+    all_rows = scan_tickets(spark, [a, b]).withColumn(R.SOURCE_FILE, name).collect()
     assert len(all_rows) == 4
     rows = {(r[R.SOURCE_FILE], r[R.PRODUCT]): r for r in all_rows if r[R.RECEIVED_AT] is not None}
     first = rows[("a", "May in X")]
@@ -55,6 +57,57 @@ def test_ragged_layouts_union_by_role(spark):
     assert len(bad) == 1 and bad[0][R.IS_DONE] is None and bad[0][R.YEAR] is None
 
 
+def test_aliases_count_in_alias_order():
+    # "khach hang" comes before "ten kh" among the aliases, whatever the file order
+    assert resolve_headers(["ten kh", "khach hang"])[R.CUSTOMER] == "khach hang"
+    assert resolve_headers(["ngay gui", "Ngay nhan"])[R.RECEIVED_AT] == "Ngay nhan"
+
+
+def test_one_folder_with_swapped_layouts_and_awkward_cells(spark, tmp_path):
+    (tmp_path / "one.csv").write_text(
+        'Tên khách hàng,Sản phẩm,Đã sửa xong\n"ACME ""North"", Ltd","line one\nline two",1\nZeta,P,1.9\n', "utf-8")
+    (tmp_path / "two.csv").write_text("\ufeffSan pham, Cty ,Da sua xong\nQ,Zeta,1.0\nR,,\n", "utf-8")
+    (tmp_path / "empty.csv").write_text("", "utf-8")
+    rows = scan_tickets(spark, str(tmp_path)).collect()
+    got = sorted(((r[R.CUSTOMER], r[R.PRODUCT], r[R.IS_DONE]) for r in rows), key=str)
+    assert got == sorted([('ACME "North", Ltd', "line one\nline two", 1), ("Zeta", "P", None),
+                          ("Zeta", "Q", 1), (None, "R", None)], key=str)
+
+
+def test_empty_report_leaves_nothing_and_context_is_csv(spark, tmp_path):
+    from ticketlens.sources.sinks import context_extract, context_text, write_report
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 2), 'a "b", c', None)],
+                               "received_at timestamp_ntz, customer string, serial string")
+    assert write_report(df, str(tmp_path / "full"), "csv") and (tmp_path / "full").exists()
+    assert not write_report(df.where("false"), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+    lines = context_extract(df, ["received_at"])
+    assert lines.first()["line"] == '2024-01-02 00:00:00,"a ""b"", c",'
+    assert context_text(lines, df.columns).first()["csv"].split("\n")[0] == "ngay_tiep_nhan,ten_khach_hang,serial"
+
+
+def test_ticket_store_follows_its_inputs(spark, tmp_path):
+    import shutil
+
+    from conftest import SF_SMALL
+    from ticketlens.sources.testdata import ingest_tickets, store_path, tickets
+    sf = tmp_path / "sf"
+    sf.mkdir()
+    for name in ("lineitem", "orders", "customer", "part", "supplier"):
+        shutil.copy(f"{SF_SMALL}/{name}.parquet", sf)
+    planned = tickets(spark, str(sf), [R.PRODUCT])
+    assert "tickets-" not in planned._jdf.queryExecution().toString()
+    path = ingest_tickets(spark, str(sf))
+    assert path == store_path(spark, str(sf)) == ingest_tickets(spark, str(sf))
+    stored = tickets(spark, str(sf))
+    assert "tickets-" in stored._jdf.queryExecution().toString()
+    assert stored.count() == planned.count()
+    spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").limit(7).coalesce(1).write.mode("append").parquet(str(tmp_path / "x"))
+    (sf / "lineitem.parquet").unlink()
+    shutil.copytree(tmp_path / "x", sf / "lineitem.parquet")
+    assert store_path(spark, str(sf)) != path
+    assert tickets(spark, str(sf)).count() == 7
+
+
 def test_snake_headers(spark):
     df = spark.createDataFrame([(1, 2)], "`Đã sửa xong` int, `Tên lỗi (Báo lỗi)` int")
     assert snake_headers(df).columns == ["đa_sua_xong", "ten_loi_bao_loi"]

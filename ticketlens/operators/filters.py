@@ -51,16 +51,25 @@ def date_range(start, end, end_of_day: bool = False, role: str = R.RECEIVED_AT)
     return (c >= _as_ts(start)) & (c <= _as_ts(end))
 
 
+def _years_of(df: DataFrame, start, end) -> Column:
+    """The bound on the year that a range of received dates implies; it
+    prunes the year folders of the ticket store."""
+    if R.YEAR not in df.columns:
+        return F.lit(True)
+    year = F.col(R.YEAR)
+    return year.isNull() | year.between(F.year(_as_ts(start)), F.year(_as_ts(end)))
+
+
 def filter_date_range(df: DataFrame, start, end, end_of_day: bool = False) -> DataFrame:  # F4
     R.require(df, R.RECEIVED_AT)
-    return df.where(date_range(start, end, end_of_day))
+    return df.where(date_range(start, end, end_of_day) & _years_of(df, start, end))
 
 
 def filter_sidebar(df: DataFrame, years=None, months=None, quarters=None,               # F3
                    start=None, end=None, end_of_day: bool = False) -> DataFrame:
     cond = time_in(years, months, quarters, df)
     if start is not None and end is not None and R.RECEIVED_AT in df.columns:
-        cond = cond & date_range(start, end, end_of_day)
+        cond = cond & date_range(start, end, end_of_day) & _years_of(df, start, end)
     return df.where(cond)
 
 

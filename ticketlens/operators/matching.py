@@ -1,20 +1,18 @@
 """Match a table of text patterns against a table of names, exactly.
 
-A question batch names customers by *pattern* (case-insensitive regex
-containment), so "which customers does each pattern match" is a join with a
-non-equality condition.  Evaluating every (pattern, name) pair is quadratic,
-so patterns are split:
+A question batch names customers by *pattern* (case-insensitive search), so
+"which customers does each pattern match" is a join on containment.  It runs
+as an equality join: a literal of length L lies in a name exactly when it
+equals one of the name's substrings of length L.  Every distinct name is cut
+into its distinct substrings of the lengths that occur among the patterns, and
+these meet the patterns by equality, so what the join returns are the matches
+themselves, however similar the names are.
 
-* literal patterns of ≥ 3 characters (no "." — the only regex metacharacter
-  the customer extractor can emit — and no other metacharacter) go through
-  a trigram index: a literal contained in a name shares *every* one of its
-  trigrams with the name, so joining on the pattern's rarest trigram yields
-  a superset of the true matches, which the regex then verifies.  Exact,
-  and the candidate set is as small as the rarest trigram allows.
-* the remaining patterns (short or with wildcards) are few; they are
-  broadcast and checked against every name, but only after their number was
-  counted to be under a bound.  A larger set is processed in hash chunks of
-  that bound, each broadcast, and the chunk results are unioned.
+"." is the only wildcard a question can carry.  Such a pattern meets the
+names through its longest literal run and is then verified; a pattern of
+nothing but wildcards has a run of length 0, which every name holds.
+
+Case is ignored by one rule on every path (``fold_case``).
 """
 
 from __future__ import annotations
@@ -22,63 +20,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 3
-MAX_BROADCAST_PATTERNS = 20_000
-_META = r"[.\\^$|?*+()\[\]{}]"
+from ..functions.text import fold_case
 
 
-def _grams(text: Column) -> Column:
-    """Distinct trigrams of a (lower-cased) text; empty when shorter."""
-    n = F.length(text)
-    return F.when(n >= GRAM, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.substring(text, i, GRAM)))
-    ).otherwise(F.array().cast("array<string>"))
+def _longest_run(folded: Column) -> Column:
+    """The longest part of a pattern without a wildcard (the first of them)."""
+    runs = F.split(folded, r"\.")
+    return F.aggregate(runs, F.lit(""), lambda best, r: F.when(F.length(r) > F.length(best), r).otherwise(best))
 
 
-def _verify(name: Column, pattern: Column, regex: bool) -> Column:
-    if regex:
-        return F.regexp_like(name, F.concat(F.lit("(?diuU)"), pattern))
-    return F.lower(name).contains(F.lower(pattern))
+def _wildcard_search(folded: Column, pattern: Column) -> Column:
+    """Search with "." as any character but a line end; all else is literal."""
+    literal = F.regexp_replace(pattern, r"([^.])", r"\\Q$1\\E")
+    return F.regexp_like(folded, F.concat(F.lit("(?d)"), literal))
 
 
 def match_patterns(patterns: DataFrame, names: DataFrame, pattern_col: str = "pattern",
                    name_col: str = "name", regex: bool = True) -> DataFrame:
-    """Distinct (pattern, name) pairs where the pattern occurs in the name.
+    """Distinct (pattern, name) pairs where the pattern occurs in the name,
+    ignoring case.
 
-    ``regex=True``: case-insensitive regular-expression search (the
-    pattern language of the questions); ``False``: literal containment
-    ignoring case.  NULL patterns and names never match.
+    ``regex=True``: "." in a pattern is a wildcard (the pattern language of
+    the questions); ``False``: every character is literal.  NULL patterns and
+    names never match.
     """
     pats = patterns.select(F.col(pattern_col).alias("pattern")).where("pattern IS NOT NULL").distinct()
-    nms = names.select(F.col(name_col).alias("name")).where("name IS NOT NULL").distinct()
-
-    is_literal = ~F.col("pattern").rlike(_META) if regex else F.lit(True)
-    indexed = pats.where(is_literal & (F.length("pattern") >= GRAM))
-    rest = pats.where(~(is_literal & (F.length("pattern") >= GRAM)))
+    pats = pats.withColumn("_folded", fold_case("pattern"))
+    probe = _longest_run(F.col("_folded")) if regex else F.col("_folded")
+    pats = pats.withColumn("_probe", probe)
+    # one row: the distinct probe lengths, at most the length of the longest pattern
+    lengths = pats.agg(F.collect_set(F.length("_probe")).alias("_lengths"))
 
-    # --- trigram index (exact for literals) ---------------------------------
-    name_grams = nms.select("name", F.explode(_grams(F.lower("name"))).alias("gram"))
-    gram_freq = name_grams.groupBy("gram").agg(F.count("*").alias("freq"))
-    pat_grams = indexed.select("pattern", F.explode(_grams(F.lower("pattern"))).alias("gram"))
-    rarest = (pat_grams.join(gram_freq, "gram", "left")
-              .groupBy("pattern")
-              .agg(F.min_by("gram", F.coalesce(F.col("freq"), F.lit(0))).alias("gram")))
-    via_index = (rarest.join(name_grams, "gram")
-                 .where(_verify(F.col("name"), F.col("pattern"), regex))
-                 .select("pattern", "name"))
-
-    # --- the rest: size-checked broadcast, chunked beyond the bound ---------
-    n_rest = rest.count()
-    if n_rest == 0:
-        return via_index
-    chunks = max(1, -(-n_rest // MAX_BROADCAST_PATTERNS))
-    parts = []
-    for i in range(chunks):
-        side = rest if chunks == 1 else rest.where(
-            F.pmod(F.xxhash64("pattern"), F.lit(chunks)) == i)
-        parts.append(nms.join(F.broadcast(side), _verify(F.col("name"), F.col("pattern"), regex))
-                     .select("pattern", "name"))
-    out = via_index
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    nms = names.select(F.col(name_col).alias("name")).where("name IS NOT NULL").distinct()
+    cut = (nms.withColumn("_name", fold_case("name")).crossJoin(F.broadcast(lengths))
+           .select("name", "_name", F.explode("_lengths").alias("_n"))
+           .where(F.length("_name") >= F.col("_n")))
+    parts = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1),
+        lambda i: F.substr(F.col("_name"), i, F.col("_n"))))
+    cut = cut.select("name", "_name", F.explode(parts).alias("_probe"))
+    met = pats.join(cut, "_probe")
+    if regex:
+        wild = F.col("_folded") != F.col("_probe")
+        met = met.where(~wild | _wildcard_search(F.col("_name"), F.col("_folded")))
+    return met.select("pattern", "name")

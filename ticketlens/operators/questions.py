@@ -14,7 +14,10 @@ is answered with one pre-aggregate per answer shape:
   ``WindowGroupLimit`` runs before the shuffle, so a hot filter never
   gathers more than k rows per map task) and then joined to the questions.
 * customer / product patterns are resolved against the distinct names with
-  ``matching.match_patterns`` (exact, trigram-indexed).
+  ``matching.match_patterns`` (an equality join on substrings).
+* an answer belongs to a filter, not to a question text: it is computed once
+  per distinct (pattern, time filter) and joined back on those keys, so a
+  question asked n times is answered in n rows.
 """
 
 from __future__ import annotations
@@ -107,15 +110,20 @@ def _rank(df: DataFrame, part, key: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
 
+def top_by_filter(tickets: DataFrame, questions: DataFrame, key: str, k: int) -> DataFrame:
+    """Top-k ``key`` values per distinct time filter of the questions."""
+    filters = _filters(questions)
+    gids = used_gids(filters)
+    cube = time_cube(tickets.select(key, *TIME), [key], gids or [0])
+    return _rank(_null_safe_join(cube, filters, FILTER_KEYS), FILTER_KEYS, key, k)
+
+
 def top_by_time(tickets: DataFrame, questions: DataFrame, key: str, k: int,
                 id_col: str = "question") -> DataFrame:
     """Top-k ``key`` values per question within the question's time filter."""
-    gids = used_gids(questions)
-    if not gids:   # no such question: do not aggregate the tickets at all
+    if not used_gids(questions):   # no such question: do not aggregate the tickets at all
         return _empty_top(questions, tickets, id_col, key)
-    filters = _filters(questions)
-    cube = time_cube(tickets.select(key, *TIME), [key], gids)
-    ranked = _rank(_null_safe_join(cube, filters, FILTER_KEYS), FILTER_KEYS, key, k)
+    ranked = top_by_filter(tickets, questions, key, k)
     return (_null_safe_join(questions.select(id_col, *FILTER_KEYS), ranked, FILTER_KEYS)
             .select(id_col, "rank", key, F.col("n").alias("tickets")))
 
@@ -163,56 +171,56 @@ def top_by_time_and_pattern(tickets: DataFrame, questions: DataFrame, pattern_co
     return answered.unionByName(rest)
 
 
-def count_by_time(tickets: DataFrame, questions: DataFrame, id_col: str = "question",
-                  period_cube: DataFrame | None = None) -> DataFrame:
-    """(id, n) per question: tickets inside its time filter (questions whose
-    filter matches nothing are absent here; callers add the zeros).
-    ``period_cube``: a precomputed ``time_cube(tickets)`` (all 8 sets)."""
-    gids = used_gids(questions)
-    if not gids:
-        return questions.select(id_col, F.lit(None).cast("long").alias("n")).limit(0)
-    cube0 = period_cube if period_cube is not None else time_cube(tickets.select(*TIME), (), gids)
-    totals = _null_safe_join(cube0, _filters(questions), FILTER_KEYS)
-    return _null_safe_join(questions.select(id_col, *FILTER_KEYS), totals, FILTER_KEYS) \
-        .select(id_col, "n")
+def _period_totals(tickets: DataFrame, filters: DataFrame, period_cube: DataFrame | None) -> DataFrame:
+    """Total per distinct time filter (absent where nothing matches)."""
+    if period_cube is None:
+        gids = used_gids(filters)
+        if not gids:
+            return filters.withColumn("n", F.lit(None).cast("long"))
+        period_cube = time_cube(tickets.select(*TIME), (), gids)
+    return _null_safe_join(period_cube, filters, FILTER_KEYS)
+
 
+def _pattern_totals(tickets: DataFrame, filters: DataFrame, names_cube: DataFrame | None) -> DataFrame:
+    """Total per distinct (pattern, time filter) of customers matched.
+
+    The cube is summed over the names of each pattern before it meets the
+    time filters, so a broad pattern is not repeated for every filter."""
+    if names_cube is None:
+        gids = used_gids(filters)
+        if not gids:
+            return filters.withColumn("n", F.lit(None).cast("long"))
+        names_cube = time_cube(tickets.select(F.col(R.CUSTOMER).alias("name"), *TIME), ["name"], gids)
+        names = tickets.select(F.col(R.CUSTOMER).alias("name"))
+    else:
+        names = names_cube.where(F.col("gid") == 7).select("name")
+    pairs = match_patterns(filters.select("pattern"), names, regex=True)
+    per_pattern = (names_cube.join(pairs, "name")
+                   .groupBy("pattern", *TIME, "gid").agg(F.sum("n").alias("n")))
+    return _null_safe_join(per_pattern, filters, ["pattern", *FILTER_KEYS])
 
-def count_by_time_and_pattern(tickets: DataFrame, questions: DataFrame, id_col: str = "question",
-                              pattern_col: str = R.CUSTOMER, cubes: dict | None = None) -> DataFrame:
-    """(id, total) for every question: tickets in its time filter whose
-    customer matches its pattern (no pattern = every customer).  Questions
-    with no matching ticket get 0, not a missing row.
+
+def with_totals(tickets: DataFrame, questions: DataFrame, pattern_col: str | None = R.CUSTOMER,
+                cubes: dict | None = None) -> DataFrame:
+    """Every question row with ``total``: tickets in its time filter whose
+    customer matches its pattern (no pattern = every customer); 0 where
+    nothing matches.
 
     ``cubes`` may hold precomputed pre-aggregates ({"period": time_cube of
     the periods, "customer": time_cube keyed by ``name``}, all 8 sets), e.g.
     computed once for a stream of question batches."""
     cubes = cubes or {}
-    plain = questions.where(F.col(pattern_col).isNull())
-    with_pat = (questions.where(F.col(pattern_col).isNotNull())
-                .select(id_col, F.col(pattern_col).alias("pattern"), *FILTER_KEYS))
-
-    totals = count_by_time(tickets, plain, id_col, cubes.get("period"))
-    gids = used_gids(with_pat)
-    if gids:
-        cube_c = cubes.get("customer")
-        if cube_c is None:
-            cube_c = time_cube(tickets.select(F.col(R.CUSTOMER).alias("name"), *TIME), ["name"], gids)
-            names = tickets.select(F.col(R.CUSTOMER).alias("name"))
-        else:
-            names = cube_c.where(F.col("gid") == 7).select("name")
-        pairs = match_patterns(with_pat.select("pattern"), names, regex=True)
-        wanted = _filters(with_pat, "pattern").join(pairs, "pattern")
-        keys = ["pattern", *FILTER_KEYS]
-        per_filter = (_null_safe_join(wanted, cube_c, ["name", *FILTER_KEYS])
-                      .groupBy(*keys).agg(F.sum("n").alias("n")))
-        totals = totals.unionByName(_null_safe_join(with_pat, per_filter, keys).select(id_col, "n"))
-    return _with_zeros(questions, totals, id_col)
-
-
-def _with_zeros(questions: DataFrame, totals: DataFrame, id_col: str) -> DataFrame:
-    t = totals.select(F.col(id_col).alias("_id"), "n")
-    return (questions.select(id_col).join(t, F.col(id_col) == F.col("_id"), "left")
-            .select(id_col, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("total")))
+    pattern = F.col(pattern_col) if pattern_col else F.lit(None).cast("string")
+    q = questions.withColumn("pattern", pattern)
+    plain = _filters(q.where("pattern IS NULL"))
+    totals = _period_totals(tickets, plain, cubes.get("period")).select(
+        F.lit(None).cast("string").alias("pattern"), *FILTER_KEYS, "n")
+    if pattern_col:
+        named = _filters(q.where("pattern IS NOT NULL"), "pattern")
+        totals = totals.unionByName(
+            _pattern_totals(tickets, named, cubes.get("customer")).select("pattern", *FILTER_KEYS, "n"))
+    out = _null_safe_join(q, totals, ["pattern", *FILTER_KEYS], "left")
+    return out.withColumn("total", F.coalesce("n", F.lit(0)).cast("long")).drop("pattern", "n")
 
 
 # ---------------------------------------------------------------------------
@@ -232,12 +240,11 @@ def ask_top_technician(tickets, parsed, id_col="question"):
 
 
 def ask_count(tickets, parsed, id_col="question"):                              # Q4
-    q = _of(parsed, "count_product")
-    return _with_zeros(q, count_by_time(tickets, q, id_col), id_col)
+    return with_totals(tickets, _of(parsed, "count_product"), None).select(id_col, "total")
 
 
 def ask_count_by_customer(tickets, parsed, id_col="question"):                  # Q5
-    return count_by_time_and_pattern(tickets, _of(parsed, "count_product_by_customer"), id_col)
+    return with_totals(tickets, _of(parsed, "count_product_by_customer")).select(id_col, "total")
 
 
 def ask_top_customers(tickets, parsed, id_col="question", k=10):                # Q6
@@ -255,15 +262,57 @@ def count_cubes(tickets: DataFrame) -> dict:
             "customer": time_cube(tickets.select(F.col(R.CUSTOMER).alias("name"), *TIME), ["name"])}
 
 
-def answer_count_questions(tickets, parsed, id_col="question", cubes=None):     # Q8
+def answer_count_questions(tickets, parsed, id_col="question", cubes=None):     # Q8, counting intents
     """One row per counting question: (id, intent, total); zero totals kept."""
     q = _of(parsed, *COUNT_INTENTS).withColumn(
         R.CUSTOMER, F.when(F.col("intent") == "count_product_by_customer", F.col(R.CUSTOMER)))
-    totals = count_by_time_and_pattern(tickets, q, id_col, cubes=cubes).withColumnRenamed(id_col, "_qid")
-    return (q.select(id_col, "intent").join(totals, F.col(id_col) == F.col("_qid"))
-            .drop("_qid"))
+    return with_totals(tickets, q, cubes=cubes).select(id_col, "intent", "total")
+
+
+def ask_top_technician_rows(tickets, parsed, columns, id_col="question"):       # Q3, detail rows
+    """The tickets of the most frequent technician inside the time filter of
+    each question: the argmax is found once per distinct filter, and the
+    tickets are expanded only to the filters whose technician they carry."""
+    q = _of(parsed, "top_ktv")
+    best = top_by_filter(tickets, q, R.TECHNICIAN, 1)
+    wanted = best.select(F.col(R.TECHNICIAN).alias("_technician"), *[F.col(c).alias("_" + c) for c in FILTER_KEYS])
+    inside = F.lit(True)
+    for c in TIME:
+        inside = inside & (F.col("_" + c).isNull() | (F.col(c) == F.col("_" + c)))
+    rows = (tickets.join(wanted, (F.col(R.TECHNICIAN) == F.col("_technician")) & inside)
+            .select(*columns, *[F.col("_" + c) for c in FILTER_KEYS]))
+    rows = rows.select(*[F.col(c).alias("t_" + c) for c in columns],
+                       *[F.col("_" + c).alias(c) for c in FILTER_KEYS])
+    met = _null_safe_join(q.select(id_col, *FILTER_KEYS), rows, FILTER_KEYS)
+    return met.select(id_col, *[F.col("t_" + c).alias(c) for c in columns])
 
 
 def ask_top_customers_by_product(tickets, parsed, id_col="question", k=10):     # Q9
     return top_by_time_and_pattern(tickets, _of(parsed, "top_customers_by_product"),
                                    R.PRODUCT, R.PRODUCT, R.CUSTOMER, k, False, id_col)
+
+
+def answer_questions(tickets, parsed, id_col="question", k=10):                 # Q8
+    """Every question of every intent, in one shape: ``id, intent, rank,
+    answer, tickets``.  Counting questions give their total with no rank and
+    no answer; a question without an answer (an unknown intent, no matching
+    ticket) gives one row of nulls."""
+    def shape(rows, key):
+        rank = F.col("rank") if "rank" in rows.columns else F.lit(1)
+        return rows.select("_q", rank.cast("int").alias("rank"),
+                           F.col(key).cast("string").alias("answer"), "tickets")
+
+    # an answer belongs to what was understood, not to a question's text
+    fields = ["intent", R.CUSTOMER, R.PRODUCT, *TIME]
+    named = parsed.withColumn("_q", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in fields]))
+    once = named.select("_q", *fields, "gid").distinct()
+    totals = answer_count_questions(tickets, once, "_q")
+    answers = (shape(ask_top_products(tickets, once, "_q", k), R.PRODUCT)
+               .unionByName(shape(ask_top_technician(tickets, once, "_q"), R.TECHNICIAN))
+               .unionByName(shape(ask_top_customers(tickets, once, "_q", k), R.CUSTOMER))
+               .unionByName(shape(ask_top_products_by_customer(tickets, once, "_q", k), R.PRODUCT))
+               .unionByName(shape(ask_top_customers_by_product(tickets, once, "_q", k), R.CUSTOMER))
+               .unionByName(totals.select("_q", F.lit(None).cast("int").alias("rank"),
+                                          F.lit(None).cast("string").alias("answer"), F.col("total").alias("tickets"))))
+    return (named.select(id_col, "intent", "_q").join(answers, "_q", "left")
+            .select(id_col, "intent", "rank", "answer", "tickets"))

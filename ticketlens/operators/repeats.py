@@ -3,8 +3,10 @@
 ``repeat_serials`` is a grouped count joined back to the tickets.  This is the
 skew-safe form of "count over a window partitioned by serial": the count is
 pre-combined per map task (a serial that holds a third of all tickets is one
-partial row per task), and the join back lets AQE split a hot serial's ticket
-partition across tasks (skew join) while replicating its single count row.
+partial row per task).  The counts are written to the shared folder first:
+only a join between two plain shuffles is split by AQE (skew join), and the
+aggregate itself is not one, so with the written table a hot serial's tickets
+are dealt over several tasks while its single count row is replicated.
 A ``count(*) OVER (PARTITION BY serial)`` would instead send all of a hot
 serial's tickets to one task.
 """
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import roles as R
+from ..session import write_table
 
 OCCURRENCES = "occurrences"
 
@@ -32,7 +35,7 @@ def repeat_serials(df: DataFrame) -> DataFrame:
     Every counted serial exists in the tickets, so the join is an inner
     equi-join (identical to a left join from the counts).
     """
-    counts = serial_counts(df)
+    counts = df.sparkSession.read.parquet(write_table(serial_counts(df), "serial_counts"))
     detail = df.where(F.col(R.SERIAL).isNotNull())
     return counts.join(detail, on=R.SERIAL, how="inner")
 

@@ -59,12 +59,7 @@ def success_pct(ok: Column, handled: Column, digits: int, zero_when_empty: bool,
 # --------------------------------------------------------------------------
 
 def _ordered(df: DataFrame, keys) -> DataFrame:
-    """Group keys ascending.  Calendar keys have a bounded number of groups
-    (a few per year of data), so their result is sorted in one partition
-    without the sampling job of a range-partitioned global sort; any other
-    key keeps the distributed ``orderBy``."""
-    if all(k in R.PERIODS for k in keys):
-        return df.coalesce(1).sortWithinPartitions(*keys)
+    """Group keys ascending."""
     return df.orderBy(*keys)
 
 

@@ -128,13 +128,16 @@ def _f15(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _fold_sql(x: str) -> str:
-    src, dst = TX.fold_table()
-    multi = TX.fold_expansions()
-    t = f"translate({x}, {_sql_lit(src)}, {_sql_lit(dst)})"
-    lookup = "MAP {" + ", ".join(f"{_sql_lit(k)}: {_sql_lit(v)}" for k, v in multi.items()) + "}"
-    expanded = (f"array_to_string(list_transform(string_split({t}, ''), "
-                f"lambda ch: coalesce(map_extract_value({lookup}, ch), ch)), '')")
-    t = f"CASE WHEN regexp_matches({t}, {_sql_lit('[' + ''.join(multi) + ']')}) THEN {expanded} ELSE {t} END"
+    """The oracle's folding: DuckDB has no NFKD, so the accented letters of
+    the test tables (Latin-1 and Latin Extended-A) are translated and marks
+    dropped.  The other scripts are held against literal values in the tests."""
+    import unicodedata
+    pairs = {}
+    for cp in range(0xC0, 0x180):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(cp):
+            pairs[chr(cp)] = base
+    t = f"translate({x}, {_sql_lit(''.join(pairs))}, {_sql_lit(''.join(pairs.values()))})"
     return rf"regexp_replace({t}, '\p{{Mn}}+', '', 'g')"
 
 
@@ -156,14 +159,14 @@ def normalise_for_match_sql(x: str) -> str:
 
 @register("clean_text", f"SELECT doc_id, {clean_text_sql('text')} AS cleaned FROM documents")
 def _t1(spark, sf):
-    docs = spread(table(spark, sf, "documents"), "doc_id")
+    docs = spread(table(spark, sf, "documents"))
     return docs.select("doc_id", TX.clean_text("text").alias("cleaned"))
 
 
 @register("normalise_for_match", f"SELECT conv_id, turn, {normalise_for_match_sql('text')} AS normalised "
                                  "FROM conversations")
 def _t2(spark, sf):
-    return spread(table(spark, sf, "conversations"), "conv_id").select(
+    return spread(table(spark, sf, "conversations")).select(
         "conv_id", "turn", TX.normalise_for_match("text").alias("normalised"))
 
 
@@ -178,7 +181,7 @@ def _t3(spark, sf):
     FROM (SELECT doc_id, {normalise_for_match_sql('text')} AS n, {normalise_for_match_sql(_sql_lit(PHRASE))} AS k
           FROM documents)""")
 def _f17(spark, sf):
-    return spread(table(spark, sf, "documents"), "doc_id").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", TX.phrase_match(F.col("text"), F.lit(PHRASE)).alias("matched"))
 
 

@@ -19,8 +19,8 @@ from ..functions import questions as Q
 from ..functions.patterns import re2
 from ..functions.text import space_chars
 from ..operators import questions as ask
-from ..session import spread, write_table
-from ..sources.testdata import table, tickets
+from ..session import exists, shared_dir, spread
+from ..sources.testdata import snapshot, table, tickets
 from .registry import TICKETS_CTE, register
 
 # Question templates of the bank (Vietnamese), in bank order.
@@ -174,34 +174,21 @@ def _top_sql(intents: tuple[str, ...], key: str, k: int, extra: str = "") -> str
       WHERE rank <= {k}""")
 
 
-_PARSED_BANKS: dict[tuple, str] = {}
 _BANK_LOCK = threading.Lock()
 
 
 def _bank_parsed(spark, sf):
-    """The parsed question bank as a written table in the shared folder.
+    """The parsed question bank, written once per snapshot of its tables.
 
-    It feeds several branches of every answer plan and all the question
-    queries of a session, so it is parsed once per (session, input files)
-    and read back from the written table afterwards."""
+    It feeds several branches of every answer plan, so it is parsed once and
+    read back from the written table afterwards."""
+    name = f"questions-{snapshot(spark, sf, ('orders', 'customer', 'part'))}"
+    path = f"{shared_dir(spark).rstrip('/')}/ticketlens/{name}"
     with _BANK_LOCK:    # queries submitted from several threads parse it once
-        return _bank_parsed_locked(spark, sf)
-
-
-def _bank_parsed_locked(spark, sf):
-    key = (spark.sparkContext.applicationId, sf, _inputs_stamp(sf))
-    path = _PARSED_BANKS.get(key)
-    if path is not None:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001  (folder cleaned up: rebuild)
-            _PARSED_BANKS.pop(key, None)
-    # the bank is small in bytes but regex-heavy: hash-spread it over all
-    # cores (a fixed-count repartition is not coalesced by AQE)
-    bank = question_bank(spark, sf)
-    bank = bank.repartition(2 * spark.sparkContext.defaultParallelism, "question")
-    path = write_table(ask.parse_questions(bank), "questions")
-    _PARSED_BANKS[key] = path
+        if not exists(spark, f"{path}/_SUCCESS"):
+            # small in bytes but regex-heavy: dealt to all cores
+            bank = question_bank(spark, sf).repartition(2 * spark.sparkContext.defaultParallelism)
+            ask.parse_questions(bank).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -211,18 +198,6 @@ def _bank_texts(spark, sf):
     return _bank_parsed(spark, sf).select("question")
 
 
-def _inputs_stamp(sf: str) -> tuple:
-    import os
-    out = []
-    for name in ("orders", "customer", "part"):
-        p = f"{sf.rstrip('/')}/{name}.parquet"
-        try:
-            out.append(os.stat(p).st_mtime_ns)
-        except OSError:  # remote storage: the path alone identifies the data
-            out.append(None)
-    return tuple(out)
-
-
 @register("classify_intent", _with(
     "SELECT question, intent, customer, product, year, month, quarter FROM parsed"))
 def _q1(spark, sf):
@@ -233,7 +208,7 @@ def _q1(spark, sf):
 @register("classify_conversation_turns", f"""WITH parsed AS ({parsed_sql('conversations', 'text')})
     SELECT conv_id, turn, intent, customer, product, year, month, quarter FROM parsed""")
 def _q1_text(spark, sf):
-    conv = spread(table(spark, sf, "conversations"), "conv_id")
+    conv = spread(table(spark, sf, "conversations"))
     return ask.parse_questions(conv, "text").select(
         "conv_id", "turn", "intent", "customer", "product", "year", "month", "quarter")
 
@@ -364,3 +339,89 @@ def _q8(spark, sf):
 def _q9(spark, sf):
     return ask.ask_top_customers_by_product(
         tickets(spark, sf, ["customer", "product", *ask.TIME]), _bank_parsed(spark, sf))
+
+
+# --- repeated questions, detail rows and the full dispatch --------------------
+
+_REPEATED = "(SELECT * FROM parsed UNION ALL SELECT * FROM parsed WHERE month = 3 OR year = 1996)"
+
+
+@register("answer_repeated_questions", f"""WITH {TICKETS_CTE}, {BANK_SQL}, parsed AS ({parsed_sql()})
+      {_MATCHED.format(intent='count_product_by_customer')},
+      asked AS (SELECT *, row_number() OVER () AS id FROM {_REPEATED}
+                WHERE intent IN ('count_product', 'count_product_by_customer'))
+      SELECT any_value(p.question) AS question, any_value(p.intent) AS intent, coalesce(sum(a.n), 0)::BIGINT AS total
+      FROM asked p
+      LEFT JOIN m ON p.intent = 'count_product_by_customer' AND m.pattern = p.customer
+      LEFT JOIN agg a ON (p.intent = 'count_product' OR p.customer IS NULL OR a.customer = m.customer)
+           AND (p.year IS NULL OR a.year = p.year) AND (p.month IS NULL OR a.month = p.month)
+           AND (p.quarter IS NULL OR a.quarter = p.quarter)
+      GROUP BY p.id""")
+def _q8_repeated(spark, sf):
+    """A question log with repeats: one answer per input row."""
+    bank = _bank_parsed(spark, sf)
+    asked = bank.unionByName(bank.where("month = 3 OR year = 1996"))
+    return ask.answer_count_questions(tickets(spark, sf, ["customer", *ask.TIME]), asked)
+
+
+_ROW_COLUMNS = ["received_at", "customer", "product", "technician", "serial"]
+
+
+@register("ask_top_technician_rows", _with(f""", best AS (
+        SELECT question, technician FROM (
+          SELECT p.question, t.technician,
+                 row_number() OVER (PARTITION BY p.question ORDER BY count(*) DESC, t.technician) AS rank
+          FROM parsed p JOIN tickets t ON {_TIME_OK}
+          WHERE p.intent = 'top_ktv' AND t.technician IS NOT NULL GROUP BY p.question, t.technician)
+        WHERE rank = 1)
+      SELECT p.question, {', '.join('t.' + c for c in _ROW_COLUMNS)}
+      FROM parsed p JOIN best b ON b.question = p.question
+      JOIN tickets t ON t.technician = b.technician AND {_TIME_OK}"""))
+def _q3_rows(spark, sf):
+    t = tickets(spark, sf, [*_ROW_COLUMNS, *ask.TIME])
+    return ask.ask_top_technician_rows(t, _bank_parsed(spark, sf), _ROW_COLUMNS)
+
+
+def _top_part(intents: str, key: str, k: int, matched: str = "") -> str:
+    return f"""SELECT question, CAST(rank AS INTEGER) AS rank, answer, tickets FROM (
+        SELECT p.question, t.{key} AS answer, count(*) AS tickets,
+               row_number() OVER (PARTITION BY p.question ORDER BY count(*) DESC, t.{key}) AS rank
+        FROM parsed p JOIN tickets t ON {_TIME_OK} {matched}
+        WHERE p.intent IN ({intents}) AND t.{key} IS NOT NULL GROUP BY p.question, t.{key})
+      WHERE rank <= {k}"""
+
+
+@register("answer_questions", f"""WITH {TICKETS_CTE}, {BANK_SQL}, parsed AS ({parsed_sql()})
+      {_MATCHED.format(intent='count_product_by_customer')},
+      m7 AS (SELECT p.pattern, c.customer FROM (
+               SELECT DISTINCT customer AS pattern FROM parsed WHERE intent = 'top_products_by_customer' AND customer IS NOT NULL) p
+             JOIN (SELECT DISTINCT customer FROM tickets WHERE customer IS NOT NULL) c
+               ON regexp_matches(c.customer, p.pattern, 'i')),
+      answers AS (
+        {_top_part("'top_product', 'top_products'", "product", 10)}
+        UNION ALL {_top_part("'top_ktv'", "technician", 1)}
+        UNION ALL {_top_part("'top_customers'", "customer", 10)}
+        UNION ALL {_top_part("'top_customers_by_product'", "customer", 10,
+                             "AND contains(lower(t.product), lower(p.product))")}
+        UNION ALL SELECT question, CAST(rank AS INTEGER), product, tickets FROM (
+          SELECT p.question, t.product, count(*) AS tickets,
+                 row_number() OVER (PARTITION BY p.question ORDER BY count(*) DESC, t.product) AS rank
+          FROM parsed p JOIN m7 ON m7.pattern = p.customer
+          JOIN tickets t ON t.customer = m7.customer AND {_TIME_OK}
+          WHERE p.intent = 'top_products_by_customer' AND t.product IS NOT NULL GROUP BY p.question, t.product)
+          WHERE rank <= 10
+        UNION ALL SELECT p.question, NULL, NULL, coalesce(sum(a.n), 0)::BIGINT
+          FROM parsed p
+          LEFT JOIN m ON p.intent = 'count_product_by_customer' AND m.pattern = p.customer
+          LEFT JOIN agg a ON (p.intent = 'count_product' OR p.customer IS NULL OR a.customer = m.customer)
+               AND (p.year IS NULL OR a.year = p.year) AND (p.month IS NULL OR a.month = p.month)
+               AND (p.quarter IS NULL OR a.quarter = p.quarter)
+          WHERE p.intent IN ('count_product', 'count_product_by_customer') GROUP BY p.question)
+      SELECT p.question, p.intent, CAST(x.rank AS DOUBLE) AS rank, x.answer, CAST(x.tickets AS DOUBLE) AS tickets
+      FROM parsed p LEFT JOIN answers x ON x.question = p.question""")
+def _q8_all(spark, sf):
+    """Every question of the bank, whatever its intent, in one shape."""
+    out = ask.answer_questions(tickets(spark, sf, ["customer", "product", "technician", *ask.TIME]),
+                               _bank_parsed(spark, sf))
+    return out.select("question", "intent", F.col("rank").cast("double").alias("rank"), "answer",
+                      F.col("tickets").cast("double").alias("tickets"))

@@ -31,28 +31,42 @@ ALIAS_HEADERS = {
 }
 SPLIT_YEAR = 1997
 _ROLES = [r for r in R.ALL_ROLES if r not in R.PERIODS]
-_ALL_SQL = ", ".join(R.ALL_ROLES)
 
 
-@register("scan_tickets", with_tickets(f"SELECT {_ALL_SQL} FROM tickets"))
+# An awkward form of a text cell, as a spreadsheet may hold it.
+_AWKWARD = ('ACME "', '"', ', Ltd\nline two')
+
+
+def _awkward(c):
+    """A quote, a separator and a line end inside the cell."""
+    return F.when(F.col(c).isNotNull(), F.concat(F.lit(_AWKWARD[0]), F.col(c), F.lit(_AWKWARD[1]), F.lit(_AWKWARD[2])))
+
+
+_AWKWARD_SQL = "'ACME \"' || customer || '\"' || ', Ltd' || chr(10) || 'line two'"
+
+
+def _roles_sql(replaced: dict[str, str]) -> str:
+    return ", ".join(f"{replaced[r]} AS {r}" if r in replaced else r for r in R.ALL_ROLES)
+
+
+@register("scan_tickets", with_tickets(f"SELECT {_roles_sql({R.CUSTOMER: _AWKWARD_SQL})} FROM tickets"))
 def _s1(spark, sf):
-    path = SK.write_export(tickets(spark, sf, _ROLES), scratch_path(spark, "export"),
-                           EX.EXPORT_HEADERS)
-    return EX.scan_tickets(spark, [path], sources=["export"]).select(*R.ALL_ROLES)
+    t = tickets(spark, sf, _ROLES).withColumn(R.CUSTOMER, _awkward(R.CUSTOMER))
+    path = SK.write_export(t, scratch_path(spark, "export"), EX.EXPORT_HEADERS)
+    return EX.scan_tickets(spark, path).select(*R.ALL_ROLES)
 
 
 @register("harmonise_headers", with_tickets(
-    f"SELECT {', '.join(r for r in R.ALL_ROLES if r != R.SERIAL)}, "
-    f"CASE WHEN year <= {SPLIT_YEAR} THEN serial END AS serial, "
-    f"CASE WHEN year <= {SPLIT_YEAR} THEN 'export_a' ELSE 'export_b' END AS source_file FROM tickets"))
+    f"SELECT {_roles_sql({R.CUSTOMER: _AWKWARD_SQL, R.SERIAL: f'CASE WHEN year <= {SPLIT_YEAR} THEN serial END'})} "
+    "FROM tickets"))
 def _s2(spark, sf):
-    t = tickets(spark, sf, [*_ROLES, R.YEAR])
-    a = SK.write_export(t.where(F.col(R.YEAR) <= SPLIT_YEAR).drop(R.YEAR),
-                        scratch_path(spark, "export_a"), EX.EXPORT_HEADERS)
-    b = SK.write_export(t.where(F.col(R.YEAR) > SPLIT_YEAR).drop(R.YEAR),
-                        scratch_path(spark, "export_b"), ALIAS_HEADERS, date_format="dd/MM/yyyy")
-    out = EX.scan_tickets(spark, [a, b], sources=["export_a", "export_b"])
-    return out.select(*R.ALL_ROLES, R.SOURCE_FILE)
+    """Two layouts with awkward cells in one folder, told apart by their headers."""
+    t = tickets(spark, sf, [*_ROLES, R.YEAR]).withColumn(R.CUSTOMER, _awkward(R.CUSTOMER))
+    path = scratch_path(spark, "exports")
+    SK.write_export(t.where(F.col(R.YEAR) <= SPLIT_YEAR).drop(R.YEAR), path, EX.EXPORT_HEADERS)
+    SK.write_export(t.where(F.col(R.YEAR) > SPLIT_YEAR).drop(R.YEAR), path, ALIAS_HEADERS,
+                    date_format="dd/MM/yyyy", mode="append")
+    return EX.scan_tickets(spark, path).select(*R.ALL_ROLES)
 
 
 _SNAKE = {r: snake_name(EX.EXPORT_HEADERS[r]) for r in R.ALL_ROLES}
@@ -73,6 +87,15 @@ def _s4(spark, sf):
     return spark.read.parquet(path)
 
 
+@register("report_sink_csv", with_tickets(
+    "SELECT customer, count(*) AS tickets FROM tickets WHERE customer IS NOT NULL "
+    "GROUP BY customer ORDER BY tickets DESC, customer LIMIT 10"))
+def _s4_csv(spark, sf):
+    path = scratch_path(spark, "report")
+    SK.write_report(rep.top_customers(tickets(spark, sf, [R.CUSTOMER])), path, fmt="csv", single_file=True)
+    return spark.read.schema("customer string, tickets long").option("header", True).csv(path)
+
+
 def _ctx_sql() -> str:
     cols = SK.CONTEXT_ROLES
     desc = ", ".join(f"{c} DESC NULLS LAST" for c in cols)
@@ -84,12 +107,21 @@ def _ctx_sql() -> str:
         else:
             parts.append(f"coalesce(CAST({c} AS VARCHAR), '')")
     return (f"WITH {TICKETS_CTE}, latest AS (SELECT {', '.join(cols)} FROM tickets ORDER BY {desc} LIMIT 200), "
-            f"first AS (SELECT * FROM latest ORDER BY {asc} LIMIT 100) "
-            f"SELECT CAST(row_number() OVER (ORDER BY {asc}) AS INTEGER) AS line_no, "
-            f"concat_ws(',', {', '.join(parts)}) AS line FROM first")
+            f"first AS (SELECT * FROM latest ORDER BY {asc} LIMIT 100), "
+            f"lines AS (SELECT CAST(row_number() OVER (ORDER BY {asc}) AS INTEGER) AS line_no, "
+            f"concat_ws(',', {', '.join(parts)}) AS line FROM first) ")
 
 
-@register("context_extract", _ctx_sql())
+def _context(spark, sf):
+    return SK.context_extract(tickets(spark, sf, SK.CONTEXT_ROLES), [R.RECEIVED_AT])
+
+
+@register("context_extract", _ctx_sql() + "SELECT line_no, line FROM lines")
 def _s5(spark, sf):
-    out = SK.context_extract(tickets(spark, sf, SK.CONTEXT_ROLES), [R.RECEIVED_AT])
-    return out.withColumn("line_no", F.col("line_no").cast("int"))
+    return _context(spark, sf).withColumn("line_no", F.col("line_no").cast("int"))
+
+
+@register("context_text", _ctx_sql() + f"SELECT '{SK.context_header(SK.CONTEXT_ROLES)}' || chr(10) || "
+          "string_agg(line, chr(10) ORDER BY line_no) AS csv FROM lines")
+def _s5_text(spark, sf):
+    return SK.context_text(_context(spark, sf), SK.CONTEXT_ROLES)

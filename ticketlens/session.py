@@ -61,7 +61,8 @@ def apply_sql_defaults(spark: SparkSession) -> None:
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One JVM (``local``, ``local[n]``); ``local-cluster`` has executors of its own."""
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,16 +96,44 @@ def write_table(df, name: str = "table") -> str:
     return path
 
 
-def spread(df, key=None, factor: int = 2):
-    """Spread CPU-heavy per-row work (regexes over long texts) over all cores.
-
-    Only when the input has fewer partitions than the cluster has cores
-    (e.g. one large file with one row group): then the rows are hash
-    partitioned into ``factor`` × cores parts.  A big input that already
-    has many splits is returned unchanged, so at scale this adds no shuffle.
-    """
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, modification time) of every data file under a path or
+    glob, through Spark's file system, so remote storage is seen like local."""
+    conf = spark._jsc.hadoopConfiguration()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    found = []
+    for status in fs.globStatus(target) or []:
+        todo = [status]
+        while todo:
+            s = todo.pop()
+            name = s.getPath().getName()
+            if name.startswith(("_", ".")):
+                continue
+            if s.isDirectory():
+                todo += list(fs.listStatus(s.getPath()))
+            else:
+                found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(found)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread(df, factor: int = 2):
+    """Deal the rows of an input of few splits (one large file with one row
+    group) to ``factor`` × cores tasks for CPU-heavy per-row work.  Rows are
+    dealt in turn, not by a key, so no key can gather in one task.  An input
+    of many splits is returned unchanged, so at scale this adds no shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    n = factor * cores
-    return df.repartition(n, key) if key is not None else df.repartition(n)
+    return df.repartition(factor * cores)

@@ -1,24 +1,30 @@
 """Ticket exports: CSV scan, header harmonisation, snake_case headers.
 
 A ticket export is a spreadsheet dump whose headers vary between files
-(accents or not, aliases, order, missing columns, stray spaces).  Headers
-are resolved to roles once per *file layout* on the driver (metadata only:
-Spark reads the header line), each layout is scanned as one CSV read of all
-its files, and the layouts are combined with ``unionByName``.  Values are
-read as text and typed explicitly: schema inference would cost an extra
-pass over the data and guesses date formats.
+(accents or not, aliases, order, missing columns, stray spaces).  The header
+record of every file is read through Spark's file system (metadata only); the
+files of equal headers are one layout and one CSV read, and the layouts are
+combined with ``unionByName``, so a folder may mix layouts freely.  Values are
+read as text and typed explicitly: schema inference would cost an extra pass
+over the data and guesses date formats.  Quoted separators, doubled quotes and
+line ends inside quotes are read as a spreadsheet writes them.
 """
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import roles as R
 from ..functions.dates import DEFAULT_FORMATS, parse_dates, with_time_columns
 from ..functions.text import clean_text_py, snake_name
+from ..session import files_of
 
 # The display header of each role in a canonical export.
 EXPORT_HEADERS = {
@@ -46,67 +52,91 @@ _INT_ROLES = (R.IS_DONE, R.IS_FAILED, R.IS_REJECTED, R.YEAR, R.MONTH, R.QUARTER)
 def resolve_headers(headers: Iterable[str]) -> dict[str, str]:
     """role → original header, for one file layout.
 
-    Per role, in order: a header equal to one of the role's aliases, then a
-    header equal to a lookup keyword, then a header containing a keyword
-    (all compared after ``clean_text``); the first header in file order wins
-    and a header is given to one role only.  The received date falls back to
-    "a header with 'ngay' and ('nhan' or 'tiep')"."""
+    Per role, in order: the role's aliases one after the other, then a header
+    equal to a lookup keyword, then a header containing a keyword (all
+    compared after ``clean_text``); among equal headers the first in file
+    order wins, and a header is given to one role only.  The received date
+    falls back to "a header with 'ngay' and ('nhan' or 'tiep')"."""
     headers = [h.strip() for h in headers]
-    cleaned = {h: clean_text_py(h) for h in headers}
-    taken: set[str] = set()
-    out: dict[str, str] = {}
+    found = resolve_positions(headers)
+    return {role: headers[at] for role, at in found.items()}
+
+
+def resolve_positions(headers: list[str]) -> dict[str, int]:
+    """role → position of its header."""
+    cleaned = [clean_text_py(h.strip()) for h in headers]
+    out: dict[str, int] = {}
 
     def first(pred):
-        for h in headers:
-            if h not in taken and pred(cleaned[h]):
-                return h
-        return None
+        return next((i for i, c in enumerate(cleaned) if i not in out.values() and pred(c)), None)
 
     for role, keywords in R.ROLE_KEYWORDS.items():
-        aliases = [clean_text_py(a) for a in R.HEADER_ALIASES.get(R.ROLE_CANONICAL_HEADER.get(role, ""), [])]
-        hit = first(lambda c: c in aliases)
-        for kw in keywords:
-            if hit is None:
-                k = clean_text_py(kw)
-                hit = first(lambda c, k=k: c == k)
-        for kw in keywords:
-            if hit is None:
-                k = clean_text_py(kw)
-                hit = first(lambda c, k=k: k in c)
-        if hit is None and role == R.RECEIVED_AT:
-            hit = first(lambda c: "ngay" in c and ("nhan" in c or "tiep" in c))
+        words = [clean_text_py(k) for k in keywords]
+        aliases = R.HEADER_ALIASES.get(R.ROLE_CANONICAL_HEADER.get(role, ""), [])
+        tests = [lambda c, a=clean_text_py(a): c == a for a in aliases]
+        tests += [lambda c, k=k: c == k for k in words]
+        tests += [lambda c, k=k: k in c for k in words]
+        if role == R.RECEIVED_AT:
+            tests.append(lambda c: "ngay" in c and ("nhan" in c or "tiep" in c))
+        hit = next((at for at in map(first, tests) if at is not None), None)
         if hit is not None:
             out[role] = hit
-            taken.add(hit)
     return out
 
 
-def read_csv_text(spark: SparkSession, paths, sep: str = ",") -> DataFrame:
-    """All columns as text, header line kept, outer spaces stripped from the
-    header names (no schema inference)."""
-    df = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
-          .option("mode", "PERMISSIVE").csv(paths))
-    return df.toDF(*[c.strip() for c in df.columns])
+#: A header record is looked for in so many bytes at the start of a file.
+HEADER_BYTES = 1 << 16
+
+
+def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
+    """The first record of one file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        start = bytes(stream.readNBytes(HEADER_BYTES))
+    finally:
+        stream.close()
+    text = start.decode("utf-8-sig", "ignore")
+    return tuple(next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), ()))
+
+
+def layouts_of(spark: SparkSession, paths: Iterable[str], sep: str = ",") -> dict[tuple[str, ...], list[str]]:
+    """header record → the files that have it (files without one are empty)."""
+    files = [f for p in paths for f, size, _ in files_of(spark, p) if size]
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda f: _header(spark, f, sep), files))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for header, f in zip(headers, files):
+        found.setdefault(header, []).append(f)
+    return {h: fs for h, fs in found.items() if h}
+
+
+def read_layout(spark: SparkSession, header: tuple[str, ...], files: list[str], sep: str = ",") -> DataFrame:
+    """The files of one layout, all columns as text and named by position."""
+    schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(header))])
+    return (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", "UTF-8")
+            .option("quote", '"').option("escape", '"').option("multiLine", True)
+            .option("mode", "PERMISSIVE").csv(files))
 
 
 def _typed(role: str, col, date_formats) -> "F.Column":
     if role in _DATE_ROLES:
         return parse_dates(col, date_formats)
     if role in _INT_ROLES:
-        # "1", "1.0" and " 1 " are all the flag value 1; anything else that is
-        # not a number becomes NULL
-        return F.trim(col).try_cast("double").try_cast("int")
+        # "1", "1.0" and " 1 " are all the flag value 1; what is not a whole
+        # number becomes NULL
+        number = F.trim(col).try_cast("double")
+        return F.when(number == F.rint(number), number.try_cast("int"))
     return F.nullif(F.trim(col), F.lit(""))
 
 
-def harmonise(df: DataFrame, date_formats=DEFAULT_FORMATS, source: str | None = None) -> DataFrame:
+def harmonise(df: DataFrame, headers: Iterable[str], date_formats=DEFAULT_FORMATS) -> DataFrame:
     """Map one layout's raw columns onto roles and types.  Calendar columns
     are (re)derived from the received date when there is one."""
-    found = resolve_headers(df.columns)
-    cols = [_typed(role, F.col(f"`{orig}`"), date_formats).alias(role) for role, orig in found.items()]
-    if source is not None:
-        cols.append(F.lit(source).alias(R.SOURCE_FILE))
-    else:
+    found = resolve_positions(list(headers))
+    names = df.columns
+    cols = [_typed(role, F.col(f"`{names[at]}`"), date_formats).alias(role) for role, at in found.items()]
+    if R.SOURCE_FILE not in found:
         cols.append(F.col("_metadata.file_path").alias(R.SOURCE_FILE))
     out = df.select(*cols)
     if R.RECEIVED_AT in found:
@@ -114,21 +144,19 @@ def harmonise(df: DataFrame, date_formats=DEFAULT_FORMATS, source: str | None =
     return out
 
 
-def scan_tickets(spark: SparkSession, layouts, date_formats=DEFAULT_FORMATS,
-                 sources=None) -> DataFrame:
-    """Load exports: ``layouts`` is a list of path groups, one group per
-    header layout (a folder, a glob or a list of files).  Roles missing in a
-    layout are NULL in its rows."""
-    if isinstance(layouts, str):
-        layouts = [layouts]
-    frames = []
-    for i, paths in enumerate(layouts):
-        raw = read_csv_text(spark, paths)
-        frames.append(harmonise(raw, date_formats, None if sources is None else sources[i]))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+def scan_tickets(spark: SparkSession, paths, date_formats=DEFAULT_FORMATS, sep: str = ",") -> DataFrame:
+    """Load exports from folders, globs or files of any mix of layouts.
+    Roles missing in a layout are NULL in its rows."""
+    layouts = layouts_of(spark, [paths] if isinstance(paths, str) else paths, sep)
+    if not layouts:
+        raise FileNotFoundError(f"no export with a header in {paths}")
+    out = None
+    for header, files in layouts.items():
+        part = harmonise(read_layout(spark, header, files, sep), header, date_formats)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    missing = [r for r in R.ALL_ROLES if r not in out.columns]
+    types = {r: "timestamp_ntz" for r in _DATE_ROLES} | {r: "int" for r in _INT_ROLES}
+    return out.withColumns({r: F.lit(None).cast(types.get(r, "string")) for r in missing})
 
 
 def snake_headers(df: DataFrame) -> DataFrame:

@@ -2,66 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import roles as R
+from ..functions.text import snake_name
+from ..session import delete
+from .exports import EXPORT_HEADERS
 
 CSV_TS = "yyyy-MM-dd HH:mm:ss"
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False,
                  skip_empty: bool = True) -> bool:
-    """Write a report; an empty report writes nothing (returns False).
+    """Write a report; an empty report leaves nothing behind (returns False).
 
+    The report runs once: its rows are counted as they are written.
     ``single_file`` is for small report results only (one task writes all
     rows); detail tables are written in parallel."""
-    if skip_empty and df.isEmpty():
-        return False
+    seen = Observation()
     out = df.coalesce(1) if single_file else df
+    out = out.observe(seen, F.count(F.lit(1)).alias("rows"))
     w = out.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)
     else:
         w.format(fmt).save(path)
+    if skip_empty and not seen.get["rows"]:
+        delete(df.sparkSession, path)
+        return False
     return True
 
 
-def _text(c: str, dtype: str) -> Column:
-    col = F.col(c)
-    if dtype.startswith("timestamp"):
-        col = F.date_format(col, CSV_TS)
-    return F.coalesce(col.cast("string"), F.lit(""))
-
-
 def context_extract(df: DataFrame, order_cols, last_n: int = 200, keep: int = 100) -> DataFrame:
     """The bounded extract handed to a language-model fallback: the latest
     ``last_n`` rows (by ``order_cols``, ties broken by every column), of
-    which the *first* ``keep`` in ascending order, as numbered CSV lines.
+    which the *first* ``keep`` in ascending order, as numbered CSV lines
+    (quoted as CSV asks for; NULL is empty).
 
     Both limits are top-k: each partition keeps its own k rows before one
     merge, so the extract never gathers more than k rows per task."""
     cols = list(order_cols) + [c for c in df.columns if c not in order_cols]
     latest = df.orderBy(*[F.desc_nulls_last(c) for c in cols]).limit(last_n)
     first = latest.orderBy(*[F.asc_nulls_first(c) for c in cols]).limit(keep)
-    dtypes = dict(df.dtypes)
-    line = F.concat_ws(",", *[_text(c, dtypes[c]) for c in df.columns])
+    line = F.to_csv(F.struct(*[F.col(c) for c in df.columns]),
+                    {"nullValue": "", "emptyValue": "", "escape": '"', "timestampNTZFormat": CSV_TS,
+                     "timestampFormat": CSV_TS})
     w = Window.orderBy(*[F.asc_nulls_first(c) for c in cols])  # ≤ keep rows
     return first.select(F.row_number().over(w).alias("line_no"), line.alias("line"))
 
 
-def context_text(lines: DataFrame, header: list[str]) -> DataFrame:
-    """One row: the header line and the numbered lines joined in order."""
+def context_header(roles) -> str:
+    """The header line of an extract: the snake-case export headers."""
+    return ",".join(snake_name(EXPORT_HEADERS.get(r, r)) for r in roles)
+
+
+def context_text(lines: DataFrame, roles) -> DataFrame:
+    """One row: the header line and the numbered lines joined in order
+    (at most as many lines as the extract keeps)."""
     body = F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return lines.agg(F.concat_ws("\n", F.lit(",".join(header)), body).alias("csv"))
+    return lines.agg(F.concat_ws("\n", F.lit(context_header(roles)), body).alias("csv"))
 
 
 CONTEXT_ROLES = [R.RECEIVED_AT, R.CUSTOMER, R.PRODUCT, R.TECHNICIAN, R.IS_DONE,
-                 R.IS_FAILED, R.IS_REJECTED, R.ERROR_NAME, R.SERIAL]
+                 R.IS_FAILED, R.IS_REJECTED, R.ERROR_NAME, R.SERIAL, *R.PERIODS]
 
 
-def write_export(df: DataFrame, path: str, headers: dict[str, str], date_format: str = CSV_TS) -> str:
+def write_export(df: DataFrame, path: str, headers: dict[str, str], date_format: str = CSV_TS,
+                 mode: str = "overwrite") -> str:
     """Write role-named tickets as a spreadsheet-style CSV export: dates as
     text in ``date_format``, columns renamed (and ordered) by ``headers``."""
     dtypes = dict(df.dtypes)
@@ -73,5 +82,5 @@ def write_export(df: DataFrame, path: str, headers: dict[str, str], date_format:
         if dtypes[role].startswith("timestamp"):
             c = F.date_format(c, date_format)
         cols.append(c.alias(header))
-    df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*cols).write.mode(mode).option("header", True).option("escape", '"').csv(path)
     return path

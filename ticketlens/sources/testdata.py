@@ -16,12 +16,14 @@ measured size is under the threshold, else sort-merge joined.
 
 from __future__ import annotations
 
+import hashlib
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import roles as R
+from ..session import exists, files_of, shared_dir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -105,51 +107,45 @@ def write_tickets(spark: SparkSession, sf_dir: str, path: str) -> str:
 # ingest once, report many
 # ---------------------------------------------------------------------------
 
-_STORES: dict[tuple, str] = {}
-_STORE_LOCK = threading.Lock()
-
-
-def _stamp(sf_dir: str) -> tuple:
-    import os
-    out = []
-    for name in ("lineitem", "orders", "customer", "part", "supplier"):
-        try:
-            out.append(os.stat(f"{sf_dir.rstrip('/')}/{name}.parquet").st_mtime_ns)
-        except OSError:  # remote storage: the path identifies the data
-            out.append(None)
-    return tuple(out)
-
-
-def ticket_store(spark: SparkSession, sf_dir: str) -> str:
-    """Path of the materialised tickets table for ``sf_dir`` (built on first
-    use in this session, in the shared checkpoint folder)."""
-    from ..session import scratch_path
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _stamp(sf_dir))
-    with _STORE_LOCK:   # queries submitted from several threads build it once
-        path = _STORES.get(key)
-        if path is None:
-            path = write_tickets(spark, sf_dir, scratch_path(spark, "tickets"))
-            _STORES[key] = path
+_INGEST_LOCK = threading.Lock()
+_SOURCES = ("lineitem", "orders", "customer", "part", "supplier")
+
+
+def snapshot(spark: SparkSession, sf_dir: str, names=_SOURCES) -> str:
+    """Names the present state of the input tables: a digest of their files,
+    sizes and modification times, read through Spark's file system."""
+    files = [files_of(spark, f"{sf_dir.rstrip('/')}/{name}.parquet") for name in names]
+    return hashlib.sha256(repr(files).encode()).hexdigest()[:16]
+
+
+def store_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the ticket store of the present input snapshot belongs.  The
+    name is the same in every session that shares the folder."""
+    return f"{shared_dir(spark).rstrip('/')}/ticketlens/tickets-{snapshot(spark, sf_dir)}"
+
+
+def ingest_tickets(spark: SparkSession, sf_dir: str) -> str:
+    """Write the ticket store of the present snapshot unless it is there."""
+    with _INGEST_LOCK:   # callers in several threads write it once
+        path = store_path(spark, sf_dir)
+        if not exists(spark, f"{path}/_SUCCESS"):
+            write_tickets(spark, sf_dir, path)
     return path
 
 
-def tickets(spark: SparkSession, sf_dir: str, roles=None, materialised: bool = True) -> DataFrame:
+def tickets(spark: SparkSession, sf_dir: str, roles=None) -> DataFrame:
     """The flat ``tickets`` view with role-named columns.
 
-    By default it is read from the materialised table (``ticket_store``): the
-    fact-to-fact join runs once per session, and every report is a single
-    scan that reads only its roles (column pruning) and only the years it
-    filters on (partition pruning).  ``materialised=False`` plans the joins.
+    Read from the ticket store where one was ingested for the present state
+    of the inputs: a report is then a single scan that reads only its roles
+    (column pruning) and the years it filters on (partition pruning).
+    Otherwise only the joins that the roles need are planned.
     """
-    if not materialised:
-        return build_tickets(spark, sf_dir, roles)
     wanted = list(R.ALL_ROLES if roles is None else dict.fromkeys(roles))
     unknown = [r for r in wanted if r not in _ROLE_EXPR]
     if unknown:
         raise R.MissingRoleError(unknown)
-    try:
-        df = spark.read.parquet(ticket_store(spark, sf_dir))
-    except Exception:  # noqa: BLE001  (store folder removed: rebuild once)
-        _STORES.clear()
-        df = spark.read.parquet(ticket_store(spark, sf_dir))
-    return df.select(*wanted)
+    path = store_path(spark, sf_dir)
+    if not exists(spark, f"{path}/_SUCCESS"):
+        return build_tickets(spark, sf_dir, wanted)
+    return spark.read.parquet(path).select(*wanted)
