@@ -78,7 +78,39 @@ def op1(spark, sf_dir):
 
 # --- 7 ------------------------------------------------------------------------
 
-@register("op7_benchmark_decontamination")
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: Reachability over links(x, y) in both directions, one row per row number.
+_REACH = """reach AS (
+  SELECT rid AS x, rid AS y FROM d
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)"""
+
+
+def _words_sql(table_name: str, key: str, pattern: str) -> str:
+    return (f"SELECT row_number() OVER () AS rid, {key}, regexp_extract_all("
+            f"translate(coalesce(text, ''), {_AZ}), '{pattern}') AS w FROM {table_name}")
+
+
+OP7_SQL = f"""
+WITH d AS ({_words_sql('documents', 'doc_id', r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')}),
+b AS ({_words_sql('benchmark', 'CAST(item_id AS VARCHAR) AS item', r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')}),
+s AS (SELECT item, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i, w
+      FROM b WHERE len(w) > 0 AND item IS NOT NULL),
+windows AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM s),
+places AS (SELECT rid, n, unnest(range(1, len(w) - n + 2)) AS i, w
+           FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+found AS (SELECT p.rid, p.i, p.n, x.item FROM places p
+          JOIN windows x ON x.n = p.n AND x.g = array_to_string(list_slice(p.w, p.i, p.i + p.n - 1), ' ')),
+words AS (SELECT rid, count(DISTINCT pos) AS n_hit
+          FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT rid, i, n FROM found)) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)"""
+
+
+@register("op7_benchmark_decontamination", OP7_SQL)
 def op7(spark, sf_dir):
     """Words of every document inside occurrences of benchmark windows."""
     from .decontaminate import find_matches, item_blocks, n_hit
@@ -189,7 +221,23 @@ def op3(spark, sf_dir):
 
 # --- 10 -----------------------------------------------------------------------
 
-@register("op10_embedding_near_dedup")
+OP10_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT rid, v, sqrt(list_dot_product(v, v)) AS norm FROM d
+      WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND list_dot_product(v, v) > 0),
+links AS (SELECT a.rid AS x, b.rid AS y FROM u a JOIN u b ON a.rid <> b.rid AND len(a.v) = len(b.v)
+          WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
+{_REACH},
+c AS (SELECT x, min(o.vec_id) AS component_id FROM reach JOIN d o ON o.rid = y GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT d.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id,
+       coalesce(d.vec_id = component_id, false) AS kept
+FROM d JOIN c ON c.x = d.rid LEFT JOIN n ON n.x = d.rid"""
+
+
+@register("op10_embedding_near_dedup", OP10_SQL)
 def op10(spark, sf_dir):
     """Links and components of all vectors at cosine 0.95."""
     from .embedding_dups import near_duplicates
@@ -198,7 +246,22 @@ def op10(spark, sf_dir):
 
 # --- 8 ------------------------------------------------------------------------
 
-@register("op8_ngram_jaccard_join")
+OP8_SQL = f"""
+WITH RECURSIVE d AS ({_words_sql('documents', 'doc_id', r'[^\x20\x09-\x0D]+')}),
+s AS (SELECT rid, unnest(list_distinct(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE
+        list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) END)) AS g
+      FROM d WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+pairs AS (SELECT a.rid AS x, b.rid AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.rid = x JOIN n b ON b.rid = y
+          WHERE 100 * common >= 85 * (a.n + b.n - common)),
+{_REACH}
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.rid = d.rid JOIN reach r ON r.x = d.rid JOIN d o ON o.rid = r.y
+GROUP BY d.rid, d.doc_id, n.n"""
+
+
+@register("op8_ngram_jaccard_join", OP8_SQL)
 def op8(spark, sf_dir):
     """Components of all documents at a 4-word Jaccard similarity of 0.85."""
     from .ngram_join import Jaccard, near_duplicates
