@@ -63,3 +63,16 @@ def test_a_hot_serial_is_split(spark, tmp_path):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def test_date_ranges_prune_the_year_folders(spark, tmp_path):
+    from ticketlens.operators.filters import filter_date_range, filter_sidebar
+    path = str(tmp_path / "t")
+    rows = spark.sql("SELECT make_timestamp_ntz(2020 + id % 4, 3, 5, 0, 0, 0) AS received_at, "
+                     "CASE WHEN id <> 7 THEN CAST(2020 + id % 4 AS INT) END AS year FROM range(40)")
+    rows.write.partitionBy("year").parquet(path)
+    t = spark.read.parquet(path)
+    for out in (filter_date_range(t, "2022-01-01", "2023-12-31"), filter_sidebar(t, start="2022-01-01", end="2023-12-31")):
+        assert out.count() == 20                        # the row without a year stays
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: []" not in plan and "year" in plan.split("PartitionFilters:")[1].split("]")[0]

@@ -3,8 +3,6 @@ tables into the shared folder in two drops, then processed incrementally."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import roles as R
@@ -29,7 +27,7 @@ def _stream_rate(spark, sf):
         t.where(drop).write.mode("append").parquet(path)
         stream = LR.read_ticket_stream(spark, path, t.schema)
         out = LR.run_to_table(LR.status_by_period_stream(stream),
-                              "ticket_status_" + uuid.uuid4().hex[:8], ckpt)
+                              scratch_path(spark, "ticket_status"), ckpt)
     return out
 
 

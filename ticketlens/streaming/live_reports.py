@@ -41,13 +41,18 @@ def status_by_period_stream(tickets: DataFrame, period: str = R.YEAR) -> DataFra
     return g.withColumn(SUCCESS_PCT, success_pct(F.col(OK), handled, 2, zero_when_empty=False))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process everything available now into an in-memory table and return
-    it as a static DataFrame (for tests and one-shot refreshes)."""
-    q = (stream.writeStream.outputMode(mode).format("memory").queryName(name)
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Process everything available now, write the result table of the last
+    trigger to ``path`` and return it as a static DataFrame.  Nothing passes
+    through the driver; a trigger replayed after a failure overwrites the
+    same table."""
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = (stream.writeStream.outputMode(mode).foreachBatch(replace)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.parquet(path)
 
 
 def static_count_cubes(tickets: DataFrame) -> dict:
