@@ -20,6 +20,10 @@ first token they share, and only if enough tokens follow it in both to reach
 the overlap that their sizes ask for.  No link between components is lost, and
 no cap exists.
 
+Before any text is fetched, a pair passes a bitmap filter: every token flips
+one of a few hundred bits, so two sets differ in at least as many tokens as
+their bitmaps differ in bits.
+
 Defined results: a text with fewer words than an n-gram has is one token of
 all its words; without words or with null text the set is empty and links with
 nothing; equal texts always link; documents with a null id take part and have
@@ -46,7 +50,9 @@ _CHUNK = 1 << 14
 #: Prefix extensions considered, and the cost of a verification in postings read.
 MAX_EXTENSION = 6
 VERIFY_COST = 8.0
-BLOOM_BITS = 23
+BLOOM_BITS = 25
+#: 64-bit words of the bitmap of a set.
+BITMAP_WORDS = 8
 #: Bytes of text turned into tokens at once; nodes a task remembers.
 SLICE = 1 << 20
 SEEN = 1 << 18
@@ -72,6 +78,10 @@ class Jaccard:
         """The common tokens that two sets of these sizes need."""
         return F.ceil(((a + b) * self.share) / (self.share + self.per))
 
+    def may_link(self, a: Column, b: Column, flipped: Column) -> Column:
+        """Can sets of these sizes link if they differ in so many tokens?"""
+        return flipped + self.overlap(a, b) * 2 <= a + b
+
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.per >= F.greatest(a, b) * self.share
 
@@ -176,6 +186,20 @@ def choose_extension(frequency: np.ndarray, size: int, least: int) -> int:
     return best
 
 
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the tokens in each of 64 * BITMAP_WORDS cells."""
+    cells = np.bincount((tokens & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+
+
+def _flipped(a: Column, b: Column) -> Column:
+    """Bits in which two bitmaps differ."""
+    out = F.lit(0)
+    for i in range(BITMAP_WORDS):
+        out = out + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return out
+
+
 def _prefixes(jaccard: Jaccard, shared):
     def run(batches):
         counts = shared.value
@@ -194,8 +218,8 @@ def _prefixes(jaccard: Jaccard, shared):
                 order = np.lexsort((tokens, about))
                 ext = choose_extension(np.maximum(about[order] - noise, 0.0), size, least)
                 prefix = tokens[order[:size - least + ext]]
-                out.append((node, size, ext, prefix.view(np.int64)))
-            yield pd.DataFrame(out, columns=["node", "size", "need", "tokens"])
+                out.append((node, size, ext, _bitmap(tokens), prefix.view(np.int64)))
+            yield pd.DataFrame(out, columns=["node", "size", "need", "bitmap", "tokens"])
     return run
 
 
@@ -203,32 +227,61 @@ def _prefixes(jaccard: Jaccard, shared):
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     h = mix(np.asarray(ids, np.int64).view(np.uint64))
-    return np.stack([(h >> np.uint64(s)) & np.uint64((1 << BLOOM_BITS) - 1) for s in (0, 13, 27, 41)]).astype(np.int64)
+    return np.stack([(h >> np.uint64(s)) & np.uint64((1 << BLOOM_BITS) - 1) for s in (0, 13, 26, 39)]).astype(np.int64)
 
 
-def _bloom(batches):
-    bits = np.zeros(1 << BLOOM_BITS, bool)
-    for batch in batches:
-        bits[_bits(batch["key"].to_numpy()).ravel()] = True
-    yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+def _bloom_filter(ids: DataFrame) -> np.ndarray:
+    """Packed bits of a Bloom filter over a column of numbers: of fixed size,
+    so a table that is too long for it only makes it less selective."""
+    def filled(batches):
+        bits = np.zeros(1 << BLOOM_BITS, bool)
+        for batch in batches:
+            bits[_bits(batch.iloc[:, 0].to_numpy()).ravel()] = True
+        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+    packed = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
+    for r in ids.coalesce(4).mapInPandas(filled, "bits binary").toLocalIterator():
+        packed |= np.frombuffer(r["bits"], np.uint8)
+    return packed
+
+
+def _maybe_in(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _bits(ids)
+    return ((packed[at >> 3] >> (7 - (at & 7))) & 1).all(axis=0)
 
 
 def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, text`` for the documents in ``wanted(node, key)``.  A Bloom
-    filter of fixed size spares most other texts the shuffle."""
-    bits = np.zeros(1 << BLOOM_BITS, bool)
-    for r in wanted.select("key").coalesce(8).mapInPandas(_bloom, "bits binary").toLocalIterator():
-        bits |= np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    """``node, text`` for the documents in ``wanted(node, key)``; the filter
+    spares most other texts the shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom_filter(wanted.select("key")))
 
     @F.pandas_udf("boolean")
     def maybe(keys: pd.Series) -> pd.Series:
-        known = np.unpackbits(shared.value).astype(bool)
-        return pd.Series(known[_bits(keys.to_numpy())].all(axis=0))
+        return pd.Series(_maybe_in(shared.value, keys.to_numpy()))
 
     return wanted.join(docs.select("key", "text").where(maybe("key")), "key").select("node", "text")
 
 
+def _common_tokens(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, size, need, pos, token, lead`` of the prefix tokens that two
+    nodes at least have; ``lead`` is the smallest node of the token."""
+    counts = prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    repeated = scratch.stored(counts.where("n > 1").select("token"), "jaccard-repeated")
+    shared = prefixes.sparkSession.sparkContext.broadcast(_bloom_filter(repeated))
+
+    @F.pandas_udf("array<int>")
+    def positions(tokens: pd.Series) -> pd.Series:
+        """Where a prefix has tokens that may be repeated."""
+        return pd.Series([np.flatnonzero(_maybe_in(shared.value, np.asarray(t))).astype(np.int32) for t in tokens])
+
+    rows = (prefixes.select("node", "size", "need", "tokens", F.explode(positions("tokens")).alias("pos"))
+            .withColumn("token", F.get("tokens", F.col("pos"))).drop("tokens"))
+    common = scratch.stored(rows.join(repeated, "token").distinct(), "jaccard-common")
+    heads = scratch.stored(common.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
+                           .where("lead < last").select("token", "lead"), "jaccard-heads")
+    return scratch.stored(common.join(heads, "token"), "jaccard-postings")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, jaccard: Jaccard, scratch: Scratch, name: str) -> DataFrame:
     """The pairs ``(a, b)`` of nodes that reach the threshold."""
     pairs = scratch.stored(pairs.select("a", "b"), f"{name}-pairs")
@@ -250,16 +303,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, jaccard: Jacc
     return scratch.stored(both.where(links("a", "ta", "b", "tb")).select("a", "b"), f"{name}-links")
 
 
-def _placed(common: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
-    """The shared postings, once per node, with the node's component and the
-    first tokens that its prefix shares with any other, in prefix order."""
-    carried = F.slice(F.sort_array(F.collect_set(F.struct("pos", "token"))), 1, CARRIED + 1)
-    lists = (common.groupBy("node", "size", "need").agg(carried.alias("tokens"))
-             .join(joined.select(F.col("id").alias("node"), "component"), "node", "left"))
-    lists = lists.select("node", "size", "need", F.coalesce("component", "node").alias("component"),
+def _placed(common: DataFrame, bitmaps: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
+    """The postings with the node's component, its bitmap and the first
+    tokens that its prefix shares with any other, in prefix order."""
+    carried = F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, CARRIED + 1)
+    lists = (common.groupBy("node").agg(carried.alias("tokens"))
+             .join(joined.select(F.col("id").alias("node"), "component"), "node", "left")
+             .join(bitmaps.select("node", "bitmap"), "node"))
+    lists = lists.select("node", "bitmap", F.coalesce("component", "node").alias("component"),
                          F.slice("tokens.token", 1, CARRIED).alias("carried"),
                          (F.size("tokens") <= CARRIED).alias("complete"))
-    rows = common.select("node", "pos", "token").distinct().join(lists, "node")
+    rows = common.select("node", "size", "need", "pos", "token").join(lists, "node")
     return scratch.stored(rows, "jaccard-placed")
 
 
@@ -279,6 +333,7 @@ def _across(placed: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
            & ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("node_a") < F.col("node_b"))))
            & jaccard.sizes_fit(F.col("size_a"), F.col("size_b"))
            & (F.col("pos_a") + need <= F.col("size_a")) & (F.col("pos_b") + need <= F.col("size_b"))
+           & jaccard.may_link(F.col("size_a"), F.col("size_b"), _flipped(F.col("bitmap_a"), F.col("bitmap_b")))
            & F.coalesce(F.get(both, F.lit(0)) == F.col("token_a"), F.lit(True))
            & ((F.size(both) >= F.least("need_a", "need_b")) | ~F.col("complete_a") | ~F.col("complete_b")))
     pairs = a.withColumnRenamed("token", "token_a").join(
@@ -304,25 +359,24 @@ def near_duplicates(documents: DataFrame, jaccard: Jaccard = Jaccard(), doc_id:
         F.min("key").alias("key"), F.min("doc_id").alias("first_id")), "jaccard-nodes")
 
     prefixes = scratch.stored(docs.select("text").mapInPandas(
-        _prefixes(jaccard, shared), "node bigint, size int, need int, tokens array<bigint>"), "jaccard-prefixes")
-    postings = prefixes.select("node", "size", "need", F.posexplode("tokens").alias("pos", "token"))
-    heads = scratch.stored(postings.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-                   .where("lead < last").select("token", "lead"), "jaccard-heads")
-    # tokens that stand in the prefixes of two nodes at least
-    common = scratch.stored(postings.join(heads, "token"), "jaccard-postings")
+        _prefixes(jaccard, shared), "node bigint, size int, need int, bitmap array<bigint>, tokens array<bigint>"),
+        "jaccard-prefixes")
+    common = _common_tokens(prefixes, scratch)
+    bitmaps = scratch.stored(prefixes.select("node", "size", "need", "bitmap").distinct(), "jaccard-bitmaps")
 
     # first round: every node with the leaders of its tokens
-    info = common.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("need").alias("need_b")).distinct()
-    led = (common.where("node != lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b"),
-                                                F.col("size").alias("size_a"), F.col("need").alias("need_a"))
+    side = lambda s: bitmaps.select(*[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in bitmaps.columns])
+    led = (common.where("node != lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b"))
            .agg(F.count("*").alias("common")))
-    first = led.join(info, "b").where((F.col("common") >= F.least("need_a", "need_b"))
-                                      & jaccard.sizes_fit(F.col("size_a"), F.col("size_b")))
+    sizes = (F.col("size_a"), F.col("size_b"))
+    first = led.join(side("b"), "b").join(side("a"), "a").where(
+        (F.col("common") >= F.least("need_a", "need_b")) & jaccard.sizes_fit(*sizes)
+        & jaccard.may_link(*sizes, _flipped(F.col("bitmap_a"), F.col("bitmap_b"))))
     links = _verified(first, docs, nodes, jaccard, scratch, "jaccard-first")
     joined = connected_components(links, "jaccard-components")
 
     # second round: across those components
-    across = _across(_placed(common, joined, scratch), jaccard, scratch)
+    across = _across(_placed(common, bitmaps, joined, scratch), jaccard, scratch)
     more = _verified(across, docs, nodes, jaccard, scratch, "jaccard-second")
     done = connected_components(links.unionByName(more), "jaccard-components")
 
