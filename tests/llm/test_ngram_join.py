@@ -90,3 +90,13 @@ def test_token_sets_and_extension():
     assert choose_extension(np.zeros(100), 100, 85) == 1
     assert choose_extension(np.r_[np.zeros(15), np.full(85, 1000.0)], 100, 85) == 1
     assert choose_extension(np.r_[np.full(16, 50.0), np.zeros(84)], 100, 85) == 6
+
+
+def test_sizes_that_can_link_share_a_window(spark):
+    from pyspark.sql import functions as F
+    for jaccard in (Jaccard(), Jaccard(words=4, share=85), Jaccard(share=99), Jaccard(share=100), Jaccard(share=30)):
+        rows = spark.range(1, 700).select("id", jaccard.size_windows(F.col("id")).alias("w")).collect()
+        windows = {r["id"]: set(r["w"]) for r in rows}
+        for a in windows:
+            for b in range(a, min(699, a * jaccard.per // jaccard.share) + 1):
+                assert windows[a] & windows[b], (jaccard, a, b)

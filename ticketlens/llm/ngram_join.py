@@ -33,6 +33,7 @@ documents of their own.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,12 +53,12 @@ MAX_EXTENSION = 6
 VERIFY_COST = 8.0
 BLOOM_BITS = 25
 #: 64-bit words of the bitmap of a set.
-BITMAP_WORDS = 8
+BITMAP_WORDS = 6
 #: Bytes of text turned into tokens at once; nodes a task remembers.
 SLICE = 1 << 20
 SEEN = 1 << 18
 #: Shared prefix tokens that a posting carries; longer lists are marked open.
-CARRIED = 32
+CARRIED = 12
 
 #: A-Z fold to a-z; the characters 9-13 and 32 separate words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -78,6 +79,14 @@ class Jaccard:
         """The common tokens that two sets of these sizes need."""
         return F.ceil(((a + b) * self.share) / (self.share + self.per))
 
+    def size_windows(self, size: Column) -> Column:
+        """Numbers of the two size windows that a set belongs to; two sets
+        whose sizes can link have one of them in common.  Windows span two
+        steps of the least size ratio and overlap by one."""
+        # a hair less than a step, so that rounding cannot part two sizes at the limit
+        step = F.log(size) / math.log(self.per / self.share) * 0.999999 if self.share < self.per else size
+        return F.array(F.floor(step / 2) * 2, F.floor((step + 1) / 2) * 2 - 1)
+
     def may_link(self, a: Column, b: Column, flipped: Column) -> Column:
         """Can sets of these sizes link if they differ in so many tokens?"""
         return flipped + self.overlap(a, b) * 2 <= a + b
@@ -262,9 +271,10 @@ def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(docs.select("key", "text").where(maybe("key")), "key").select("node", "text")
 
 
-def _common_tokens(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``node, size, need, pos, token, lead`` of the prefix tokens that two
-    nodes at least have; ``lead`` is the smallest node of the token."""
+def _common_tokens(prefixes: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
+    """``node, size, need, pos, token, meet, lead``: the prefix tokens that
+    two nodes of linkable sizes at least have.  ``meet`` names token and size
+    window, ``lead`` is the smallest node there."""
     counts = prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     repeated = scratch.stored(counts.where("n > 1").select("token"), "jaccard-repeated")
     shared = prefixes.sparkSession.sparkContext.broadcast(_bloom_filter(repeated))
@@ -276,10 +286,12 @@ def _common_tokens(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
 
     rows = (prefixes.select("node", "size", "need", "tokens", F.explode(positions("tokens")).alias("pos"))
             .withColumn("token", F.get("tokens", F.col("pos"))).drop("tokens"))
+    rows = rows.withColumn("meet", F.explode(F.transform(
+        jaccard.size_windows(F.col("size")), lambda w: F.xxhash64("token", w))))
     common = scratch.stored(rows.join(repeated, "token").distinct(), "jaccard-common")
-    heads = scratch.stored(common.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-                           .where("lead < last").select("token", "lead"), "jaccard-heads")
-    return scratch.stored(common.join(heads, "token"), "jaccard-postings")
+    heads = scratch.stored(common.groupBy("meet").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
+                           .where("lead < last").select("meet", "lead"), "jaccard-heads")
+    return scratch.stored(common.join(heads, "meet"), "jaccard-postings")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, jaccard: Jaccard, scratch: Scratch, name: str) -> DataFrame:
@@ -306,23 +318,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, jaccard: Jacc
 def _placed(common: DataFrame, bitmaps: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
     """The postings with the node's component, its bitmap and the first
     tokens that its prefix shares with any other, in prefix order."""
-    carried = F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, CARRIED + 1)
+    carried = F.slice(F.sort_array(F.collect_set(F.struct("pos", "token"))), 1, CARRIED + 1)
     lists = (common.groupBy("node").agg(carried.alias("tokens"))
              .join(joined.select(F.col("id").alias("node"), "component"), "node", "left")
              .join(bitmaps.select("node", "bitmap"), "node"))
     lists = lists.select("node", "bitmap", F.coalesce("component", "node").alias("component"),
                          F.slice("tokens.token", 1, CARRIED).alias("carried"),
                          (F.size("tokens") <= CARRIED).alias("complete"))
-    rows = common.select("node", "size", "need", "pos", "token").join(lists, "node")
+    rows = common.select("node", "size", "need", "pos", "token", "meet").join(lists, "node")
     return scratch.stored(rows, "jaccard-placed")
 
 
 def _across(placed: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
     """Candidate pairs of different components, each once."""
-    spans = (placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").select("token"))
-    live = scratch.stored(placed.join(scratch.stored(spans, "jaccard-open"), "token"), "jaccard-live")
-    side = lambda s: live.select("token", *[F.col(c).alias(f"{c}_{s}") for c in live.columns if c != "token"])
+    spans = (placed.groupBy("meet").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi").select("meet"))
+    live = scratch.stored(placed.join(scratch.stored(spans, "jaccard-open"), "meet"), "jaccard-live")
+    side = lambda s: live.select(*[F.col(c).alias(f"{c}_{s}") for c in live.columns])
     a, b = side("a"), side("b")
     # the smaller set comes first; a common first token stands early in it
     a = a.where(F.col("pos_a") <= F.col("size_a") - jaccard.overlap(F.col("size_a"), F.col("size_a")))
@@ -336,9 +348,9 @@ def _across(placed: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
            & jaccard.may_link(F.col("size_a"), F.col("size_b"), _flipped(F.col("bitmap_a"), F.col("bitmap_b")))
            & F.coalesce(F.get(both, F.lit(0)) == F.col("token_a"), F.lit(True))
            & ((F.size(both) >= F.least("need_a", "need_b")) | ~F.col("complete_a") | ~F.col("complete_b")))
-    pairs = a.withColumnRenamed("token", "token_a").join(
-        b.withColumnRenamed("token", "token_b"), (F.col("token_a") == F.col("token_b")) & met)
-    # only sets with longer lists than are carried can meet at two tokens
+    pairs = a.join(b, (F.col("meet_a") == F.col("meet_b")) & (F.col("token_a") == F.col("token_b")) & met)
+    # sets meet in both of their windows, or, with longer lists than are
+    # carried, at several tokens
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -361,7 +373,7 @@ def near_duplicates(documents: DataFrame, jaccard: Jaccard = Jaccard(), doc_id:
     prefixes = scratch.stored(docs.select("text").mapInPandas(
         _prefixes(jaccard, shared), "node bigint, size int, need int, bitmap array<bigint>, tokens array<bigint>"),
         "jaccard-prefixes")
-    common = _common_tokens(prefixes, scratch)
+    common = _common_tokens(prefixes, jaccard, scratch)
     bitmaps = scratch.stored(prefixes.select("node", "size", "need", "bitmap").distinct(), "jaccard-bitmaps")
 
     # first round: every node with the leaders of its tokens
