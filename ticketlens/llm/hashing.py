@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _K = 0x9E3779B97F4A7C15 | 1
 _U64 = np.uint64
 

@@ -19,6 +19,7 @@ code point order.  Rows are scored one by one.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ from .common import stored
 UNDETERMINED = "und"
 MAX_ORDER = 4
 #: Scores of unseen words kept by one worker between texts.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -139,18 +140,12 @@ class Scorer(dict):
         return self.model.langs[best], float(1.0 / np.exp(logs - logs[best]).sum())
 
 
-#: The scorer of this worker, kept between batches of one model.
-_latest: list[Scorer] = []
-
-
 def predict(text: Column, shared) -> Column:
     """``struct<lang, score>`` of a text column; ``shared`` is a broadcast
-    :class:`Model`."""
+    :class:`Model`.  A scorer and its remembered words live for one task."""
     @F.pandas_udf("struct<lang:string,score:double>")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        model = shared.value
-        if not _latest or _latest[0].model is not model:
-            _latest[:] = [Scorer(model)]
-        scorer = _latest[0]
-        return pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang", "score"])
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang", "score"])
     return scored(text)

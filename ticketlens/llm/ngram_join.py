@@ -12,7 +12,7 @@ orders tokens and weighs costs; the result does not depend on its errors.
 
 Groups of copies.  Equal sets are one node, so exact copies cost one row per
 task.  Candidates are made in two rounds.  In the first every document meets
-only the *leader* (smallest node) of each of its prefix tokens, which is
+only the *leader* (one node, by hash) of each of its prefix tokens, which is
 linear in the postings and joins the members of a large group that is dense.
 In the second the documents of a token meet, but only across the components
 found so far (a pair inside one component can change nothing), only at the
@@ -55,7 +55,7 @@ BLOOM_BITS = 25
 #: 64-bit words of the bitmap of a set.
 BITMAP_WORDS = 6
 #: Bytes of text turned into tokens at once; nodes a task remembers.
-SLICE = 1 << 20
+SLICE = 1 << 18
 SEEN = 1 << 18
 #: Shared prefix tokens that a posting carries; longer lists are marked open.
 CARRIED = 12
@@ -274,7 +274,7 @@ def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _common_tokens(prefixes: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
     """``node, size, need, pos, token, meet, lead``: the prefix tokens that
     two nodes of linkable sizes at least have.  ``meet`` names token and size
-    window, ``lead`` is the smallest node there."""
+    window, ``lead`` is one of the nodes there, by hash."""
     counts = prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     repeated = scratch.stored(counts.where("n > 1").select("token"), "jaccard-repeated")
     shared = prefixes.sparkSession.sparkContext.broadcast(_bloom_filter(repeated))
@@ -289,8 +289,10 @@ def _common_tokens(prefixes: DataFrame, jaccard: Jaccard, scratch: Scratch) -> D
     rows = rows.withColumn("meet", F.explode(F.transform(
         jaccard.size_windows(F.col("size")), lambda w: F.xxhash64("token", w))))
     common = scratch.stored(rows.join(repeated, "token").distinct(), "jaccard-common")
-    heads = scratch.stored(common.groupBy("meet").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-                           .where("lead < last").select("meet", "lead"), "jaccard-heads")
+    # every meeting has a leader of its own, so a group gets many of them
+    heads = scratch.stored(common.groupBy("meet").agg(
+        F.min_by("node", F.xxhash64("node", "meet")).alias("lead"),
+        F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("meet", "lead"), "jaccard-heads")
     return scratch.stored(common.join(heads, "meet"), "jaccard-postings")
 
 
@@ -378,12 +380,10 @@ def near_duplicates(documents: DataFrame, jaccard: Jaccard = Jaccard(), doc_id:
 
     # first round: every node with the leaders of its tokens
     side = lambda s: bitmaps.select(*[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in bitmaps.columns])
-    led = (common.where("node != lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b"))
-           .agg(F.count("*").alias("common")))
+    led = common.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     sizes = (F.col("size_a"), F.col("size_b"))
     first = led.join(side("b"), "b").join(side("a"), "a").where(
-        (F.col("common") >= F.least("need_a", "need_b")) & jaccard.sizes_fit(*sizes)
-        & jaccard.may_link(*sizes, _flipped(F.col("bitmap_a"), F.col("bitmap_b"))))
+        jaccard.sizes_fit(*sizes) & jaccard.may_link(*sizes, _flipped(F.col("bitmap_a"), F.col("bitmap_b"))))
     links = _verified(first, docs, nodes, jaccard, scratch, "jaccard-first")
     joined = connected_components(links, "jaccard-components")
 
