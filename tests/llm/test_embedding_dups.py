@@ -95,3 +95,22 @@ def test_components(spark, links):
 def test_more_vectors_take_more_passes():
     counts = [passes_for(n, 0.95, 32, 0.99) for n in (100, 10_000, 10**6, 10**9)]
     assert counts == sorted(counts) and counts[0] < counts[-1] < 200
+
+
+@pytest.mark.parametrize("pairs, spread", [(16384, 0.7), (16384, 0.85), (64, 0.85)])
+def test_pairs_in_a_crowded_cone_are_found(spark, monkeypatch, pairs, spread):
+    """A third of the vectors has a mutual cosine of ``spread``; planted pairs at 0.955."""
+    from ticketlens.llm import embedding_dups
+    monkeypatch.setattr(embedding_dups, "PAIRS", pairs, raising=False)
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    n, planted = 12_000, 400
+    x = unit(rng.standard_normal((n, 64)))
+    hot = n // 3
+    x[:hot] = unit(np.sqrt(spread) * x[-1] + np.sqrt(1 - spread) * x[:hot])
+    aside = rng.standard_normal((planted, 64))
+    aside = unit(aside - (aside * x[:planted]).sum(axis=1)[:, None] * x[:planted])
+    y = 0.955 * x[:planted] + np.sqrt(1 - 0.955 ** 2) * aside
+    rows = [(i, v.tolist(), "n") for i, v in enumerate(np.concatenate([x, y]))]
+    got = {r["vec_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[i] == got[n + i] for i in range(planted)) >= 0.99 * planted

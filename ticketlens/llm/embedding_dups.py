@@ -12,9 +12,14 @@ Exact copies are one vector with a count.  A dense group holds more links
 than windows can show, so the members of each component are then compared
 with each other, in blocks of bounded size, and their links counted exactly.
 
-The number of passes follows from the number of vectors, so that a pair right
-at the threshold shares the prefix that a window resolves in some pass with
-probability of at least ``recall``.
+The first passes are as many as evenly spread keys need.  Keys crowd where
+many vectors point the same way, so each pass also measures, for every vector,
+the prefix length at which all vectors that share it lie in the window.  From
+these lengths follows the probability that a pair at the threshold was seen in
+some pass; vectors below ``recall`` go through more passes with wider windows,
+until all have reached it.  Where that would cost as much as comparing the
+remaining vectors with each other (few vectors, or a group so dense that no
+key parts it), they are compared with each other, in blocks, exactly.
 
 Defined results: vectors that are null, empty, zero, or hold null or
 non-finite components link with nothing; vectors of different lengths are
@@ -24,6 +29,7 @@ never compared; repeated rows link with each other.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,12 +42,18 @@ from .common import Scratch, stored
 from .components import connected_components
 
 WINDOW = 32
-KEY_BITS = 48
+KEY_BITS = 62
+#: The window of the passes over vectors in crowded places.
+WIDE = 512
+#: Remaining vectors that are compared with each other without more passes.
+PAIRS = 16384
+#: Passes over crowded vectors before the crowding is measured anew.
+LEAST_PASSES, MOST_PASSES = 8, 64
 #: Members compared with each other in one group.
 BLOCK = 1024
 #: Kinds of rows that a pass returns.
-LINK, BORDER = 0, 1
-_EDGE = "kind int, a bigint, b bigint, border bigint, pass int, dim int, vec binary"
+LINK, BORDER, CREDIT = 0, 1, 2
+_EDGE = "kind int, a bigint, b bigint, border bigint, pass int, dim int, vec binary, credit double"
 
 
 def passes_for(n: int, threshold: float, window: int, recall: float) -> int:
@@ -61,7 +73,7 @@ def _unit(blobs) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _keyed(passes: int, seed: int):
+def _keyed(first: int, passes: int, seed: int):
     weigh = (1 << np.arange(KEY_BITS - 1, -1, -1)).astype(np.int64)
 
     def run(batches):
@@ -69,7 +81,7 @@ def _keyed(passes: int, seed: int):
             for dim, rows in batch.groupby("dim"):
                 x = np.stack([np.asarray(v, np.float64) for v in rows["vec"]])
                 blobs = [v.tobytes() for v in x]
-                for p in range(passes):
+                for p in range(first, first + passes):
                     key = ((x @ _projections(int(dim), p, seed).T) > 0) @ weigh
                     yield pd.DataFrame({"pass": np.int32(p), "dim": np.int32(dim), "key": key,
                                         "node": rows["node"].to_numpy(), "vec": blobs})
@@ -97,20 +109,49 @@ class _Union:
         return _frame(LINK, [a for a, _ in ends], [b for _, b in ends])
 
 
-def _frame(kind: int, a, b, border=None, number=None, dim=None, vec=None) -> pd.DataFrame:
+def _frame(kind: int, a, b, border=None, number=None, dim=None, vec=None, credit=None) -> pd.DataFrame:
     n = len(a)
     return pd.DataFrame({"kind": np.full(n, kind, np.int32), "a": pd.array(a, "Int64"), "b": pd.array(b if b is not None else [None] * n, "Int64"),
                          "border": pd.array(border if border is not None else [None] * n, "Int64"),
                          "pass": pd.array(number if number is not None else [None] * n, "Int32"),
                          "dim": pd.array(dim if dim is not None else [None] * n, "Int32"),
-                         "vec": vec if vec is not None else [None] * n})
+                         "vec": vec if vec is not None else [None] * n,
+                         "credit": pd.array(credit if credit is not None else [None] * n, "Float64")})
+
+
+def _shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading bits that two keys have in common."""
+    x = a ^ b
+    high = x >> 31
+    used = np.where(high > 0, 31 + np.frexp(high.astype(float))[1], np.frexp(x.astype(float))[1])
+    return KEY_BITS - used
+
+
+def _credits(key: np.ndarray, window: int, opens: bool, closes: bool, agree: float) -> np.ndarray:
+    """What a pass adds to -log(probability that a pair at the threshold is
+    missed), for each of a sorted run of keys.  A vector that shares more bits
+    than the rows at the window's ends lies inside the window.  Where the
+    partition ends within the window, its last row stands for what follows."""
+    n, at = len(key), np.arange(len(key))
+    before = _shared_bits(key, key[np.maximum(at - window, 0)])
+    after = _shared_bits(key, key[np.minimum(at + window, n - 1)])
+    if opens:
+        before[:window] = -1
+    if closes:
+        after[max(0, n - window):] = -1
+    bits = 1 + np.maximum(before, after)
+    credit = np.minimum(-np.log1p(-np.minimum(agree ** bits, 1 - 1e-12)), 50.0)
+    return np.where(bits > KEY_BITS, 0.0, credit)
 
 
 def _windows(window: int, threshold: float):
     def run(batches):
         at = TaskContext.get().partitionId()
-        found, head, tail = _Union(), None, None
+        agree = 1 - math.acos(threshold) / math.pi
+        found, head, tail, keys = _Union(), None, None, []
         for batch in batches:
+            keys.append(batch[["pass", "dim", "key", "node"]])
+            batch = batch.drop(columns="key")
             rows = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
             for _, part in rows.groupby(["pass", "dim"], sort=False):
                 _compare(part, window, threshold, found)
@@ -120,6 +161,11 @@ def _windows(window: int, threshold: float):
             head = head.iloc[:window]
             tail = rows.iloc[-window:]
         yield found.frame()
+        if keys:
+            runs = [g for _, g in pd.concat(keys, ignore_index=True).groupby(["pass", "dim"], sort=False)]
+            for i, run in enumerate(runs):
+                credit = _credits(run["key"].to_numpy(), window, i > 0, i < len(runs) - 1, agree)
+                yield _frame(CREDIT, run["node"].to_numpy(), None, credit=credit)
         # the first rows meet the previous partition's last rows, and so on
         for side, border in ((head, at - 1), (tail, at)):
             if side is not None:
@@ -135,10 +181,20 @@ def _compare(rows: pd.DataFrame, window: int, threshold: float, found: _Union) -
     step = 256
     for i in range(0, len(node), step):
         near = x[i:i + step] @ x[i:i + step + window].T
-        a, b = np.nonzero(near >= threshold)
-        keep = (b > a) & (b - a <= window)
-        for p, q in zip(node[i + a[keep]].tolist(), node[i + b[keep]].tolist()):
-            found.join(p, q)
+        ahead = np.arange(near.shape[1])[None, :] - np.arange(near.shape[0])[:, None]
+        _unite((near >= threshold) & (ahead > 0) & (ahead <= window), node[i:i + step], node[i:i + step + window], found)
+
+
+def _unite(near: np.ndarray, left: np.ndarray, right: np.ndarray, found: _Union) -> None:
+    """Join each left node with the right nodes marked in its row; right
+    nodes that have been joined with each other count once."""
+    group = np.arange(len(right))
+    for a in np.flatnonzero(near.any(axis=1)):
+        groups, first = np.unique(group[near[a]], return_index=True)
+        for q in right[np.flatnonzero(near[a])[first]].tolist():
+            found.join(int(left[a]), q)
+        if len(groups) > 1:
+            group[np.isin(group, groups)] = groups[0]
 
 
 def _border(threshold: float):
@@ -147,12 +203,37 @@ def _border(threshold: float):
         for _, part in rows.groupby(["pass", "dim"]):
             x, node, side = _unit(part["vec"]), part["a"].to_numpy(), part["b"].to_numpy()
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            for p, q in zip(*np.nonzero(x[left] @ x[right].T >= threshold)):
-                found.join(int(node[left[p]]), int(node[right[q]]))
+            if len(left) and len(right):
+                _unite(x[left] @ x[right].T >= threshold, node[left], node[right], found)
+        return found.frame()[["a", "b"]]
+    return run
+
+
+def _all_pairs(threshold: float):
+    """Block i with block j, or a block with itself."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = _Union()
+        for _, part in rows.groupby("dim"):
+            x, node = _unit(part["vec"]), part["node"].to_numpy()
+            left, right = np.flatnonzero(part["mine"] == part["i"]), np.flatnonzero(part["mine"] == part["j"])
+            for at in range(0, len(left), 256):
+                if len(right):
+                    a = left[at:at + 256]
+                    _unite(x[a] @ x[right].T >= threshold, node[a], node[right], found)
         return found.frame()[["a", "b"]]
     return run
 
 
+def _each_with_each(rows: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Links of ``rows(node, dim, vec)`` among each other, all of them compared."""
+    blocks = math.ceil(n / min(max(BLOCK, n // 16), 8 * BLOCK))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    each = (rows.select("node", "dim", _blob("vec").alias("vec"), F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("mine"))
+            .withColumn("other", other))
+    return (each.select("node", "dim", "vec", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+            .groupBy("i", "j").applyInPandas(_all_pairs(threshold), "a bigint, b bigint"))
+
+
 def _counted(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -185,18 +266,27 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                 F.monotonically_increasing_id().alias("node")), "vectors")
     n = nodes.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    passes = passes_for(max(n, 2), threshold, window, recall)
-
-    keyed = nodes.select("node", "dim", "vec").mapInPandas(
-        _keyed(passes, seed), "pass int, dim int, key bigint, node bigint, vec binary")
-    order = ["pass", "dim", "key", "node"]
     scratch = Scratch(spark)
-    compared = scratch.stored(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                      .select("pass", "dim", "node", "vec").mapInPandas(_windows(window, threshold), _EDGE), "windows")
-    inner = compared.where(F.col("kind") == LINK).select("a", "b")
-    border = (compared.where((F.col("kind") == BORDER) & (F.col("border") >= 0)).groupBy("border")
-              .applyInPandas(_border(threshold), "a bigint, b bigint"))
-    found = connected_components(inner.unionByName(border), "vector-components")
+    links, left, passes = [], n, passes_for(max(n, 2), threshold, window, recall)
+    active = nodes.select("node", "dim", "vec", F.lit(0.0).alias("credit"))
+    wanted, width, first = -math.log(1 - recall), window, 0
+    while left:
+        compared = scratch.stored(_compared(active, parts, first, passes, width, threshold, seed), f"windows-{first}")
+        links += [compared.where(F.col("kind") == LINK).select("a", "b"),
+                  compared.where((F.col("kind") == BORDER) & (F.col("border") >= 0)).groupBy("border")
+                  .applyInPandas(_border(threshold), "a bigint, b bigint")]
+        gained = compared.where(F.col("kind") == CREDIT).groupBy(F.col("a").alias("node")).agg(F.sum("credit").alias("gained"))
+        active = scratch.stored(active.join(gained, "node").withColumn("credit", F.col("credit") + F.col("gained"))
+                                .where(F.col("credit") < wanted), f"crowded-{first}")
+        left, slow = active.agg(F.count("*"), F.percentile_approx("gained", 0.1)).first()
+        needed = math.ceil(wanted * passes / max(slow or 0.0, 1e-9))
+        if left and (left <= PAIRS or (width > window and needed * width >= left / 2)):
+            links.append(_each_with_each(active, left, threshold))
+            break
+        first += passes
+        active, width, passes = active.drop("gained"), max(window, WIDE), max(LEAST_PASSES, min(MOST_PASSES, needed))
+    links = links or [spark.createDataFrame([], "a bigint, b bigint")]
+    found = connected_components(reduce(DataFrame.unionByName, links), "vector-components")
 
     scratch.clear()
 
@@ -228,6 +318,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                       F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+def _compared(active: DataFrame, parts: int, first: int, passes: int, window: int, threshold: float, seed: int) -> DataFrame:
+    keyed = active.select("node", "dim", "vec").mapInPandas(
+        _keyed(first, passes, seed), "pass int, dim int, key bigint, node bigint, vec binary")
+    order = ["pass", "dim", "key", "node"]
+    return (keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+            .select("pass", "dim", "key", "node", "vec").mapInPandas(_windows(window, threshold), _EDGE))
+
+
 @F.pandas_udf(T.BinaryType())
 def _blob(vectors: pd.Series) -> pd.Series:
     return pd.Series([np.asarray(v, np.float64).tobytes() for v in vectors], dtype=object)
