@@ -93,3 +93,28 @@ def test_columns_with_clashing_names_and_an_empty_table(spark):
     assert out.columns == frame.columns and out.distinct().count() == 1 and out.count() == 2
     assert pseudonymise(frame.where("false"), KEY).count() == 0
     assert pseudonymise(frame, KEY).collect()[0]["text"] != "1.2.3.4"
+
+
+def test_letters_of_every_script_change(spark):
+    names = ["иван.петров", "ИВАН.ПЕТРОВ", "γιώργος", "李小龍", "김철수", "łukasz.żółć", "straße", "ÿß", "يوسف", "𠮷野", "Ивaн7"]
+    rows = _run(spark, [f"to {n}@mail.example.org." for n in names])
+    new = [re.fullmatch(r"to (.+)@mail\.example\.org\.", r["text"])[1] for r in rows]
+    assert [r["kinds"] for r in rows] == [["email"]] * len(names) and len(set(new)) == len(names)
+    for old, now in zip(names, new):
+        assert len(now) == len(old) and [c.isalnum() for c in now] == [c.isalnum() for c in old]
+        assert sum(a == b and a.isalnum() for a, b in zip(old, now)) <= 1, (old, now)
+    assert new[1].lower() == new[0] and new[1] == new[0].upper()
+    assert _run(spark, ["._%@mail.example.org"])[0]["kinds"] == []              # nothing to replace
+
+
+def test_long_secrets_grouped_ibans_and_month_first_dates(spark):
+    secret = "0f1e2d3c" * 32
+    texts = [f'key "{secret}"', f"'{'ab12' * 5000}'", "iban DE89 3704 0044 0532 0130 00 OK", "BE68 5390 0754 7034 OK", "12/25/2020"]
+    rows = _run(spark, texts + ["DE89370400440532013000"])
+    assert [r["kinds"] for r in rows] == [["secret"], ["secret"], ["iban"], ["iban"], ["date"], ["iban"]]
+    new = [r["text"] for r in rows]
+    assert re.fullmatch('key "[0-9a-f]{256}"', new[0]) and secret not in new[0] and len(new[1]) == 20_002
+    grouped = re.fullmatch(r"iban (DE\d\d(?: \d{4}){4} \d\d) OK", new[2])[1]
+    assert grouped.replace(" ", "") == new[5] != "DE89370400440532013000"
+    assert re.fullmatch(r"BE\d\d(?: \d{4}){3} OK", new[3]) and new[3] != texts[3]
+    assert new[4] != texts[4] and datetime.datetime.strptime(new[4], "%m/%d/%Y")

@@ -6,11 +6,13 @@ right check digit, an address keeps four octets, a date stays a real date.
 The permutation depends on the key and the value alone, so equal values stay
 linked across documents, and distinct values of a format stay distinct.
 
-Kinds: ``email`` (local part), ``card`` (13-19 digits, Luhn), ``ipv4``,
-``phone`` (the last ten digits), ``ssn``, ``iban`` (mod 97), ``date`` (ISO,
-day first with ``/`` or ``.``; years 1800-2199) and ``secret`` (a quoted run
-of 32 or more hexadecimal digits).  What fails its validation (a number with
-a wrong check digit, 2023-02-30) is left as it is.
+Kinds: ``email`` (local part, letters of every script), ``card`` (13-19 digits,
+Luhn), ``ipv4``, ``phone`` (the last ten digits), ``ssn``, ``iban`` (mod 97; in
+one piece, or in groups of four where the country's length is known), ``date``
+(ISO, day first with ``/`` or ``.``, month first with ``/`` where that is no
+date; years 1800-2199) and ``secret`` (a quoted run of 32 or more hexadecimal
+digits).  What fails its validation (a number with a wrong check digit,
+2023-02-30) is left as it is; a kind is reported where a value changed.
 
 Defined results: null text stays null with nothing found; a text without a
 valid value is unchanged.  Rows are independent; other columns are kept.
@@ -19,6 +21,8 @@ valid value is unchanged.  Rows are independent; other columns are kept.
 from __future__ import annotations
 
 import re
+import unicodedata
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,17 +37,51 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 HEX = "0123456789abcdef"
 
+
+def _other_letters() -> tuple[tuple[str, ...], str, list[tuple[int, int]]]:
+    """The letters and numbers outside the alphabets above: lower case with a
+    capital of its own, by script; runs of code points without case (first,
+    length); and single ones."""
+    known = set(DIGITS + LETTERS + ACCENTED)
+    known |= {c.upper() for c in known}
+    rest = [c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c)[0] in "LN" and c not in known]
+    lower = [c for c in rest if len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c and c.upper() not in known]
+    scripts: dict[str, str] = {}
+    for c in lower:
+        script = unicodedata.name(c).split()[0]
+        scripts[script] = scripts.get(script, "") + c
+    cased = set(lower) | {c.upper() for c in lower}
+    plain = [ord(c) for c in rest if c not in cased]
+    runs = [[n for _, n in g] for _, g in groupby(enumerate(plain), lambda x: x[1] - x[0])]
+    return (tuple(scripts.values()), "".join(chr(r[0]) for r in runs if len(r) == 1),
+            [(r[0], len(r)) for r in runs if len(r) > 1])
+
+
+CASED, SINGLE, RUNS = _other_letters()
+#: Codes from here on are code points of ``RUNS``.
+_POINT = 1 << 24
+
+#: Countries by the length of their IBAN.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_GROUPED = "|".join(
+    rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, countries in IBAN_LENGTHS.items())
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: How each kind is written (Java regular expressions).
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
+    "iban": r"(?<![\p{L}\p{N}])(?:[A-Z]{2}\d{2}[A-Z0-9]{11,30}|" + _GROUPED + r")(?![\p{L}\p{N}])",
     "ipv4": rf"(?<![\p{{L}}\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "date": r"(?<![\p{L}\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])",
     "card": r"(?<![\p{L}\d])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
-    "secret": r"(?<=[\"'])[0-9A-Fa-f]{32,128}(?=[\"'])",
+    "secret": r"(?<=[\"'])[0-9A-Fa-f]{32,}+(?=[\"'])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -69,47 +107,79 @@ def feistel_pair(a: Column, b: Column, size_a: int, size_b: int, key: str, tweak
         s["mb"].alias("ma"), s["ma"].alias("mb")))
 
 
-def feistel_text(value: Column, key: str, tweak: str, alphabets: tuple[str, ...] = (DIGITS, LETTERS, ACCENTED)) -> Column:
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def feistel_text(value: Column, key: str, tweak: str, alphabets: tuple[str, ...] = (DIGITS, LETTERS, ACCENTED),
+                 every: bool = False) -> Column:
     """Permute the characters of a text within their alphabets.  Case is
-    kept apart, so a value in capitals gets the same pseudonym in capitals;
-    characters of no alphabet stay."""
-    symbols = "".join(alphabets)
+    kept apart, so a value in capitals gets the same pseudonym in capitals.
+    With ``every`` all other letters and numbers are permuted too, within
+    their script or run of code points; characters of no alphabet stay."""
+    cased = alphabets + CASED if every else alphabets
+    sets = cased + (SINGLE,) if every else cased
+    symbols, upto = "".join(sets), len("".join(cased))
     chars = F.filter(F.split(value, ""), lambda c: c != "")
-    code = lambda c: F.instr(F.lit(symbols), F.lower(c)) - 1
-
-    def per_alphabet(c, pick):
+    firsts, sizes = (F.split(F.lit(",".join(str(r[i]) for r in RUNS)), ",").cast("array<int>") for i in (0, 1))
+    run = lambda point: F.size(F.filter(firsts, lambda f: f <= point)) - 1
+
+    def code(c):
+        plain = F.instr(F.lit(symbols[:upto]), F.lower(c)) - 1
+        if not every:
+            return plain
+        single = F.instr(F.lit(SINGLE), c) - 1
+        point = F.ascii(c)
+        return (F.when(plain >= 0, plain).when(single >= 0, single + upto)
+                .when(_let(run(point), lambda r: (r >= 0) & (point < F.get(firsts, r) + F.get(sizes, r))), point + _POINT)
+                .otherwise(F.lit(-1)))
+
+    def per_alphabet(c, pick, beyond):
         """pick(start, size) of the alphabet that holds symbol number c."""
         out, begin = None, 0
-        for a in alphabets:
+        for a in sets:
             v = F.lit(pick(begin, len(a)))
             out = F.when(c < begin + len(a), v) if out is None else out.when(c < begin + len(a), v)
             begin += len(a)
-        return out.otherwise(F.lit(1))
+        return out.otherwise(beyond(run(c - _POINT)) if every else F.lit(1))
 
-    codes = F.filter(F.transform(chars, code), lambda x: x >= 0)
+    first = lambda x: per_alphabet(x, lambda b, n: b, lambda r: F.get(firsts, r) + _POINT)
+    size = lambda x: per_alphabet(x, lambda b, n: n, lambda r: F.get(sizes, r))
     ints = "array<int>"
-    within = F.transform(codes, lambda x: x - per_alphabet(x, lambda b, n: b)).cast(ints)
-    radix = F.transform(codes, lambda x: per_alphabet(x, lambda b, n: n)).cast(ints)
-    base = F.transform(codes, lambda x: per_alphabet(x, lambda b, n: b))
-    half = F.floor(F.size(codes) / 2).cast("int")
-    rest = F.size(codes) - half
-    start = F.struct(F.slice(within, F.lit(1), half).alias("a"), F.slice(within, half + 1, rest).alias("b"),
-                     F.slice(radix, F.lit(1), half).alias("ra"), F.slice(radix, half + 1, rest).alias("rb"))
 
     def step(s, k):
         digest = _draw(key, tweak, k, F.array_join(s["b"].cast("array<string>"), "."))
-        moved = F.transform(s["a"], lambda x, i: F.pmod(x + _part(digest, i), F.get(s["ra"], i)))
+        moved = _let(digest, lambda d: F.transform(s["a"], lambda x, i: F.pmod(x + _part(d, i), F.get(s["ra"], i))))
         return F.struct(s["b"].alias("a"), moved.cast(ints).alias("b"), s["rb"].alias("ra"), s["ra"].alias("rb"))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.concat(s["a"], s["b"]))
-    written = F.zip_with(done, base, lambda x, b: F.substr(F.lit(symbols), x + b + 1, F.lit(1)))
-
-    def put(c, i):
-        before = F.size(F.filter(F.slice(chars, F.lit(1), i), lambda d: code(d) >= 0))
-        new = F.get(written, before)
-        return F.when(code(c) < 0, c).when(c != F.lower(c), F.upper(new)).otherwise(new)
-
-    return F.array_join(F.transform(chars, put), "")
+    def permuted(codes):
+        """The new codes of the characters that have one."""
+        within = F.transform(codes, lambda x: x - first(x)).cast(ints)
+        radix = F.transform(codes, size).cast(ints)
+        half = F.floor(F.size(codes) / 2).cast("int")
+        rest = F.size(codes) - half
+        start = F.struct(F.slice(within, F.lit(1), half).alias("a"), F.slice(within, half + 1, rest).alias("b"),
+                         F.slice(radix, F.lit(1), half).alias("ra"), F.slice(radix, half + 1, rest).alias("rb"))
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.concat(s["a"], s["b"]))
+        return F.zip_with(done, codes, lambda x, c: x + first(c))
+
+    def symbol(x):
+        plain = F.substr(F.lit(symbols), x + 1, F.lit(1))
+        point = F.decode(F.unhex(F.lpad(F.hex((x - _POINT).cast("long")), 8, "0")), "UTF-32")
+        return F.when(x < len(symbols), plain).otherwise(point) if every else plain
+
+    def put(chars, codes):
+        places = F.sequence(F.lit(0), F.size(chars))        # one more, which get() finds null
+        moved = F.zip_with(F.filter(places, lambda i: F.get(codes, i) >= 0), permuted(F.filter(codes, lambda x: x >= 0)),
+                           lambda i, x: F.struct(i.alias("i"), F.when(
+                               (x < upto) & (F.get(chars, i) != F.lower(F.get(chars, i))), F.upper(symbol(x)))
+                               .otherwise(symbol(x)).alias("c")))
+        others = F.transform(F.filter(places, lambda i: F.get(codes, i) < 0),
+                             lambda i: F.struct(i.alias("i"), F.get(chars, i).alias("c")))
+        return F.array_join(F.transform(F.sort_array(F.concat(moved, others)), lambda s: s["c"]), "")
+
+    return _let(chars, lambda chars: _let(F.transform(chars, code), lambda codes: put(chars, codes)))
 
 
 def _digits(v: Column) -> Column:
@@ -141,11 +211,21 @@ def _phone(v: Column, key: str) -> Column:
 _FIRST_DAY, _DAYS_A, _DAYS_B = "1800-01-01", 189, 773
 
 
+def _written(v: Column, day_at: int, month_at: int) -> Column:
+    """The date of dd/mm/yyyy or mm/dd/yyyy; null where there is none."""
+    return F.concat_ws("-", F.substr(v, F.lit(7), F.lit(4)), F.substr(v, F.lit(month_at), F.lit(2)),
+                       F.substr(v, F.lit(day_at), F.lit(2))).try_cast("date")
+
+
+def _month_first(v: Column) -> Column:
+    return v.contains("/") & _written(v, 1, 4).isNull()
+
+
 def _day(v: Column) -> Column:
     """Days since the first day of the domain; null where there is no such date."""
-    iso = (F.when(v.contains("-"), v).otherwise(F.concat_ws(
-        "-", F.substr(v, F.lit(7), F.lit(4)), F.substr(v, F.lit(4), F.lit(2)), F.substr(v, F.lit(1), F.lit(2)))))
-    return F.date_diff(iso.try_cast("date"), F.lit(_FIRST_DAY).cast("date"))
+    date = (F.when(v.contains("-"), v.try_cast("date")).when(_month_first(v), _written(v, 4, 1))
+            .otherwise(_written(v, 1, 4)))
+    return F.date_diff(date, F.lit(_FIRST_DAY).cast("date"))
 
 
 def _date(v: Column, key: str) -> Column:
@@ -153,7 +233,8 @@ def _date(v: Column, key: str) -> Column:
     iso = F.get(F.transform(F.array(p), lambda q: F.date_add(
         F.lit(_FIRST_DAY).cast("date"), q["a"] * _DAYS_B + q["b"]).cast("string")), F.lit(0))
     y, m, d = (F.substr(iso, F.lit(i), F.lit(n)) for i, n in ((1, 4), (6, 2), (9, 2)))
-    return (F.when(v.contains("-"), iso).when(v.contains("/"), F.concat_ws("/", d, m, y))
+    return (F.when(v.contains("-"), iso).when(_month_first(v), F.concat_ws("/", m, d, y))
+            .when(v.contains("/"), F.concat_ws("/", d, m, y))
             .otherwise(F.concat_ws(".", d, m, y)))
 
 
@@ -167,22 +248,23 @@ def _mod97(text: Column) -> Column:
 def _iban(v: Column, key: str) -> Column:
     land, account = F.substr(v, F.lit(1), F.lit(2)), F.substr(v, F.lit(5), F.length(v))
     new = feistel_text(account, key, "iban", (DIGITS, LETTERS))
-    check = 98 - _mod97(F.concat(new, land, F.lit("00")))
+    check = 98 - _mod97(F.concat(F.replace(new, F.lit(" "), F.lit("")), land, F.lit("00")))
     return F.concat(land, F.lpad(check.cast("string"), 2, "0"), new)
 
 
 def kind_of(v: Column) -> Column:
     """The validated kind of a found value; null when it is none."""
+    bare = F.replace(v, F.lit(" "), F.lit(""))
     is_ = lambda kind: v.rlike(f"^(?:{_standing(kind)})$")
     return (F.when(v.contains("@"), F.lit("email"))
-            .when(is_("iban"), F.when(_mod97(F.concat(F.substr(v, F.lit(5), F.length(v)),
-                                                      F.substr(v, F.lit(1), F.lit(4)))) == 1, F.lit("iban")))
+            .when(is_("iban"), F.when(_mod97(F.concat(F.substr(bare, F.lit(5), F.length(bare)),
+                                                      F.substr(bare, F.lit(1), F.lit(4)))) == 1, F.lit("iban")))
             .when(is_("ipv4"), F.lit("ipv4"))
             .when(is_("date"), F.when(_day(v).between(0, _DAYS_A * _DAYS_B - 1), F.lit("date")))
             .when(is_("ssn"), F.when(~v.rlike(r"^(?:000|666|9)") & ~v.rlike(r"-00-|-0000$"), F.lit("ssn")))
             .when(is_("phone"), F.lit("phone"))
             .when(is_("card") & F.call_function("luhn_check", _digits(v)), F.lit("card"))
-            .when(v.rlike("^[0-9A-Fa-f]{32,128}$"), F.lit("secret")))
+            .when(v.rlike("^[0-9A-Fa-f]{32,}$"), F.lit("secret")))
 
 
 def _standing(kind: str) -> str:
@@ -193,7 +275,9 @@ def _standing(kind: str) -> str:
 def pseudonym(v: Column, kind: Column, key: str) -> Column:
     """The value permuted within its format."""
     local, domain = F.split_part(v, F.lit("@"), F.lit(1)), F.split_part(v, F.lit("@"), F.lit(2))
-    return (F.when(kind == "email", F.concat(feistel_text(local, key, "email"), F.lit("@"), domain))
+    usual = local.rlike(f"^[A-Za-z0-9._%+{ACCENTED}{ACCENTED.upper()}-]*$")
+    name = F.when(usual, feistel_text(local, key, "email")).otherwise(feistel_text(local, key, "email", every=True))
+    return (F.when(kind == "email", F.concat(name, F.lit("@"), domain))
             .when(kind == "iban", _iban(v, key))
             .when(kind == "ipv4", _ipv4(v, key))
             .when(kind == "date", _date(v, key))
@@ -207,16 +291,17 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """Replace the private values of a text column.  With ``found`` a column
     of that name lists the kinds replaced, in text order."""
-    values, kinds = fresh("values"), fresh("kinds")
+    values, kinds, news = fresh("values"), fresh("kinds"), fresh("news")
     # one cheap test spares the texts without a digit or an @ the long pattern
     candidates = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     out = docs.withColumn(values, F.coalesce(candidates, F.array().cast("array<string>")))
     out = out.withColumn(kinds, F.transform(values, kind_of))
-    new = F.zip_with(values, kinds, lambda v, k: pseudonym(v, k, key))
+    out = out.withColumn(news, F.zip_with(values, kinds, lambda v, k: pseudonym(v, k, key)))
     between = F.split(F.col(text), ANY, -1)
-    rebuilt = F.array_join(F.zip_with(between, new, lambda t, v: F.concat(t, F.coalesce(v, F.lit("")))), "")
+    rebuilt = F.array_join(F.zip_with(between, news, lambda t, v: F.concat(t, F.coalesce(v, F.lit("")))), "")
     changed = F.when(F.exists(kinds, lambda k: k.isNotNull()), rebuilt).otherwise(F.col(text))
     kept = [changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if found:
-        kept.append(F.filter(kinds, lambda k: k.isNotNull()).alias(found))
+        replaced = F.filter(kinds, lambda k, i: k.isNotNull() & (F.get(values, i) != F.get(news, i)))
+        kept.append(replaced.alias(found))
     return out.select(*kept)
