@@ -103,3 +103,23 @@ def test_column(spark):
     frame = spark.createDataFrame(rows, "page_id long, html string, text string")
     assert sorted(r["t"] for r in frame.select(rendered("html").alias("t")).collect()) == ["", "", "a", "a"]
     assert frame.where("false").select(rendered("html")).count() == 0
+
+
+def test_formulas_and_svg_labels_are_visible():
+    assert render("<p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><mi>y</mi><annotation>no</annotation>"
+                  "<mphantom><mi>no</mi></mphantom></math> holds") == "so x= 1 2 y holds"
+    svg = ("<svg viewBox='0 0 9 9'><title>no</title><style/><defs><text>no</text></defs><desc>no</desc><g>no<path d='M0'/>"
+           "<text x=1>Sales <tspan>2024</tspan></text><text>Costs<![CDATA[ a<b &amp;]]></text><text display='none'>no</text></g></svg>")
+    assert render(f"<p>a{svg}b") == "a Sales 2024 Costs a<b &amp; b"
+    assert render("<svg><foreignObject><p>inside</p></foreignObject><title/><p>left</p>") == "inside\n\nleft"
+    assert render(f"<p hidden>{svg}<math><mi>no</mi></math></p>end") == "end"
+
+
+def test_hidden_text_stays_hidden_beyond_the_depth():
+    for n in (MAX_DEPTH - 2, MAX_DEPTH - 1, MAX_DEPTH, MAX_DEPTH + 1, 3 * MAX_DEPTH):
+        deep = "<span>" * n
+        assert render(f"{deep}<div hidden>no<b>no</b>no<p>no</div>yes") == "yes", n
+        assert render(f"{deep}<b style='visibility:hidden'>no<i>no</i>no<i style='visibility:visible'>yes</i></b>") == "yes", n
+        lines = render(f"{deep}<div>a<p hidden>no<p>b<ul><li hidden>no<li>c</ul></div>d").replace("- ", "").split()
+        assert lines == ["a", "b", "c", "d"], n
+    assert render("<p><button>" + "<div>" * 50_000 + "<i hidden>no") == ""

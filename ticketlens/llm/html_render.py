@@ -11,9 +11,12 @@ Visibility: script, style, template, head, noscript and similar elements, the
 ``hidden`` attribute, ``display: none``, closed dialogs and hidden inputs hide
 their whole subtree; ``visibility: hidden`` hides text until a descendant sets
 it back.  Nothing else is left out: navigation and footers are visible text.
+Formulas (MathML) and the text elements of SVG are inline text, their parts a
+space apart; annotations, titles, descriptions and definitions are not shown
+(SVG ``use`` is not followed).
 
-Bounds: elements nest up to ``MAX_DEPTH`` (deeper ones become siblings, their
-text stays); column padding stops at ``MAX_PAD`` characters, longer cells are
+Bounds: elements are laid out up to the depth ``MAX_DEPTH`` (deeper ones only
+keep their lines apart; their text and its visibility stay); column padding stops at ``MAX_PAD`` characters, longer cells are
 written whole.
 
 Defined results: null and empty pages give an empty text; rows are independent.
@@ -22,6 +25,7 @@ Defined results: null and empty pages give an empty text; rows are independent.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from html import unescape
 
@@ -37,7 +41,14 @@ MAX_SPAN = 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas "
-                   "svg math datalist meta link base area param source track col colgroup rp".split())
+                   "datalist meta link base area param source track col colgroup rp".split())
+SVG_UNSEEN = frozenset("desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+MATH_TOKENS = frozenset("mi mn mo ms mtext".split())
+#: The children of these lie beside or above each other.
+MATH_SPACED = frozenset("mfrac msup msub msubsup munder mover munderover mroot mmultiscripts mtr mtable".split())
+#: A start tag that ends an open svg or math element.
+LEAVES_FOREIGN = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing "
+                           "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
                      "footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary "
                      "table ul dd dt".split())
@@ -72,7 +83,8 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
-_NOTABLE = re.compile(r"hidden|style|open|type|span|start|value", re.I)
+_NOTABLE = re.compile(r"hidden|style|open|type|span|start|value|display|visibility", re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -203,9 +215,10 @@ class Table:
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "unseen", "blank", "pre", "count")
+    __slots__ = ("tag", "attrs", "unseen", "blank", "pre", "foreign", "count")
 
-    def __init__(self, tag, attrs, unseen, blank, pre):
+    def __init__(self, tag, attrs, unseen, blank, pre, foreign=""):
+        self.foreign = foreign      # "math", "svg" (draws no text), or "text" inside svg
         self.tag, self.attrs, self.unseen, self.blank, self.pre = tag, attrs, unseen, blank, pre
         self.count = _number(attrs.get("start"), -10**8, 10**8, 1) if tag == "ol" else 0
 
@@ -219,6 +232,12 @@ class Renderer:
         self.open_tags: Counter = Counter()
         self.flows = [Flow()]
         self.tables: list[Table] = []
+        self.over: list[Element] = []                            # open elements beyond MAX_DEPTH
+        self.over_at: dict[str, list[int]] = {}                  # tag -> its places in ``over``
+
+    @property
+    def top(self) -> Element:
+        return self.over[-1] if self.over else self.stack[-1]
 
     # -- the tree ------------------------------------------------------------
 
@@ -229,19 +248,57 @@ class Renderer:
             return
         if self.open_tags["head"] and tag not in UNSEEN and tag not in RAW:
             self.pop_to("head")
+        if tag in LEAVES_FOREIGN and self.top.tag not in MATH_TOKENS:
+            while self.top.foreign:
+                self.pop_top()
         if tag in TABLE_PARTS:
-            if not self.open_tags["table"]:
+            if not self.open_tags["table"] and not self.over_at.get("table"):
                 return                                    # no table to belong to
-            self._table_context(tag)
-        elif tag in CLOSES_P and self.open_tags["p"]:
-            self.close_until(("p",), ("table", "td", "th", "caption", "button", "object"))
+            if not self.over_at.get("table"):
+                self._table_context(tag)
+        elif tag in CLOSES_P:
+            self._implied(("p",), ("table", "td", "th", "caption", "button", "object"))
         if tag in IMPLIED_END:
-            self.close_until(*IMPLIED_END[tag])
-        elif tag in HEADINGS and self.stack[-1].tag in HEADINGS:
-            self.pop()
-        while len(self.stack) > MAX_DEPTH:
-            self.pop()
+            self._implied(*IMPLIED_END[tag])
+        elif tag in HEADINGS and self.top.tag in HEADINGS:
+            self.pop_top()
+        foreign = self.top.foreign
         self.push(tag, attributes(attr_text) if attr_text else {})
+        if (foreign or tag in ("svg", "math")) and self.self_closed(attr_text) and self.top.tag == tag:
+            self.pop_top()
+
+    @staticmethod
+    def self_closed(attr_text: str) -> bool:
+        return attr_text.endswith("/") and not _UNQUOTED.search(attr_text)
+
+    def pop_top(self) -> None:
+        if self.over:
+            self._cut(len(self.over) - 1)
+        else:
+            self.pop()
+
+    def _cut(self, size: int) -> None:
+        """End the elements beyond MAX_DEPTH but the first ``size``."""
+        lines = False
+        while len(self.over) > size:
+            e = self.over.pop()
+            self.over_at[e.tag].pop()
+            lines |= not e.unseen and (e.tag in BLOCK or e.tag in TABLE_PARTS)
+        if lines:
+            self.flow.block()
+
+    def _wall(self, barriers) -> int:
+        return max((at[-1] for t in barriers if (at := self.over_at.get(t))), default=-1)
+
+    def _implied(self, tags, barriers) -> None:
+        if self.over:
+            wall = self._wall(barriers)
+            first = [at[i] for t in tags if (at := self.over_at.get(t)) and (i := bisect_right(at, wall)) < len(at)]
+            if first:
+                self._cut(min(first))
+            if first or wall >= 0:
+                return
+        self.close_until(tags, barriers)
 
     def _table_context(self, tag: str) -> None:
         if tag in CELLS:
@@ -278,8 +335,18 @@ class Renderer:
     def end(self, tag: str) -> None:
         if tag == "br":
             self.push("br", {})
-        elif tag == "p" and not self.open_tags["p"]:
-            self.flow.block(True) if not self.stack[-1].unseen else None
+            return
+        if self.over:
+            own = tag in ("table", "tr") or tag in SECTIONS or tag in CELLS
+            wall = self._wall(("table",) if own else ("td", "th", "table", "caption"))
+            at = self.over_at.get(tag)
+            if at and at[-1] >= wall:
+                self._cut(at[-1])
+                return
+            if wall >= 0:
+                return
+        if tag == "p" and not self.open_tags["p"]:
+            self.flow.block(True) if not self.top.unseen else None
         elif self.open_tags[tag]:
             # an end tag does not reach out of its table cell
             barrier = () if tag in ("table", "tr") or tag in SECTIONS or tag in CELLS else ("td", "th", "table", "caption")
@@ -303,7 +370,8 @@ class Renderer:
         return self.flows[-1]
 
     def push(self, tag: str, attrs: dict[str, str]) -> None:
-        up = self.stack[-1]
+        up = self.top
+        foreign = up.foreign
         unseen, blank = up.unseen or tag in UNSEEN or "hidden" in attrs, up.blank
         if "style" in attrs:
             for name, value in _STYLE.findall(attrs["style"].lower()):
@@ -313,7 +381,27 @@ class Renderer:
                     blank = value in ("hidden", "collapse")
         if tag == "dialog" and "open" not in attrs:
             unseen = True
-        e = Element(tag, attrs, unseen, blank, up.pre or tag in ("pre", "textarea", "xmp"))
+        if tag in ("svg", "math"):
+            foreign = tag
+        elif foreign == "math":
+            unseen |= tag in ("annotation", "annotation-xml")
+            blank |= tag == "mphantom"
+            if up.tag in MATH_TOKENS:
+                foreign = ""
+        elif foreign:
+            unseen |= tag in SVG_UNSEEN or attrs.get("display", "").strip() == "none"
+            if "visibility" in attrs:
+                blank = attrs["visibility"].strip() in ("hidden", "collapse")
+            foreign = "" if tag == "foreignobject" else "text" if tag == "text" else foreign
+        e = Element(tag, attrs, unseen, blank, up.pre or tag in ("pre", "textarea", "xmp"), foreign)
+        if not unseen and (tag in ("svg", "text") and foreign or foreign == "math" and up.tag in MATH_SPACED):
+            self.flow.space = True
+        if tag not in VOID and len(self.stack) > MAX_DEPTH:
+            if not unseen and (tag in BLOCK or tag in TABLE_PARTS):
+                self.flow.block()
+            self.over_at.setdefault(tag, []).append(len(self.over))
+            self.over.append(e)
+            return
         if not unseen:
             self._enter(e)
         if tag not in VOID:
@@ -324,6 +412,8 @@ class Renderer:
         tag, flow = e.tag, self.flow
         if tag == "br":
             flow.newline()
+        elif tag == "math" and e.attrs.get("display") == "block":
+            flow.block()
         elif tag == "table":
             flow.block(True)
             self.tables.append(Table())
@@ -354,6 +444,7 @@ class Renderer:
         self.flow.marker = marker
 
     def pop(self) -> str:
+        self._cut(0)
         e = self.stack.pop()
         self.open_tags[e.tag] -= 1
         if not e.unseen:
@@ -362,7 +453,11 @@ class Renderer:
 
     def _leave(self, e: Element) -> None:
         tag = e.tag
-        if tag == "table":
+        if tag == "math" and e.attrs.get("display") == "block":
+            self.flow.block()
+        elif tag in ("svg", "text") and e.foreign or tag in MATH_SPACED and e.foreign == "math":
+            self.flow.space = True
+        elif tag == "table":
             lines = self.tables.pop().layout()
             self._lines(lines)
             self.flow.block(True)
@@ -389,13 +484,15 @@ class Renderer:
             self.flow.line.append(line)
             self.flow.newline()
 
-    def text(self, s: str) -> None:
-        e = self.stack[-1]
+    def text(self, s: str, literal: bool = False) -> None:
+        e = self.top
+        if e.foreign == "svg":
+            return                                       # shapes and groups draw no text
         if e.unseen or e.blank or not s:
             if not (e.unseen or not s) and self.flow.line:
                 self.flow.space = True
             return
-        if "&" in s:
+        if "&" in s and not literal:
             s = unescape(s)
         if e.pre:
             self.flow.raw(s)
@@ -428,11 +525,17 @@ def render(html: str | None) -> str:
         if m.start() > at:
             page.text(html[at:m.start()])
         at = m.end()
+        if page.top.foreign and html.startswith("<![CDATA[", m.start()):
+            stop = html.find("]]>", m.start())
+            page.text(html[m.start() + 9:stop if stop >= 0 else size], True)
+            at = stop + 3 if stop >= 0 else size
+            continue
         tag = m["start"] or m["odd"]
         if tag:
             tag = tag.lower()
+            foreign = page.top.foreign
             page.start(tag, m["attrs"] or "")
-            if tag in RAW:
+            if tag in RAW and not (foreign and page.self_closed(m["attrs"] or "")):
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
                 end = stop.start() if stop else size
                 page.text(html[at:end])
