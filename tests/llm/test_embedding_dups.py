@@ -114,3 +114,21 @@ def test_pairs_in_a_crowded_cone_are_found(spark, monkeypatch, pairs, spread):
     rows = [(i, v.tolist(), "n") for i, v in enumerate(np.concatenate([x, y]))]
     got = {r["vec_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert sum(got[i] == got[n + i] for i in range(planted)) >= 0.99 * planted
+
+
+def test_links_do_not_depend_on_the_shuffle_partitions(spark):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rng = np.random.default_rng(1)
+        rows = []
+        for i in range(20):                                                 # 20 pairs right above the threshold
+            x, y = rng.standard_normal((2, 64))
+            x /= np.linalg.norm(x)
+            y -= (x @ y) * x
+            near = 0.952 * x + (1 - 0.952 ** 2) ** 0.5 * y / np.linalg.norm(y)
+            rows += [(2 * i, x.tolist(), "n"), (2 * i + 1, near.tolist(), "n")]
+        got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == _brute(rows)

@@ -271,7 +271,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     active = nodes.select("node", "dim", "vec", F.lit(0.0).alias("credit"))
     wanted, width, first = -math.log(1 - recall), window, 0
     while left:
-        compared = scratch.stored(_compared(active, parts, first, passes, width, threshold, seed), f"windows-{first}")
+        # every partition holds several windows
+        even = max(1, min(parts, left * passes // (4 * width)))
+        compared = scratch.stored(_compared(active, even, first, passes, width, threshold, seed), f"windows-{first}")
         links += [compared.where(F.col("kind") == LINK).select("a", "b"),
                   compared.where((F.col("kind") == BORDER) & (F.col("border") >= 0)).groupBy("border")
                   .applyInPandas(_border(threshold), "a bigint, b bigint")]
