@@ -76,3 +76,9 @@ def test_empty_tables(spark):
     assert decontaminate(docs, item_blocks(none)).collect() == docs.collect()
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert decontaminate(empty, item_blocks(none)).count() == 0
+
+
+def test_blocks_are_bounded_by_words_however_they_are_separated(spark):
+    items = [(i, "\n".join(f"w{i}x{k}" for k in range(10)) + ",a\tb") for i in range(40)]
+    blocks = item_blocks(spark.createDataFrame(items, "item_id long, text string"), block_words=60)
+    assert len(blocks) == 8 and sum(map(len, blocks)) == 40

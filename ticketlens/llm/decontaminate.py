@@ -34,7 +34,8 @@ BLOCK_WORDS = 200_000
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
     for b in range(256))
-_WORD_IN_TEXT = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD_IN_TEXT = re.compile(_WORD)
 
 MATCH_TYPE = ("struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,"
               "items:array<string>>")
@@ -200,10 +201,11 @@ def _matcher(items: tuple[tuple[str, str], ...], window: int):
 def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text",
                 block_words: int = BLOCK_WORDS) -> list[tuple[tuple[str, str], ...]]:
     """The items in blocks of about ``block_words`` words (one larger item
-    is a block of its own).  Blocks are formed by hash, one is fetched at a time."""
+    is a block of its own), counted as they are matched.  Blocks are formed by
+    hash; the driver holds all of them."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where(
         F.col("text").isNotNull() & F.col("item").isNotNull())
-    size = F.size(F.split(F.col("text"), " ")).cast("long")
+    size = F.regexp_count("text", F.lit(_WORD)).cast("long")
     total = rows.agg(F.sum(size)).first()[0] or 0
     n = max(1, -(-int(total) // block_words))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
