@@ -100,3 +100,10 @@ def test_sizes_that_can_link_share_a_window(spark):
         for a in windows:
             for b in range(a, min(699, a * jaccard.per // jaccard.share) + 1):
                 assert windows[a] & windows[b], (jaccard, a, b)
+
+
+def test_a_repeated_row_is_fetched_once(spark):
+    from ticketlens.llm.ngram_join import _wanted_texts
+    docs = spark.createDataFrame([(7, "same text")] * 50 + [(8, "other")], "key long, text string")
+    wanted = spark.createDataFrame([(1, 7)], "node long, key long")
+    assert [tuple(r) for r in _wanted_texts(docs, wanted).collect()] == [(1, "same text")]

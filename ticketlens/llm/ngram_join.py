@@ -268,7 +268,9 @@ def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def maybe(keys: pd.Series) -> pd.Series:
         return pd.Series(_maybe_in(shared.value, keys.to_numpy()))
 
-    return wanted.join(docs.select("key", "text").where(maybe("key")), "key").select("node", "text")
+    # a repeated row has one key, and its text is needed once
+    texts = docs.select("key", "text").where(maybe("key")).dropDuplicates(["key"])
+    return wanted.join(texts, "key").select("node", "text")
 
 
 def _common_tokens(prefixes: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
