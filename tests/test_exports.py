@@ -88,7 +88,7 @@ def test_empty_report_leaves_nothing_and_context_is_csv(spark, tmp_path):
 def test_ticket_store_follows_its_inputs(spark, tmp_path):
     import shutil
 
-    from conftest import SF_SMALL
+    from locations import SF_SMALL
     from ticketlens.sources.testdata import ingest_tickets, store_path, tickets
     sf = tmp_path / "sf"
     sf.mkdir()

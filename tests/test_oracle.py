@@ -7,7 +7,7 @@ import sys
 import duckdb
 import pytest
 
-from conftest import ROOT, SF_SMALL
+from locations import ROOT, SF_SMALL
 
 sys.path.insert(0, os.path.join(ROOT, "scripts"))
 from oracle_check import digest  # noqa: E402

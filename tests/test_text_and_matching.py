@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from locations import SF_SMALL
 from ticketlens.functions.text import clean_text, clean_text_py, normalise_for_match
 from ticketlens.operators.matching import match_patterns
 
