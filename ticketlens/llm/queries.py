@@ -354,3 +354,15 @@ def op11(spark, sf_dir):
     made = manifest(rows, "source", "doc_id", "leaf", "changed")
     return made.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
                        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+# --- 12 -----------------------------------------------------------------------
+
+@register("op12_token_counts")
+def op12(spark, sf_dir):
+    """Bytes and tokens of every whole text."""
+    import public_tokenizers
+    from .token_counts import Vocabulary, token_counts
+    vocabulary = Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
+    counted = token_counts(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"])
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
