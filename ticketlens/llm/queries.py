@@ -366,3 +366,31 @@ def op12(spark, sf_dir):
     vocabulary = Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
     counted = token_counts(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"])
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+# --- 13 -----------------------------------------------------------------------
+
+_TERMS_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP13_SQL = f"""
+WITH d AS ({_words_sql('documents', 'doc_id', _TERMS_SQL)}),
+b AS ({_words_sql('benchmark', 'item_id', _TERMS_SQL)}),
+c AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+q AS (SELECT rid, term, count(*) AS times FROM (SELECT rid, unnest(w) AS term FROM b) GROUP BY ALL),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+t AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+m AS (SELECT rid, doc_id, 75 + (25 * len(w)::BIGINT * n_docs) // n_terms AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT q.rid, m.doc_id, sum(q.times * t.weight * ((1000000000 * p.tf) // (1000 * p.tf + 12 * m.m)))::BIGINT AS score
+      FROM q JOIN t USING (term) JOIN p USING (term) JOIN m ON m.rid = p.rid GROUP BY q.rid, m.rid, m.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT b.item_id, r.rank, r.doc_id, r.score FROM r JOIN b USING (rid) WHERE r.rank <= 20"""
+
+
+@register("op13_ranked_lexical_search", OP13_SQL)
+def op13(spark, sf_dir):
+    """The 20 best documents of every benchmark item."""
+    from .ranked_search import build_index, search
+    index, n_docs = build_index(table(spark, sf_dir, "documents"))
+    return search(index, n_docs, table(spark, sf_dir, "benchmark"))
