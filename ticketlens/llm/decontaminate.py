@@ -6,18 +6,25 @@ that occurs in some item is known.  Where that length reaches the window, the
 last ``window`` words stand in the items kept at that automaton state.  Items
 shorter than the window count as one window of their own length.
 
-The automaton is built from a *block* of items with a bounded number of
-words (``BLOCK_WORDS``), so what each worker holds does not grow with the
-benchmark; a larger benchmark is streamed block by block.
-
-Defined results: null or wordless texts and items match nothing; repeated
-items share states and are all reported; rows are independent of each other.
+An automaton is built from a *block* of items with a bounded number of words
+(``BLOCK_WORDS``).  The blocks are written to the shared folder; the driver
+reads one at a time and sends it to the workers, and a worker holds the
+automaton of one block.  A benchmark of several blocks takes one pass over the
+texts per block, which writes the matches of the texts that have any; what the
+passes found is put together by the digest of the text.
+
+Defined results: null or wordless texts and items match nothing; an item with a
+null id is matched, counted and cut like others, all such items being one
+without a name; repeated items share states and are all reported; rows are
+independent of each other, so null and repeated document ids do not matter;
+empty tables match nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from functools import lru_cache
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -26,6 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+from .common import Scratch, fresh, stored
+
 #: Words of one automaton: about 100 bytes of state each in every worker.
 BLOCK_WORDS = 200_000
 
@@ -37,6 +47,7 @@ _FOLD = bytes(
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD_IN_TEXT = re.compile(_WORD)
 
+_SPANS = T.ArrayType(T.StructType().add("start", T.LongType()).add("stop", T.LongType()))
 MATCH_TYPE = ("struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,"
               "items:array<string>>")
 
@@ -180,56 +191,110 @@ class ItemAutomaton:
                     spans.append([i - hit, i])
 
 
-@lru_cache(maxsize=4)
-def _automaton(items: tuple[tuple[str, str], ...], window: int) -> ItemAutomaton:
-    return ItemAutomaton([(name, words(text)) for name, text in items], window)
+#: The automaton of the block that this worker reads at present.
+_held: dict[tuple[str, int], ItemAutomaton] = {}
+
+
+def _automaton(block: Block, window: int) -> ItemAutomaton:
+    key = (block.name, window)
+    if key not in _held:
+        _held.clear()
+        _held[key] = ItemAutomaton([(name, words(text)) for name, text in block.items], window)
+    return _held[key]
+
+
+@dataclass(frozen=True)
+class Block:
+    """Items ``(id or None, text)`` of one automaton, and a name for them."""
+    name: str
+    items: list[tuple[str | None, str]]
+
+
+@dataclass(frozen=True)
+class ItemBlocks:
+    """The benchmark in the shared folder, one folder a block."""
+    rows: DataFrame
+    count: int
+
+    def read(self, number: int) -> Block:
+        found = sorted(((r["item"], r["text"]) for r in self.rows.where(F.col("block") == number).collect()),
+                       key=lambda r: (r[0] is None, r[0] or "", r[1]))
+        return Block(hashlib.sha256(repr(found).encode("utf-8", "surrogatepass")).hexdigest(), found)
+
+
+def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text",
+                block_words: int = BLOCK_WORDS) -> ItemBlocks:
+    """The items in blocks of about ``block_words`` words (one larger item
+    is a block of its own), counted as they are matched.  Blocks are formed by
+    hash."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    total = rows.agg(F.sum(F.regexp_count("text", F.lit(_WORD)).cast("long"))).first()[0] or 0
+    n = max(1, -(-int(total) // block_words))
+    path = scratch_path(spark, "benchmark-blocks")
+    rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")).write.partitionBy("block").parquet(path)
+    return ItemBlocks(spark.read.schema("item string, text string, block int").parquet(path), n)
 
 
-def _matcher(items: tuple[tuple[str, str], ...], window: int):
+def _matcher(shared, window: int):
     @F.pandas_udf(MATCH_TYPE)
     def matches(texts: pd.Series) -> pd.DataFrame:
-        automaton = _automaton(items, window)
+        automaton = _automaton(shared.value, window)
         out = []
         for text in texts:
             ws = words(text) if text is not None else []
             spans, found = automaton.match(ws)
-            out.append((len(ws), [{"start": a, "stop": b} for a, b in spans], sorted(found)))
+            out.append((len(ws), [{"start": a, "stop": b} for a, b in spans],
+                        sorted(found, key=lambda name: (name is None, name or ""))))
         return pd.DataFrame(out, columns=["n_words", "spans", "items"])
     return matches
 
 
-def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text",
-                block_words: int = BLOCK_WORDS) -> list[tuple[tuple[str, str], ...]]:
-    """The items in blocks of about ``block_words`` words (one larger item
-    is a block of its own), counted as they are matched.  Blocks are formed by
-    hash; the driver holds all of them."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where(
-        F.col("text").isNotNull() & F.col("item").isNotNull())
-    size = F.regexp_count("text", F.lit(_WORD)).cast("long")
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    n = max(1, -(-int(total) // block_words))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [tuple(sorted((r["item"], r["text"]) for r in rows.where(part == b).collect()))
-            for b in range(n)]
-
-
-def find_matches(text: Column, blocks: list, window: int = 10) -> Column:
-    """``struct<n_words, spans, items>`` of a text column: merged spans of
-    word positions [start, stop) inside occurring windows, sorted item ids."""
-    found = [_matcher(block, window)(text) for block in blocks]
-    if len(found) == 1:
-        return found[0]
-    # spans of several blocks may overlap: union them in order
-    spans = F.array_sort(F.flatten(F.array(*[f["spans"] for f in found])))
-    none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
-    merged = F.aggregate(spans, none, lambda done, s: F.when(
-        (F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= s["start"]),
-        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
-            F.element_at(done, -1)["start"].alias("start"),
-            F.greatest(F.element_at(done, -1)["stop"], s["stop"]).alias("stop")))),
-    ).otherwise(F.concat(done, F.array(s))))
-    return F.struct(found[0]["n_words"].alias("n_words"), merged.alias("spans"),
-                    F.array_sort(F.array_distinct(F.flatten(F.array(*[f["items"] for f in found])))).alias("items"))
+def with_matches(docs: DataFrame, blocks: ItemBlocks, column: str, text: str = "text", window: int = 10) -> DataFrame:
+    """``docs`` with a column ``struct<n_words, spans, items>``: merged spans
+    of word positions [start, stop) inside occurring windows, and the ids of
+    the items with such windows, sorted (a null at the end for items without)."""
+    sc = docs.sparkSession.sparkContext
+    body = F.col(f"`{text}`")
+    if blocks.count == 1:
+        return docs.withColumn(column, _matcher(sc.broadcast(blocks.read(0)), window)(body))
+    keys = F.xxhash64(F.lit(1), body), F.xxhash64(F.lit(2), body)
+    texts = docs.where(body.isNotNull()).select(keys[0].alias("k1"), keys[1].alias("k2"), body.alias("text"))
+    scratch = Scratch(docs.sparkSession)
+    found = None
+    for number in range(blocks.count):
+        shared = sc.broadcast(blocks.read(number))
+        hits = texts.select("k1", "k2", _matcher(shared, window)("text").alias("m")).where(F.size("m.items") > 0)
+        part = scratch.stored(hits.dropDuplicates(["k1", "k2"]).select("k1", "k2", "m.spans", "m.items"), "benchmark-hits")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    every = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"),
+                                          F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    k1, k2, match = fresh("k1"), fresh("k2"), fresh("match")
+    merged = stored(every.select(F.col("k1").alias(k1), F.col("k2").alias(k2),
+                                 F.struct(united("spans").alias("spans"), "items").alias(match)), "benchmark-matches")
+    scratch.clear()
+    marked = docs.withColumns({k1: keys[0], k2: keys[1]}).join(merged, [k1, k2], "left")
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>"), F.array().cast("array<string>")
+    made = F.struct(
+        F.coalesce(F.regexp_count(body, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce(f"{match}.spans", none[0]).alias("spans"), F.coalesce(f"{match}.items", none[1]).alias("items"))
+    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], made.alias(column))
+
+
+@F.pandas_udf(_SPANS)
+def united(spans: pd.Series) -> pd.Series:
+    """The spans in order, those that touch or overlap as one."""
+    out = []
+    for found in spans:
+        done: list[list[int]] = []
+        for start, stop in sorted((s["start"], s["stop"]) for s in found):
+            if done and done[-1][1] >= start:
+                done[-1][1] = max(done[-1][1], stop)
+            else:
+                done.append([start, stop])
+        out.append([{"start": a, "stop": b} for a, b in done])
+    return pd.Series(out)
 
 
 def n_hit(match: Column) -> Column:
@@ -255,15 +320,15 @@ def cut_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def decontaminate(docs: DataFrame, blocks: list, text: str = "text", window: int = 10,
+def decontaminate(docs: DataFrame, blocks: ItemBlocks, text: str = "text", window: int = 10,
                   max_coverage: float = 0.5) -> DataFrame:
     """Remove the spans of benchmark text from each document; a document of
     which more than ``max_coverage`` of the words is hit goes as a whole.
     The columns are those of ``docs``; clean documents are unchanged."""
-    from .common import fresh
     m = fresh("match")
-    marked = docs.withColumn(m, find_matches(F.col(text), blocks, window))
+    marked = with_matches(docs, blocks, m, text, window)
     hit = n_hit(F.col(m))
-    return (marked.where(hit <= F.col(m)["n_words"] * max_coverage)
-            .withColumn(text, F.when(hit > 0, cut_spans(F.col(text), F.col(m)["spans"])).otherwise(F.col(text)))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    body = F.col(f"`{text}`")
+    cut = F.when(hit > 0, cut_spans(body, F.col(m)["spans"])).otherwise(body)
+    return marked.where(hit <= F.col(m)["n_words"] * max_coverage).select(
+        *[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

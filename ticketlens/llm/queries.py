@@ -94,7 +94,7 @@ OP7_SQL = f"""
 WITH d AS ({_words_sql('documents', 'doc_id', r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')}),
 b AS ({_words_sql('benchmark', 'CAST(item_id AS VARCHAR) AS item', r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')}),
 s AS (SELECT item, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i, w
-      FROM b WHERE len(w) > 0 AND item IS NOT NULL),
+      FROM b WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM s),
 places AS (SELECT rid, n, unnest(range(1, len(w) - n + 2)) AS i, w
            FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
@@ -113,10 +113,9 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)"""
 @register("op7_benchmark_decontamination", OP7_SQL)
 def op7(spark, sf_dir):
     """Words of every document inside occurrences of benchmark windows."""
-    from .decontaminate import find_matches, item_blocks, n_hit
+    from .decontaminate import item_blocks, n_hit, with_matches
     blocks = item_blocks(table(spark, sf_dir, "benchmark"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.select("doc_id", find_matches(F.col("text"), blocks, window=10).alias("m"))
+    found = with_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), blocks, "m", window=10)
     hit = n_hit(F.col("m"))
     return found.select(
         "doc_id", F.col("m.n_words").alias("n_words"), hit.alias("n_hit"),
