@@ -1,3 +1,4 @@
+import functools
 import os
 import random
 
@@ -22,8 +23,13 @@ def _random(seed, n):
     return "".join(rnd.choice(PARTS) for _ in range(n))
 
 
+@functools.lru_cache(maxsize=1)
+def _library():
+    return tokenizers.Tokenizer.from_file(BYTES)
+
+
 def _whole(text):
-    return len(tokenizers.Tokenizer.from_file(BYTES).encode(text or "", add_special_tokens=False).ids)
+    return len(_library().encode(text or "", add_special_tokens=False).ids)
 
 
 def _counts(frame, path, **limits):
@@ -94,3 +100,19 @@ def test_query_columns_nulls_repeats_and_an_empty_table(spark, tmp_path):
     os.mkdir(tmp_path / "b")
     frame.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
     assert QUERIES["op12_token_counts"](spark, str(tmp_path / "b")).collect() == []
+
+
+def test_remembered_pieces_count_like_the_library():
+    """Texts of every plain character, and of parts that split in odd ways."""
+    vocabulary = Vocabulary.read(BYTES)
+    plain = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x250)]]
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choices(plain, k=rnd.randint(0, 60))) for _ in range(1500)]
+    odd = ["'s", "'S", "'ll", "'", " ", "  ", "\n", "\r\n", "\t", "a", "É", "1", "²", "¼", "!", "_", "-", "°", "ª", "ǀ", "<|", "<|endoftext|>"]
+    texts += ["".join(rnd.choices(odd, k=rnd.randint(0, 25))) for _ in range(1500)]
+    texts += plain + [a + b for a in odd for b in odd]
+    split = [vocabulary.pieces(t) for t in texts]
+    assert sum(p is not None for p in split) > 3000
+    assert all("".join(p) == t for t, p in zip(texts, split) if p is not None)
+    assert vocabulary.counts(texts) == [_whole(t) for t in texts]
+    assert vocabulary.pieces("日本") is None and vocabulary.pieces("a\x85b") is None

@@ -20,6 +20,11 @@ Where no boundary is common (a run of letters or blanks longer than the
 overlap), the documents concerned are cut anew, chunks and overlaps ``WIDEN``
 times as long, until they align or are one chunk.
 
+Pre-tokens are also what makes counting cheap: they repeat, and the library's
+count of one is remembered by the worker.  Texts of the characters in ``_PLAIN``
+are split by the byte-level pattern here; any other text, and one that spells an
+added token, goes through the library as a whole.
+
 The argument needs a byte-level pattern without normaliser and added tokens
 that match by their text alone and cannot overlap (:attr:`Vocabulary.splits`).
 Texts are encoded whole with any other tokenizer, and with SentencePiece models.
@@ -37,7 +42,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -56,8 +63,18 @@ _BATCH = 1 << 20
 #: The byte-level pattern looks so many characters beyond a match.
 _LOOK_AHEAD = 3
 
+#: Counts of pre-tokens that a worker remembers.
+REMEMBERED = 1 << 19
+
+#: The byte-level pattern, over characters whose classes are the
+#: same in every version of Unicode (Latin, its numbers and blanks).
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t\\n\\r"
+_PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
 _SEAMS = "array<struct<at:int,before:bigint>>"
 _loaded: dict = {}
+_known: dict[str, int] = {}
 
 
 @dataclass(frozen=True)
@@ -74,10 +91,12 @@ class Vocabulary:
         with open(path, "rb") as f:
             return Vocabulary(kind, f.read())
 
-    def _added(self) -> list[str]:
-        return [t["content"] for t in json.loads(self.blob).get("added_tokens") or []]
+    @cached_property
+    def _specials(self) -> list[str]:
+        """The texts of the added tokens."""
+        return [t["content"] for t in json.loads(self.blob).get("added_tokens") or []] if self.kind == "tokenizers" else []
 
-    @property
+    @cached_property
     def splits(self) -> bool:
         """Can huge texts be encoded in chunks?"""
         if self.kind != "tokenizers":
@@ -88,17 +107,18 @@ class Vocabulary:
                 or pre.get("add_prefix_space") or model.get("dropout"):
             return False
         plain = not any(t.get(k) for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip"))
-        return plain and _apart(self._added())
+        return plain and _apart(self._specials)
 
-    @property
+    @cached_property
     def margin(self) -> int:
         """Characters before the end of a chunk whose split may still change."""
-        return max([_LOOK_AHEAD, *map(len, self._added())])
+        return max([_LOOK_AHEAD, *map(len, self._specials)])
 
     def encoder(self):
         name = hashlib.sha256(self.blob).digest()
         if name not in _loaded:
             _loaded.clear()
+            _known.clear()
             if self.kind == "sentencepiece":
                 import sentencepiece
                 _loaded[name] = sentencepiece.SentencePieceProcessor(model_proto=self.blob)
@@ -110,14 +130,53 @@ class Vocabulary:
                 _loaded[name].no_padding()
         return _loaded[name]
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def _library(self, texts: list[str]) -> list[int]:
         if self.kind == "sentencepiece":
             return [len(ids) for ids in self.encoder().encode(texts, num_threads=1)]
         return [len(e) for e in self.encoder().encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text, where they can be told here."""
+        if self.splits and _PLAIN.fullmatch(text) and not any(a in text for a in self._specials):
+            return _SPLIT.findall(text)
+        return None
+
+    def _learn(self, pieces: set[str]) -> None:
+        """The counts of these pieces are known from here on."""
+        if len(_known) + len(pieces) > REMEMBERED:
+            _known.clear()
+        new = list(pieces - _known.keys())
+        _known.update(zip(new, self._library(new)))
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text."""
+        out: list[int] = []
+        part, size = [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= _BATCH:
+                out += self._counted(part)
+                part, size = [], 0
+        return out + self._counted(part)
+
+    def _counted(self, texts: list[str]) -> list[int]:
+        self.encoder()
+        split = [self.pieces(t) for t in texts]
+        self._learn(set().union(*[p for p in split if p is not None]))
+        others = iter(self._library([t for t, p in zip(texts, split) if p is None]))
+        return [next(others) if p is None else sum(map(_known.__getitem__, p)) for p in split]
+
     def boundaries(self, chunk: str) -> tuple[int, np.ndarray, np.ndarray]:
         """Tokens of a chunk; where its pre-tokens begin; the tokens before each."""
-        found = self.encoder().encode(chunk, add_special_tokens=False)
+        encoder = self.encoder()
+        pieces = self.pieces(chunk)
+        if pieces is not None:
+            self._learn(set(pieces))
+            n = np.fromiter(map(_known.__getitem__, pieces), np.int64, len(pieces))
+            length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            return int(n.sum()), np.cumsum(length) - length, np.cumsum(n) - n
+        found = encoder.encode(chunk, add_special_tokens=False)
         words = np.fromiter(found.word_ids, np.int64, len(found))
         first = np.flatnonzero(np.diff(words, prepend=-1))
         offsets = found.offsets
