@@ -11,9 +11,15 @@ documents of each language, chosen by a hash of the id (fewer documents are
 all used), and keeps the ``top_words`` and ``top_grams`` most frequent entries
 per language, so what is broadcast does not grow with the corpus.
 
+A word of more than ``MAX_WORD`` letters is never a known word: its n-grams are
+learned and score it like those of an unseen one.  They are taken from pieces of
+``PIECE`` letters, so no row or array grows with the length of a word.
+
 Defined results: a null text or one without a letter is ``und`` with score 0;
-so is every text when nothing was learned.  Ties go to the first language in
-code point order.  Rows are scored one by one.
+so is every text when nothing was learned (an empty table, or no languages).
+Ties go to the first language in code point order.  Rows are scored one by one,
+repeated rows are learned as often as they stand; only the columns named are
+used, whatever others there are.
 """
 
 from __future__ import annotations
@@ -31,6 +37,9 @@ from .common import stored
 
 UNDETERMINED = "und"
 MAX_ORDER = 4
+MAX_WORD = 64
+#: Starting places of n-grams in one piece of a word.
+PIECE = 4096
 #: Scores of unseen words kept by one worker between texts.
 CACHED_WORDS = 100_000
 
@@ -48,7 +57,7 @@ class Model:
 def fit(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang",
         docs_per_lang: int = 4000, top_words: int = 20_000, top_grams: int = 5_000) -> Model:
     """Learn from the rows given (the caller leaves held-out rows away)."""
-    known = labelled.select(F.col(doc).alias("doc"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = labelled.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     known = known.where(F.col("lang").isNotNull())
     share = {r["lang"]: min(1.0, docs_per_lang / r["count"]) for r in known.groupBy("lang").count().collect()}
     if not share:
@@ -58,19 +67,26 @@ def fit(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: str
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     counts = stored(known.where(chosen).select("lang", words.alias("gram"))
                     .groupBy("lang", "gram").count(), "langid-words")
+    # a piece holds the n-grams that start at its first PIECE letters
     bordered = F.concat(F.lit("_"), "gram", F.lit("_"))
-    pieces = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length("bordered") - (n - 1), F.lit(1))),
-                    lambda i, n=n: F.struct(F.lit(n).alias("n"), F.col("bordered").substr(i, F.lit(n)).alias("gram")))
-        for n in range(1, MAX_ORDER + 1)]))
-    grams = (counts.select("lang", "count", bordered.alias("bordered"))
-             .select("lang", "count", F.explode(pieces).alias("p"))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length("bordered") - 1) / PIECE).cast("int")),
+                       lambda k: F.substr("bordered", k * PIECE + 1, F.lit(PIECE + MAX_ORDER - 1)))
+    pieces = (counts.select("lang", "count", bordered.alias("bordered"))
+              .select("lang", "count", F.explode(cuts).alias("piece")))
+
+    def inside(n: int) -> Column:
+        """The n-grams of a piece; a shorter one gives its rest, dropped below."""
+        starts = F.sequence(F.lit(1), F.least(F.greatest(F.length("piece") - (n - 1), F.lit(1)), F.lit(PIECE)))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.col("piece").substr(i, F.lit(n)).alias("gram")))
+
+    every = F.flatten(F.array(*[inside(n) for n in range(1, MAX_ORDER + 1)]))
+    grams = (pieces.select("lang", "count", F.explode(every).alias("p"))
              .where(F.length("p.gram") == F.col("p.n"))
              .groupBy("lang", F.col("p.n").alias("n"), F.col("p.gram").alias("gram"))
              .agg(F.sum("count").alias("count")))
     langs = sorted(share)
     model = Model(langs, {}, [], np.zeros((0, len(langs)), np.float32))
-    _add(model, model.words, counts.withColumn("n", F.lit(0)), top_words)
+    _add(model, model.words, counts.where(F.length("gram") <= MAX_WORD), top_words)
     table = stored(grams, "langid-grams")
     for n in range(1, MAX_ORDER + 1):
         model.grams.append({})
@@ -125,7 +141,7 @@ class Scorer(dict):
             grams = self.model.grams[n - 1]
             known = [grams[g] for i in range(len(word) - n + 1) if (g := word[i:i + n]) in grams]
             if known:
-                return self.model.rows[known].mean(axis=0)
+                return self.model.rows[known].mean(axis=0, dtype=np.float64)
         return 0.0
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -134,8 +150,12 @@ class Scorer(dict):
             return UNDETERMINED, 0.0
         if self.used > len(self.model.rows) + CACHED_WORDS:
             self._forget()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        usual = [w for w in words if len(w) <= MAX_WORD]
+        at = np.fromiter(map(self.__getitem__, usual), np.int64, len(usual))
         logs = self.rows[at].sum(axis=0, dtype=np.float64)
+        for w in words if len(usual) < len(words) else ():
+            if len(w) > MAX_WORD:
+                logs = logs + self._backoff(f"_{w}_")
         best = int(np.argmax(logs))
         return self.model.langs[best], float(1.0 / np.exp(logs - logs[best]).sum())
 

@@ -6,14 +6,18 @@ coordinate: its learning rate shrinks with the squared gradients of that
 coordinate, and the L1 term sets the weight of every coordinate with little
 evidence to exactly zero, so only a few weights are collected and broadcast.
 
-Bound (parameter): the model is fitted on at most about ``sample_rows``
-labelled documents, chosen by a hash of the id (fewer are all used), in one
-task that holds the two coordinate arrays and the feature numbers of the
-sample, and goes through it in the order of another hash.
+Bounds (parameters): the model is fitted on at most about ``sample_rows``
+labelled documents and about ``sample_bytes`` of their text, chosen by a hash of
+the id (all, if that is within both), in one task.  The task turns each batch of
+texts into feature numbers as it comes, at most four a word, and holds those and
+the two coordinate arrays; it goes through the sample in the order of another
+hash.
 
 Defined results: null and empty texts score the bias alone; without any
-labelled row every score is 0.  A document labelled both ways counts as toxic;
-repeated rows of an id count once.
+labelled row or any document every score is 0.  A document labelled both ways
+counts as toxic; repeated rows of an id count once, with the smallest text; null
+ids and labels are not learned from.  Only the columns named are used, whatever
+others there are.
 """
 
 from __future__ import annotations
@@ -75,8 +79,9 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return index, np.concatenate(at)
 
 
-def _train(texts, labels, ftrl: Ftrl) -> pd.DataFrame:
-    """The non-zero weights, the bias under index -1."""
+def _train(rows: list[tuple[np.ndarray, float]], ftrl: Ftrl) -> pd.DataFrame:
+    """The non-zero weights, the bias under index -1, from the distinct
+    features and the label of each document."""
     z = np.zeros(1 << BITS, np.float32)
     n = np.zeros(1 << BITS, np.float32)
     bias_z = bias_n = 0.0
@@ -88,7 +93,6 @@ def _train(texts, labels, ftrl: Ftrl) -> pd.DataFrame:
     def bias() -> float:
         return -bias_z / ((ftrl.beta + bias_n ** 0.5) / ftrl.alpha)
 
-    rows = [(np.unique(features([normalised(t)])[0]).astype(np.int32), y) for t, y in zip(texts, labels)]
     for index, label in (row for _ in range(ftrl.epochs) for row in rows):
         zi, ni = z[index], n[index]
         w, b = weight(zi, ni), bias()
@@ -104,26 +108,27 @@ def _train(texts, labels, ftrl: Ftrl) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic",
-        sample_rows: int = 10_000, ftrl: Ftrl = Ftrl()) -> dict[int, float]:
+        sample_rows: int = 10_000, sample_bytes: int = 1 << 26, ftrl: Ftrl = Ftrl()) -> dict[int, float]:
     """Non-zero weights by feature index (bias: -1), learned from the
     labelled documents given (the caller leaves held-out rows away)."""
-    known = (labels.select(F.col(doc).alias("doc"), F.col(label).alias("label"))
+    known = (labels.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{label}`").alias("label"))
              .where(F.col("doc").isNotNull() & F.col("label").isin(0, 1))
              .groupBy("doc").agg(F.max("label").cast("double").alias("label")))
-    share = min(1.0, sample_rows / max(1, known.count()))
+    texts = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    lengths = texts.select("doc", F.octet_length("text").alias("bytes")).join(known, "doc").groupBy("doc").agg(
+        F.max("bytes").alias("bytes"))
+    rows, size = lengths.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    share = min(1.0, sample_rows / max(1, rows), sample_bytes / max(1, size))
     chosen = known.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < share * 1_000_000)
-    texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     rows = (texts.join(F.broadcast(chosen), "doc")   # about sample_rows ids and flags
             .groupBy("doc", "label").agg(F.min("text").alias("text")))
     stream = (rows.select("label", "text", F.xxhash64("doc", F.lit("order")).alias("at"))
               .repartition(1).sortWithinPartitions("at"))
 
     def train(batches):
-        texts, labels = [], []
-        for b in batches:
-            texts += b["text"].tolist()
-            labels += b["label"].tolist()
-        yield _train(texts, labels, ftrl)
+        rows = [(np.unique(features([normalised(t)])[0]).astype(np.int32), y)
+                for b in batches for t, y in zip(b["text"], b["label"])]
+        yield _train(rows, ftrl)
 
     weights = stream.select("text", "label").mapInPandas(train, "index bigint, weight double").collect()
     return {r["index"]: r["weight"] for r in weights}
