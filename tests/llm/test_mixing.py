@@ -1,8 +1,11 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from ticketlens.llm.mixing import (_permuted, blocks_and_slots, mix, running_start, size_documents, source_targets,
-                                   word_count, words_taken)
+                                   texts_of, with_source_number, word_count, words_taken)
+from ticketlens.llm import mixing
 
 
 def _targets(sizes, weights=(5, 2, 1), most=3.0):
@@ -60,9 +63,9 @@ def test_taken_words_come_near_the_targets_and_reruns_agree(spark):
 
 def test_blocks_hold_every_word_once_and_slots_draw_whole_blocks(spark):
     docs = _docs(spark, {"a": 20, "b": 50}).withColumn("size", F.lit("clash"))
-    sized = size_documents(docs, keep_text=True)
+    sized = size_documents(docs)
     sources = source_targets(sized).cache()
-    blocks, slots = blocks_and_slots(sized, sources, block_words=64, shard_slots=32)
+    blocks, slots = blocks_and_slots(sized, sources, block_words=64, shard_slots=32, texts=texts_of(docs))
     rows = blocks.collect()
     words = [w for r in rows for p in r["pieces"] for w in p["text"].split(" ")]
     want = [w for r in docs.collect() for w in r["text"].split(" ")]
@@ -111,3 +114,63 @@ def test_nulls_empty_texts_repeats_and_an_empty_table(spark, tmp_path):
 def test_word_count(spark):
     frame = spark.createDataFrame([("a b c",), ("\x0b\x0c",), (None,), (" é\r\nz ",)], "t string")
     assert [r[0] for r in frame.select(word_count(F.col("t"))).collect()] == [2, 0, 0, 2]
+
+
+def _brute_taken(placed, slots, block_words):
+    """Words that the slots take of each copy, word by word."""
+    owner = {}
+    for r in placed:
+        for k in range(r["size"]):
+            assert (r["src"], r["start"] + k) not in owner
+            owner[r["src"], r["start"] + k] = (r["src"], r["start"])
+    taken = {(r["src"], r["start"]): 0 for r in placed}
+    for s in slots:
+        for k in range(s["block"] * block_words, (s["block"] + 1) * block_words):
+            if (s["src"], k) in owner:
+                taken[owner[s["src"], k]] += 1
+    # every source is filled without a gap
+    for src in {src for src, _ in owner}:
+        assert sorted(k for s, k in owner if s == src) == list(range(sum(s == src for s, _ in owner)))
+    return taken
+
+
+def test_taken_equals_counting_word_by_word(spark):
+    """A third of the rows are one text under a null id, others repeat."""
+    rows = [(i, " ".join(f"w{i}" for _ in range(i % 23)), f"s{i % 3}") for i in range(120)]
+    rows += [(None, "the same text", "s1")] * 60 + [(7, rows[7][1], "s1")] * 3 + [(8, "another", "s2"), (8, "texts", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("k1", F.lit("clash"))
+    results = []
+    for parts in (1, 7):                       # other partitions give the same places
+        sized = size_documents(docs.repartition(parts, F.rand(3)))
+        sources = source_targets(sized)
+        blocks, slots = blocks_and_slots(sized, sources, block_words=8, shard_slots=16)
+        placed = mixing._placed(with_source_number(sized, sources), sized.count()).collect()
+        got = words_taken(blocks, slots).collect()
+        assert {(r["src"], r["start"]): r["taken"] for r in got} == _brute_taken(placed, slots.collect(), 8)
+        assert len(got) == len(placed) == sum(bool((t or "").split()) for _, t, _ in rows)
+        results.append(sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in got))
+    assert results[0] == results[1]
+
+
+def test_a_hot_row_is_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 4)
+    rows = [(None, "a b", "s")] * 90 + [(i, "c d e", "s") for i in range(10)]
+    sized = size_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    sources = source_targets(sized)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    starts = sorted((r["start"], r["size"]) for r in mixing._placed(with_source_number(sized, sources), 100).collect())
+    assert [s for s, _ in starts] == [sum(n for _, n in starts[:i]) for i in range(100)]
+    assert max(len(list(g)) for k, g in itertools.groupby(n for _, n in starts) if k == 2) < 60
+    texts = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    blocks, _ = blocks_and_slots(sized, sources, block_words=8, texts=texts_of(texts))
+    words = [w for r in blocks.collect() for p in r["pieces"] for w in p["text"].split(" ")]
+    assert sorted(words) == sorted(w for _, t, _ in rows for w in t.split(" "))
+
+
+def test_many_sources(spark):
+    """More sources than cells and sorted partitions."""
+    sizes = {f"s{i:05}": i % 7 for i in range(5000)}
+    sized = spark.createDataFrame([(1, s, n) for s, n in sizes.items()], "doc_id long, source string, size long")
+    got = {r["source"]: r["target"] for r in source_targets(sized).collect()}
+    want = _targets(sizes)
+    assert len(got) == 5000 and all(got[s] == pytest.approx(want[s], rel=1e-9, abs=1e-9) for s in want)

@@ -207,10 +207,9 @@ def op5(spark, sf_dir):
 @register("op3_source_mixing")
 def op3(spark, sf_dir):
     """Words that the mix takes from every document."""
-    from .common import stored
     from .mixing import blocks_and_slots, size_documents, source_targets, with_source_number, words_taken
     sized = size_documents(table(spark, sf_dir, "documents"))
-    sources = stored(source_targets(sized), "mix-sources")
+    sources = source_targets(sized)
     taken = words_taken(*blocks_and_slots(sized, sources)).select("src", "doc_id", "size", "taken")
     wordless = with_source_number(sized.where(F.col("size") == 0), sources).select(
         "src", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
