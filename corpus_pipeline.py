@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ticketlens.llm.common import fresh, is_training_row, prepare, stored, table
 from ticketlens.llm.decontaminate import decontaminate, item_blocks
 from ticketlens.llm.language_id import UNDETERMINED, fit, predict
-from ticketlens.llm.mixing import blocks_and_slots, mix, size_documents, source_targets
+from ticketlens.llm.mixing import blocks_and_slots, mix, size_documents, source_targets, texts_of
 from ticketlens.llm.ngram_join import Jaccard, near_duplicates, row_key
 from ticketlens.llm.pii import pseudonymise
 from ticketlens.llm.queries import PSEUDONYM_KEY
@@ -66,7 +66,7 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(chosen, key)
     # a repeated row has the key of its first one
     once = kept.where(F.col(worded)).dropDuplicates([key]).unionByName(kept.where(~F.col(worded)))
-    return once.select(*docs.columns)
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,9 +82,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, one row per slot of an output shard, with its text."""
-    sized = size_documents(docs, keep_text=True)
-    sources = stored(source_targets(sized), "pipeline-sources")
-    mixed = mix(*blocks_and_slots(sized, sources)).join(sources.select("src", "source"), "src")
+    sized = size_documents(docs)
+    sources = source_targets(sized)
+    mixed = mix(*blocks_and_slots(sized, sources, texts=texts_of(docs))).join(sources.select("src", "source"), "src")
     return mixed.select(
         "shard", "position", "source", F.array_distinct("pieces.doc_id").alias("doc_ids"),
         F.aggregate("pieces.n_words", F.lit(0).cast("long"), lambda n, w: n + w).alias("n_words"),
