@@ -92,18 +92,41 @@ def test_token_sets_and_extension():
     assert choose_extension(np.r_[np.full(16, 50.0), np.zeros(84)], 100, 85) == 6
 
 
-def test_sizes_that_can_link_share_a_window(spark):
+def test_sizes_that_can_link_lie_in_neighbouring_windows(spark):
     from pyspark.sql import functions as F
     for jaccard in (Jaccard(), Jaccard(words=4, share=85), Jaccard(share=99), Jaccard(share=100), Jaccard(share=30)):
-        rows = spark.range(1, 700).select("id", jaccard.size_windows(F.col("id")).alias("w")).collect()
-        windows = {r["id"]: set(r["w"]) for r in rows}
-        for a in windows:
+        rows = spark.range(1, 700).select("id", jaccard.size_window(F.col("id")).alias("w")).collect()
+        window = {r["id"]: r["w"] for r in rows}
+        for a in window:
             for b in range(a, min(699, a * jaccard.per // jaccard.share) + 1):
-                assert windows[a] & windows[b], (jaccard, a, b)
+                assert window[b] - window[a] in (0, 1), (jaccard, a, b)
 
 
 def test_a_repeated_row_is_fetched_once(spark):
     from ticketlens.llm.ngram_join import _wanted_texts
-    docs = spark.createDataFrame([(7, "same text")] * 50 + [(8, "other")], "key long, text string")
-    wanted = spark.createDataFrame([(1, 7)], "node long, key long")
+    docs = spark.createDataFrame([(7, 1, "same text")] * 50 + [(8, 1, "other"), (7, 2, "equal first key")], "k1 long, k2 long, text string")
+    wanted = spark.createDataFrame([(1, 7, 1)], "node long, k1 long, k2 long")
     assert [tuple(r) for r in _wanted_texts(docs, wanted).collect()] == [(1, "same text")]
+
+
+def test_ids_of_other_types_and_clashing_columns(spark):
+    rows = [("b-2", "one two three four five six"), ("a-10", "one two three four five six"), (None, "something else here"), ("c", None)]
+    frame = spark.createDataFrame(rows, "`my.id` string, text string").selectExpr("*", "1 AS id", "2 AS k1", "3 AS size", "4 AS doc_id")
+    got = near_duplicates(frame, doc_id="my.id").collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {("b-2", "a-10"), ("a-10", "a-10"), (None, None), ("c", "c")}
+    big = spark.createDataFrame([(2 ** 62 + 1, "a b"), (2 ** 62, "A b"), (None, "q")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_duplicates(big).collect()} == {
+        (2 ** 62 + 1, 2 ** 62), (2 ** 62, 2 ** 62), (None, None)}
+
+
+def test_bloom_filter_holds_every_number(spark, monkeypatch):
+    from ticketlens.llm import ngram_join
+    ids = spark.range(0, 400_000, 7).selectExpr("id * 7919 AS id")
+    for pieces in (1 << 11, 2):                 # sized by the count, and at its bound
+        monkeypatch.setattr(ngram_join, "BLOOM_PIECES", pieces)
+        packed = ngram_join._bloom_filter(ids)
+        assert len(packed) == 2
+        inside = np.arange(0, 400_000, 7) * 7919
+        assert ngram_join._maybe_in(packed, inside).all()
+        assert ngram_join._maybe_in(packed, inside + 1).mean() < 0.01
+    assert not ngram_join._maybe_in(ngram_join._bloom_filter(ids.limit(0)), np.arange(9)).any()

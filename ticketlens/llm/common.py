@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -45,6 +46,15 @@ class Scratch:
             target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
         self.paths = []
+        release(self.spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files and broadcasts of jobs
+    that are done: it does so when the driver's plans of them are collected,
+    which a long job of many written steps should not leave to chance."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def fresh(prefix: str = "tmp") -> str:

@@ -10,15 +10,17 @@ postings but leaves fewer candidates, since a pair must then share the smaller
 The frequencies come from a sketch of fixed size over all documents.  It only
 orders tokens and weighs costs; the result does not depend on its errors.
 
-Groups of copies.  Equal sets are one node, so exact copies cost one row per
-task.  Candidates are made in two rounds.  In the first every document meets
-only the *leader* (one node, by hash) of each of its prefix tokens, which is
-linear in the postings and joins the members of a large group that is dense.
-In the second the documents of a token meet, but only across the components
-found so far (a pair inside one component can change nothing), only at the
-first token they share, and only if enough tokens follow it in both to reach
-the overlap that their sizes ask for.  No link between components is lost, and
-no cap exists.
+Groups of copies.  Equal sets are one node (named by two 64-bit hashes, then
+numbered), so exact copies cost one row per task.  Candidates are made in two
+rounds.  In the first every document meets the *leaders* (one node, by hash) of
+its prefix tokens, each token apart by size window, and is verified with the
+``LEADERS`` of them whose bitmaps are nearest; that is linear in the postings
+and joins the members of a large group that is dense.  In the second the
+documents of a token meet, but only across the components found so far (a pair
+inside one component can change nothing), only at the first token they share,
+and only if enough tokens follow it in both to reach the overlap that their
+sizes ask for.  The first round only spares the second one work: no link between
+components is lost, and no cap exists.
 
 Before any text is fetched, a pair passes a bitmap filter: every token flips
 one of a few hundred bits, so two sets differ in at least as many tokens as
@@ -28,7 +30,8 @@ Defined results: a text with fewer words than an n-gram has is one token of
 all its words; without words or with null text the set is empty and links with
 nothing; equal texts always link; documents with a null id take part and have
 the smallest id of their component, null where there is none; repeated ids are
-documents of their own.
+documents of their own; ids may be of any type that has an order; an empty table
+gives an empty result; only the two columns named are used.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, stored
+from .common import Scratch, release, stored
 from .components import connected_components
 from .hashing import mix, words_of
 
@@ -51,7 +54,12 @@ _CHUNK = 1 << 14
 #: Prefix extensions considered, and the cost of a verification in postings read.
 MAX_EXTENSION = 6
 VERIFY_COST = 8.0
-BLOOM_BITS = 25
+#: Leaders that a node is verified with in the first round.
+LEADERS = 3
+#: A Bloom filter: bits of a piece, bits per number, pieces at most (128 MB).
+BLOOM_PIECE = 19
+BLOOM_SHARE = 16
+BLOOM_PIECES = 1 << 11
 #: 64-bit words of the bitmap of a set.
 BITMAP_WORDS = 6
 #: Bytes of text turned into tokens at once; nodes a task remembers.
@@ -79,13 +87,12 @@ class Jaccard:
         """The common tokens that two sets of these sizes need."""
         return F.ceil(((a + b) * self.share) / (self.share + self.per))
 
-    def size_windows(self, size: Column) -> Column:
-        """Numbers of the two size windows that a set belongs to; two sets
-        whose sizes can link have one of them in common.  Windows span two
-        steps of the least size ratio and overlap by one."""
+    def size_window(self, size: Column) -> Column:
+        """Number of the size window of a set: two sets whose sizes can link
+        lie in the same or in neighbouring windows."""
         # a hair less than a step, so that rounding cannot part two sizes at the limit
         step = F.log(size) / math.log(self.per / self.share) * 0.999999 if self.share < self.per else size
-        return F.array(F.floor(step / 2) * 2, F.floor((step + 1) / 2) * 2 - 1)
+        return F.floor(step).cast("long")
 
     def may_link(self, a: Column, b: Column, flipped: Column) -> Column:
         """Can sets of these sizes link if they differ in so many tokens?"""
@@ -131,9 +138,11 @@ def _sets(texts: list[bytes], n: int):
             yield np.zeros(0, np.uint64)
 
 
-def _node(tokens: np.ndarray) -> int:
-    """The name of a set: a 64-bit hash, as a signed number."""
-    return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens)) - (1 << 63)
+def _name(tokens: np.ndarray) -> tuple[int, int]:
+    """The name of a set: two independent 64-bit hashes, as signed numbers."""
+    data = tokens.tobytes()
+    return (xxhash.xxh3_64_intdigest(data, seed=len(tokens)) - (1 << 63),
+            xxhash.xxh64_intdigest(data, seed=0x5EED) - (1 << 63))
 
 
 # --- first pass: sets and the frequency sketch ---------------------------------
@@ -142,18 +151,18 @@ def _scan(n: int):
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
-            nodes, sizes = [], []
+            names, sizes = [], []
             for tokens in token_sets(batch["text"].tolist(), n):
-                nodes.append(_node(tokens) if len(tokens) else None)
+                names.append(_name(tokens) if len(tokens) else (None, None))
                 sizes.append(len(tokens))
                 np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "key": batch["key"].array, "node": pd.array(nodes, "Int64"),
-                                "size": sizes, "chunk": pd.array([None] * len(sizes), "Int32"),
-                                "counts": [None] * len(sizes)})
+            yield pd.DataFrame({"id": batch["id"].astype(object).where(batch["id"].notna(), None), "k1": batch["k1"].array, "k2": batch["k2"].array,
+                                "n1": pd.array([x for x, _ in names], "Int64"), "n2": pd.array([x for _, x in names], "Int64"),
+                                "size": sizes, "chunk": pd.array([None] * len(sizes), "Int32"), "counts": [None] * len(sizes)})
         chunks = counts.reshape(-1, _CHUNK)
         used = np.flatnonzero(chunks.any(axis=1))
         none = pd.array([None] * len(used), "Int64")
-        yield pd.DataFrame({"doc_id": none, "key": none, "node": none,
+        yield pd.DataFrame({"id": [None] * len(used), "k1": none, "k2": none, "n1": none, "n2": none,
                             "size": np.zeros(len(used), np.int64), "chunk": pd.array(used, "Int32"),
                             "counts": [chunks[i].tobytes() for i in used]})
     return run
@@ -214,71 +223,87 @@ def _prefixes(jaccard: Jaccard, shared):
         counts = shared.value
         usual = counts.mean()
         noise = usual + 3 * np.sqrt(usual)          # other tokens in the same cell
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             out = []
             for tokens in token_sets(batch["text"].tolist(), jaccard.words):
-                if not len(tokens) or (node := _node(tokens)) in seen:
+                if not len(tokens) or (name := _name(tokens)) in seen:
                     continue
                 if len(seen) < SEEN:
-                    seen.add(node)
+                    seen.add(name)
                 size, least = len(tokens), jaccard.least_overlap(len(tokens))
                 about = counts[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((tokens, about))
                 ext = choose_extension(np.maximum(about[order] - noise, 0.0), size, least)
                 prefix = tokens[order[:size - least + ext]]
-                out.append((node, size, ext, _bitmap(tokens), prefix.view(np.int64)))
-            yield pd.DataFrame(out, columns=["node", "size", "need", "bitmap", "tokens"])
+                out.append((*name, size, ext, _bitmap(tokens), prefix.view(np.int64)))
+            yield pd.DataFrame(out, columns=["n1", "n2", "size", "need", "bitmap", "tokens"])
     return run
 
 
 # --- candidates ----------------------------------------------------------------
 
-def _bits(ids: np.ndarray) -> np.ndarray:
+def _bits(ids: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """The piece of the filter that each number belongs to, and its four bits there."""
     h = mix(np.asarray(ids, np.int64).view(np.uint64))
-    return np.stack([(h >> np.uint64(s)) & np.uint64((1 << BLOOM_BITS) - 1) for s in (0, 13, 26, 39)]).astype(np.int64)
+    piece = (mix(h + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(pieces - 1)).astype(np.int64)
+    return piece, np.stack([(h >> np.uint64(s)) & np.uint64((1 << BLOOM_PIECE) - 1) for s in (0, 13, 26, 39)]).astype(np.int64)
 
 
 def _bloom_filter(ids: DataFrame) -> np.ndarray:
-    """Packed bits of a Bloom filter over a column of numbers: of fixed size,
-    so a table that is too long for it only makes it less selective."""
+    """Packed bits of a Bloom filter over a column of numbers, one row a
+    piece.  Its size follows their count, up to BLOOM_PIECES; beyond that it
+    only gets less selective.  Each task fills the pieces dealt to it."""
+    n = ids.count()
+    pieces = min(BLOOM_PIECES, 1 << max(0, math.ceil(math.log2(max(1, n) * BLOOM_SHARE)) - BLOOM_PIECE))
+
+    @F.pandas_udf("int")
+    def piece_of(numbers: pd.Series) -> pd.Series:
+        return pd.Series(_bits(numbers.to_numpy(), pieces)[0].astype(np.int32))
+
     def filled(batches):
-        bits = np.zeros(1 << BLOOM_BITS, bool)
+        bits: dict[int, np.ndarray] = {}
         for batch in batches:
-            bits[_bits(batch.iloc[:, 0].to_numpy()).ravel()] = True
-        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
-
-    packed = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-    for r in ids.coalesce(4).mapInPandas(filled, "bits binary").toLocalIterator():
-        packed |= np.frombuffer(r["bits"], np.uint8)
+            at, places = _bits(batch["id"].to_numpy(), pieces)
+            order = np.argsort(at, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                if len(part):
+                    bits.setdefault(int(at[part[0]]), np.zeros(1 << BLOOM_PIECE, bool))[places[:, part].ravel()] = True
+        yield pd.DataFrame({"piece": np.array(list(bits), np.int32), "bits": [np.packbits(b).tobytes() for b in bits.values()]})
+
+    packed = np.zeros((pieces, (1 << BLOOM_PIECE) // 8), np.uint8)
+    dealt = ids.toDF("id").repartition(pieces, piece_of("id"))
+    for r in dealt.mapInPandas(filled, "piece int, bits binary").toLocalIterator():
+        packed[r["piece"]] |= np.frombuffer(r["bits"], np.uint8)
     return packed
 
 
 def _maybe_in(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = _bits(ids)
-    return ((packed[at >> 3] >> (7 - (at & 7))) & 1).all(axis=0)
+    piece, at = _bits(ids, len(packed))
+    return ((packed[piece, at >> 3] >> (7 - (at & 7))) & 1).all(axis=0)
 
 
 def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, text`` for the documents in ``wanted(node, key)``; the filter
+    """``node, text`` for the documents in ``wanted(node, k1, k2)``; the filter
     spares most other texts the shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom_filter(wanted.select("key")))
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom_filter(wanted.select("k1")))
 
     @F.pandas_udf("boolean")
     def maybe(keys: pd.Series) -> pd.Series:
         return pd.Series(_maybe_in(shared.value, keys.to_numpy()))
 
-    # a repeated row has one key, and its text is needed once
-    texts = docs.select("key", "text").where(maybe("key")).dropDuplicates(["key"])
-    return wanted.join(texts, "key").select("node", "text")
+    # a repeated row has one name, and its text is needed once
+    texts = docs.select("k1", "k2", "text").where(maybe("k1")).dropDuplicates(["k1", "k2"])
+    return wanted.join(texts, ["k1", "k2"]).select("node", "text")
 
 
-def _common_tokens(prefixes: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
-    """``node, size, need, pos, token, meet, lead``: the prefix tokens that
-    two nodes of linkable sizes at least have.  ``meet`` names token and size
-    window, ``lead`` is one of the nodes there, by hash."""
+def _common_tokens(prefixes: DataFrame, jaccard: Jaccard, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``node, size, need, pos, token, meet``: the prefix tokens that at least
+    two nodes have (``meet`` names token and size window), and the pairs ``a, b``
+    of a node and a leader: one of the nodes of a meeting, by hash."""
     counts = prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     repeated = scratch.stored(counts.where("n > 1").select("token"), "jaccard-repeated")
+    release(prefixes.sparkSession)
     shared = prefixes.sparkSession.sparkContext.broadcast(_bloom_filter(repeated))
 
     @F.pandas_udf("array<int>")
@@ -288,22 +313,25 @@ def _common_tokens(prefixes: DataFrame, jaccard: Jaccard, scratch: Scratch) -> D
 
     rows = (prefixes.select("node", "size", "need", "tokens", F.explode(positions("tokens")).alias("pos"))
             .withColumn("token", F.get("tokens", F.col("pos"))).drop("tokens"))
-    rows = rows.withColumn("meet", F.explode(F.transform(
-        jaccard.size_windows(F.col("size")), lambda w: F.xxhash64("token", w))))
-    common = scratch.stored(rows.join(repeated, "token").distinct(), "jaccard-common")
+    common = scratch.stored(rows.join(repeated, "token").withColumn(
+        "meet", F.xxhash64("token", jaccard.size_window(F.col("size")))), "jaccard-common")
     # every meeting has a leader of its own, so a group gets many of them
     heads = scratch.stored(common.groupBy("meet").agg(
-        F.min_by("node", F.xxhash64("node", "meet")).alias("lead"),
-        F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("meet", "lead"), "jaccard-heads")
-    return scratch.stored(common.join(heads, "meet"), "jaccard-postings")
+        F.min_by("node", F.xxhash64("node", "meet")).alias("lead"), F.count("*").alias("n"))
+        .where("n > 1").select("meet", "lead"), "jaccard-heads")
+    led = scratch.stored(common.select("node", "meet").join(heads, "meet").where("node != lead")
+                         .select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "jaccard-led")
+    release(prefixes.sparkSession)
+    return common, led
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, jaccard: Jaccard, scratch: Scratch, name: str) -> DataFrame:
     """The pairs ``(a, b)`` of nodes that reach the threshold."""
     pairs = scratch.stored(pairs.select("a", "b"), f"{name}-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = scratch.stored(nodes.join(ends, "node").select("node", "key"), f"{name}-wanted")
+    wanted = scratch.stored(nodes.join(ends, "node").select("node", "k1", "k2"), f"{name}-wanted")
     texts = scratch.stored(_wanted_texts(docs, wanted), f"{name}-texts")
+    release(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def links(a: pd.Series, ta: pd.Series, b: pd.Series, tb: pd.Series) -> pd.Series:
@@ -313,9 +341,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, jaccard: Jacc
             kept.update(zip(new, token_sets(list(new.values()), jaccard.words)))
         return pd.Series([jaccard.linked(kept[x], kept[y]) for x, y in zip(a, b)], dtype=bool)
 
+    # few texts stand on the right (leaders, or one side of a component)
+    right = scratch.stored(pairs.select("b").distinct(), f"{name}-right")
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(two, "b").join(one, "a")
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(right, "b", "left_semi")
+    both = pairs.join(one, "a").join(two, "b")
     return scratch.stored(both.where(links("a", "ta", "b", "tb")).select("a", "b"), f"{name}-links")
 
 
@@ -335,14 +365,17 @@ def _placed(common: DataFrame, bitmaps: DataFrame, joined: DataFrame, scratch: S
 
 def _across(placed: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
     """Candidate pairs of different components, each once."""
-    spans = (placed.groupBy("meet").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").select("meet"))
-    live = scratch.stored(placed.join(scratch.stored(spans, "jaccard-open"), "meet"), "jaccard-live")
+    spans = (placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi").select("token"))
+    live = scratch.stored(placed.join(scratch.stored(spans, "jaccard-open"), "token"), "jaccard-live")
     side = lambda s: live.select(*[F.col(c).alias(f"{c}_{s}") for c in live.columns])
     a, b = side("a"), side("b")
     # the smaller set comes first; a common first token stands early in it
     a = a.where(F.col("pos_a") <= F.col("size_a") - jaccard.overlap(F.col("size_a"), F.col("size_a")))
     b = b.where(F.col("pos_b") * jaccard.per <= F.col("size_b") * (jaccard.per - jaccard.share))
+    # a set meets those of its own window, and of the one below as the larger set
+    window = jaccard.size_window(F.col("size_b"))
+    b = b.withColumn("meet_b", F.explode(F.array(F.col("meet_b"), F.xxhash64("token_b", window - 1))))
     need = jaccard.overlap(F.col("size_a"), F.col("size_b"))
     both = F.array_intersect("carried_a", "carried_b")
     met = ((F.col("component_a") != F.col("component_b"))
@@ -353,39 +386,45 @@ def _across(placed: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
            & F.coalesce(F.get(both, F.lit(0)) == F.col("token_a"), F.lit(True))
            & ((F.size(both) >= F.least("need_a", "need_b")) | ~F.col("complete_a") | ~F.col("complete_b")))
     pairs = a.join(b, (F.col("meet_a") == F.col("meet_b")) & (F.col("token_a") == F.col("token_b")) & met)
-    # sets meet in both of their windows, or, with longer lists than are
-    # carried, at several tokens
+    # with longer lists than are carried, sets meet at several tokens
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, jaccard: Jaccard = Jaccard(), doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, key, n_shingles, node, component,
-    component_id``.  ``key`` is ``row_key`` of the row; rows of one component
-    (equal ``component``; null without words) are linked."""
+    """One row per document: ``doc_id, key, key2, n_shingles, node,
+    component, component_id``.  ``key, key2`` are ``row_key`` of the row; rows of
+    one component (equal ``component``; null without words) are linked."""
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    docs = docs.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    of = docs.schema["doc_id"].dataType
+    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("string").alias("id"), "text", k1.alias("k1"), k2.alias("k2"))
     scratch = Scratch(spark)
-    scan = stored(docs.mapInPandas(_scan(jaccard.words), "doc_id bigint, key bigint, node bigint, size bigint, "
+    scan = stored(docs.mapInPandas(_scan(jaccard.words), "id string, k1 bigint, k2 bigint, n1 bigint, n2 bigint, size bigint, "
                                    "chunk int, counts binary"), "jaccard-scan")
     shared = spark.sparkContext.broadcast(_sketch(scan))
-    sets = scan.where(F.col("chunk").isNull()).drop("chunk", "counts")
-    nodes = stored(sets.where("node is not null").groupBy("node").agg(
-        F.min("key").alias("key"), F.min("doc_id").alias("first_id")), "jaccard-nodes")
-
-    prefixes = scratch.stored(docs.select("text").mapInPandas(
-        _prefixes(jaccard, shared), "node bigint, size int, need int, bitmap array<bigint>, tokens array<bigint>"),
-        "jaccard-prefixes")
-    common = _common_tokens(prefixes, jaccard, scratch)
-    bitmaps = scratch.stored(prefixes.select("node", "size", "need", "bitmap").distinct(), "jaccard-bitmaps")
-
-    # first round: every node with the leaders of its tokens
+    sets = scan.where(F.col("chunk").isNull()).select(F.col("id").cast(of).alias("doc_id"), "k1", "k2", "n1", "n2", "size")
+    nodes = stored(sets.where("n1 is not null").groupBy("n1", "n2").agg(
+        F.min(F.struct("k1", "k2")).alias("k"), F.min("doc_id").alias("first_id")).select(
+        "n1", "n2", "k.k1", "k.k2", "first_id", F.monotonically_increasing_id().alias("node")), "jaccard-nodes")
+
+    found = docs.select("text").mapInPandas(
+        _prefixes(jaccard, shared), "n1 bigint, n2 bigint, size int, need int, bitmap array<bigint>, tokens array<bigint>")
+    # the same set, found by several tasks, has one number
+    prefixes = scratch.stored(found.dropDuplicates(["n1", "n2"]).join(nodes.select("n1", "n2", "node"), ["n1", "n2"])
+                              .drop("n1", "n2"), "jaccard-prefixes")
+    release(spark)
+    common, led = _common_tokens(prefixes, jaccard, scratch)
+    bitmaps = scratch.stored(prefixes.select("node", "size", "need", "bitmap"), "jaccard-bitmaps")
+
+    # first round: every node with the nearest leaders of its tokens
     side = lambda s: bitmaps.select(*[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in bitmaps.columns])
-    led = common.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     sizes = (F.col("size_a"), F.col("size_b"))
-    first = led.join(side("b"), "b").join(side("a"), "a").where(
-        jaccard.sizes_fit(*sizes) & jaccard.may_link(*sizes, _flipped(F.col("bitmap_a"), F.col("bitmap_b"))))
+    near = led.join(side("b"), "b").join(side("a"), "a").withColumn("flipped", _flipped(F.col("bitmap_a"), F.col("bitmap_b")))
+    near = near.where(jaccard.sizes_fit(*sizes) & jaccard.may_link(*sizes, F.col("flipped")))
+    chosen = F.slice(F.sort_array(F.collect_list(F.struct("flipped", "b"))), 1, LEADERS)
+    first = near.groupBy("a").agg(chosen.alias("chosen")).select("a", F.explode("chosen.b").alias("b"))
     links = _verified(first, docs, nodes, jaccard, scratch, "jaccard-first")
     joined = connected_components(links, "jaccard-components")
 
@@ -398,12 +437,12 @@ def near_duplicates(documents: DataFrame, jaccard: Jaccard = Jaccard(), doc_id:
     named = nodes.join(done.withColumnRenamed("id", "node"), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    member = stored(named.select("node", "component").join(least, "component"), "jaccard-members")
-    out = sets.join(member, "node", "left")
-    return out.select("doc_id", "key", F.col("size").alias("n_shingles"), "node", "component",
-                      F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    member = stored(named.select("n1", "n2", "node", "component").join(least, "component"), "jaccard-members")
+    out = sets.join(member, ["n1", "n2"], "left")
+    return out.select("doc_id", F.col("k1").alias("key"), F.col("k2").alias("key2"), F.col("size").alias("n_shingles"), "node",
+                      "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Names a document by id and text."""
-    return F.xxhash64(doc_id, text)
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Names a document by id and text: two 64-bit hashes."""
+    return F.xxhash64(doc_id, text), F.xxhash64(F.lit(2), doc_id, text)
