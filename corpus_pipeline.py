@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import fresh, is_training_row, prepare, stored, table
+from ticketlens.llm.common import fresh, is_training_row, prepare, release, stored, table
 from ticketlens.llm.decontaminate import decontaminate, item_blocks
 from ticketlens.llm.language_id import UNDETERMINED, fit, predict
 from ticketlens.llm.mixing import blocks_and_slots, mix, size_documents, source_targets, texts_of
@@ -35,16 +35,23 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
+def _begin(spark: SparkSession) -> None:
+    """What earlier stages left behind goes before the next one starts."""
+    prepare(spark)
+    release(spark)
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars`` of the texts as they are now."""
     if "n_chars" not in docs.columns:
         return docs
-    return docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+    of = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast(of), F.col("n_chars")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is determined."""
-    prepare(spark)
+    _begin(spark)
     model = spark.sparkContext.broadcast(
         fit(docs.where(is_training_row(F.col("doc_id"))).select("doc_id", "text", "lang")))
     found = fresh("lang")
@@ -53,35 +60,39 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies;
-    documents without words are no copies of each other."""
-    prepare(spark)
+    """Keep the document with the smallest id of each group of near copies
+    (null ids last, ties by a hash of id and text, equal rows once); documents
+    without words are no copies of each other and all stay."""
+    _begin(spark)
     found = stored(near_duplicates(docs, Jaccard(words=5, share=80)), "pipeline-groups")
     first = (found.where("component is not null").groupBy("component")
-             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")))
-    chosen = first.select(F.col("first.key").alias("key"), F.lit(True).alias("worded")).union(
-        found.where("component is null").select("key", F.lit(False)).distinct())
-    key, worded = fresh("key"), fresh("worded")
-    chosen = stored(chosen.toDF(key, worded), "pipeline-chosen")
-    kept = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(chosen, key)
+             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "key2")).alias("first")))
+    chosen = first.select("first.key", "first.key2", F.lit(True)).union(
+        found.where("component is null").select("key", "key2", F.lit(False)).distinct())
+    key, key2, worded = fresh("key"), fresh("key2"), fresh("worded")
+    chosen = stored(chosen.toDF(key, key2, worded), "pipeline-chosen")
+    names = row_key(F.col("doc_id"), F.col("text"))
+    kept = docs.withColumns({key: names[0], key2: names[1]}).join(chosen, [key, key2])
     # a repeated row has the key of its first one
-    once = kept.where(F.col(worded)).dropDuplicates([key]).unionByName(kept.where(~F.col(worded)))
+    once = kept.where(F.col(worded)).dropDuplicates([key, key2]).unionByName(kept.where(~F.col(worded)))
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages out."""
-    prepare(spark)
+    _begin(spark)
     return _counted(decontaminate(docs, item_blocks(table(spark, sf_dir, "benchmark")), window=10, max_coverage=0.5))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace private values by pseudonyms."""
+    _begin(spark)
     return _counted(pseudonymise(docs, PSEUDONYM_KEY))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, one row per slot of an output shard, with its text."""
+    _begin(spark)
     sized = size_documents(docs)
     sources = source_targets(sized)
     mixed = mix(*blocks_and_slots(sized, sources, texts=texts_of(docs))).join(sources.select("src", "source"), "src")
