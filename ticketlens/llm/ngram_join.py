@@ -162,7 +162,7 @@ def _scan(n: int):
         chunks = counts.reshape(-1, _CHUNK)
         used = np.flatnonzero(chunks.any(axis=1))
         none = pd.array([None] * len(used), "Int64")
-        yield pd.DataFrame({"id": [None] * len(used), "k1": none, "k2": none, "n1": none, "n2": none,
+        yield pd.DataFrame({"id": pd.Series([None] * len(used), dtype=object), "k1": none, "k2": none, "n1": none, "n2": none,
                             "size": np.zeros(len(used), np.int64), "chunk": pd.array(used, "Int32"),
                             "counts": [chunks[i].tobytes() for i in used]})
     return run
