@@ -39,6 +39,29 @@ def test_every_intent_has_one_shape(spark):
     assert rows["Xin chào"] == [(None, None, None)] * 2
 
 
+def test_a_batch_of_all_intents_reads_the_tickets_once(spark, tmp_path):
+    path = str(tmp_path / "tickets-once")
+    spark.createDataFrame(TICKETS, SCHEMA).write.parquet(path)
+    t = spark.read.parquet(path)
+    texts = ["Sản phẩm nào nhiều nhất năm 2024", "KTV nào sửa nhiều nhất", "Khách nào gửi nhiều nhất tháng 3 năm 2024",
+             "Công ty ABC gửi gì nhiều", "gửi sản phẩm trong năm 2023"]
+    out = ask.answer_questions(t, _parsed(spark, texts))
+    assert out.count() >= 5
+    assert "tickets-once" not in out._jdf.queryExecution().toString()      # only the written cube is read
+
+
+def test_answer_cubes_equal_single_cubes(spark):
+    t = spark.createDataFrame(TICKETS * 3 + [("", None, "Ann", None, None, None)], SCHEMA)
+    cubes = ask.answer_cubes(t, [0, 3, 7])
+    for keys, cube in cubes.items():
+        want = ask.time_cube(t, keys, [0, 3, 7])
+        key = lambda r: tuple(map(str, r))
+        columns = [*keys, *ask.TIME, "n", "gid"]
+        got = sorted((tuple(r) for r in cube.select(*columns).collect()), key=key)
+        # grouping ids of a single cube have its keys in front, which are never rolled up
+        assert got == sorted((tuple(r) for r in want.select(*columns).collect()), key=key)
+
+
 def test_rows_of_the_top_technician(spark):
     t = spark.createDataFrame(TICKETS, SCHEMA)
     q = _parsed(spark, ["KTV nào sửa nhiều nhất năm 2024"] * 2 + ["KTV nào sửa nhiều nhất năm 1990"])

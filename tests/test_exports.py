@@ -4,11 +4,12 @@ order, outer spaces, a missing column, day-first dates."""
 import datetime as dt
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from ticketlens import roles as R
 from ticketlens.session import scratch_path
-from ticketlens.sources.exports import resolve_headers, scan_tickets, snake_headers
+from ticketlens.sources.exports import layouts_of, resolve_headers, scan_tickets, snake_headers
 
 ROWS = [
     ("2024-03-05 10:00:00", "Công ty A", "May in X", "1", "", "0", "S1"),
@@ -111,3 +112,44 @@ def test_ticket_store_follows_its_inputs(spark, tmp_path):
 def test_snake_headers(spark):
     df = spark.createDataFrame([(1, 2)], "`Đã sửa xong` int, `Tên lỗi (Báo lỗi)` int")
     assert snake_headers(df).columns == ["đa_sua_xong", "ten_loi_bao_loi"]
+
+
+def _export(path, rows, cell=lambda i: f"Cty {i}"):
+    path.write_text("Tên khách hàng,Sản phẩm,Đã sửa xong\n" + "".join(f"{cell(i)},May {i % 7},{i % 2}\n" for i in range(rows)), "utf-8")
+
+
+def test_one_large_file_is_read_in_several_tasks(spark, tmp_path):
+    _export(tmp_path / "plain.csv", 20_000, lambda i: f'"Cty ""{i}"", Ltd"')
+    _export(tmp_path / "broken.csv", 300, lambda i: f'"Cty\nsố {i}"')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        layouts = layouts_of(spark, [str(tmp_path)])
+        (layout,) = layouts.values()
+        assert [f.rsplit("/", 1)[1] for f in layout.plain + layout.quoted] == ["plain.csv", "broken.csv"]
+        plain = scan_tickets(spark, str(tmp_path / "plain.csv"))
+        assert plain.rdd.getNumPartitions() > 5
+        got = plain.groupBy(R.CUSTOMER).count().collect()
+        assert len(got) == 20_000 and {r[R.CUSTOMER] for r in got} == {f'Cty "{i}", Ltd' for i in range(20_000)}
+        broken = scan_tickets(spark, str(tmp_path / "broken.csv"))
+        assert {r[R.CUSTOMER] for r in broken.collect()} == {f"Cty\nsố {i}" for i in range(300)}
+        assert scan_tickets(spark, str(tmp_path)).count() == 20_300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_header_records_of_any_length_and_over_several_lines(spark, tmp_path):
+    filler = [f"cột thừa {i} " + "x" * 1000 for i in range(100)]
+    (tmp_path / "long header.csv").write_text(",".join([*filler, "Serial", "Sản phẩm"]) + "\n" + "," * 100 + "S1,P\n", "utf-8")
+    (tmp_path / "two lines.csv").write_text('\n"Ghi\nchú ""a""\nvà b",Serial,"Sản phẩm"\n"x\ny",S2,Q\n,S3,"Q, R"\n', "utf-8")
+    (tmp_path / "blank.csv").write_text("\n \n", "utf-8")
+    headers = {h: (len(x.plain), len(x.quoted)) for h, x in layouts_of(spark, [str(tmp_path)]).items()}
+    assert headers == {(*filler, "Serial", "Sản phẩm"): (1, 0), ('Ghi\nchú "a"\nvà b', "Serial", "Sản phẩm"): (0, 1)}
+    rows = scan_tickets(spark, str(tmp_path)).collect()
+    assert {(r[R.SERIAL], r[R.PRODUCT]) for r in rows} == {("S1", "P"), ("S2", "Q"), ("S3", "Q, R")}
+
+
+def test_a_folder_without_records(spark, tmp_path):
+    (tmp_path / "blank.csv").write_text("\n\n", "utf-8")
+    with pytest.raises(FileNotFoundError):
+        scan_tickets(spark, str(tmp_path))

@@ -1,6 +1,7 @@
 """Text normalisation against literal values, and the pattern matcher against
 brute force."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -80,6 +81,22 @@ def test_match_patterns_equals_brute_force(spark):
     assert lit == want_lit
 
 
+def test_match_patterns_in_blocks_equals_brute_force(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choices("abcĐđÀ .1", k=n))
+    names = list({word(rnd.randint(0, 12)) for _ in range(300)})
+    patterns = list({word(rnd.randint(0, 4)) for _ in range(200)} | {"..", "", "a.b"})
+    ndf = spark.createDataFrame([(n, 1) for n in names * 2], "name string, _name int")
+    pdf = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    want = {(p, n) for p in patterns for n in names if p.lower() in n.lower()}
+    for chars in (1 << 20, 60):                  # one automaton, and several
+        rows = [tuple(r) for r in match_patterns(pdf, ndf, regex=False, block_chars=chars).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    wild = {(r["pattern"], r["name"]) for r in match_patterns(pdf, ndf, block_chars=60).collect()}
+    assert wild == {(p, n) for p in patterns for n in names if re.search(p, n, re.IGNORECASE)}
+    assert match_patterns(pdf.limit(0), ndf).count() == 0 and match_patterns(pdf, ndf.limit(0)).count() == 0
+
+
 def test_question_bank_grows_with_data(spark):
     from ticketlens.plans.questions import question_bank
     n = question_bank(spark, SF_SMALL).count()

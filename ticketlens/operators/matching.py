@@ -1,26 +1,37 @@
 """Match a table of text patterns against a table of names, exactly.
 
 A question batch names customers by *pattern* (case-insensitive search), so
-"which customers does each pattern match" is a join on containment.  It runs
-as an equality join: a literal of length L lies in a name exactly when it
-equals one of the name's substrings of length L.  Every distinct name is cut
-into its distinct substrings of the lengths that occur among the patterns, and
-these meet the patterns by equality, so what the join returns are the matches
-themselves, however similar the names are.
+"which customers does each pattern match" is a join on containment.  The
+distinct patterns form an automaton (Aho-Corasick) through which every distinct
+name streams once: it reports the patterns inside the name, however many there
+are and whatever their lengths.  Nothing but the distinct names and the matches
+is shuffled.
 
-"." is the only wildcard a question can carry.  Such a pattern meets the
-names through its longest literal run and is then verified; a pattern of
-nothing but wildcards has a run of length 0, which every name holds.
+An automaton holds a *block* of patterns of bounded size (``BLOCK_CHARS``), so
+neither the driver nor a worker holds more than that of them; a larger batch
+takes one pass over the distinct names per block.
+
+"." is the only wildcard a question can carry.  Such a pattern stands in the
+automaton with its longest literal run, and its matches are then verified; a
+pattern of nothing but wildcards has an empty run, which every name holds.
 
 Case is ignored by one rule on every path (``fold_case``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_case
+from ..session import write_table
+
+#: Characters of the patterns of one automaton (some 50 bytes of state each).
+BLOCK_CHARS = 1 << 20
 
 
 def _longest_run(folded: Column) -> Column:
@@ -35,8 +46,25 @@ def _wildcard_search(folded: Column, pattern: Column) -> Column:
     return F.regexp_like(folded, F.concat(F.lit("(?d)"), literal))
 
 
+def _held(shared):
+    """UDF: the distinct probes of a block that a name holds.  The automaton
+    is built once per task."""
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+        automaton = ahocorasick.Automaton()
+        always = [p for p in shared.value if not p]
+        for probe in shared.value:
+            if probe:
+                automaton.add_word(probe, probe)
+        if len(automaton):
+            automaton.make_automaton()
+        for names in batches:
+            yield pd.Series([always + sorted({p for _, p in automaton.iter(n)} if len(automaton) else ()) for n in names])
+    return F.pandas_udf(held, "array<string>")
+
+
 def match_patterns(patterns: DataFrame, names: DataFrame, pattern_col: str = "pattern",
-                   name_col: str = "name", regex: bool = True) -> DataFrame:
+                   name_col: str = "name", regex: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Distinct (pattern, name) pairs where the pattern occurs in the name,
     ignoring case.
 
@@ -44,23 +72,25 @@ def match_patterns(patterns: DataFrame, names: DataFrame, pattern_col: str = "pa
     the questions); ``False``: every character is literal.  NULL patterns and
     names never match.
     """
+    spark = patterns.sparkSession
     pats = patterns.select(F.col(pattern_col).alias("pattern")).where("pattern IS NOT NULL").distinct()
     pats = pats.withColumn("_folded", fold_case("pattern"))
-    probe = _longest_run(F.col("_folded")) if regex else F.col("_folded")
-    pats = pats.withColumn("_probe", probe)
-    # one row: the distinct probe lengths, at most the length of the longest pattern
-    lengths = pats.agg(F.collect_set(F.length("_probe")).alias("_lengths"))
-
-    nms = names.select(F.col(name_col).alias("name")).where("name IS NOT NULL").distinct()
-    cut = (nms.withColumn("_name", fold_case("name")).crossJoin(F.broadcast(lengths))
-           .select("name", "_name", F.explode("_lengths").alias("_n"))
-           .where(F.length("_name") >= F.col("_n")))
-    parts = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1),
-        lambda i: F.substr(F.col("_name"), i, F.col("_n"))))
-    cut = cut.select("name", "_name", F.explode(parts).alias("_probe"))
-    met = pats.join(cut, "_probe")
+    pats = pats.withColumn("_probe", _longest_run(F.col("_folded")) if regex else F.col("_folded"))
+    pats = spark.read.schema("pattern string, _folded string, _probe string").parquet(write_table(pats, "patterns"))
+    probes = pats.select("_probe").distinct()
+    chars = probes.agg(F.sum(F.length("_probe"))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+
+    nms = names.select(F.col(name_col).alias("name")).where("name IS NOT NULL").distinct().withColumn("_name", fold_case("name"))
+    if blocks > 1:
+        nms = spark.read.schema("name string, _name string").parquet(write_table(nms, "names"))
+    met = []
+    for b in range(blocks):
+        part = probes.where(F.pmod(F.xxhash64("_probe"), F.lit(blocks)) == b).collect()
+        found = _held(spark.sparkContext.broadcast(sorted(r[0] for r in part)))
+        met.append(nms.select("name", "_name", F.explode(found("_name")).alias("_probe")))
+    pairs = pats.join(reduce(DataFrame.unionByName, met), "_probe")
     if regex:
         wild = F.col("_folded") != F.col("_probe")
-        met = met.where(~wild | _wildcard_search(F.col("_name"), F.col("_folded")))
-    return met.select("pattern", "name")
+        pairs = pairs.where(~wild | _wildcard_search(F.col("_name"), F.col("_folded")))
+    return pairs.select("pattern", "name")

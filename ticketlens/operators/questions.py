@@ -14,10 +14,14 @@ is answered with one pre-aggregate per answer shape:
   ``WindowGroupLimit`` runs before the shuffle, so a hot filter never
   gathers more than k rows per map task) and then joined to the questions.
 * customer / product patterns are resolved against the distinct names with
-  ``matching.match_patterns`` (an equality join on substrings).
+  ``matching.match_patterns`` (one pass of the names through an automaton).
 * an answer belongs to a filter, not to a question text: it is computed once
   per distinct (pattern, time filter) and joined back on those keys, so a
   question asked n times is answered in n rows.
+* a batch of all intents (``answer_questions``) reads the tickets once: one
+  GROUPING SETS pass over customer, product, technician, customer with product,
+  and nothing, each by the periods asked for, is written (``answer_cubes``), and
+  every answer shape reads its slice of that table.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .. import roles as R
 from ..functions.questions import clean_question_customer, with_parsed_question
+from ..session import write_table
 from .matching import match_patterns
 
 TIME = [R.YEAR, R.MONTH, R.QUARTER]
@@ -79,6 +84,32 @@ def time_cube(tickets: DataFrame, keys=(), gids=None) -> DataFrame:
             .agg(F.count("*").alias("n"), F.grouping_id().alias("gid")))
 
 
+#: The keys of the answer cubes, and the slices of the shared one.
+ANSWER_KEYS = [R.CUSTOMER, R.PRODUCT, R.TECHNICIAN]
+SLICES = [(), (R.CUSTOMER,), (R.PRODUCT,), (R.TECHNICIAN,), (R.CUSTOMER, R.PRODUCT)]
+
+
+def answer_cubes(tickets: DataFrame, gids: list[int]) -> dict[tuple, DataFrame]:
+    """slice → its time cube, all slices from one pass over the tickets.
+
+    The tickets are counted by all keys and periods first, so the grouping
+    sets expand distinct combinations and not tickets.  ``grouping_id`` tells
+    the slices apart; rows whose key is NULL are dropped, as in ``time_cube``."""
+    fine = tickets.groupBy(*ANSWER_KEYS, *TIME).agg(F.count("*").alias("n"))
+    sets = [list(keys) + _set_of_gid(g) for keys in SLICES for g in gids]
+    cube = fine.groupingSets(sets, *ANSWER_KEYS, *TIME).agg(F.sum("n").alias("n"), F.grouping_id().alias("_set"))
+    code = {keys: sum(4 >> i for i, k in enumerate(ANSWER_KEYS) if k not in keys) for keys in SLICES}
+    cube = cube.withColumns({"_slice": F.shiftright("_set", 3).cast("int"), "gid": F.col("_set").bitwiseAND(7)}).drop("_set")
+    cube = tickets.sparkSession.read.schema(cube.schema).parquet(write_table(cube, "answer-cube"))
+    found = {}
+    for keys in SLICES:
+        rows = cube.where(F.col("_slice") == code[keys])
+        for k in keys:
+            rows = rows.where(F.col(k).isNotNull())
+        found[keys] = rows.select(*keys, *TIME, "n", "gid")
+    return found
+
+
 FILTER_KEYS = ["gid", *TIME]
 
 
@@ -110,20 +141,22 @@ def _rank(df: DataFrame, part, key: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
 
-def top_by_filter(tickets: DataFrame, questions: DataFrame, key: str, k: int) -> DataFrame:
+def top_by_filter(tickets: DataFrame, questions: DataFrame, key: str, k: int, cube: DataFrame | None = None) -> DataFrame:
     """Top-k ``key`` values per distinct time filter of the questions."""
     filters = _filters(questions)
-    gids = used_gids(filters)
-    cube = time_cube(tickets.select(key, *TIME), [key], gids or [0])
+    if cube is None:
+        gids = used_gids(filters)
+        cube = time_cube(tickets.select(key, *TIME), [key], gids or [0])
     return _rank(_null_safe_join(cube, filters, FILTER_KEYS), FILTER_KEYS, key, k)
 
 
 def top_by_time(tickets: DataFrame, questions: DataFrame, key: str, k: int,
-                id_col: str = "question") -> DataFrame:
+                id_col: str = "question", cubes: dict | None = None) -> DataFrame:
     """Top-k ``key`` values per question within the question's time filter."""
-    if not used_gids(questions):   # no such question: do not aggregate the tickets at all
+    cube = (cubes or {}).get((key,))
+    if cube is None and not used_gids(questions):   # no such question: do not aggregate the tickets at all
         return _empty_top(questions, tickets, id_col, key)
-    ranked = top_by_filter(tickets, questions, key, k)
+    ranked = top_by_filter(tickets, questions, key, k, cube)
     return (_null_safe_join(questions.select(id_col, *FILTER_KEYS), ranked, FILTER_KEYS)
             .select(id_col, "rank", key, F.col("n").alias("tickets")))
 
@@ -144,24 +177,27 @@ def _pattern_pairs(tickets: DataFrame, questions: DataFrame, pattern_col: str,
 
 def top_by_time_and_pattern(tickets: DataFrame, questions: DataFrame, pattern_col: str,
                             pattern_role: str, key: str, k: int, regex: bool,
-                            id_col: str = "question") -> DataFrame:
+                            id_col: str = "question", cubes: dict | None = None) -> DataFrame:
     """Top-k ``key`` values among tickets whose ``pattern_role`` matches the
     question's pattern, within its time filter.  A question without a
     pattern is answered without that filter."""
     with_pat = (questions.where(F.col(pattern_col).isNotNull())
                 .select(id_col, F.col(pattern_col).alias("pattern"), *FILTER_KEYS))
     no_pat = questions.where(F.col(pattern_col).isNull())
-    rest = top_by_time(tickets, no_pat, key, k, id_col)
+    rest = top_by_time(tickets, no_pat, key, k, id_col, cubes)
     gids = used_gids(with_pat)
     if not gids:
         return rest
 
-    pairs = _pattern_pairs(tickets, with_pat, "pattern", pattern_role, regex)
     # aggregate the tickets per (name, key, periods) *before* fanning out to
     # the patterns: a name matched by many patterns copies its aggregate
     # rows, never its tickets
-    per_name = time_cube(tickets.select(F.col(pattern_role).alias("name"), key, *TIME),
-                         ["name", key], gids)
+    if cubes:
+        per_name = cubes[R.CUSTOMER, R.PRODUCT].withColumnRenamed(pattern_role, "name")
+        pairs = match_patterns(with_pat, cubes[(pattern_role,)], name_col=pattern_role, regex=regex)
+    else:
+        per_name = time_cube(tickets.select(F.col(pattern_role).alias("name"), key, *TIME), ["name", key], gids)
+        pairs = _pattern_pairs(tickets, with_pat, "pattern", pattern_role, regex)
     cube = (per_name.join(pairs, "name")
             .groupBy("pattern", key, *TIME, "gid").agg(F.sum("n").alias("n")))
     keys = ["pattern", *FILTER_KEYS]
@@ -193,7 +229,7 @@ def _pattern_totals(tickets: DataFrame, filters: DataFrame, names_cube: DataFram
         names_cube = time_cube(tickets.select(F.col(R.CUSTOMER).alias("name"), *TIME), ["name"], gids)
         names = tickets.select(F.col(R.CUSTOMER).alias("name"))
     else:
-        names = names_cube.where(F.col("gid") == 7).select("name")
+        names = names_cube.select("name")
     pairs = match_patterns(filters.select("pattern"), names, regex=True)
     per_pattern = (names_cube.join(pairs, "name")
                    .groupBy("pattern", *TIME, "gid").agg(F.sum("n").alias("n")))
@@ -231,12 +267,12 @@ def _of(q: DataFrame, *intents: str) -> DataFrame:
     return q.where(F.col("intent").isin(list(intents)))
 
 
-def ask_top_products(tickets, parsed, id_col="question", k=10):                 # Q2
-    return top_by_time(tickets, _of(parsed, "top_product", "top_products"), R.PRODUCT, k, id_col)
+def ask_top_products(tickets, parsed, id_col="question", k=10, cubes=None):     # Q2
+    return top_by_time(tickets, _of(parsed, "top_product", "top_products"), R.PRODUCT, k, id_col, cubes)
 
 
-def ask_top_technician(tickets, parsed, id_col="question"):                     # Q3
-    return top_by_time(tickets, _of(parsed, "top_ktv"), R.TECHNICIAN, 1, id_col).drop("rank")
+def ask_top_technician(tickets, parsed, id_col="question", cubes=None):         # Q3
+    return top_by_time(tickets, _of(parsed, "top_ktv"), R.TECHNICIAN, 1, id_col, cubes).drop("rank")
 
 
 def ask_count(tickets, parsed, id_col="question"):                              # Q4
@@ -247,13 +283,13 @@ def ask_count_by_customer(tickets, parsed, id_col="question"):
     return with_totals(tickets, _of(parsed, "count_product_by_customer")).select(id_col, "total")
 
 
-def ask_top_customers(tickets, parsed, id_col="question", k=10):                # Q6
-    return top_by_time(tickets, _of(parsed, "top_customers"), R.CUSTOMER, k, id_col)
+def ask_top_customers(tickets, parsed, id_col="question", k=10, cubes=None):    # Q6
+    return top_by_time(tickets, _of(parsed, "top_customers"), R.CUSTOMER, k, id_col, cubes)
 
 
-def ask_top_products_by_customer(tickets, parsed, id_col="question", k=10):     # Q7
+def ask_top_products_by_customer(tickets, parsed, id_col="question", k=10, cubes=None):  # Q7
     return top_by_time_and_pattern(tickets, _of(parsed, "top_products_by_customer"),
-                                   R.CUSTOMER, R.CUSTOMER, R.PRODUCT, k, True, id_col)
+                                   R.CUSTOMER, R.CUSTOMER, R.PRODUCT, k, True, id_col, cubes)
 
 
 def count_cubes(tickets: DataFrame) -> dict:
@@ -287,9 +323,9 @@ def ask_top_technician_rows(tickets, parsed, columns, id_col="question"):
     return met.select(id_col, *[F.col("t_" + c).alias(c) for c in columns])
 
 
-def ask_top_customers_by_product(tickets, parsed, id_col="question", k=10):     # Q9
+def ask_top_customers_by_product(tickets, parsed, id_col="question", k=10, cubes=None):  # Q9
     return top_by_time_and_pattern(tickets, _of(parsed, "top_customers_by_product"),
-                                   R.PRODUCT, R.PRODUCT, R.CUSTOMER, k, False, id_col)
+                                   R.PRODUCT, R.PRODUCT, R.CUSTOMER, k, False, id_col, cubes)
 
 
 def answer_questions(tickets, parsed, id_col="question", k=10):                 # Q8
@@ -302,17 +338,21 @@ def answer_questions(tickets, parsed, id_col="question", k=10):
         return rows.select("_q", rank.cast("int").alias("rank"),
                            F.col(key).cast("string").alias("answer"), "tickets")
 
-    # an answer belongs to what was understood, not to a question's text
+    # an answer belongs to what was understood, not to a question's text: what
+    # was understood is numbered, and found again by its own typed values
     fields = ["intent", R.CUSTOMER, R.PRODUCT, *TIME]
-    named = parsed.withColumn("_q", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in fields]))
-    once = named.select("_q", *fields, "gid").distinct()
-    totals = answer_count_questions(tickets, once, "_q")
-    answers = (shape(ask_top_products(tickets, once, "_q", k), R.PRODUCT)
-               .unionByName(shape(ask_top_technician(tickets, once, "_q"), R.TECHNICIAN))
-               .unionByName(shape(ask_top_customers(tickets, once, "_q", k), R.CUSTOMER))
-               .unionByName(shape(ask_top_products_by_customer(tickets, once, "_q", k), R.PRODUCT))
-               .unionByName(shape(ask_top_customers_by_product(tickets, once, "_q", k), R.CUSTOMER))
+    once = parsed.select(*fields, "gid").distinct().withColumn("_q", F.monotonically_increasing_id())
+    once = parsed.sparkSession.read.schema(once.schema).parquet(write_table(once, "understood"))
+    cubes = answer_cubes(tickets, used_gids(once) or [7])
+    counts = {"period": cubes[()], "customer": cubes[(R.CUSTOMER,)].withColumnRenamed(R.CUSTOMER, "name")}
+    totals = answer_count_questions(tickets, once, "_q", counts)
+    answers = (shape(ask_top_products(tickets, once, "_q", k, cubes), R.PRODUCT)
+               .unionByName(shape(ask_top_technician(tickets, once, "_q", cubes), R.TECHNICIAN))
+               .unionByName(shape(ask_top_customers(tickets, once, "_q", k, cubes), R.CUSTOMER))
+               .unionByName(shape(ask_top_products_by_customer(tickets, once, "_q", k, cubes), R.PRODUCT))
+               .unionByName(shape(ask_top_customers_by_product(tickets, once, "_q", k, cubes), R.CUSTOMER))
                .unionByName(totals.select("_q", F.lit(None).cast("int").alias("rank"),
                                           F.lit(None).cast("string").alias("answer"), F.col("total").alias("tickets"))))
+    named = _null_safe_join(parsed.select(id_col, *fields), once.select(*fields, "_q"), fields)
     return (named.select(id_col, "intent", "_q").join(answers, "_q", "left")
             .select(id_col, "intent", "rank", "answer", "tickets"))

@@ -56,6 +56,13 @@ def _s1(spark, sf):
     return EX.scan_tickets(spark, path).select(*R.ALL_ROLES)
 
 
+@register("scan_split_export", with_tickets(f"SELECT {_roles_sql({})} FROM tickets"))
+def _s1_split(spark, sf):
+    """An export without line ends in its cells, read in splits."""
+    path = SK.write_export(tickets(spark, sf, _ROLES), scratch_path(spark, "export"), EX.EXPORT_HEADERS)
+    return EX.scan_tickets(spark, path).select(*R.ALL_ROLES)
+
+
 @register("harmonise_headers", with_tickets(
     f"SELECT {_roles_sql({R.CUSTOMER: _AWKWARD_SQL, R.SERIAL: f'CASE WHEN year <= {SPLIT_YEAR} THEN serial END'})} "
     "FROM tickets"))
