@@ -123,3 +123,49 @@ def test_hidden_text_stays_hidden_beyond_the_depth():
         lines = render(f"{deep}<div>a<p hidden>no<p>b<ul><li hidden>no<li>c</ul></div>d").replace("- ", "").split()
         assert lines == ["a", "b", "c", "d"], n
     assert render("<p><button>" + "<div>" * 50_000 + "<i hidden>no") == ""
+
+
+def _columns_by_grid(rows):
+    """The columns of cells (across, down), by marking every spanned place."""
+    taken, out = set(), []
+    for y, cells in enumerate(rows):
+        x, columns = 0, []
+        for across, down in cells:
+            while (y, x) in taken:
+                x += 1
+            columns.append(x)
+            taken |= {(y + j, x + i) for j in range(1, down) for i in range(across)}
+            x += across
+        out.append(columns)
+    return out
+
+
+def test_spans_as_intervals_place_cells_like_a_grid():
+    from ticketlens.llm.html_render import Table
+    rnd = random.Random(3)
+    for _ in range(300):
+        rows = [[(rnd.choice([1, 1, 2, 5]), rnd.choice([1, 1, 2, 3, 7])) for _ in range(rnd.randint(0, 6))] for _ in range(rnd.randint(1, 9))]
+        t = Table()
+        for cells in rows:
+            t.row()
+            for across, down in cells:
+                t.cell([], across, down)
+        assert [[c for c, _, _ in r] for r in t.rows] == _columns_by_grid(rows)
+
+
+def test_time_of_wide_and_long_spans():
+    import time
+    begin = time.process_time()
+    for page in ("<table>" + "<td rowspan=1000 colspan=1000>x" * 3000, "<table>" + "<tr><td rowspan=1000 colspan=1000>x" * 3000):
+        assert render(page).count("x") == 3000
+    assert time.process_time() - begin < 20
+
+
+def test_query_on_nulls_repeats_and_an_empty_table(spark, tmp_path):
+    from ticketlens.llm.queries import QUERIES
+    rows = [(1, "<p>a", "clash"), (1, "<p>a", "clash"), (None, "<b>b", "clash"), (2, None, "clash"), (3, "", "clash")]
+    frame = spark.createDataFrame(rows, "page_id long, html string, text string")
+    for name, part, want in (("some", frame, [(1, "a", 1), (1, "a", 1), (2, "", 0), (3, "", 0), (None, "b", 1)]), ("none", frame.limit(0), [])):
+        part.write.parquet(str(tmp_path / name / "pages.parquet"))
+        got = [tuple(r) for r in QUERIES["op6_html_extraction"](spark, str(tmp_path / name)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)

@@ -19,7 +19,9 @@ Bounds: elements are laid out up to the depth ``MAX_DEPTH`` (deeper ones only
 keep their lines apart; their text and its visibility stay); column padding stops at ``MAX_PAD`` characters, longer cells are
 written whole.
 
-Defined results: null and empty pages give an empty text; rows are independent.
+Defined results: null and empty pages give an empty text; rows are independent,
+so null and repeated ids do not matter; cells that overlap by their spans keep
+the columns of both; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
+from heapq import merge
 from html import unescape
 
 import pandas as pd
@@ -164,26 +167,46 @@ class Flow:
 
 
 class Table:
+    """Cells by row; rows that a cell spans downward are kept as intervals of
+    columns, so a span costs the same however wide and long it is."""
+
     def __init__(self):
         self.rows: list[list[tuple[int, int, list[str]]]] = []   # (column, columns spanned, lines)
-        self.below: dict[int, int] = {}                          # column -> rows still spanned
-        self.held: dict[int, int] = {}
+        self.spans: list[tuple[int, int, int]] = []              # (first column, end, last row), by column
+        self.fresh: list[tuple[int, int, int]] = []              # those that begin in this row
+        self.at = 0                                              # the next of ``spans`` to step over
         self.column = 0
 
     def row(self) -> None:
-        self.below = {c: n - 1 for c, n in self.below.items() if n > 1}
-        self.below.update(self.held)
-        self.held, self.column = {}, 0
+        if self.fresh:
+            self.spans = self._joined(self.spans, self.fresh)
+            self.fresh = []
+        self.at = self.column = 0
         self.rows.append([])
 
+    def _joined(self, *spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """The spans that reach the next row, neighbours of one end as one."""
+        out: list[tuple[int, int, int]] = []
+        for first, end, last in merge(*spans):
+            if last < len(self.rows):
+                continue
+            if out and out[-1][1] >= first and out[-1][2] == last:
+                out[-1] = (out[-1][0], max(end, out[-1][1]), last)
+            else:
+                out.append((first, end, last))
+        return out
+
     def cell(self, lines: list[str], across: int, down: int) -> None:
         if not self.rows:
             self.row()
-        while self.column in self.below:
-            self.column += 1
+        here = len(self.rows) - 1
+        while self.at < len(self.spans) and self.spans[self.at][0] <= self.column:
+            if self.spans[self.at][2] >= here:
+                self.column = max(self.column, self.spans[self.at][1])
+            self.at += 1
         self.rows[-1].append((self.column, across, lines))
         if down > 1:
-            self.held.update(dict.fromkeys(range(self.column, self.column + across), down - 1))
+            self.fresh.append((self.column, self.column + across, here + down - 1))
         self.column += across
 
     def layout(self) -> list[str]:
