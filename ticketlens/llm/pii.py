@@ -6,16 +6,24 @@ right check digit, an address keeps four octets, a date stays a real date.
 The permutation depends on the key and the value alone, so equal values stay
 linked across documents, and distinct values of a format stay distinct.
 
-Kinds: ``email`` (local part, letters of every script), ``card`` (13-19 digits,
-Luhn), ``ipv4``, ``phone`` (the last ten digits), ``ssn``, ``iban`` (mod 97; in
-one piece, or in groups of four where the country's length is known), ``date``
-(ISO, day first with ``/`` or ``.``, month first with ``/`` where that is no
-date; years 1800-2199) and ``secret`` (a quoted run of 32 or more hexadecimal
-digits).  What fails its validation (a number with a wrong check digit,
-2023-02-30) is left as it is; a kind is reported where a value changed.
+Kinds: ``email`` (the local part, of any length, with the letters, numbers and
+marks of every script; the domain, also an international one of up to 127
+labels, stays), ``card`` (13-19 digits, Luhn), ``ipv4``, ``phone`` (the last ten
+digits, in groups of 3, 3 and 4), ``ssn``, ``iban`` (mod 97; in one piece, or in
+groups of four where the country's length is known), ``date`` (yyyy-mm-dd,
+yyyy/mm/dd, day first with ``/`` or ``.``, with ``.`` also without leading zeros,
+month first with ``/`` where that is no date; years 1800-2199) and ``secret`` (a
+quoted run of 32 or more hexadecimal digits).  What fails its validation (a
+number with a wrong check digit, 2023-02-30) is left as it is.  A kind is
+reported where a value changed, an e-mail only if no run of two or more letters
+or numbers of its local part is as it was.
+
+Not looked for: IPv6 addresses, telephone numbers in other groups, secrets
+without quotes or in other alphabets.
 
 Defined results: null text stays null with nothing found; a text without a
-valid value is unchanged.  Rows are independent; other columns are kept.
+valid value is unchanged.  Rows are independent, null and repeated ids do not
+matter; other columns are kept, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -38,26 +46,27 @@ ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 HEX = "0123456789abcdef"
 
 
-def _other_letters() -> tuple[tuple[str, ...], str, list[tuple[int, int]]]:
-    """The letters and numbers outside the alphabets above: lower case with a
-    capital of its own, by script; runs of code points without case (first,
-    length); and single ones."""
+def _other_letters() -> tuple[tuple[str, ...], tuple[str, ...], list[tuple[int, int]]]:
+    """The letters, numbers and marks outside the alphabets above: lower case
+    with a capital of its own, by script; single ones, by class; and runs of code
+    points of one class without case (first, length)."""
     known = set(DIGITS + LETTERS + ACCENTED)
     known |= {c.upper() for c in known}
-    rest = [c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c)[0] in "LN" and c not in known]
+    kind = lambda c: unicodedata.category(c)[0]
+    rest = [c for c in map(chr, range(128, 0x110000)) if kind(c) in "LMN" and c not in known]
     lower = [c for c in rest if len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c and c.upper() not in known]
     scripts: dict[str, str] = {}
     for c in lower:
         script = unicodedata.name(c).split()[0]
         scripts[script] = scripts.get(script, "") + c
     cased = set(lower) | {c.upper() for c in lower}
-    plain = [ord(c) for c in rest if c not in cased]
-    runs = [[n for _, n in g] for _, g in groupby(enumerate(plain), lambda x: x[1] - x[0])]
-    return (tuple(scripts.values()), "".join(chr(r[0]) for r in runs if len(r) == 1),
-            [(r[0], len(r)) for r in runs if len(r) > 1])
+    plain = [c for c in rest if c not in cased]
+    runs = [[c for _, c in g] for _, g in groupby(enumerate(plain), lambda x: (ord(x[1]) - x[0], kind(x[1])))]
+    single = tuple("".join(r[0] for r in runs if len(r) == 1 and kind(r[0]) == k) for k in "LMN")
+    return tuple(scripts.values()), tuple(s for s in single if s), [(ord(r[0]), len(r)) for r in runs if len(r) > 1]
 
 
-CASED, SINGLE, RUNS = _other_letters()
+CASED, SINGLES, RUNS = _other_letters()
 #: Codes from here on are code points of ``RUNS``.
 _POINT = 1 << 24
 
@@ -74,12 +83,13 @@ _GROUPED = "|".join(
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: How each kind is written (Java regular expressions).
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": (r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@(?:[\p{L}\p{M}\p{N}_-]{1,63}\.){1,126}"
+              r"(?:xn--[A-Za-z0-9-]{1,59}|[\p{L}\p{M}]{2,63})(?![\p{L}\p{M}\p{N}])"),
     "iban": r"(?<![\p{L}\p{N}])(?:[A-Z]{2}\d{2}[A-Z0-9]{11,30}|" + _GROUPED + r")(?![\p{L}\p{N}])",
     "ipv4": rf"(?<![\p{{L}}\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "date": r"(?<![\p{L}\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])",
+    "date": r"(?<![\p{L}\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])",
     "card": r"(?<![\p{L}\d])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "secret": r"(?<=[\"'])[0-9A-Fa-f]{32,}+(?=[\"'])",
 }
@@ -116,10 +126,10 @@ def feistel_text(value: Column, key: str, tweak: str, alphabets: tuple[str, ...]
                  every: bool = False) -> Column:
     """Permute the characters of a text within their alphabets.  Case is
     kept apart, so a value in capitals gets the same pseudonym in capitals.
-    With ``every`` all other letters and numbers are permuted too, within
-    their script or run of code points; characters of no alphabet stay."""
+    With ``every`` all other letters, numbers and marks are permuted too,
+    within their script or run of code points; characters of no alphabet stay."""
     cased = alphabets + CASED if every else alphabets
-    sets = cased + (SINGLE,) if every else cased
+    sets = cased + SINGLES if every else cased
     symbols, upto = "".join(sets), len("".join(cased))
     chars = F.filter(F.split(value, ""), lambda c: c != "")
     firsts, sizes = (F.split(F.lit(",".join(str(r[i]) for r in RUNS)), ",").cast("array<int>") for i in (0, 1))
@@ -129,7 +139,7 @@ def feistel_text(value: Column, key: str, tweak: str, alphabets: tuple[str, ...]
         plain = F.instr(F.lit(symbols[:upto]), F.lower(c)) - 1
         if not every:
             return plain
-        single = F.instr(F.lit(SINGLE), c) - 1
+        single = F.instr(F.lit("".join(SINGLES)), c) - 1
         point = F.ascii(c)
         return (F.when(plain >= 0, plain).when(single >= 0, single + upto)
                 .when(_let(run(point), lambda r: (r >= 0) & (point < F.get(firsts, r) + F.get(sizes, r))), point + _POINT)
@@ -217,14 +227,20 @@ def _written(v: Column, day_at: int, month_at: int) -> Column:
                        F.substr(v, F.lit(day_at), F.lit(2))).try_cast("date")
 
 
+def _year_first(v: Column) -> Column:
+    return v.rlike(r"^\d{4}")
+
+
 def _month_first(v: Column) -> Column:
-    return v.contains("/") & _written(v, 1, 4).isNull()
+    return v.contains("/") & ~_year_first(v) & _written(v, 1, 4).isNull()
 
 
 def _day(v: Column) -> Column:
     """Days since the first day of the domain; null where there is no such date."""
-    date = (F.when(v.contains("-"), v.try_cast("date")).when(_month_first(v), _written(v, 4, 1))
-            .otherwise(_written(v, 1, 4)))
+    parts = F.split(v, r"\.")
+    dotted = F.concat_ws("-", F.get(parts, F.lit(2)), F.lpad(F.get(parts, F.lit(1)), 2, "0"), F.lpad(F.get(parts, F.lit(0)), 2, "0"))
+    date = (F.when(_year_first(v), F.translate(v, "/", "-").try_cast("date")).when(v.contains("."), dotted.try_cast("date"))
+            .when(_month_first(v), _written(v, 4, 1)).otherwise(_written(v, 1, 4)))
     return F.date_diff(date, F.lit(_FIRST_DAY).cast("date"))
 
 
@@ -233,8 +249,10 @@ def _date(v: Column, key: str) -> Column:
     iso = F.get(F.transform(F.array(p), lambda q: F.date_add(
         F.lit(_FIRST_DAY).cast("date"), q["a"] * _DAYS_B + q["b"]).cast("string")), F.lit(0))
     y, m, d = (F.substr(iso, F.lit(i), F.lit(n)) for i, n in ((1, 4), (6, 2), (9, 2)))
-    return (F.when(v.contains("-"), iso).when(_month_first(v), F.concat_ws("/", m, d, y))
-            .when(v.contains("/"), F.concat_ws("/", d, m, y))
+    bare = lambda x: F.regexp_replace(x, "^0", "")
+    return (F.when(_year_first(v), F.when(v.contains("/"), F.concat_ws("/", y, m, d)).otherwise(iso))
+            .when(_month_first(v), F.concat_ws("/", m, d, y)).when(v.contains("/"), F.concat_ws("/", d, m, y))
+            .when(F.length(v) < 10, F.concat_ws(".", bare(d), bare(m), y))      # written without leading zeros
             .otherwise(F.concat_ws(".", d, m, y)))
 
 
@@ -302,6 +320,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
     changed = F.when(F.exists(kinds, lambda k: k.isNotNull()), rebuilt).otherwise(F.col(text))
     kept = [changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if found:
-        replaced = F.filter(kinds, lambda k, i: k.isNotNull() & (F.get(values, i) != F.get(news, i)))
+        runs = lambda v: F.split(F.split_part(v, F.lit("@"), F.lit(1)), r"[^\p{L}\p{M}\p{N}]+")
+        left = lambda old, new: F.exists(F.zip_with(runs(old), runs(new), lambda a, b: (a == b) & (F.length(a) > 1)), lambda x: x)
+        replaced = F.filter(kinds, lambda k, i: k.isNotNull() & (F.get(values, i) != F.get(news, i))
+                            & ((k != "email") | ~left(F.get(values, i), F.get(news, i))))
         kept.append(replaced.alias(found))
     return out.select(*kept)
