@@ -10,6 +10,7 @@ from ..functions.text import snake_name
 from ..operators import reports as rep
 from ..session import scratch_path
 from ..sources import exports as EX
+from ..sources import store as ST
 from ..sources import sinks as SK
 from ..sources.testdata import tickets
 from .registry import TICKETS_CTE, register, with_tickets
@@ -76,6 +77,22 @@ def _s2(spark, sf):
     return EX.scan_tickets(spark, path).select(*R.ALL_ROLES)
 
 
+@register("incremental_store", with_tickets(
+    f"SELECT {_roles_sql({R.SERIAL: f'CASE WHEN year <= {SPLIT_YEAR} THEN serial END'})} FROM tickets"))
+def _s1_store(spark, sf):
+    """Two drops of exports into one store: the second one reads its own files
+    only, and replaces a file of the first that was exported without its rows."""
+    t = tickets(spark, sf, [*_ROLES, R.YEAR])
+    drops, store = scratch_path(spark, "drops"), scratch_path(spark, "store")
+    late = f"{drops}/late"
+    SK.write_export(t.where(F.col(R.YEAR) <= SPLIT_YEAR).drop(R.YEAR), f"{drops}/early", EX.EXPORT_HEADERS)
+    SK.write_export(t.where("false").drop(R.YEAR), late, EX.EXPORT_HEADERS)
+    ST.update_store(spark, store, [f"{drops}/early", late])
+    SK.write_export(t.where(F.col(R.YEAR) > SPLIT_YEAR).drop(R.YEAR), late, ALIAS_HEADERS, date_format="dd/MM/yyyy")
+    ST.update_store(spark, store, [f"{drops}/early", late])
+    return ST.read_store(spark, store)
+
+
 _SNAKE = {r: snake_name(EX.EXPORT_HEADERS[r]) for r in R.ALL_ROLES}
 
 

@@ -187,21 +187,28 @@ def _typed(role: str, col, date_formats) -> "F.Column":
     return F.nullif(F.trim(col), F.lit(""))
 
 
-def harmonise(df: DataFrame, headers: Iterable[str], date_formats=DEFAULT_FORMATS) -> DataFrame:
+def harmonise(df: DataFrame, headers: Iterable[str], date_formats=DEFAULT_FORMATS, file_col: str | None = None) -> DataFrame:
     """Map one layout's raw columns onto roles and types.  Calendar columns
-    are (re)derived from the received date when there is one."""
+    are (re)derived from the received date when there is one.  ``file_col``
+    adds the path that a row was read from."""
     found = resolve_positions(list(headers))
     names = df.columns
     cols = [_typed(role, F.col(f"`{names[at]}`"), date_formats).alias(role) for role, at in found.items()]
     if R.SOURCE_FILE not in found:
         cols.append(F.col("_metadata.file_path").alias(R.SOURCE_FILE))
+    if file_col:
+        cols.append(F.col("_metadata.file_path").alias(file_col))
     out = df.select(*cols)
     if R.RECEIVED_AT in found:
         out = with_time_columns(out)
     return out
 
 
-def scan_tickets(spark: SparkSession, paths, date_formats=DEFAULT_FORMATS, sep: str = ",") -> DataFrame:
+#: Roles that are not text, by type.
+ROLE_TYPES = {r: "timestamp_ntz" for r in _DATE_ROLES} | {r: "int" for r in _INT_ROLES}
+
+
+def scan_tickets(spark: SparkSession, paths, date_formats=DEFAULT_FORMATS, sep: str = ",", file_col: str | None = None) -> DataFrame:
     """Load exports from folders, globs or files of any mix of layouts.
     Roles missing in a layout are NULL in its rows."""
     layouts = layouts_of(spark, [paths] if isinstance(paths, str) else paths, sep)
@@ -211,11 +218,10 @@ def scan_tickets(spark: SparkSession, paths, date_formats=DEFAULT_FORMATS, sep:
     for header, layout in layouts.items():
         for files, quoted in ((layout.plain, False), (layout.quoted, True)):
             if files:
-                part = harmonise(read_layout(spark, header, files, sep, quoted), header, date_formats)
+                part = harmonise(read_layout(spark, header, files, sep, quoted), header, date_formats, file_col)
                 out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     missing = [r for r in R.ALL_ROLES if r not in out.columns]
-    types = {r: "timestamp_ntz" for r in _DATE_ROLES} | {r: "int" for r in _INT_ROLES}
-    return out.withColumns({r: F.lit(None).cast(types.get(r, "string")) for r in missing})
+    return out.withColumns({r: F.lit(None).cast(ROLE_TYPES.get(r, "string")) for r in missing})
 
 
 def snake_headers(df: DataFrame) -> DataFrame:
