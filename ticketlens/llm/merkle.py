@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, stored
+from .ordering import partition_of, sorted_with_id
 
 ARITY = 3
 #: Levels of a block: 243 nodes of about 150 bytes are one row.
@@ -44,7 +45,6 @@ BLOCK = ARITY ** BLOCK_LEVELS
 
 _PATH = T.ArrayType(T.StructType().add("before", "string").add("after", "string"))
 _VERSION = T.StructType().add("proof_sha256", "string").add("folded_root", "string").add("copied", T.IntegerType())
-_PART = 33          # monotonically_increasing_id: the partition stands above these bits
 
 
 def leaf_digest(*values: Column) -> Column:
@@ -146,10 +146,9 @@ def _levels(n: Column) -> Column:
 def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """``rows(group, key, leaf, changed)`` with ``pos``, the number of a row in its
     group by key and leaf, and ``n``, the rows of the group."""
-    ordered = scratch.stored(
-        rows.sort(F.col("group").asc_nulls_first(), F.col("key").asc_nulls_first(), "leaf", "changed")
-        .withColumn("_at", F.monotonically_increasing_id()), "merkle-sorted")
-    part = F.shiftright("_at", _PART)
+    order = [F.col("group").asc_nulls_first(), F.col("key").asc_nulls_first(), "leaf", "changed"]
+    ordered = sorted_with_id(rows, order, scratch, "merkle-sorted")
+    part = partition_of()
     runs = ordered.groupBy("group", part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
     # one row per group and sorted partition
     group = Window.partitionBy("group")
@@ -200,6 +199,8 @@ def manifest(rows: DataFrame, group: str, key: str, leaf: str, changed: str) ->
     scratch = Scratch(rows.sparkSession)
     named = rows.select(F.col(group).alias("group"), F.col(key).alias("key"), F.col(leaf).alias("leaf"),
                         F.when(F.col(changed) != F.col(leaf), F.col(changed)).alias("changed"))
+    # the sort reads its input twice: the digests, not the texts
+    named = scratch.stored(named, "merkle-digests")
     fields = ["key", "leaf", "changed"]
     # the blocks are read again by the result
     blocks = stored(_blocks(_numbered(named, scratch), fields), "merkle-leaves")
