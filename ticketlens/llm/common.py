@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import write_table
+from ..session import delete, write_table
 
 #: Rows in one Arrow batch.  Texts may be long, so a batch stays a few MB.
 ARROW_ROWS = 512
@@ -34,19 +34,24 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: list[str] = []
+        self.paths: list[tuple[str, str]] = []
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths.append(write_table(df, name))
-        return self.spark.read.parquet(self.paths[-1])
+        self.paths.append((name, write_table(df, name)))
+        return self.spark.read.parquet(self.paths[-1][1])
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names; nothing that is still to run may
+        read them."""
+        for name, path in self.paths:
+            if name in names:
+                delete(self.spark, path)
+        self.paths = [(name, path) for name, path in self.paths if name not in names]
+        release(self.spark)
 
     def clear(self) -> None:
-        """Delete the tables; nothing that is still to run may read them."""
-        for path in self.paths:
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-        self.paths = []
-        release(self.spark)
+        """Delete all tables."""
+        self.drop(*{name for name, _ in self.paths})
 
 
 def release(spark: SparkSession) -> None:

@@ -17,9 +17,9 @@ its prefix tokens, each token apart by size window, and is verified with the
 ``LEADERS`` of them whose bitmaps are nearest; that is linear in the postings
 and joins the members of a large group that is dense.  In the second the
 documents of a token meet, but only across the components found so far (a pair
-inside one component can change nothing), only at the first token they share,
-and only if enough tokens follow it in both to reach the overlap that their
-sizes ask for.  The first round only spares the second one work: no link between
+inside one component can change nothing), and are candidates if they share as
+many prefix tokens as the smaller extension asks and enough tokens follow the
+first of them in both to reach the overlap that their sizes ask for.  The first round only spares the second one work: no link between
 components is lost, and no cap exists.
 
 Before any text is fetched, a pair passes a bitmap filter: every token flips
@@ -55,7 +55,7 @@ _CHUNK = 1 << 14
 MAX_EXTENSION = 6
 VERIFY_COST = 8.0
 #: Leaders that a node is verified with in the first round.
-LEADERS = 3
+LEADERS = 2
 #: A Bloom filter: bits of a piece, bits per number, pieces at most (128 MB).
 BLOOM_PIECE = 19
 BLOOM_SHARE = 16
@@ -65,8 +65,6 @@ BITMAP_WORDS = 6
 #: Bytes of text turned into tokens at once; nodes a task remembers.
 SLICE = 1 << 18
 SEEN = 1 << 18
-#: Shared prefix tokens that a posting carries; longer lists are marked open.
-CARRIED = 12
 
 #: A-Z fold to a-z; the characters 9-13 and 32 separate words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -298,9 +296,9 @@ def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _common_tokens(prefixes: DataFrame, jaccard: Jaccard, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``node, size, need, pos, token, meet``: the prefix tokens that at least
-    two nodes have (``meet`` names token and size window), and the pairs ``a, b``
-    of a node and a leader: one of the nodes of a meeting, by hash."""
+    """``node, size, need, pos, token``: the prefix tokens that at least two
+    nodes have, and the pairs ``a, b`` of a node and a leader: one of the nodes
+    of a meeting (a token and a size window), by hash."""
     counts = prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     repeated = scratch.stored(counts.where("n > 1").select("token"), "jaccard-repeated")
     release(prefixes.sparkSession)
@@ -313,15 +311,16 @@ def _common_tokens(prefixes: DataFrame, jaccard: Jaccard, scratch: Scratch) -> t
 
     rows = (prefixes.select("node", "size", "need", "tokens", F.explode(positions("tokens")).alias("pos"))
             .withColumn("token", F.get("tokens", F.col("pos"))).drop("tokens"))
-    common = scratch.stored(rows.join(repeated, "token").withColumn(
-        "meet", F.xxhash64("token", jaccard.size_window(F.col("size")))), "jaccard-common")
+    common = scratch.stored(rows.join(repeated, "token"), "jaccard-common")
+    scratch.drop("jaccard-repeated")
+    meeting = common.select("node", F.xxhash64("token", jaccard.size_window(F.col("size"))).alias("meet"))
     # every meeting has a leader of its own, so a group gets many of them
-    heads = scratch.stored(common.groupBy("meet").agg(
+    heads = scratch.stored(meeting.groupBy("meet").agg(
         F.min_by("node", F.xxhash64("node", "meet")).alias("lead"), F.count("*").alias("n"))
         .where("n > 1").select("meet", "lead"), "jaccard-heads")
-    led = scratch.stored(common.select("node", "meet").join(heads, "meet").where("node != lead")
+    led = scratch.stored(meeting.join(heads, "meet").where("node != lead")
                          .select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "jaccard-led")
-    release(prefixes.sparkSession)
+    scratch.drop("jaccard-heads")
     return common, led
 
 
@@ -346,48 +345,40 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, jaccard: Jacc
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).join(right, "b", "left_semi")
     both = pairs.join(one, "a").join(two, "b")
-    return scratch.stored(both.where(links("a", "ta", "b", "tb")).select("a", "b"), f"{name}-links")
-
-
-def _placed(common: DataFrame, bitmaps: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
-    """The postings with the node's component, its bitmap and the first
-    tokens that its prefix shares with any other, in prefix order."""
-    carried = F.slice(F.sort_array(F.collect_set(F.struct("pos", "token"))), 1, CARRIED + 1)
-    lists = (common.groupBy("node").agg(carried.alias("tokens"))
-             .join(joined.select(F.col("id").alias("node"), "component"), "node", "left")
-             .join(bitmaps.select("node", "bitmap"), "node"))
-    lists = lists.select("node", "bitmap", F.coalesce("component", "node").alias("component"),
-                         F.slice("tokens.token", 1, CARRIED).alias("carried"),
-                         (F.size("tokens") <= CARRIED).alias("complete"))
-    rows = common.select("node", "size", "need", "pos", "token", "meet").join(lists, "node")
-    return scratch.stored(rows, "jaccard-placed")
-
-
-def _across(placed: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
-    """Candidate pairs of different components, each once."""
-    spans = (placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").select("token"))
-    live = scratch.stored(placed.join(scratch.stored(spans, "jaccard-open"), "token"), "jaccard-live")
+    found = scratch.stored(both.where(links("a", "ta", "b", "tb")).select("a", "b"), f"{name}-links")
+    scratch.drop(f"{name}-pairs", f"{name}-wanted", f"{name}-texts", f"{name}-right")
+    return found
+
+
+def _across(common: DataFrame, bitmaps: DataFrame, joined: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
+    """Candidate pairs of different components, each once: the sets share as
+    many prefix tokens as the smaller extension asks, and after the first of
+    them enough tokens are left in both."""
+    placed = scratch.stored(common.select("node", "size", "need", "pos", "token").join(
+        joined.select(F.col("id").alias("node"), "component"), "node", "left")
+        .withColumn("component", F.coalesce("component", "node")), "jaccard-placed")
+    scratch.drop("jaccard-common")
+    spans = scratch.stored(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                           .where("lo < hi").select("token"), "jaccard-open")
+    live = scratch.stored(placed.join(spans, "token").join(bitmaps.select("node", "bitmap"), "node"), "jaccard-live")
+    scratch.drop("jaccard-placed", "jaccard-open")
     side = lambda s: live.select(*[F.col(c).alias(f"{c}_{s}") for c in live.columns])
     a, b = side("a"), side("b")
-    # the smaller set comes first; a common first token stands early in it
-    a = a.where(F.col("pos_a") <= F.col("size_a") - jaccard.overlap(F.col("size_a"), F.col("size_a")))
-    b = b.where(F.col("pos_b") * jaccard.per <= F.col("size_b") * (jaccard.per - jaccard.share))
-    # a set meets those of its own window, and of the one below as the larger set
+    # the smaller set comes first; a set meets those of its own window, and of
+    # the one below as the larger set
+    a = a.withColumn("meet_a", F.xxhash64("token_a", jaccard.size_window(F.col("size_a"))))
     window = jaccard.size_window(F.col("size_b"))
-    b = b.withColumn("meet_b", F.explode(F.array(F.col("meet_b"), F.xxhash64("token_b", window - 1))))
-    need = jaccard.overlap(F.col("size_a"), F.col("size_b"))
-    both = F.array_intersect("carried_a", "carried_b")
+    b = b.withColumn("meet_b", F.explode(F.array(F.xxhash64("token_b", window), F.xxhash64("token_b", window - 1))))
+    sizes = (F.col("size_a"), F.col("size_b"))
     met = ((F.col("component_a") != F.col("component_b"))
-           & ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("node_a") < F.col("node_b"))))
-           & jaccard.sizes_fit(F.col("size_a"), F.col("size_b"))
-           & (F.col("pos_a") + need <= F.col("size_a")) & (F.col("pos_b") + need <= F.col("size_b"))
-           & jaccard.may_link(F.col("size_a"), F.col("size_b"), _flipped(F.col("bitmap_a"), F.col("bitmap_b")))
-           & F.coalesce(F.get(both, F.lit(0)) == F.col("token_a"), F.lit(True))
-           & ((F.size(both) >= F.least("need_a", "need_b")) | ~F.col("complete_a") | ~F.col("complete_b")))
-    pairs = a.join(b, (F.col("meet_a") == F.col("meet_b")) & (F.col("token_a") == F.col("token_b")) & met)
-    # with longer lists than are carried, sets meet at several tokens
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+           & ((sizes[0] < sizes[1]) | ((sizes[0] == sizes[1]) & (F.col("node_a") < F.col("node_b"))))
+           & jaccard.sizes_fit(*sizes) & jaccard.may_link(*sizes, _flipped(F.col("bitmap_a"), F.col("bitmap_b"))))
+    least = jaccard.overlap(*sizes)
+    early = (F.col("pos_a") + least <= sizes[0]) & (F.col("pos_b") + least <= sizes[1])
+    shared = a.join(b, (F.col("meet_a") == F.col("meet_b")) & (F.col("token_a") == F.col("token_b")) & met).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.least("need_a", "need_b").alias("need"), early.alias("early"))
+    return shared.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.max("early").alias("early")).where(
+        "n >= need AND early")
 
 
 def near_duplicates(documents: DataFrame, jaccard: Jaccard = Jaccard(), doc_id: str = "doc_id",
@@ -416,7 +407,8 @@ def near_duplicates(documents: DataFrame, jaccard: Jaccard = Jaccard(), doc_id:
                               .drop("n1", "n2"), "jaccard-prefixes")
     release(spark)
     common, led = _common_tokens(prefixes, jaccard, scratch)
-    bitmaps = scratch.stored(prefixes.select("node", "size", "need", "bitmap"), "jaccard-bitmaps")
+    bitmaps = scratch.stored(prefixes.select("node", "size", "bitmap"), "jaccard-bitmaps")
+    scratch.drop("jaccard-prefixes")
 
     # first round: every node with the nearest leaders of its tokens
     side = lambda s: bitmaps.select(*[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in bitmaps.columns])
@@ -426,10 +418,11 @@ def near_duplicates(documents: DataFrame, jaccard: Jaccard = Jaccard(), doc_id:
     chosen = F.slice(F.sort_array(F.collect_list(F.struct("flipped", "b"))), 1, LEADERS)
     first = near.groupBy("a").agg(chosen.alias("chosen")).select("a", F.explode("chosen.b").alias("b"))
     links = _verified(first, docs, nodes, jaccard, scratch, "jaccard-first")
+    scratch.drop("jaccard-led")
     joined = connected_components(links, "jaccard-components")
 
     # second round: across those components
-    across = _across(_placed(common, bitmaps, joined, scratch), jaccard, scratch)
+    across = _across(common, bitmaps, joined, jaccard, scratch)
     more = _verified(across, docs, nodes, jaccard, scratch, "jaccard-second")
     done = connected_components(links.unionByName(more), "jaccard-components")
 
