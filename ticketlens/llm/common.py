@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from ..session import delete, write_table
 
 #: Rows in one Arrow batch.  Texts may be long, so a batch stays a few MB.
 ARROW_ROWS = 512
+ARROW_BYTES = 8 << 20
 _ARCHIVE = "ticketlens-code"
 
 
@@ -62,6 +64,18 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return the memory that a task has freed to the system: its Python
+    worker lives on, beside the workers of other tasks."""
+    import pyarrow
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # another C library
+        pass
+
+
 def fresh(prefix: str = "tmp") -> str:
     """A column name that no input column has."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
@@ -69,9 +83,10 @@ def fresh(prefix: str = "tmp") -> str:
 
 def prepare(spark: SparkSession) -> None:
     """Session set-up of the operators that run Python on the executors:
-    bounds the rows of one Arrow batch, and ships the package where the
+    bounds the rows and bytes of one Arrow batch, and ships the package where the
     launcher did not (as ``--py-files`` would)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if not any(name.startswith(_ARCHIVE) for name in sc._python_includes):
         root = Path(__file__).resolve().parents[2]

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import give_back, stored
 
 UNDETERMINED = "und"
 MAX_ORDER = 4
@@ -168,4 +168,6 @@ def predict(text: Column, shared) -> Column:
         scorer = Scorer(shared.value)
         for texts in batches:
             yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang", "score"])
+        del scorer
+        give_back()
     return scored(text)

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, release, stored
+from .common import Scratch, give_back, release, stored
 from .components import connected_components
 from .hashing import mix, words_of
 
@@ -163,6 +163,8 @@ def _scan(n: int):
         yield pd.DataFrame({"id": pd.Series([None] * len(used), dtype=object), "k1": none, "k2": none, "n1": none, "n2": none,
                             "size": np.zeros(len(used), np.int64), "chunk": pd.array(used, "Int32"),
                             "counts": [chunks[i].tobytes() for i in used]})
+        del counts, chunks
+        give_back()
     return run
 
 
@@ -236,6 +238,8 @@ def _prefixes(jaccard: Jaccard, shared):
                 prefix = tokens[order[:size - least + ext]]
                 out.append((*name, size, ext, _bitmap(tokens), prefix.view(np.int64)))
             yield pd.DataFrame(out, columns=["n1", "n2", "size", "need", "bitmap", "tokens"])
+        del seen
+        give_back()
     return run
 
 
