@@ -364,8 +364,14 @@ def _across(common: DataFrame, bitmaps: DataFrame, joined: DataFrame, jaccard: J
     scratch.drop("jaccard-common")
     spans = scratch.stored(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                            .where("lo < hi").select("token"), "jaccard-open")
-    live = scratch.stored(placed.join(spans, "token").join(bitmaps.select("node", "bitmap"), "node"), "jaccard-live")
+    met = scratch.stored(placed.join(spans, "token"), "jaccard-met")
     scratch.drop("jaccard-placed", "jaccard-open")
+    # the first two of a set's tokens tell most pairs their first common one
+    firsts = met.groupBy("node").agg(F.min(F.struct("pos", "token")).alias("f")).select("node", F.col("f.token").alias("t0"), F.col("f.pos").alias("p0"))
+    seconds = met.join(firsts, "node").where(F.col("pos") > F.col("p0")).groupBy("node").agg(F.min(F.struct("pos", "token")).alias("f"))
+    heads = firsts.join(seconds.select("node", F.col("f.token").alias("t1")), "node", "left").drop("p0")
+    live = scratch.stored(met.join(scratch.stored(heads.join(bitmaps.select("node", "bitmap"), "node"), "jaccard-firsts"), "node"), "jaccard-live")
+    scratch.drop("jaccard-firsts")
     side = lambda s: live.select(*[F.col(c).alias(f"{c}_{s}") for c in live.columns])
     a, b = side("a"), side("b")
     # the smaller set comes first; a set meets those of its own window, and of
@@ -374,15 +380,29 @@ def _across(common: DataFrame, bitmaps: DataFrame, joined: DataFrame, jaccard: J
     window = jaccard.size_window(F.col("size_b"))
     b = b.withColumn("meet_b", F.explode(F.array(F.xxhash64("token_b", window), F.xxhash64("token_b", window - 1))))
     sizes = (F.col("size_a"), F.col("size_b"))
-    met = ((F.col("component_a") != F.col("component_b"))
-           & ((sizes[0] < sizes[1]) | ((sizes[0] == sizes[1]) & (F.col("node_a") < F.col("node_b"))))
-           & jaccard.sizes_fit(*sizes) & jaccard.may_link(*sizes, _flipped(F.col("bitmap_a"), F.col("bitmap_b"))))
+    across = ((F.col("component_a") != F.col("component_b"))
+              & ((sizes[0] < sizes[1]) | ((sizes[0] == sizes[1]) & (F.col("node_a") < F.col("node_b"))))
+              & jaccard.sizes_fit(*sizes) & jaccard.may_link(*sizes, _flipped(F.col("bitmap_a"), F.col("bitmap_b"))))
     least = jaccard.overlap(*sizes)
     early = (F.col("pos_a") + least <= sizes[0]) & (F.col("pos_b") + least <= sizes[1])
-    shared = a.join(b, (F.col("meet_a") == F.col("meet_b")) & (F.col("token_a") == F.col("token_b")) & met).select(
+    # tokens stand in one order, so a first token of one set that is among the
+    # first two of the other is the first they share; if none is known, the pair
+    # comes with every token it shares
+    among = lambda t: F.coalesce((t == F.col("t0_b")) | (t == F.coalesce("t1_b", "t0_b")), F.lit(False))
+    common_first = F.when(among(F.col("t0_a")), F.col("t0_a")).when(among(F.col("t1_a")), F.col("t1_a"))
+    shared = a.join(b, (F.col("meet_a") == F.col("meet_b")) & (F.col("token_a") == F.col("token_b")) & across
+                    & (F.coalesce(common_first, F.col("token_a")) == F.col("token_a"))).select(
         F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.least("need_a", "need_b").alias("need"), early.alias("early"))
-    return shared.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.max("early").alias("early")).where(
-        "n >= need AND early")
+    pairs = scratch.stored(shared.groupBy("a", "b").agg(F.max("need").alias("need"), F.max("early").alias("early")).where("early"),
+                           "jaccard-candidates")
+    scratch.drop("jaccard-live")
+    # all shared prefix tokens, for the candidates only
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    lists = scratch.stored(met.join(ends, "node").groupBy("node").agg(F.collect_set("token").alias("tokens")), "jaccard-lists")
+    scratch.drop("jaccard-met")
+    listed = lambda s: lists.select(F.col("node").alias(s), F.col("tokens").alias(f"tokens_{s}"))
+    return (pairs.join(listed("a"), "a").join(listed("b"), "b")
+            .where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("need")).select("a", "b"))
 
 
 def near_duplicates(documents: DataFrame, jaccard: Jaccard = Jaccard(), doc_id: str = "doc_id",
