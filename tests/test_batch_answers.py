@@ -99,3 +99,16 @@ def test_date_ranges_prune_the_year_folders(spark, tmp_path):
         assert out.count() == 20                        # the row without a year stays
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: []" not in plan and "year" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_a_cube_holds_what_its_questions_ask_for(spark):
+    t = spark.createDataFrame(TICKETS, SCHEMA)
+    q = _parsed(spark, ["Sản phẩm nào nhiều nhất năm 2024", "gửi sản phẩm trong tháng 3 năm 2024", "Xin chào", "Công ty ABC gửi gì nhiều",
+                        "Khách hàng abc gửi bao nhiêu sản phẩm trong năm 2024", "Ai gửi sản phẩm X1 nhiều", "KTV nào sửa nhiều nhất quý 1"])
+    needs = ask.needed_slices(q)
+    assert needs == {("product",): [3], (): [1], ("customer", "product"): [7], ("customer",): [3], ("technician",): [6]}
+    cubes = ask.answer_cubes(t, [], needs)
+    assert {keys: sorted({r["gid"] for r in cube.collect()}) for keys, cube in cubes.items()} == needs
+    for keys, gids in needs.items():
+        want = ask.time_cube(t, keys, gids).select(*cubes[keys].columns)
+        assert sorted(map(str, cubes[keys].collect())) == sorted(map(str, want.collect()))

@@ -20,8 +20,8 @@ is answered with one pre-aggregate per answer shape:
   question asked n times is answered in n rows.
 * a batch of all intents (``answer_questions``) reads the tickets once: one
   GROUPING SETS pass over customer, product, technician, customer with product,
-  and nothing, each by the periods asked for, is written (``answer_cubes``), and
-  every answer shape reads its slice of that table.
+  and nothing, each by the periods that its own questions ask for, is written
+  (``answer_cubes``), and every answer shape reads its slice of that table.
 """
 
 from __future__ import annotations
@@ -89,15 +89,36 @@ ANSWER_KEYS = [R.CUSTOMER, R.PRODUCT, R.TECHNICIAN]
 SLICES = [(), (R.CUSTOMER,), (R.PRODUCT,), (R.TECHNICIAN,), (R.CUSTOMER, R.PRODUCT)]
 
 
-def answer_cubes(tickets: DataFrame, gids: list[int]) -> dict[tuple, DataFrame]:
+def needed_slices(questions: DataFrame) -> dict[tuple, list[int]]:
+    """slice → the grouping sets that the questions of a batch look up in it.
+
+    What a question looks up follows from its intent, from whether it names a
+    customer or product, and from its periods: a few dozen rows reach the driver."""
+    asked = questions.select("intent", "gid", F.col(R.CUSTOMER).isNotNull().alias("customer"),
+                             F.col(R.PRODUCT).isNotNull().alias("product")).distinct().collect()
+    needs: dict[tuple, set[int]] = {}
+    for r in asked:
+        keys = {"top_product": (R.PRODUCT,), "top_products": (R.PRODUCT,), "top_ktv": (R.TECHNICIAN,),
+                "top_customers": (R.CUSTOMER,), "count_product": (),
+                "count_product_by_customer": (R.CUSTOMER,) if r["customer"] else (),
+                "top_products_by_customer": (R.CUSTOMER, R.PRODUCT) if r["customer"] else (R.PRODUCT,),
+                "top_customers_by_product": (R.CUSTOMER, R.PRODUCT) if r["product"] else (R.CUSTOMER,),
+                }.get(r["intent"])
+        if keys is not None:
+            needs.setdefault(keys, set()).add(r["gid"])
+    return {keys: sorted(gids) for keys, gids in needs.items()}
+
+
+def answer_cubes(tickets: DataFrame, gids: list[int], needs: dict[tuple, list[int]] | None = None) -> dict[tuple, DataFrame]:
     """slice → its time cube, all slices from one pass over the tickets.
 
-    The tickets are counted by all keys and periods first, so the grouping
-    sets expand distinct combinations and not tickets.  ``grouping_id`` tells
-    the slices apart; rows whose key is NULL are dropped, as in ``time_cube``."""
-    fine = tickets.groupBy(*ANSWER_KEYS, *TIME).agg(F.count("*").alias("n"))
-    sets = [list(keys) + _set_of_gid(g) for keys in SLICES for g in gids]
-    cube = fine.groupingSets(sets, *ANSWER_KEYS, *TIME).agg(F.sum("n").alias("n"), F.grouping_id().alias("_set"))
+    ``needs`` gives the grouping sets of each slice (default: ``gids`` of all
+    slices).  Tickets are counted by each task before they are shuffled.
+    ``grouping_id`` tells the slices apart; rows whose key is NULL are dropped,
+    as in ``time_cube``."""
+    needs = {keys: gids for keys in SLICES} if needs is None else needs
+    sets = [list(keys) + _set_of_gid(g) for keys, of in needs.items() for g in of] or [[]]
+    cube = tickets.groupingSets(sets, *ANSWER_KEYS, *TIME).agg(F.count("*").alias("n"), F.grouping_id().alias("_set"))
     code = {keys: sum(4 >> i for i, k in enumerate(ANSWER_KEYS) if k not in keys) for keys in SLICES}
     cube = cube.withColumns({"_slice": F.shiftright("_set", 3).cast("int"), "gid": F.col("_set").bitwiseAND(7)}).drop("_set")
     cube = tickets.sparkSession.read.schema(cube.schema).parquet(write_table(cube, "answer-cube"))
@@ -193,8 +214,9 @@ def top_by_time_and_pattern(tickets: DataFrame, questions: DataFrame, pattern_co
     # the patterns: a name matched by many patterns copies its aggregate
     # rows, never its tickets
     if cubes:
-        per_name = cubes[R.CUSTOMER, R.PRODUCT].withColumnRenamed(pattern_role, "name")
-        pairs = match_patterns(with_pat, cubes[(pattern_role,)], name_col=pattern_role, regex=regex)
+        per_name = (cubes[R.CUSTOMER, R.PRODUCT].where(F.col("gid").isin(gids))
+                    .withColumnRenamed(pattern_role, "name"))
+        pairs = match_patterns(with_pat, per_name, regex=regex)
     else:
         per_name = time_cube(tickets.select(F.col(pattern_role).alias("name"), key, *TIME), ["name", key], gids)
         pairs = _pattern_pairs(tickets, with_pat, "pattern", pattern_role, regex)
@@ -343,7 +365,7 @@ def answer_questions(tickets, parsed, id_col="question", k=10):
     fields = ["intent", R.CUSTOMER, R.PRODUCT, *TIME]
     once = parsed.select(*fields, "gid").distinct().withColumn("_q", F.monotonically_increasing_id())
     once = parsed.sparkSession.read.schema(once.schema).parquet(write_table(once, "understood"))
-    cubes = answer_cubes(tickets, used_gids(once) or [7])
+    cubes = answer_cubes(tickets, [], needed_slices(once))
     counts = {"period": cubes[()], "customer": cubes[(R.CUSTOMER,)].withColumnRenamed(R.CUSTOMER, "name")}
     totals = answer_count_questions(tickets, once, "_q", counts)
     answers = (shape(ask_top_products(tickets, once, "_q", k, cubes), R.PRODUCT)
