@@ -103,3 +103,12 @@ def test_question_bank_grows_with_data(spark):
     customers = spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
     assert n > customers
     assert question_bank(spark, SF_SMALL).where(F.col("question").isNull()).count() == 0
+
+
+def test_many_patterns_take_one_pass_over_the_names(spark):
+    names = spark.range(300).select(F.format_string("Customer#%09d", "id").alias("name"))
+    patterns = names.select(F.substring("name", 10, 9).alias("pattern")).union(spark.sql("SELECT 'CUSTOMER'"))
+    out = match_patterns(patterns, names, block_chars=60)
+    assert out.count() == 600
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [name") == 1 and "Union" not in plan and "NestedLoop" not in plan
