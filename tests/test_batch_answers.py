@@ -112,3 +112,15 @@ def test_a_cube_holds_what_its_questions_ask_for(spark):
     for keys, gids in needs.items():
         want = ask.time_cube(t, keys, gids).select(*cubes[keys].columns)
         assert sorted(map(str, cubes[keys].collect())) == sorted(map(str, want.collect()))
+
+
+def test_fine_counts_answer_like_the_tickets(spark):
+    from ticketlens.streaming.live_reports import static_count_cubes
+    t = spark.createDataFrame(TICKETS * 3 + [("", None, "Ann", None, None, None)], SCHEMA)
+    q = _parsed(spark, ["gửi sản phẩm trong tháng 3 năm 2024", "gửi sản phẩm trong năm 1990", "gửi sản phẩm trong quý 1",
+                        "Khách hàng abc gửi bao nhiêu sản phẩm trong năm 2024", "Khách hàng z.d gửi bao nhiêu sản phẩm trong quý 2"])
+    cubes = static_count_cubes(t)
+    assert list(cubes) == ["fine"]              # one row per customer and periods, not one for each of 8 sets
+    assert cubes["fine"].count() == t.select("customer", *ask.TIME).distinct().count()
+    got, want = (sorted(map(tuple, ask.answer_count_questions(t, q, cubes=c).collect())) for c in (cubes, None))
+    assert got == want and sorted(r[2] for r in got) == [0, 3, 6, 9, 12]

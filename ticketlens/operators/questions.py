@@ -229,17 +229,27 @@ def top_by_time_and_pattern(tickets: DataFrame, questions: DataFrame, pattern_co
     return answered.unionByName(rest)
 
 
-def _period_totals(tickets: DataFrame, filters: DataFrame, period_cube: DataFrame | None) -> DataFrame:
+def _rolled_up(fine: DataFrame, keys: list[str], gids: list[int]) -> DataFrame:
+    """``time_cube`` of some grouping sets, from counts by name and periods."""
+    for k in keys:
+        fine = fine.where(F.col(k).isNotNull())
+    return (fine.groupingSets([keys + _set_of_gid(g) for g in gids], *keys, *TIME)
+            .agg(F.sum("n").alias("n"), F.grouping_id().alias("gid")))
+
+
+def _period_totals(tickets: DataFrame, filters: DataFrame, period_cube: DataFrame | None,
+                   fine: DataFrame | None = None) -> DataFrame:
     """Total per distinct time filter (absent where nothing matches)."""
     if period_cube is None:
         gids = used_gids(filters)
         if not gids:
             return filters.withColumn("n", F.lit(None).cast("long"))
-        period_cube = time_cube(tickets.select(*TIME), (), gids)
+        period_cube = time_cube(tickets.select(*TIME), (), gids) if fine is None else _rolled_up(fine, [], gids)
     return _null_safe_join(period_cube, filters, FILTER_KEYS)
 
 
-def _pattern_totals(tickets: DataFrame, filters: DataFrame, names_cube: DataFrame | None) -> DataFrame:
+def _pattern_totals(tickets: DataFrame, filters: DataFrame, names_cube: DataFrame | None,
+                    fine: DataFrame | None = None) -> DataFrame:
     """Total per distinct (pattern, time filter) of customers matched.
 
     The cube is summed over the names of each pattern before it meets the
@@ -248,8 +258,11 @@ def _pattern_totals(tickets: DataFrame, filters: DataFrame, names_cube: DataFram
         gids = used_gids(filters)
         if not gids:
             return filters.withColumn("n", F.lit(None).cast("long"))
-        names_cube = time_cube(tickets.select(F.col(R.CUSTOMER).alias("name"), *TIME), ["name"], gids)
-        names = tickets.select(F.col(R.CUSTOMER).alias("name"))
+        if fine is None:
+            names_cube = time_cube(tickets.select(F.col(R.CUSTOMER).alias("name"), *TIME), ["name"], gids)
+            names = tickets.select(F.col(R.CUSTOMER).alias("name"))
+        else:
+            names_cube, names = _rolled_up(fine, ["name"], gids), fine.select("name")
     else:
         names = names_cube.select("name")
     pairs = match_patterns(filters.select("pattern"), names, regex=True)
@@ -265,18 +278,19 @@ def with_totals(tickets: DataFrame, questions: DataFrame, pattern_col: str | Non
     nothing matches.
 
     ``cubes`` may hold precomputed pre-aggregates ({"period": time_cube of
-    the periods, "customer": time_cube keyed by ``name``}, all 8 sets), e.g.
-    computed once for a stream of question batches."""
+    the periods, "customer": time_cube keyed by ``name``}, all 8 sets), or
+    {"fine": ``fine_counts``}, from which the sets that the questions use are
+    rolled up, e.g. computed once for a stream of question batches."""
     cubes = cubes or {}
     pattern = F.col(pattern_col) if pattern_col else F.lit(None).cast("string")
     q = questions.withColumn("pattern", pattern)
     plain = _filters(q.where("pattern IS NULL"))
-    totals = _period_totals(tickets, plain, cubes.get("period")).select(
+    totals = _period_totals(tickets, plain, cubes.get("period"), cubes.get("fine")).select(
         F.lit(None).cast("string").alias("pattern"), *FILTER_KEYS, "n")
     if pattern_col:
         named = _filters(q.where("pattern IS NOT NULL"), "pattern")
         totals = totals.unionByName(
-            _pattern_totals(tickets, named, cubes.get("customer")).select("pattern", *FILTER_KEYS, "n"))
+            _pattern_totals(tickets, named, cubes.get("customer"), cubes.get("fine")).select("pattern", *FILTER_KEYS, "n"))
     out = _null_safe_join(q, totals, ["pattern", *FILTER_KEYS], "left")
     return out.withColumn("total", F.coalesce("n", F.lit(0)).cast("long")).drop("pattern", "n")
 
@@ -320,6 +334,12 @@ def count_cubes(tickets: DataFrame) -> dict:
             "customer": time_cube(tickets.select(F.col(R.CUSTOMER).alias("name"), *TIME), ["name"])}
 
 
+def fine_counts(tickets: DataFrame) -> DataFrame:
+    """Tickets per customer (``name``, may be NULL) and periods: what every
+    grouping set of the counting answers can be rolled up from."""
+    return tickets.groupBy(F.col(R.CUSTOMER).alias("name"), *TIME).agg(F.count("*").alias("n"))
+
+
 def answer_count_questions(tickets, parsed, id_col="question", cubes=None):     # Q8, counting intents
     """One row per counting question: (id, intent, total); zero totals kept."""
     q = _of(parsed, *COUNT_INTENTS).withColumn(

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import roles as R
-from ..session import scratch_path
+from ..session import scratch_path, write_table
 from ..sources.testdata import tickets
 from ..streaming import live_reports as LR
 from .questions import _bank_texts
@@ -33,7 +33,7 @@ def _stream_rate(spark, sf):
 
 def _stream_answers(spark, sf):
     """Questions arrive in two drops; each refresh answers only the new ones."""
-    bank = _bank_texts(spark, sf)
+    bank = spark.read.parquet(write_table(_bank_texts(spark, sf), "questions"))
     qpath, ckpt = scratch_path(spark, "question_drops"), scratch_path(spark, "ckpt")
     out = scratch_path(spark, "answers")
     t = tickets(spark, sf, [R.CUSTOMER, *R.PERIODS])

@@ -57,10 +57,9 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "com
 
 def static_count_cubes(tickets: DataFrame) -> dict:
     """Pre-aggregate the static tickets once (counts per customer × periods,
-    written to the shared folder) for all micro-batches and restarts."""
-    spark = tickets.sparkSession
-    return {k: spark.read.parquet(write_table(v, f"cube_{k}"))
-            for k, v in ask.count_cubes(tickets).items()}
+    written to the shared folder) for all micro-batches and restarts.  A batch
+    rolls up the grouping sets that its questions use, and no others."""
+    return {"fine": tickets.sparkSession.read.parquet(write_table(ask.fine_counts(tickets), "cube_fine"))}
 
 
 def answer_questions_stream(questions: DataFrame, tickets: DataFrame, out_path: str,
