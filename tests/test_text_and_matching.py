@@ -112,3 +112,13 @@ def test_many_patterns_take_one_pass_over_the_names(spark):
     assert out.count() == 600
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [name") == 1 and "Union" not in plan and "NestedLoop" not in plan
+
+
+def test_a_date_is_parsed_by_formats_whose_separators_it_holds(spark):
+    from ticketlens.functions.dates import parse_dates
+    texts = ["2024-03-01", " 2024-03-01 10:20:30 ", "01/03/2024", "01/03/2024 10:20:30", "2024/03/01", "1-3-2024", "01-03/2024", "", None, "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_dates("t").alias("d"))
+    assert [None if r["d"] is None else str(r["d"]) for r in df.collect()] == [
+        "2024-03-01 00:00:00", "2024-03-01 10:20:30", "2024-03-01 00:00:00", "2024-03-01 10:20:30"] + [None] * 6
+    # a parse that fails is dear, so it is not tried
+    assert "Contains" in df._jdf.queryExecution().optimizedPlan().toString()

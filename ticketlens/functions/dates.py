@@ -15,12 +15,22 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _may_parse(text: Column, fmt: str) -> Column:
+    """Does the text hold the separators of the format?  Every one is needed,
+    and a parse that fails costs many times this test."""
+    out = F.lit(True)
+    if not set(fmt) & set("'[]"):               # quoted and optional parts
+        for char in dict.fromkeys(ch for ch in fmt if not ch.isalnum()):
+            out = out & text.contains(char)
+    return out
+
+
 def parse_dates(c, formats=DEFAULT_FORMATS) -> Column:
     """Text → ``timestamp_ntz``; the first format that parses wins and text
     no format parses becomes NULL.  Formats are explicit: inferring them
     would silently read "03/04" month-first."""
     text = F.trim(_col(c).cast("string"))
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats]
+    parsed = [F.when(_may_parse(text, fmt), F.try_to_timestamp(text, F.lit(fmt))) for fmt in formats]
     return F.coalesce(*parsed).cast("timestamp_ntz")
 
 
