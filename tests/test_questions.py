@@ -76,3 +76,21 @@ def test_t18_optional_customer_cleanup(spark):
     assert raw[9] == "abc đã" and cleaned[9] == "abc"
     assert raw[12] == "năm 2024" and cleaned[12] is None
     assert cleaned[6] == raw[6] == "công ty abc"
+
+
+def test_texts_of_the_bank_are_not_parsed(spark):
+    from locations import SF_SMALL
+    from ticketlens.plans import questions as plans
+    if not plans.exists(spark, plans._bank_path(spark, SF_SMALL)):
+        plan = plans._t8(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "top_ktv" not in plan and not plans.exists(spark, plans._bank_path(spark, SF_SMALL))
+
+
+def test_a_customer_begins_where_its_characters_do(spark):
+    import re
+    from ticketlens.functions import questions as Q
+    texts = ["a#b c gửi gửi gì", " gửi", "# gửi x", "x gửi", "a. b-c_d gửi", "q! gửi gửi", "khách hàng a#b gửi", "khách hàng ab gửi", "nothing",
+             "khách hàng  gửi", "é́x,ü y gửi z", "# gửi gửi"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(Q.question_customer("t")).collect()]
+    assert got == [None if (m := re.search(r"khách hàng ([\w\s\-\.]+?) gửi", t) or re.search(r"([\w\s\-\.]+?) gửi", t)) is None
+                   else m.group(1).strip() for t in texts]

@@ -62,22 +62,25 @@ def _has(q: Column, *words: str) -> Column:
     return cond
 
 
-def _first_int(text: Column, pattern: str) -> Column:
+def _first_int(text: Column, pattern: str, lowered=None) -> Column:
     """First capture as int; no match, or 0, → NULL (0 means "not given")."""
     hit = F.regexp_extract(text, java(pattern, ignore_case=True), 1)
-    return F.nullif(hit.try_cast("int"), F.lit(0))
+    # the pattern begins with its keyword: a cheap, exact pre-test
+    keyword = pattern.partition("[")[0]
+    low = F.lower(text) if lowered is None else _col(lowered)
+    return F.when(low.contains(keyword), F.nullif(hit.try_cast("int"), F.lit(0)))
 
 
-def question_year(c) -> Column:
-    return _first_int(_col(c), YEAR_RE)
+def question_year(c, lowered=None) -> Column:
+    return _first_int(_col(c), YEAR_RE, lowered)
 
 
-def question_month(c) -> Column:
-    return _first_int(_col(c), MONTH_RE)
+def question_month(c, lowered=None) -> Column:
+    return _first_int(_col(c), MONTH_RE, lowered)
 
 
-def question_quarter(c) -> Column:
-    return _first_int(_col(c), QUARTER_RE)
+def question_quarter(c, lowered=None) -> Column:
+    return _first_int(_col(c), QUARTER_RE, lowered)
 
 
 def question_time_lists(c) -> Column:
@@ -108,12 +111,15 @@ def question_customer(c, normalised=None) -> Column:
     the text before "gửi" (preferring the text after "khách hàng")."""
     q = normalise_question(_col(c)) if normalised is None else _col(normalised)
     first = java(CUSTOMER_AFTER_LABEL_RE)
-    second = java(CUSTOMER_BEFORE_VERB_RE)
+    # a name begins where a run of its characters does: tried from there only,
+    # a long text takes one pass and finds what a search from everywhere finds
+    second = java(f"(?<!{_NAME_CHARS})" + CUSTOMER_BEFORE_VERB_RE)
     # both patterns need the literal " gửi": test it first (cheap, exact) so
     # long texts without it never run the lazy-quantifier search
     verb = q.contains(" gửi")
-    picked = (F.when(verb & q.contains("khách hàng ") & q.rlike(first), F.regexp_extract(q, first, 1))
-              .when(verb & q.rlike(second), F.regexp_extract(q, second, 1)))
+    # a found name has a character, so "" says that there is none
+    found = lambda pattern: F.nullif(F.regexp_extract(q, pattern, 1), F.lit(""))
+    picked = F.when(verb, F.coalesce(F.when(q.contains("khách hàng "), found(first)), found(second)))
     return F.when(_has(q, "ktv", "kỹ thuật viên"), F.lit(None).cast("string")) \
         .otherwise(strip_space(picked))
 
@@ -133,12 +139,14 @@ def clean_question_customer(c) -> Column:
     return F.when(time_phrase | (x == ""), F.lit(None).cast("string")).otherwise(x)
 
 
-def question_product(c) -> Column:
+def question_product(c, lowered=None) -> Column:
     """Product named after "gửi (sản phẩm)", on the raw question, ignoring case."""
     q = _col(c)
-    pat = java(PRODUCT_RE, ignore_case=True)
-    # the pattern needs "gửi " in some letter case: a cheap, exact pre-test
-    return F.when(F.lower(q).contains("gửi ") & q.rlike(pat), strip_space(F.regexp_extract(q, pat, 1)))
+    low = F.lower(q) if lowered is None else _col(lowered)
+    # the pattern needs "gửi " in some letter case: a cheap, exact pre-test; a
+    # found product has a character, so "" says that there is none
+    found = F.nullif(F.regexp_extract(q, java(PRODUCT_RE, ignore_case=True), 1), F.lit(""))
+    return F.when(low.contains("gửi "), strip_space(found))
 
 
 def classify_intent(c, normalised=None, product=None) -> Column:
@@ -178,18 +186,19 @@ def classify_intent(c, normalised=None, product=None) -> Column:
 def with_parsed_question(df, text_col: str = "question"):
     """Add intent, customer, product, year, month, quarter columns.
 
-    The normalised text and the product are computed once in their own
-    projection and referenced by the rules (Catalyst does not inline a
-    non-trivial expression that is used several times)."""
+    The lower-cased and normalised texts and the product are computed once in
+    their own projections and referenced by the rules (Catalyst does not inline
+    a non-trivial expression that is used several times)."""
     raw = F.col(text_col)
-    staged = df.withColumns({"_nq": normalise_question(raw), "product": question_product(raw)})
+    staged = df.withColumn("_lq", F.lower(raw)).withColumns(
+        {"_nq": normalise_question("_lq"), "product": question_product(raw, "_lq")})
     return (staged.withColumns({
         "intent": classify_intent(raw, "_nq", "product"),
         "customer": question_customer(raw, "_nq"),
-        "year": question_year(raw),
-        "month": question_month(raw),
-        "quarter": question_quarter(raw)})
-        .drop("_nq"))
+        "year": question_year(raw, "_lq"),
+        "month": question_month(raw, "_lq"),
+        "quarter": question_quarter(raw, "_lq")})
+        .drop("_lq", "_nq"))
 
 
 def parse_question(c) -> Column:

@@ -177,25 +177,36 @@ def _top_sql(intents: tuple[str, ...], key: str, k: int, extra: str = "") -> str
 _BANK_LOCK = threading.Lock()
 
 
+def _bank_path(spark, sf) -> str:
+    name = f"questions-{snapshot(spark, sf, ('orders', 'customer', 'part'))}"
+    return f"{shared_dir(spark).rstrip('/')}/ticketlens/{name}"
+
+
+def _bank_dealt(spark, sf) -> DataFrame:
+    # small in bytes but regex-heavy: dealt to all cores
+    return question_bank(spark, sf).repartition(2 * spark.sparkContext.defaultParallelism)
+
+
 def _bank_parsed(spark, sf):
     """The parsed question bank, written once per snapshot of its tables.
 
     It feeds several branches of every answer plan, so it is parsed once and
     read back from the written table afterwards."""
-    name = f"questions-{snapshot(spark, sf, ('orders', 'customer', 'part'))}"
-    path = f"{shared_dir(spark).rstrip('/')}/ticketlens/{name}"
+    path = _bank_path(spark, sf)
     with _BANK_LOCK:    # queries submitted from several threads parse it once
         if not exists(spark, f"{path}/_SUCCESS"):
-            # small in bytes but regex-heavy: dealt to all cores
-            bank = question_bank(spark, sf).repartition(2 * spark.sparkContext.defaultParallelism)
-            ask.parse_questions(bank).write.mode("overwrite").parquet(path)
+            ask.parse_questions(_bank_dealt(spark, sf)).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def _bank_texts(spark, sf):
-    """Only the question texts of the written bank (spread over all cores);
-    each extractor query then evaluates its own expression on them."""
-    return _bank_parsed(spark, sf).select("question")
+    """Only the question texts of the bank (spread over all cores); each
+    extractor query then evaluates its own expression on them, and none parses
+    the others' fields."""
+    path = _bank_path(spark, sf)
+    if exists(spark, f"{path}/_SUCCESS"):
+        return spark.read.parquet(path).select("question")
+    return _bank_dealt(spark, sf)
 
 
 @register("classify_intent", _with(
