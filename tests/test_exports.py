@@ -153,3 +153,13 @@ def test_a_folder_without_records(spark, tmp_path):
     (tmp_path / "blank.csv").write_text("\n\n", "utf-8")
     with pytest.raises(FileNotFoundError):
         scan_tickets(spark, str(tmp_path))
+
+
+def test_a_compressed_export_is_scanned_like_a_plain_one(spark, tmp_path):
+    from ticketlens.sources import exports, sinks
+    rows = [('A "b", c\nd', "X1"), ("plain", "X2"), (None, "X3")]
+    t = spark.createDataFrame(rows, "customer string, product string")
+    path = sinks.write_export(t, str(tmp_path / "zipped"), exports.EXPORT_HEADERS, compression="gzip")
+    assert list((tmp_path / "zipped").glob("*.csv.gz")) and not list((tmp_path / "zipped").glob("*.csv"))
+    got = {(r["customer"], r["product"]) for r in exports.scan_tickets(spark, path).collect()}
+    assert got == set(rows)

@@ -68,12 +68,13 @@ def _s1_split(spark, sf):
     f"SELECT {_roles_sql({R.CUSTOMER: _AWKWARD_SQL, R.SERIAL: f'CASE WHEN year <= {SPLIT_YEAR} THEN serial END'})} "
     "FROM tickets"))
 def _s2(spark, sf):
-    """Two layouts with awkward cells in one folder, told apart by their headers."""
+    """Two layouts with awkward cells in one folder, told apart by their headers.
+    The files are compressed: each is read by one task because of its cells."""
     t = tickets(spark, sf, [*_ROLES, R.YEAR]).withColumn(R.CUSTOMER, _awkward(R.CUSTOMER))
     path = scratch_path(spark, "exports")
-    SK.write_export(t.where(F.col(R.YEAR) <= SPLIT_YEAR).drop(R.YEAR), path, EX.EXPORT_HEADERS)
+    SK.write_export(t.where(F.col(R.YEAR) <= SPLIT_YEAR).drop(R.YEAR), path, EX.EXPORT_HEADERS, compression="gzip")
     SK.write_export(t.where(F.col(R.YEAR) > SPLIT_YEAR).drop(R.YEAR), path, ALIAS_HEADERS,
-                    date_format="dd/MM/yyyy", mode="append")
+                    date_format="dd/MM/yyyy", mode="append", compression="gzip")
     return EX.scan_tickets(spark, path).select(*R.ALL_ROLES)
 
 

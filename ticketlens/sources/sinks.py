@@ -70,9 +70,11 @@ CONTEXT_ROLES = [R.RECEIVED_AT, R.CUSTOMER, R.PRODUCT, R.TECHNICIAN, R.IS_DONE,
 
 
 def write_export(df: DataFrame, path: str, headers: dict[str, str], date_format: str = CSV_TS,
-                 mode: str = "overwrite") -> str:
+                 mode: str = "overwrite", compression: str = "none") -> str:
     """Write role-named tickets as a spreadsheet-style CSV export: dates as
-    text in ``date_format``, columns renamed (and ordered) by ``headers``."""
+    text in ``date_format``, columns renamed (and ordered) by ``headers``.
+    A compressed file is read by one task, as one with line ends in its cells
+    is in any case."""
     dtypes = dict(df.dtypes)
     cols = []
     for role, header in headers.items():
@@ -82,5 +84,5 @@ def write_export(df: DataFrame, path: str, headers: dict[str, str], date_format:
         if dtypes[role].startswith("timestamp"):
             c = F.date_format(c, date_format)
         cols.append(c.alias(header))
-    df.select(*cols).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.select(*cols).write.mode(mode).option("header", True).option("escape", '"').option("compression", compression).csv(path)
     return path
