@@ -115,3 +115,13 @@ def test_items_without_an_id_are_hit_and_cut(spark, tmp_path):
     assert got == {1: (3, 3, 1, True), 2: (5, 3, 2, True), None: (6, 6, 2, True), 3: (1, 0, 0, False)}
     kept = decontaminate(docs, item_blocks(spark.read.parquet(str(tmp_path / "benchmark.parquet"))), max_coverage=0.7)
     assert {r["doc_id"]: r["text"] for r in kept.collect()} == {2: "q q", 3: "clean"}
+
+
+def test_texts_pass_through_python_once(spark):
+    items = spark.createDataFrame([("i", "one two three four five six seven eight nine ten")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "A b. One two three four five six seven eight nine ten, c d e f g h i j"), (2, None), (3, "a  b"),
+                                  (4, "one two three four five six seven eight nine ten"), (None, "")], "doc_id long, text string")
+    out = decontaminate(docs, item_blocks(items), max_coverage=0.6)
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {
+        (1, "A b. , c d e f g h i j"), (2, None), (3, "a  b"), (None, "")}
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

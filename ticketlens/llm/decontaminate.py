@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from .common import Scratch, fresh, stored
+from .common import Scratch, fresh, give_back, stored
 
 #: Words of one automaton: about 100 bytes of state each in every worker.
 BLOCK_WORDS = 200_000
@@ -301,34 +302,58 @@ def n_hit(match: Column) -> Column:
     return F.aggregate(match["spans"], F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
 
 
-@F.pandas_udf(T.StringType())
-def cut_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
+def without(text: str, cuts) -> str:
     """The text without the given word spans, other characters untouched
     (a cut leaves one space where words remain on both sides)."""
-    out = []
-    for text, cuts in zip(texts, spans):
-        if text is None or cuts is None or len(cuts) == 0:
-            out.append(text)
-            continue
-        at = [m.span() for m in _WORD_IN_TEXT.finditer(text)]
-        kept, begin = [], 0
-        for c in cuts:
-            kept.append(text[begin:at[c["start"]][0]].rstrip())
-            begin = at[c["stop"] - 1][1]
-        kept.append(text[begin:].lstrip())
-        out.append(" ".join(k for k in kept if k))
+    at = [m.span() for m in _WORD_IN_TEXT.finditer(text)]
+    kept, begin = [], 0
+    for start, stop in cuts:
+        kept.append(text[begin:at[start][0]].rstrip())
+        begin = at[stop - 1][1]
+    kept.append(text[begin:].lstrip())
+    return " ".join(k for k in kept if k)
+
+
+@F.pandas_udf(T.StringType())
+def cut_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Each text without its spans."""
+    out = [text if text is None or cuts is None or len(cuts) == 0 else without(text, [(c["start"], c["stop"]) for c in cuts])
+           for text, cuts in zip(texts, spans)]
     return pd.Series(out, dtype=object)
 
 
+def _cutter(shared, window: int, max_coverage: float):
+    """UDF: whether a text stays, and what is left of it if any word is hit.
+    Counted as not deterministic, so that the plan runs it in one place: every
+    further one is a Python worker more beside each task."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = _automaton(shared.value, window)
+        for texts in batches:
+            out = []
+            for text in texts:
+                ws = words(text) if text is not None else []
+                spans, _ = automaton.match(ws)
+                stays = sum(stop - start for start, stop in spans) <= len(ws) * max_coverage
+                out.append((stays, without(text, spans) if stays and spans else None))
+            yield pd.DataFrame(out, columns=["stays", "text"])
+        give_back()
+    return F.pandas_udf(run, "struct<stays:boolean,text:string>").asNondeterministic()
+
+
 def decontaminate(docs: DataFrame, blocks: ItemBlocks, text: str = "text", window: int = 10,
                   max_coverage: float = 0.5) -> DataFrame:
     """Remove the spans of benchmark text from each document; a document of
     which more than ``max_coverage`` of the words is hit goes as a whole.
     The columns are those of ``docs``; clean documents are unchanged."""
     m = fresh("match")
+    body = F.col(f"`{text}`")
+    if blocks.count == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(blocks.read(0))
+        marked = docs.withColumn(m, _cutter(shared, window, max_coverage)(body)).where(F.col(m)["stays"])
+        left = F.coalesce(F.col(m)["text"], body)
+        return marked.select(*[left.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
     marked = with_matches(docs, blocks, m, text, window)
     hit = n_hit(F.col(m))
-    body = F.col(f"`{text}`")
     cut = F.when(hit > 0, cut_spans(body, F.col(m)["spans"])).otherwise(body)
     return marked.where(hit <= F.col(m)["n_words"] * max_coverage).select(
         *[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
