@@ -130,3 +130,24 @@ def test_bloom_filter_holds_every_number(spark, monkeypatch):
         assert ngram_join._maybe_in(packed, inside).all()
         assert ngram_join._maybe_in(packed, inside + 1).mean() < 0.01
     assert not ngram_join._maybe_in(ngram_join._bloom_filter(ids.limit(0)), np.arange(9)).any()
+
+
+def test_bitmaps_use_all_their_cells():
+    from ticketlens.llm.ngram_join import BITMAP_WORDS, _bitmap
+    rng = np.random.default_rng(3)
+    a, b = (np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64)) for _ in range(2))
+    flipped = np.bitwise_count(_bitmap(a).view(np.uint64) ^ _bitmap(b).view(np.uint64))
+    assert len(flipped) == BITMAP_WORDS and (flipped > 10).all()     # about 32 of 64 in each word
+
+
+def test_sets_meet_only_where_a_linked_pair_can_first_meet(spark):
+    from ticketlens.llm.ngram_join import BITMAP_WORDS, _met_first
+    jaccard, bitmap = Jaccard(words=4, share=85), [0] * BITMAP_WORDS
+    # sets of 100 tokens must share 92: the first shared token is among the first nine
+    rows = [(node, token, 100, 1, pos, node, node * 1000, node * 1000 + 1, bitmap)
+            for node in range(1, 21) for pos, token in ((8, 1), (9, 2), (12, 3), (14, 4))]
+    live = spark.createDataFrame(rows, "node long, token long, size int, need int, pos int, component long, t0 long, t1 long, "
+                                       "bitmap array<long>")
+    pairs = [(a, b) for a in range(1, 21) for b in range(a + 1, 21)]
+    assert sorted((r["a"], r["b"]) for r in _met_first(live, jaccard).collect()) == pairs
+    assert _met_first(live.where("pos > 8"), jaccard).count() == 0

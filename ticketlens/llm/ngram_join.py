@@ -206,7 +206,7 @@ def choose_extension(frequency: np.ndarray, size: int, least: int) -> int:
 
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
     """The parity of the tokens in each of 64 * BITMAP_WORDS cells."""
-    cells = np.bincount((tokens & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS)
+    cells = np.bincount((tokens % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS)
     return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -354,24 +354,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, jaccard: Jacc
     return found
 
 
-def _across(common: DataFrame, bitmaps: DataFrame, joined: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
-    """Candidate pairs of different components, each once: the sets share as
-    many prefix tokens as the smaller extension asks, and after the first of
-    them enough tokens are left in both."""
-    placed = scratch.stored(common.select("node", "size", "need", "pos", "token").join(
-        joined.select(F.col("id").alias("node"), "component"), "node", "left")
-        .withColumn("component", F.coalesce("component", "node")), "jaccard-placed")
-    scratch.drop("jaccard-common")
-    spans = scratch.stored(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                           .where("lo < hi").select("token"), "jaccard-open")
-    met = scratch.stored(placed.join(spans, "token"), "jaccard-met")
-    scratch.drop("jaccard-placed", "jaccard-open")
-    # the first two of a set's tokens tell most pairs their first common one
-    firsts = met.groupBy("node").agg(F.min(F.struct("pos", "token")).alias("f")).select("node", F.col("f.token").alias("t0"), F.col("f.pos").alias("p0"))
-    seconds = met.join(firsts, "node").where(F.col("pos") > F.col("p0")).groupBy("node").agg(F.min(F.struct("pos", "token")).alias("f"))
-    heads = firsts.join(seconds.select("node", F.col("f.token").alias("t1")), "node", "left").drop("p0")
-    live = scratch.stored(met.join(scratch.stored(heads.join(bitmaps.select("node", "bitmap"), "node"), "jaccard-firsts"), "node"), "jaccard-live")
-    scratch.drop("jaccard-firsts")
+def _met_first(live: DataFrame, jaccard: Jaccard) -> DataFrame:
+    """``a, b, need`` for each meeting of two sets of different components at a
+    token that may be the first one they share."""
     side = lambda s: live.select(*[F.col(c).alias(f"{c}_{s}") for c in live.columns])
     a, b = side("a"), side("b")
     # the smaller set comes first; a set meets those of its own window, and of
@@ -383,18 +368,40 @@ def _across(common: DataFrame, bitmaps: DataFrame, joined: DataFrame, jaccard: J
     across = ((F.col("component_a") != F.col("component_b"))
               & ((sizes[0] < sizes[1]) | ((sizes[0] == sizes[1]) & (F.col("node_a") < F.col("node_b"))))
               & jaccard.sizes_fit(*sizes) & jaccard.may_link(*sizes, _flipped(F.col("bitmap_a"), F.col("bitmap_b"))))
+    # the first token that a linked pair shares leaves enough after it in both
+    # sets: a pair meets at no other token, and no set at its last ones
     least = jaccard.overlap(*sizes)
     early = (F.col("pos_a") + least <= sizes[0]) & (F.col("pos_b") + least <= sizes[1])
     # tokens stand in one order, so a first token of one set that is among the
     # first two of the other is the first they share; if none is known, the pair
-    # comes with every token it shares
+    # comes with every token it shares that early
     among = lambda t: F.coalesce((t == F.col("t0_b")) | (t == F.coalesce("t1_b", "t0_b")), F.lit(False))
     common_first = F.when(among(F.col("t0_a")), F.col("t0_a")).when(among(F.col("t1_a")), F.col("t1_a"))
-    shared = a.join(b, (F.col("meet_a") == F.col("meet_b")) & (F.col("token_a") == F.col("token_b")) & across
+    return a.join(b, (F.col("meet_a") == F.col("meet_b")) & (F.col("token_a") == F.col("token_b")) & across & early
                     & (F.coalesce(common_first, F.col("token_a")) == F.col("token_a"))).select(
-        F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.least("need_a", "need_b").alias("need"), early.alias("early"))
-    pairs = scratch.stored(shared.groupBy("a", "b").agg(F.max("need").alias("need"), F.max("early").alias("early")).where("early"),
-                           "jaccard-candidates")
+        F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.least("need_a", "need_b").alias("need"))
+
+
+def _across(common: DataFrame, bitmaps: DataFrame, joined: DataFrame, jaccard: Jaccard, scratch: Scratch) -> DataFrame:
+    """Candidate pairs of different components, each once: the sets share as
+    many prefix tokens as the smaller extension asks, and after the first of
+    them enough tokens are left in both."""
+    placed = scratch.stored(common.select("node", "size", "need", "pos", "token").join(
+        joined.select(F.col("id").alias("node"), "component"), "node", "left")
+        .withColumn("component", F.coalesce("component", "node")), "jaccard-placed")
+    scratch.drop("jaccard-common")
+    spans = scratch.stored(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                           .where("lo < hi").select("token"), "jaccard-open")
+    met = scratch.stored(placed.join(spans, "token"), "jaccard-met")
+    scratch.drop("jaccard-placed", "jaccard-open")
+    # the first two of a set's tokens tell most pairs their first common one
+    firsts = met.groupBy("node").agg(F.min(F.struct("pos", "token")).alias("f")).select("node", F.col("f.token").alias("t0"), F.col("f.pos").alias("p0"))
+    seconds = met.join(firsts, "node").where(F.col("pos") > F.col("p0")).groupBy("node").agg(F.min(F.struct("pos", "token")).alias("f"))
+    heads = firsts.join(seconds.select("node", F.col("f.token").alias("t1")), "node", "left").drop("p0")
+    leading = met.where(F.col("pos") * jaccard.per <= F.col("size") * (jaccard.per - jaccard.share))
+    live = scratch.stored(leading.join(scratch.stored(heads.join(bitmaps.select("node", "bitmap"), "node"), "jaccard-firsts"), "node"), "jaccard-live")
+    scratch.drop("jaccard-firsts")
+    pairs = scratch.stored(_met_first(live, jaccard).groupBy("a", "b").agg(F.max("need").alias("need")), "jaccard-candidates")
     scratch.drop("jaccard-live")
     # all shared prefix tokens, for the candidates only
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
