@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -108,3 +109,45 @@ def test_empty_tables(spark):
     for docs, items in ((none, some), (some, none)):
         index, n = build_index(docs)
         assert search(index, n, items.withColumnRenamed("doc_id", "item_id")).collect() == []
+
+
+def _peak(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_builds_and_opens_a_block_in_few_bytes_a_word():
+    rnd = random.Random(4)
+    known = [f"w{i}" for i in range(20_000)]
+    texts = (" ".join(rnd.choices(known, k=500)) for _ in range(600))
+    block, peak = _peak(lambda: block_of(enumerate(texts), 600, 300_000))
+    assert peak < 120 * 300_000
+    height, children, maxima = block[3:]
+    _, peak = _peak(lambda: Treap(height, children, maxima))
+    assert peak < 18 * len(maxima) // 3
+
+
+def test_a_block_is_a_few_compressed_byte_strings(spark):
+    """The JVM holds no term or frequency of a block as a value of its own."""
+    rnd = random.Random(6)
+    docs = [(i, " ".join(f"term{rnd.randrange(5000)}" for _ in range(60))) for i in range(300)]
+    index, n_docs = build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    assert {kind for _, kind in index.dtypes} == {"binary", "int"}
+    block = index.first()
+    terms = {t for _, text in docs for t in text.split()}
+    assert len(block["terms"]) < sum(map(len, terms)) // 2
+    # the lists are handed on some rows at a time, and are whole
+    lists = index.select("terms", "lengths", "df").mapInArrow(ranked_search._frequencies, "term string, df int").collect()
+    assert {r["term"]: r["df"] for r in lists} == {t: sum(t in text.split() for _, text in docs) for t in terms}
+    assert len(lists) == len(terms)
+
+
+def test_large_ids_beside_null_ids(spark):
+    large = 2 ** 60 + 1
+    docs = spark.createDataFrame([(large, "a b"), (None, "a b"), (-large, "a")], "doc_id long, text string").coalesce(1)
+    index, n_docs = build_index(docs)
+    asked = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    assert [r["doc_id"] for r in search(index, n_docs, asked).orderBy("rank").collect()] == [large, None]

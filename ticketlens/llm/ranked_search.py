@@ -18,11 +18,13 @@ Nothing is approximate.
 
 Passes: (1) documents and terms of the corpus are counted, since impacts depend
 on the average length; (2) every partition writes its blocks to the shared
-folder; (3) the document frequencies of the items' terms are summed from the
-lists kept beside the blocks; (4) the items, in blocks of a bounded number of
-terms, are sent to the index, one block of items after the other.  A task keeps
-at most k documents an item; the best k of all tasks are ranked by a limited
-window, which pre-selects in every task.
+folder, a block as a few compressed byte strings: the JVM never holds its terms
+as values, and a worker holds the numbers of its words, not its texts; (3) the
+document frequencies of the items' terms are summed from the lists kept in the
+blocks, which a worker hands on some at a time; (4) the items, in blocks of a
+bounded number of terms, are sent to the index, one block of items after the
+other.  A task keeps at most k documents an item; the best k of all tasks are
+ranked by a limited window, which pre-selects in every task.
 
 Defined results: null and wordless texts have no terms; null and wordless items
 have no result; repeated items are ranked each on their own, repeated documents
@@ -35,14 +37,17 @@ from __future__ import annotations
 import contextlib
 import heapq
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import Scratch, stored
+from .common import Scratch, give_back, stored
 from .decontaminate import words
 
 #: Documents of a block (columns of its grid), and bytes of text.
@@ -52,6 +57,10 @@ BLOCK_BYTES = 1 << 24
 QUERY_TERMS = 200_000
 #: Cells looked at in one step of a search.
 STEP_CELLS = 1 << 12
+#: Terms with their frequencies that a worker hands on at once.
+LIST_ROWS = 1 << 14
+#: Bytes of a row group of the index: a block or two.
+INDEX_GROUP = 1 << 23
 
 #: Fixed values of the contract: words, and the constants of the impact.
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -59,10 +68,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SCALE, _TF, _LENGTH = 1_000_000_000, 1000, 12
 _PLAIN, _SLOPE = 100, 25
 
-_INDEX = ("docs array<bigint>, terms array<string>, df array<int>, height int, children binary, maxima binary")
+#: Byte strings are compressed (:func:`packed`): ids (those of the last ``unnamed``
+#: documents are null), terms one after the other, their lengths and frequencies.
+_INDEX = ("docs binary, unnamed int, terms binary, lengths binary, df binary, height int, children binary, maxima binary")
 #: Children before one of the four places, for each set of children.
 _BEFORE = np.array([[bin(s & ((1 << q) - 1)).count("1") for q in range(4)] for s in range(16)], np.int32)
-_COUNT = np.array([bin(s).count("1") for s in range(16)], np.int32)
+_COUNT = np.array([bin(s).count("1") for s in range(16)], np.uint8)
 
 
 # --- the grid of one block ----------------------------------------------------------
@@ -79,23 +90,30 @@ def _spread_bits(x: np.ndarray) -> np.ndarray:
 def compressed(rows: np.ndarray, columns: np.ndarray, impacts: np.ndarray, height: int) -> tuple[bytes, bytes]:
     """The children sets (two a byte) and the maxima (as distances from the
     parent, in three byte planes) of the tree, level by level from the root."""
-    at = (_spread_bits(rows) << np.uint64(1)) | _spread_bits(columns)
+    at = _spread_bits(rows)
+    at <<= np.uint64(1)
+    at |= _spread_bits(columns)
     order = np.argsort(at, kind="stable")
-    at, top = at[order], impacts[order].astype(np.int64)
+    at, top = at[order], impacts[order].astype(np.int32)
+    del order
     sets: list[np.ndarray] = []
     below: list[np.ndarray] = []
     for _ in range(height):
-        parent = at >> np.uint64(2)
-        first = np.flatnonzero(np.concatenate(([True], parent[1:] != parent[:-1])))
-        sets.append(np.bitwise_or.reduceat(np.left_shift(1, (at & np.uint64(3)).astype(np.int64)), first).astype(np.uint8))
+        place = np.left_shift(1, (at & np.uint64(3)).astype(np.uint8), dtype=np.uint8)
+        at >>= np.uint64(2)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        sets.append(np.bitwise_or.reduceat(place, first))
         most = np.maximum.reduceat(top, first)
         below.append(np.repeat(most, np.diff(first, append=len(at))) - top)
-        at, top = parent[first], most
+        at, top = at[first], most
     distances = np.concatenate([top, *below[::-1]])
-    packed = np.concatenate(sets[::-1]) if sets else np.zeros(0, np.uint8)
-    packed = np.append(packed, np.zeros(len(packed) % 2, np.uint8))
-    planes = np.concatenate([(distances >> s & 255).astype(np.uint8) for s in (0, 8, 16)])
-    return (packed[0::2] | packed[1::2] << 4).tobytes(), planes.tobytes()
+    del below
+    packed_sets = np.concatenate(sets[::-1]) if sets else np.zeros(0, np.uint8)
+    packed_sets = np.append(packed_sets, np.zeros(len(packed_sets) % 2, np.uint8))
+    planes = np.empty((3, len(distances)), np.uint8)
+    for i in range(3):
+        planes[i] = distances >> 8 * i & 255
+    return (packed_sets[0::2] | packed_sets[1::2] << 4).tobytes(), planes.tobytes()
 
 
 class Treap:
@@ -105,20 +123,25 @@ class Treap:
     def __init__(self, height: int, children: bytes, maxima: bytes):
         self.height = height
         pairs = np.frombuffer(children, np.uint8)
-        sets = np.empty(2 * len(pairs), np.uint8)
-        sets[0::2], sets[1::2] = pairs & 15, pairs >> 4
-        planes = np.frombuffer(maxima, np.uint8).reshape(3, -1).astype(np.int32)
-        distances = planes[0] | planes[1] << 8 | planes[2] << 16
-        # a last byte may hold half a pair too many
-        self.sets = np.concatenate(([0], sets)).astype(np.uint8)
+        # node 0 has no children; a last byte may hold half a pair too many
+        self.sets = np.zeros(1 + 2 * len(pairs), np.uint8)
+        self.sets[1::2], self.sets[2::2] = pairs & 15, pairs >> 4
         counts = _COUNT[self.sets]
-        self.first = np.concatenate(([0], 2 + np.cumsum(counts[1:]) - counts[1:])).astype(np.int32)
-        self.top = np.zeros(len(distances) + 1, np.int32)
-        self.top[1:2] = distances[:1]
+        self.first = np.zeros(len(counts), np.int32)
+        self.first[1:2] = 2
+        np.cumsum(counts[1:-1], dtype=np.int32, out=self.first[2:])
+        self.first[2:] += 2
+        planes = np.frombuffer(maxima, np.uint8).reshape(3, -1)
+        self.top = np.zeros(planes.shape[1] + 1, np.int32)
+        distances = self.top[1:]
+        for plane in planes[::-1]:
+            distances <<= 8
+            distances |= plane
+        # the distances give way to the maxima, level by level
         begin, end = 1, 2
         for _ in range(height):
             below = np.repeat(self.top[begin:end], counts[begin:end])
-            self.top[end:end + len(below)] = below - distances[end - 1:end - 1 + len(below)]
+            np.subtract(below, self.top[end:end + len(below)], out=self.top[end:end + len(below)])
             begin, end = end, end + len(below)
 
     def best(self, rows: np.ndarray, weights: np.ndarray, k: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -168,69 +191,124 @@ class Treap:
         return np.concatenate(columns), np.concatenate(scores)
 
 
-def block_of(docs: list[tuple], n_docs: int, n_terms: int) -> tuple | None:
-    """The index row of the documents ``(doc_id, text)`` of one range."""
+def block_of(docs: Iterable[tuple], n_docs: int, n_terms: int) -> tuple | None:
+    """The ids, terms, document frequencies and tree of the documents
+    ``(doc_id, text)`` of one range.  Of a text only the numbers of its words
+    are kept while the others are read."""
     vocabulary: defaultdict = defaultdict()
     vocabulary.default_factory = vocabulary.__len__
-    ids, named, lengths = [], [], []
-    for doc, text in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+    ids, named = [], []
+    for doc, text in docs:
         found = words(text)
         if found:
-            ids.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)))
+            ids.append(np.fromiter(map(vocabulary.__getitem__, found), np.int32, len(found)))
             named.append(doc)
-            lengths.append(len(found))
     if not named:
         return None
     width = len(named)
-    column = np.repeat(np.arange(width), lengths)
-    cells, tf = np.unique(np.concatenate(ids) * width + column, return_counts=True)
-    term, column = np.divmod(cells, width)
+    by_id = sorted(range(width), key=lambda i: (named[i] is None, named[i] or 0))
+    named, ids = [named[i] for i in by_id], [ids[i] for i in by_id]
+    lengths = [len(x) for x in ids]
+    cells = np.concatenate(ids).astype(np.int64)
+    del ids
+    cells *= width
+    cells += np.repeat(np.arange(width, dtype=np.int32), lengths)
+    cells.sort()
+    first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+    tf = np.diff(first, append=len(cells))
+    cells = cells[first]
+    del first
+    term = (cells // width).astype(np.int32)
+    cells %= width
+    column = cells.astype(np.int32)
+    del cells
     df = np.bincount(term, minlength=len(vocabulary))
     # frequent terms share quadrants with frequent ones
     order = np.argsort(-df, kind="stable")
-    row = np.empty(len(order), np.int64)
+    row = np.empty(len(order), np.int32)
     row[order] = np.arange(len(order))
     m = np.array([_PLAIN - _SLOPE + _SLOPE * n * n_docs // n_terms for n in lengths], np.int64)
-    impact = _SCALE * tf // (_TF * tf + _LENGTH * m[column])
+    below = m[column]
+    below *= _LENGTH
+    below += _TF * tf
+    tf *= _SCALE
+    tf //= below
+    impact = tf.astype(np.int32)
+    del tf, below
     some = impact > 0
     height = max(len(vocabulary) - 1, width - 1).bit_length()
     terms = list(vocabulary)
+    del vocabulary
     if some.any():
         children, maxima = compressed(row[term[some]], column[some], impact[some], height)
     else:
         height, children, maxima = 0, b"", bytes(3)
-    return named, [terms[i].decode("utf-8", "surrogatepass") for i in order], df[order].tolist(), height, children, maxima
+    return named, [terms[i] for i in order], df[order].tolist(), height, children, maxima
+
+
+def packed(data: bytes) -> bytes:
+    """The length of ``data``, and ``data`` compressed."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: pa.Scalar) -> bytes:
+    data = data.as_buffer()
+    return pa.decompress(data[8:], int.from_bytes(data[:8].to_pybytes(), "little"), codec="zstd", asbytes=True)
+
+
+def _lists(terms: pa.Scalar, lengths: pa.Scalar) -> pa.StringArray:
+    """The terms of a block."""
+    ends = np.cumsum(np.frombuffer(unpacked(lengths), np.int32), dtype=np.int32)
+    offsets = np.concatenate((np.zeros(1, np.int32), ends))
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(unpacked(terms)))
+
+
+def _part(first: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+    """The rows of one block, the first of which is already read."""
+    n = size = 0
+    for doc, text in chain((first,), rows):
+        yield doc, text
+        n, size = n + 1, size + len(text)
+        if n == BLOCK_DOCS or size >= BLOCK_BYTES:
+            return
 
 
 def _indexed(n_docs: int, n_terms: int):
-    columns = [c.split()[0] for c in _INDEX.split(", ")]
+    names = [c.split()[0] for c in _INDEX.split(", ")]
+
+    def row_of(named, terms, df, height, children, maxima) -> pa.RecordBatch:
+        ids = np.array([doc or 0 for doc in named], np.int64)
+        lengths, df = np.array([len(t) for t in terms], np.int32), np.array(df, np.int32)
+        values = (packed(ids.tobytes()), sum(doc is None for doc in named), packed(b"".join(terms)), packed(lengths.tobytes()),
+                  packed(df.tobytes()), height, packed(children), packed(maxima))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int32()) for v in values], names)
 
     def run(batches):
-        docs, size = [], 0
-        for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                docs.append((None if pd.isna(doc) else int(doc), text))
-                size += len(text)
-                if len(docs) == BLOCK_DOCS or size >= BLOCK_BYTES:
-                    if row := block_of(docs, n_docs, n_terms):
-                        yield pd.DataFrame([row], columns=columns)
-                    docs, size = [], 0
-        if docs and (row := block_of(docs, n_docs, n_terms)):
-            yield pd.DataFrame([row], columns=columns)
+        rows = ((doc.as_py(), text.as_py()) for batch in batches for doc, text in zip(batch.column("doc_id"), batch.column("text")))
+        for first in rows:
+            if block := block_of(_part(first, rows), n_docs, n_terms):
+                row = row_of(*block)
+                del block
+                give_back()
+                yield row
+        give_back()
     return run
 
 
 @contextlib.contextmanager
-def _few_rows(spark: SparkSession, rows: int):
-    """Index rows are megabytes each: few of them in an Arrow batch and in a
-    row group."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def _row_by_row(spark: SparkSession):
+    """Index rows are megabytes each: one of them in a batch of Parquet's
+    reader and in an Arrow batch."""
+    names = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, "1")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
@@ -241,9 +319,10 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     n = F.regexp_count("text", F.lit(_TERM)).cast("long")
     n_docs, n_terms = rows.select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     path = scratch_path(spark, "search-index")
-    # Parquet looks at the size of a row group only every so many rows
-    (rows.mapInPandas(_indexed(n_docs, n_terms), _INDEX).write.option("compression", "zstd")
-     .option("parquet.block.size", 1 << 25).option("parquet.block.size.row.check.min", 1).parquet(path))
+    # Parquet looks at the size of a row group and of a page only every so many rows
+    (rows.mapInArrow(_indexed(n_docs, n_terms), _INDEX).write.option("compression", "none")
+     .option("parquet.enable.dictionary", False).option("parquet.block.size", INDEX_GROUP)
+     .option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1).parquet(path))
     return spark.read.schema(_INDEX).parquet(path), n_docs
 
 
@@ -253,6 +332,17 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_TERM), F.lit(0))
 
 
+def _frequencies(batches):
+    """``term, df`` of every block."""
+    for batch in batches:
+        for terms, lengths, df in zip(*batch.columns):
+            rows = pa.RecordBatch.from_arrays(
+                [_lists(terms, lengths), pa.array(np.frombuffer(unpacked(df), np.int32))], ["term", "df"])
+            for begin in range(0, len(rows), LIST_ROWS):
+                yield rows.slice(begin, LIST_ROWS)
+    give_back()
+
+
 def _weighted(items: DataFrame, index: DataFrame, n_docs: int, scratch: Scratch) -> DataFrame:
     """``item, terms, weights`` of the items, repeats of a term summed, terms
     that weigh nothing left out."""
@@ -260,8 +350,9 @@ def _weighted(items: DataFrame, index: DataFrame, n_docs: int, scratch: Scratch)
                            .groupBy("item", "term").agg(F.count("*").alias("times")), "search-terms")
     # the distinct terms are written, so that a join is chosen by their measured size
     wanted = scratch.stored(asked.select("term").distinct(), "search-wanted")
-    lists = index.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.df").alias("df"))
-    df = scratch.stored(lists.join(wanted, "term").groupBy("term").agg(F.sum("df").alias("df")), "search-df")
+    lists = index.select("terms", "lengths", "df").mapInArrow(_frequencies, "term string, df int")
+    with _row_by_row(items.sparkSession):
+        df = scratch.stored(lists.join(wanted, "term").groupBy("term").agg(F.sum("df").alias("df")), "search-df")
     weight = F.floor(1000 * F.ln(F.lit(float(2 * n_docs + 2)) / (2 * F.col("df") + 1))).cast("long")
     return scratch.stored(
         asked.join(df, "term").select("item", "term", (weight * F.col("times")).alias("weight")).where("weight > 0")
@@ -272,30 +363,36 @@ def _weighted(items: DataFrame, index: DataFrame, n_docs: int, scratch: Scratch)
 def _searched(shared, k: int):
     def run(batches):
         asked = shared.value
+        number: defaultdict = defaultdict()
+        number.default_factory = number.__len__
+        items = [(np.array([number[t] for t in names], np.int32), np.array(weights, np.int64)) for _, names, weights in asked]
+        wanted = pa.array(list(number), pa.string())
+        del number
         found: list[list[tuple]] = [[] for _ in asked]      # (score, null id, -id) heaps of the k best
         for batch in batches:
-            for docs, terms, height, children, maxima in zip(
-                    batch["docs"], batch["terms"], batch["height"], batch["children"], batch["maxima"]):
-                row = {t: i for i, t in enumerate(terms)}
-                tree = Treap(height, children, maxima)
-                for heap, (_, names, weights) in zip(found, asked):
-                    rows = [row.get(t, -1) for t in names]
-                    here = [i for i, r in enumerate(rows) if r >= 0]
-                    if not here:
+            for block, unnamed, terms, lengths, height, children, maxima in zip(*batch.columns):
+                docs = np.frombuffer(unpacked(block), np.int64)
+                named = len(docs) - unnamed.as_py()
+                row = pc.fill_null(pc.index_in(wanted, value_set=_lists(terms, lengths)), -1).to_numpy()
+                tree = Treap(height.as_py(), unpacked(children), unpacked(maxima))
+                for heap, (names, weights) in zip(found, items):
+                    rows = row[names]
+                    here = rows >= 0
+                    if not here.any():
                         continue
                     least = heap[0][0] if len(heap) == k else 1
-                    columns, scores = tree.best(np.array([rows[i] for i in here], np.int32),
-                                                np.array([weights[i] for i in here], np.int64), k, least)
-                    for c, s in zip(columns.tolist(), scores.tolist()):
-                        doc = docs[c]
-                        entry = (s, 0, 0) if doc is None or doc != doc else (s, 1, -int(doc))
+                    columns, scores = tree.best(rows[here], weights[here], k, least)
+                    for c, doc, s in zip(columns.tolist(), docs[columns].tolist(), scores.tolist()):
+                        entry = (s, 1, -doc) if c < named else (s, 0, 0)
                         if len(heap) < k:
                             heapq.heappush(heap, entry)
                         elif entry > heap[0]:
                             heapq.heapreplace(heap, entry)
+                del tree
+                give_back()
         rows = [(item, -doc if some else None, s) for heap, (item, _, _) in zip(found, asked) for s, some, doc in heap]
-        yield pd.DataFrame({"item": np.array([r[0] for r in rows], np.int64), "doc_id": pd.array([r[1] for r in rows], "Int64"),
-                            "score": np.array([r[2] for r in rows], np.int64)})
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ((), (), ()))],
+                                         ["item", "doc_id", "score"])
     return run
 
 
@@ -314,9 +411,9 @@ def search(index: DataFrame, n_docs: int, items: DataFrame, item_id: str = "item
     for b in range(blocks):
         part = [tuple(r) for r in asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()]
         shared = spark.sparkContext.broadcast(part)
-        with _few_rows(spark, 2):
+        with _row_by_row(spark):
             # one task per file at least: a block is a unit of work
-            best = stored(index.select("docs", "terms", "height", "children", "maxima").mapInPandas(
+            best = stored(index.select("docs", "unnamed", "terms", "lengths", "height", "children", "maxima").mapInArrow(
                 _searched(shared, k), "item bigint, doc_id bigint, score bigint"), "search-found")
         shared.destroy()
         found = best if found is None else found.unionByName(best)
